@@ -7,11 +7,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesora.functions.scalar import name_key
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(names: pd.Series) -> pd.Series:
     return names.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 

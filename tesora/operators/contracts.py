@@ -48,14 +48,18 @@ def enforce(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
                            .cast("boolean")).otherwise(F.lit(True)))
 
 
-def rule_counts(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """``(rule, severity, n)``: a single aggregate over the table, unpivoted afterwards."""
-    if not rules:
+def rule_counts(df: DataFrame, rules: Sequence[Rule], totals: Sequence[tuple[str, str, Column]] = ()) -> DataFrame:
+    """``(rule, severity, n)``: a single aggregate over the table, unpivoted afterwards.
+
+    ``totals`` adds findings given as aggregates: (name, severity, aggregate).
+    """
+    found = [(r.name, r.severity, F.count_if(F.coalesce(r.bad, F.lit(False)))) for r in rules] + list(totals)
+    if not found:
         return df.sparkSession.createDataFrame([], "rule string, severity string, n long")
-    counted = df.agg(*[F.count_if(F.coalesce(r.bad, F.lit(False))).alias(f"r{i}") for i, r in enumerate(rules)])
+    counted = df.agg(*[n.alias(f"r{i}") for i, (_, _, n) in enumerate(found)])
     cells = F.array(*[
-        F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), F.col(f"r{i}").alias("n"))
-        for i, r in enumerate(rules)
+        F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), F.col(f"r{i}").alias("n"))
+        for i, (name, severity, _) in enumerate(found)
     ])
     return counted.select(F.inline(cells))
 

@@ -272,19 +272,11 @@ def validation_report(df: DataFrame, key: str) -> DataFrame:
     """
     spec = CONTRACTS[key]
     df = clean_header(df)
-    report = rule_counts(df, dataset_rules(df, key))
-    cells = df.agg(F.coalesce(F.sum(missing_cells(df, spec.required)), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("rows"))
-    facts = cells.select(
-        F.inline(
-            F.array(
-                F.struct(
-                    F.lit("MISSING_REQUIRED_CELL").alias("rule"), F.lit(ERROR).alias("severity"), F.col("n").alias("n")
-                ),
-                F.struct(F.lit("EMPTY_TABLE"), F.lit(ERROR), (F.col("rows") == 0).cast("long")),
-            )
-        )
-    )
-    report = report.unionByName(facts)
+    totals = [
+        ("MISSING_REQUIRED_CELL", ERROR, F.coalesce(F.sum(missing_cells(df, spec.required)), F.lit(0))),
+        ("EMPTY_TABLE", ERROR, (F.count(F.lit(1)) == 0).cast("long")),
+    ]
+    report = rule_counts(df, dataset_rules(df, key), totals)
     if all(c in df.columns for c in spec.key):
         dup = duplicate_key_rows(df, spec.key)
         report = report.unionByName(
