@@ -1,0 +1,4 @@
+"""Queries over the shared star schema; importing the modules fills the registry."""
+
+from tesora.plans import budgeting, cashflow, detection, forecasting  # noqa: F401
+from tesora.plans.registry import REGISTRY  # noqa: F401

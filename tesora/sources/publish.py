@@ -232,19 +232,21 @@ def read_published(spark: SparkSession, root: str) -> DataFrame:
 def check_transitions(events: DataFrame) -> DataFrame:
     """Every status event of a source with the previous status and the rule it breaks, if any.
 
-    ``events``: source_id, seq, status, actor, evidence, artifact_sha256,
-    validation_report. The previous status is found by a self join on the
+    ``events``: source_id, seq (without gaps), status, actor, evidence,
+    artifact_sha256, validation_report. The previous status is found by a self join on the
     sequence number, so a source with very many events is not one task's work.
     """
     prior = events.select("source_id", (F.col("seq") + 1).alias("seq"), F.col("status").alias("previous"))
     pairs = F.create_map(*[x for a, bs in TRANSITIONS.items() for x in (F.lit(a), F.array(*[F.lit(b) for b in bs]))])
-    joined = events.join(prior, ["source_id", "seq"], "left")
+    start = events.groupBy("source_id").agg(F.min("seq").alias("first_seq"))
+    joined = events.join(prior, ["source_id", "seq"], "left").join(start, "source_id")
     blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
     allowed = F.when(F.col("previous").isNull(), F.lit(True)).otherwise(
         F.array_contains(F.try_element_at(pairs, F.col("previous")), F.col("status"))
     )
     problem = (
         F.when(~F.col("status").isin(*TRANSITIONS), "UNKNOWN_STATUS")
+        .when(F.col("previous").isNull() & (F.col("seq") != F.col("first_seq")), "SEQUENCE_GAP")
         .when(F.col("previous").isNotNull() & (blank("actor") | blank("evidence")), "MISSING_EVIDENCE")
         .when(~F.coalesce(allowed, F.lit(False)), "TRANSITION_NOT_ALLOWED")
         .when((F.col("status") == "connected") & blank("artifact_sha256"), "MISSING_DIGEST")

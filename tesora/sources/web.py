@@ -7,13 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# File extensions of official publications.
+# File extensions of official publications, and the common character references.
 OFFICIAL_EXTENSIONS = (".xls", ".xlsx", ".docx")
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
 
 _ANCHOR = r"(?is)(<a\b[^>]*\bhref\s*=[^>]*>.*?</a\s*>)"
 _HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))"""
 
 
+def unescape(c: Column) -> Column:
+    """Common character references as characters, the ampersand last."""
+    for name, char in ENTITIES.items():
+        c = F.replace(c, F.lit(name), F.lit(char))
+    return c
+
+
 def anchors(pages: DataFrame, *, page: str = "url", html: str = "html") -> DataFrame:
     """One row per anchor: page address, raw target and visible title."""
     found = F.explode(F.regexp_extract_all(F.col(html), F.lit(_ANCHOR), F.lit(1)))
@@ -21,8 +29,8 @@ def anchors(pages: DataFrame, *, page: str = "url", html: str = "html") -> DataF
     # the three quoting forms are exclusive, so joining the groups gives the one that matched
     href = F.concat(*[F.regexp_extract("anchor", _HREF, i) for i in (1, 2, 3)])
     inner = F.regexp_replace(F.regexp_replace("anchor", r"(?is)^<a\b[^>]*>", ""), r"(?is)<[^>]*>", " ")
-    title = F.trim(F.regexp_replace(inner, r"\s+", " "))
-    return rows.select("page_url", F.trim(href).alias("href"), title.alias("title")).where(F.col("href") != "")
+    title = F.trim(F.regexp_replace(unescape(inner), r"[\s\u00a0]+", " "))
+    return rows.select("page_url", F.trim(unescape(href)).alias("href"), title.alias("title")).where(F.col("href") != "")
 
 
 def absolute_url(page: Column | str, href: Column | str) -> Column:
