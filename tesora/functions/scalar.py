@@ -42,7 +42,7 @@ def finite(c: Column | str) -> Column:
 
 def parse_number(c: Column | str) -> Column:
     """Text to double: inner blanks dropped, decimal comma, unicode minus, ``#...`` missing."""
-    text = F.regexp_replace(_col(c).cast("string"), r"[\s ]", "")
+    text = F.regexp_replace(_col(c).cast("string"), r"[\s\u00a0]", "")
     text = F.translate(text, ",−", ".-")
     return finite(F.when(text.rlike(_DECIMAL_TEXT), text.try_cast("double")))
 

@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesora.functions.scalar import execution_gap, execution_rate, floor_zero, parse_number
 from tesora.operators.contracts import ERROR, Rule, Split, fill_missing, split
-from pyspark.sql import types as T
+from tesora.session import materialize
 
 # Sides, sources, bases, statuses and correction kinds.
 SIDES = ("REVENUE", "EXPENDITURE", "FINANCING")
@@ -318,15 +319,17 @@ def normalize_months(
     )
     chosen = chosen.where(~cumulative)
 
-    observed = code_totals(chosen)
+    # everything below works on these totals: the lines are read once
+    observed = materialize(code_totals(chosen), "cash_code_totals")
     raw = observed.groupBy("municipality", "month").agg(
         *[
             F.coalesce(F.sum(F.when(F.col("side") == s, F.col("observed"))), F.lit(0.0)).alias(f"raw_{s.lower()}")
             for s in SIDES
         ]
     )
-    good = allocate(eligible_corrections(corrections, as_of), observed, raw)
-    effects = fan_out(good.clean)
+    due = materialize(eligible_corrections(corrections, as_of), "cash_corrections")
+    good = allocate(due, observed, raw)
+    effects = fan_out(materialize(good.clean, "cash_allocated"))
     per_code = effects.groupBy("municipality", "month", "kbk", "side").agg(
         F.sum("delta").alias("delta"),
         F.sum(F.when(F.col("kind") == "CARRYOVER", -F.col("delta")).otherwise(0.0)).alias("carryover"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tesora.functions.scalar import parse_number, safe_ratio
 from tesora.operators.forecast import keep_last
 from tesora.operators.prefix import exact_median, value_ranks
+from tesora.session import materialize
 
 # Flag codes, titles and texts, domains and statuses.
 FLAG_TITLES = {
@@ -121,7 +122,7 @@ def _percent(c: Column, digits: int = 0) -> Column:
 
 def screening_flags(panel: DataFrame, *, pieces: int | None = None) -> DataFrame:
     """Four flag rows per (year, municipality) against the peers of the same year."""
-    df = panel
+    df = materialize(panel, "screening_panel")
     for value, out in (
         ("debt_load", "debt_pct"),
         ("budget_amendments", "amend_pct"),

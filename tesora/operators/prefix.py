@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesora.session import shuffle_width
+from tesora.session import materialize, shuffle_width
 
 
 def split_points(df: DataFrame, value: str, pieces: int) -> list:
@@ -55,7 +55,8 @@ def running_by_value(
     Also ``<name>_total`` over the group.
     """
     pieces = pieces or shuffle_width(df.sparkSession)
-    hist = df.groupBy(*group, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    # written once: the cut points, the totals and the local pass all start from it
+    hist = materialize(df.groupBy(*group, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()]), "histogram")
     cut = hist.withColumn("_piece", piece_of(F.col(value), split_points(hist, value, pieces)))
     totals = cut.groupBy(*group, "_piece").agg(*[F.sum(n).alias(f"_t_{n}") for n in sums])
     # one row per piece: at most `pieces` rows per group

@@ -236,13 +236,13 @@ moved AS (
 changed AS (SELECT * REPLACE (greatest(revenue_base + a, 0) AS revenue_base, greatest(transfers + b, 0) AS transfers,
   greatest(expenditure + c, 0) AS expenditure), greatest(revenue_base + a, 0) AS deficit_base FROM moved),
 {_result_sql('changed', 'closed')}
-SELECT municipality_name, year, scenario, {r("gap", 2)} AS gap_to_close, {r("a", 2)} AS revenue_base_change, {r("b", 2)} AS transfer_change,
-  {r("c", 2)} AS expenditure_change, {r("deficit", 2)} AS deficit, {r("normalization_gap", 2)} AS normalization_gap FROM closed""",
+SELECT municipality_name, year, scenario, {r("gap", 3)} AS gap_to_close, {r("a", 3)} AS revenue_base_change, {r("b", 3)} AS transfer_change,
+  {r("c", 3)} AS expenditure_change, {r("deficit", 3)} AS deficit, {r("normalization_gap", 3)} AS normalization_gap FROM closed""",
 )
 def closing_scenarios(spark, sf):
     out = bg.closing_scenarios(_result(spark, sf).withColumn("deficit_base", F.lit(None).cast("double")))
     money = ("gap_to_close", "revenue_base_change", "transfer_change", "expenditure_change", "deficit", "normalization_gap")
-    return rounded(out.select(*KEY, "scenario", *money), 2, *money)
+    return rounded(out.select(*KEY, "scenario", *money), 3, *money)
 
 
 @query(

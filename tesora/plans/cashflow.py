@@ -51,7 +51,7 @@ joined AS (SELECT raw.*, coalesce(dr, 0) AS dr, coalesce(de, 0) AS de, coalesce(
   1 + 0.0625 * (year(month) - 1995) AS deflator, n_nationkey * 1000000.0 AS opening
   FROM raw LEFT JOIN eff USING (municipality, month) JOIN nation ON municipality = n_name),
 codes AS (SELECT municipality, month, kbk, side, coalesce(amount, 0) + coalesce(delta, 0) AS value,
-  CASE WHEN kbk = 'KF' AND month(month) = 11 THEN NULL WHEN kbk = 'KO' THEN 1.25 WHEN kbk = 'KF' THEN 0.8 ELSE 1.0 END AS factor
+  CASE WHEN kbk = 'KF' AND month(month) = 11 THEN NULL WHEN kbk = 'KO' THEN 1.25 WHEN kbk = 'KF' THEN 0.5 ELSE 1.0 END AS factor
   FROM (SELECT municipality, month, kbk, side, amount FROM seen) FULL JOIN
        (SELECT municipality, month, kbk, side, sum(delta) AS delta FROM effects GROUP BY 1, 2, 3, 4) USING (municipality, month, kbk, side)
   WHERE side <> 'FINANCING'),
@@ -70,7 +70,7 @@ def _months(spark, sf):
     lines = data.cash_lines(spark, sf)
     calendar = lines.select("month").distinct()
     deflators = calendar.withColumn("deflator", 1 + 0.0625 * (F.year("month") - 1995))
-    factor = F.when(F.col("kbk") == "KO", 1.25).when(F.col("kbk") == "KF", 0.8).otherwise(1.0)
+    factor = F.when(F.col("kbk") == "KO", 1.25).when(F.col("kbk") == "KF", 0.5).otherwise(1.0)
     factors = (
         lines.select("month", "kbk")
         .distinct()
@@ -97,11 +97,12 @@ _MONEY = ("raw_revenue", "raw_expenditure", "raw_financing", "normalized_revenue
 @query(
     "cash_months",
     f"""WITH {_MONTHS_SQL} SELECT municipality, month, {', '.join(f'{r(c, 4)} AS {c}' for c in _MONEY)}, {r("greatest(-cash_balance, 0)", 4)} AS reserve_need,
-  {r("real_recurring_balance", 3)} AS real_recurring_balance, {r("seasonal_balance", 4)} AS seasonal_balance, status FROM months""",
+  {r("real_recurring_balance", 4)} AS real_recurring_balance, {r("seasonal_balance", 4)} AS seasonal_balance, status FROM months""",
 )
 def cash_months(spark, sf):
-    df = rounded(_months(spark, sf).months, 4, *_MONEY, "reserve_need", "seasonal_balance")
-    return rounded(df, 3, "real_recurring_balance")
+    return rounded(
+        _months(spark, sf).months, 4, *_MONEY, "reserve_need", "seasonal_balance", "real_recurring_balance"
+    )
 
 
 @query("correction_effects", f"WITH {_DECIDED_SQL} SELECT municipality, correction_id, kind, kbk, side, month, {r('delta', 4)} AS delta, is_target FROM effects")

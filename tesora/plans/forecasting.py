@@ -72,12 +72,12 @@ def baseline_tournament(spark, sf):
 
 @query(
     "baseline_forecasts",
-    f"""WITH {_walk_sql('nation', 12, 12)}
+    f"""WITH {_walk_sql('nation', 24, 12)}
 SELECT oktmo, category_code, period_start, actual, last_value, seasonal_naive, {r("linear_trend", 1)} AS linear_trend
-FROM walk WHERE pos >= 12""",
+FROM walk WHERE pos >= 24""",
 )
 def baseline_forecasts(spark, sf):
-    table = fc.baseline_forecasts(data.panel(spark, sf, "nation"), keys=KEYS, **PERIOD, min_train=12, unique=True)
+    table = fc.baseline_forecasts(data.panel(spark, sf, "nation"), keys=KEYS, **PERIOD, min_train=24, unique=True)
     return rounded(table, 1, "linear_trend")
 
 

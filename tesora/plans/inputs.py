@@ -8,8 +8,28 @@ from pyspark.sql import functions as F
 MONEY = "decimal(18,2)"
 
 
+# Declared schemas: no file is opened to find out its columns.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
 def money(c: Column | str) -> Column:
@@ -209,7 +229,7 @@ REPORT_LINES_SQL = f"""{CASH_TOTALS_SQL}, ytd AS (
 _CORRECTIONS = (
     ("REFUND_REALLOCATION", "RET", "REVENUE", None, -0.5, -1, "refund", "returned goods"),
     ("ADVANCE_REALLOCATION", "KO", "REVENUE", 12, 0.25, 1, "advance", "prepaid"),
-    ("ONE_OFF", "KF", "REVENUE", 6, 0.125, None, "sale", "asset sale"),
+    ("ONE_OFF", "KF", "REVENUE", 6, 0.25, None, "sale", "asset sale"),
     ("CARRYOVER", "KF", "FINANCING", 1, 0.5, None, "balance", "balance of the year before"),
     ("ONE_OFF", "KO", "EXPENDITURE", 3, 1.5, None, "too-much", "above the line"),
     ("ONE_OFF", "KF", "EXPENDITURE", 8, 0.25, None, "no-reason", ""),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tesora", master: str | None = None, **conf: str) -> SparkSession:
@@ -38,3 +38,18 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 def shuffle_width(spark: SparkSession) -> int:
     """How many pieces a large ordered pass is cut into."""
     return max(8, min(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 2000))
+
+
+def materialize(df: DataFrame, purpose: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    Several branches of a plan then start from one small table instead of each
+    scanning the source again; its size is known to the optimizer and it
+    survives lost executors. Without a shared folder the plan stays as it is.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        return df
+    path = shared_folder(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
