@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tesora.functions.scalar import month_bounds, parse_number
 from tesora.operators.contracts import ERROR, Rule, clean_header, missing_columns, split, unique_rows
 from tesora.operators.identity import RESOLVED, resolve_names
+from tesora.session import materialize
 
 # Export columns, category codes and canonical column order.
 EXPORT_COLUMNS = (
@@ -120,7 +121,7 @@ def canonicalize(
     and joined once; Spark broadcasts it when small and splits hot names when not.
     """
     checked = check_export(export, labels)
-    rows, removed = exact_duplicates(checked.clean)
+    rows = checked.clean.groupBy(*checked.clean.columns).agg(F.count(F.lit(1)).alias("copies"))
     resolved = resolve_names(rows, name="mo", source_id=source_id, registry=registry, aliases=aliases)
     doubtful = ambiguous_names(rows).withColumn("_twice", F.lit(True))
     names = resolved.join(doubtful, "mo", "left")
@@ -132,7 +133,8 @@ def canonicalize(
         F.when(twice, AMBIGUOUS).otherwise(F.col("identity_status")).alias("identity_status"),
         F.when(twice, "DUPLICATE_PERIOD_CATEGORY_NAME_IN_SOURCE").otherwise(F.col("identity_reason")).alias("identity_reason"),
     )
-    joined = rows.join(names, "mo", "left")
+    # staged once: canonical rows, quarantine and profile are three reads of this table
+    joined = materialize(rows.join(names, "mo", "left"), "spending_staged")
     first, last = month_bounds("period")
     good = joined.where(F.col("identity_status") == RESOLVED).select(
         F.col("oktmo").alias("municipality_id"),
@@ -155,9 +157,9 @@ def canonicalize(
     # two source names may lead to one code: such keys are refused as a whole
     parts = unique_rows(good, ["oktmo", "category_code", "period_start"])
     canonical = parts.clean.select(*CANONICAL_COLUMNS)
-    quarantine = joined.where(F.col("identity_status") != RESOLVED)
+    quarantine = joined.where(F.col("identity_status") != RESOLVED).drop("copies")
     clash = parts.quarantine
-    profile = ingest_profile(checked.clean, canonical, quarantine, removed)
+    profile = ingest_profile(joined, canonical)
     rejected = checked.quarantine.select(
         F.col("mo"), F.col("category_15"), F.col("period").cast("string").alias("period"), "reason_code"
     ).unionByName(
@@ -171,29 +173,27 @@ def canonicalize(
     return SpendingTables(canonical, quarantine, rejected, profile)
 
 
-def ingest_profile(rows: DataFrame, canonical: DataFrame, quarantine: DataFrame, removed: DataFrame) -> DataFrame:
-    """One row of counts; every part is a one-row aggregate, so the joins are of single rows."""
-    parts = [
-        rows.agg(F.count(F.lit(1)).alias("input_rows")),
-        removed,
-        canonical.agg(
-            F.count(F.lit(1)).alias("canonical_rows"),
-            F.count_distinct("oktmo").alias("municipalities_model_eligible"),
-            F.count_distinct("period_start").alias("periods"),
-            F.count_distinct("category_code").alias("categories"),
-            F.min("period_start").alias("period_start"),
-            F.max("period_start").alias("period_end"),
-        ),
-        quarantine.agg(
-            F.count(F.lit(1)).alias("quarantined_rows"),
-            F.count_if(F.col("identity_status") == "UNRESOLVED").alias("unresolved_rows"),
-            F.count_distinct(F.when(F.col("identity_status") == AMBIGUOUS, F.col("mo"))).alias("ambiguous_names"),
-        ),
-    ]
-    out = parts[0].withColumn("_one", F.lit(1))
-    for p in parts[1:]:
-        out = out.join(p.withColumn("_one", F.lit(1)), "_one")
-    return out.drop("_one")
+def ingest_profile(staged: DataFrame, canonical: DataFrame) -> DataFrame:
+    """One row of counts from two one-row aggregates."""
+    open_rows = F.col("identity_status") != RESOLVED
+    left = staged.agg(
+        F.coalesce(F.sum("copies"), F.lit(0)).alias("input_rows"),
+        F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("exact_duplicates_removed"),
+        F.count_if(open_rows).alias("quarantined_rows"),
+        F.count_if(F.col("identity_status") == "UNRESOLVED").alias("unresolved_rows"),
+        F.count_distinct(F.when(F.col("identity_status") == AMBIGUOUS, F.col("mo"))).alias("ambiguous_names"),
+        F.lit(1).alias("_one"),
+    )
+    right = canonical.agg(
+        F.count(F.lit(1)).alias("canonical_rows"),
+        F.count_distinct("oktmo").alias("municipalities_model_eligible"),
+        F.count_distinct("period_start").alias("periods"),
+        F.count_distinct("category_code").alias("categories"),
+        F.min("period_start").alias("period_start"),
+        F.max("period_start").alias("period_end"),
+        F.lit(1).alias("_one"),
+    )
+    return left.join(right, "_one").drop("_one")
 
 
 def peer_panel(export: DataFrame, peers: DataFrame):

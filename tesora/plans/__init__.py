@@ -1,4 +1,14 @@
 """Queries over the shared star schema; importing the modules fills the registry."""
 
-from tesora.plans import budgeting, cashflow, detection, fiscal, forecasting, identity  # noqa: F401
+from tesora.plans import (  # noqa: F401
+    budgeting,
+    cashflow,
+    detection,
+    fiscal,
+    forecasting,
+    identity,
+    publishing,
+    quality,
+    streams,
+)
 from tesora.plans.registry import REGISTRY  # noqa: F401

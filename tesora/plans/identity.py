@@ -198,7 +198,7 @@ def spending_quarantine(spark, sf):
 
 @query(
     "spending_profile",
-    f"""WITH {data.SPENDING_SQL}, allrows AS (SELECT mo, period, category_15, value, count(*) * CASE WHEN period = DATE '1998-01-01' THEN 2 ELSE 1 END AS copies FROM exported GROUP BY ALL),
+    f"""WITH {data.SPENDING_SQL}, allrows AS (SELECT mo, period, category_15, value, count(*) * CASE WHEN period = DATE '1998-01-01' THEN 2 ELSE 1 END AS copies FROM exported GROUP BY mo, period, category_15, value),
 total AS (SELECT CAST(sum(copies) AS BIGINT) AS input_rows, CAST(sum(copies) - count(*) AS BIGINT) AS exact_duplicates_removed FROM allrows),
 good AS (SELECT count(*) AS canonical_rows, count(DISTINCT mo) AS municipalities_model_eligible, count(DISTINCT period) AS periods,
   count(DISTINCT category_15) AS categories, min(period) AS period_start, max(period) AS period_end FROM stated WHERE identity_status = 'OKTMO_RESOLVED'),

@@ -19,6 +19,7 @@ PUBLIC_SOURCES = ("fns_5_ndfl", "fns_7_ndfl", "fns_kkt", "rosstat_pmo", "other_p
 INCOME_SOURCES = ("fns_5_ndfl", "fns_7_ndfl")
 MAPPED_COLUMNS = ("oktmo", "period", "indicator", "value", "unit")
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1251")
+SPARK_ENCODINGS = ("utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32")
 
 
 def scan_export(spark: SparkSession, path: str, required: Sequence[str], *, sep: str = ";") -> DataFrame:
@@ -44,8 +45,12 @@ def scan_mapped(spark: SparkSession, path: str, config: Mapping) -> Split:
         raise ValueError("a mapping defines exactly " + ", ".join(MAPPED_COLUMNS))
     if source in INCOME_SOURCES and category != "all":
         raise ValueError("personal income is an all-category feature")
-    reader = spark.read.option("header", True).option("sep", config.get("separator", ","))
-    df = clean_header(reader.option("encoding", config.get("encoding", "utf-8")).csv(path))
+    sep, encoding = config.get("separator", ","), config.get("encoding", "utf-8")
+    wanted = list(mapping.values())
+    if encoding.lower() in SPARK_ENCODINGS:
+        df = clean_header(spark.read.option("header", True).option("sep", sep).option("encoding", encoding).csv(path))
+    else:
+        df = rows_with_header(scan_unknown_encoding(spark, path, encodings=(encoding,), sep=sep), wanted)
     missing = missing_columns(df, list(mapping.values()))
     if missing:
         raise ValueError("source columns missing: " + ", ".join(missing))
@@ -72,8 +77,8 @@ def scan_mapped(spark: SparkSession, path: str, config: Mapping) -> Split:
 RECORDS = "path string, line_no int, fields array<string>, problem string"
 
 
-def _decode(content: bytes) -> str | None:
-    for encoding in ENCODINGS:
+def _decode(content: bytes, encodings: Sequence[str]) -> str | None:
+    for encoding in encodings:
         try:
             return content.decode(encoding)
         except UnicodeDecodeError:
@@ -88,31 +93,44 @@ def _separator(text: str) -> str:
         return ","
 
 
-def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            text = _decode(content)
-            if text is None:
-                yield pd.DataFrame([(path, 0, [], "UNREADABLE_TEXT")], columns=["path", "line_no", "fields", "problem"])
-                continue
-            rows: list[tuple] = []
-            for i, fields in enumerate(csv.reader(io.StringIO(text.lstrip("﻿")), delimiter=_separator(text))):
-                rows.append((path, i, fields, None))
-                if len(rows) == 10_000:
-                    yield pd.DataFrame(rows, columns=["path", "line_no", "fields", "problem"])
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=["path", "line_no", "fields", "problem"])
-
-
-def scan_unknown_encoding(spark: SparkSession, path: str) -> DataFrame:
+def text_records(files: DataFrame, *, encodings: Sequence[str] = ENCODINGS, sep: str | None = None) -> DataFrame:
+    """``(path, line_no, fields, problem)`` from files given as ``path`` and ``content``.
+
+    The first encoding that decodes a file counts; a missing separator is
+    guessed from the file's first lines. Line 0 holds the header.
+    """
+    names = ["path", "line_no", "fields", "problem"]
+
+    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                text = _decode(content, encodings)
+                if text is None:
+                    yield pd.DataFrame([(path, 0, [], "UNREADABLE_TEXT")], columns=names)
+                    continue
+                rows: list[tuple] = []
+                lines = csv.reader(io.StringIO(text.lstrip("\ufeff")), delimiter=sep or _separator(text))
+                for i, fields in enumerate(lines):
+                    rows.append((path, i, fields, None))
+                    if len(rows) == 10_000:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=names)
+
+    return files.select("path", "content").mapInPandas(records, RECORDS)
+
+
+def scan_unknown_encoding(
+    spark: SparkSession, path: str, *, encodings: Sequence[str] = ENCODINGS, sep: str | None = None
+) -> DataFrame:
     """Many uploaded files at once, each with its own encoding and separator.
 
     A file is read whole by one task (uploads are small); the parallel axis is
-    the number of files. Line 0 holds the header.
+    the number of files.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "content").mapInPandas(_records, RECORDS)
+    return text_records(files, encodings=encodings, sep=sep)
 
 
 def rows_with_header(records: DataFrame, columns: Sequence[str]) -> DataFrame:

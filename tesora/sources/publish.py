@@ -179,44 +179,52 @@ def publish_aggregates(
     """Accept or quarantine each source on its own, publish the union, keep the last good otherwise.
 
     ``scans`` holds the outcome of reading each source: a split, or the error.
-    A source is accepted when it has rows and no quarantined one. The union is
-    written to a new folder and becomes current by one appended pointer row, so
-    a failed run leaves the previous table as it was.
+    A source is accepted when it has rows and no quarantined one. Checked rows of
+    all sources are staged in one pass; one aggregate over the staged table gives
+    the driver what it decides on. The accepted rows become current by one
+    appended pointer row, so a failed run leaves the previous table as it was.
     """
-    outcome, good = [], []
-    for source, scan in scans.items():
+    staged = None
+    for feed, scan in scans.items():
         if isinstance(scan, Exception):
-            outcome.append((source, "quarantined", 0, str(scan)[:500]))
             continue
         checked = check_aggregates(scan.clean)
-        bad = scan.quarantine.select("reason_code").unionByName(checked.quarantine.select("reason_code"))
-        first_bad = bad.first()
-        rows = checked.clean.count() if first_bad is None else 0
-        if first_bad is not None or rows == 0:
-            outcome.append((source, "quarantined", 0, first_bad["reason_code"] if first_bad else "EMPTY"))
-            continue
-        outcome.append((source, "accepted", rows, None))
-        good.append(checked.clean)
+        rows = checked.clean.withColumn("reason_code", F.lit(None).cast("string"))
+        rows = rows.unionByName(checked.quarantine, allowMissingColumns=True)
+        rows = rows.unionByName(scan.quarantine.select("reason_code"), allowMissingColumns=True)
+        rows = rows.withColumn("feed", F.lit(feed))
+        staged = rows if staged is None else staged.unionByName(rows)
+    found = {}
+    if staged is not None:
+        place = f"{root}/staged/{run_id}"
+        staged.write.mode("errorifexists").partitionBy("feed").parquet(place)
+        staged = spark.read.schema(staged.schema).parquet(place)
+        # one row per feed
+        per_feed = staged.groupBy("feed").agg(
+            F.count_if(F.col("reason_code").isNull()).alias("good"), F.min("reason_code").alias("problem")
+        )
+        found = {row["feed"]: row for row in per_feed.collect()}
+    outcome = []
+    for feed, scan in scans.items():
+        row = found.get(feed)
+        problem = str(scan)[:500] if isinstance(scan, Exception) else "EMPTY" if row is None else row["problem"]
+        state = "accepted" if problem is None else "quarantined"
+        outcome.append((feed, state, row["good"] if problem is None else 0, problem))
     sources = spark.createDataFrame(outcome, "source string, status string, rows long, error string")
-    gate = publish_status(sources, allow_partial=allow_partial).first()
-    status, path, rows = gate["status"], None, 0
-    if gate["publish"]:
-        merged = good[0]
-        for df in good[1:]:
-            merged = merged.unionByName(df)
-        final = check_aggregates(merged)
-        if final.quarantine.first() is not None:
+    accepted = [feed for feed, state, _, _ in outcome if state == "accepted"]
+    status = "stale" if not accepted else "partial" if len(accepted) < len(outcome) else "fresh"
+    path, rows = None, 0
+    if status == "fresh" or (status == "partial" and allow_partial):
+        merged = staged.where(F.col("feed").isin(*accepted)).drop("feed", "reason_code")
+        if check_aggregates(merged).quarantine.first() is not None:
             status = "stale"
         else:
-            path = f"{root}/versions/{run_id}"
-            final.clean.write.mode("errorifexists").parquet(path)
-            rows = spark.read.parquet(path).count()
-            spark.createDataFrame([(run_id, path, rows)], "run_id string, path string, rows long").write.mode(
-                "append"
-            ).parquet(f"{root}/current")
-    sources.withColumn("run_status", F.lit(status)).withColumn("run_id", F.lit(run_id)).write.mode("append").parquet(
-        f"{root}/status"
-    )
+            path, rows = f"{root}/versions/{run_id}", sum(n for _, _, n, _ in outcome)
+            merged.write.mode("errorifexists").parquet(path)
+            pointer = spark.createDataFrame([(run_id, path, rows)], "run_id string, path string, rows long")
+            pointer.write.mode("append").parquet(f"{root}/current")
+    report = sources.withColumn("run_status", F.lit(status)).withColumn("run_id", F.lit(run_id))
+    report.write.mode("append").parquet(f"{root}/status")
     return Published(status, rows, path, sources)
 
 

@@ -22,15 +22,19 @@ def unescape(c: Column) -> Column:
     return c
 
 
-def anchors(pages: DataFrame, *, page: str = "url", html: str = "html") -> DataFrame:
-    """One row per anchor: page address, raw target and visible title."""
-    found = F.explode(F.regexp_extract_all(F.col(html), F.lit(_ANCHOR), F.lit(1)))
-    rows = pages.select(F.col(page).alias("page_url"), found.alias("anchor"))
+def _href_and_title(anchor: Column) -> Column:
     # the three quoting forms are exclusive, so joining the groups gives the one that matched
-    href = F.concat(*[F.regexp_extract("anchor", _HREF, i) for i in (1, 2, 3)])
-    inner = F.regexp_replace(F.regexp_replace("anchor", r"(?is)^<a\b[^>]*>", ""), r"(?is)<[^>]*>", " ")
+    href = F.concat(*[F.regexp_extract(anchor, _HREF, i) for i in (1, 2, 3)])
+    inner = F.regexp_replace(F.regexp_replace(anchor, r"(?is)^<a\b[^>]*>", ""), r"(?is)<[^>]*>", " ")
     title = F.trim(F.regexp_replace(unescape(inner), r"[\s\u00a0]+", " "))
-    return rows.select("page_url", F.trim(unescape(href)).alias("href"), title.alias("title")).where(F.col("href") != "")
+    return F.struct(F.trim(unescape(href)).alias("href"), title.alias("title"))
+
+
+def anchors(html: Column | str) -> Column:
+    """Array of (href, title), one entry per anchor with a target."""
+    html = F.col(html) if isinstance(html, str) else html
+    found = F.transform(F.regexp_extract_all(html, F.lit(_ANCHOR), F.lit(1)), _href_and_title)
+    return F.filter(found, lambda a: a["href"] != "")
 
 
 def absolute_url(page: Column | str, href: Column | str) -> Column:
@@ -86,8 +90,14 @@ def discover_links(
 
     Links repeated on a third of all pages are collapsed before the shuffle.
     """
-    links = anchors(pages, page=page, html=html)
-    links = links.select(absolute_url("page_url", "href").alias("url"), "title").withColumn("extension", extension("url"))
+    # array steps, so that each part of an address is worked out once per link
+    linked = F.transform(
+        anchors(html), lambda a: F.struct(absolute_url(F.col(page), a["href"]).alias("url"), a["title"].alias("title"))
+    )
+    typed = F.transform(
+        linked, lambda a: F.struct(a["url"].alias("url"), a["title"].alias("title"), extension(a["url"]).alias("extension"))
+    )
+    links = pages.select(F.inline(typed))
     if extensions is not None:
         links = links.where(F.col("extension").isin(*[e.lower() for e in extensions]))
     if hosts is not None:
