@@ -197,17 +197,13 @@ def plan_against_fact(spark, sf):
 
 
 def _sources(spark, sf):
-    places = data.read(spark, sf, "nation")
-    buyers = data.read(spark, sf, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
     ordered = (
-        data.read(spark, sf, "orders")
-        .join(buyers, F.col("o_custkey") == F.col("c_custkey"))
+        data.at_buyer(spark, sf, data.read(spark, sf, "orders"))
         .groupBy(F.col("n_name").alias("oktmo"), data.month("o_orderdate").alias("period"))
         .agg(data.money("o_totalprice").alias("value"))
     )
     shipped = (
-        data.read(spark, sf, "lineitem")
-        .join(data.supplier_nation(spark, sf), F.col("l_suppkey") == F.col("s_suppkey"))
+        data.at_supplier(spark, sf, data.read(spark, sf, "lineitem"))
         .groupBy(F.col("n_name").alias("oktmo"), data.month("l_shipdate").alias("period"))
         .agg(data.money("l_extendedprice").alias("value"))
     )

@@ -289,10 +289,8 @@ SELECT n_name, y + 4 AS year, {r("v", 2)} AS debt_limit FROM t WHERE y >= 1996""
 def debt_limits(spark, sf):
     from tesora.sources.workbook import debt_limits as extract
 
-    buyers = data.read(spark, sf, "customer").join(data.read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     yearly = (
-        data.read(spark, sf, "orders")
-        .join(buyers, F.col("o_custkey") == F.col("c_custkey"))
+        data.at_buyer(spark, sf, data.read(spark, sf, "orders"))
         .groupBy("n_name", F.year("o_orderdate").alias("y"))
         .agg(data.money("o_totalprice").alias("v"))
     )

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,2)"
-
 
 # Declared schemas: no file is opened to find out its columns.
 SCHEMAS = {
@@ -33,9 +31,13 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def money(c: Column | str) -> Column:
-    """Exact sum of amounts in cents, as a double."""
+    """Exact sum of two-decimal amounts: whole cents add up the same in any order."""
+    return F.sum(cents(c)) / 100.0
+
+
+def cents(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return F.sum(c.cast(MONEY)).cast("double")
+    return F.rint(c * 100.0).cast("long")
 
 
 def month(c: str) -> Column:
@@ -56,12 +58,12 @@ def month_sql(expr: str) -> str:
 def panel(spark: SparkSession, sf: str, level: str) -> DataFrame:
     """Monthly order value per territory (region or nation) and priority."""
     orders = read(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice")
-    places = read(spark, sf, "nation").join(read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    joined = at_buyer(spark, sf, orders)
+    if level == "region":
+        joined = joined.join(read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     name = "r_name" if level == "region" else "n_name"
-    buyers = read(spark, sf, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
-    joined = orders.join(buyers.select("c_custkey", F.col(name).alias("oktmo")), F.col("o_custkey") == F.col("c_custkey"))
     return joined.groupBy(
-        "oktmo", F.col("o_orderpriority").alias("category_code"), month("o_orderdate").alias("period_start")
+        F.col(name).alias("oktmo"), F.col("o_orderpriority").alias("category_code"), month("o_orderdate").alias("period_start")
     ).agg(money("o_totalprice").alias("spending_nominal"))
 
 
@@ -78,9 +80,8 @@ def panel_sql(level: str) -> str:
 def quantity_panel(spark: SparkSession, sf: str) -> DataFrame:
     """Monthly shipped quantity per supplier nation and return flag."""
     items = read(spark, sf, "lineitem").select("l_suppkey", "l_shipdate", "l_returnflag", "l_quantity")
-    makers = supplier_nation(spark, sf)
     return (
-        items.join(makers, F.col("l_suppkey") == F.col("s_suppkey"))
+        at_supplier(spark, sf, items)
         .groupBy(F.col("n_name").alias("oktmo"), F.col("l_returnflag").alias("category_code"), month("l_shipdate").alias("period_start"))
         .agg(money("l_quantity").alias("spending_nominal"))
     )
@@ -93,9 +94,23 @@ QUANTITY_PANEL_SQL = f"""qpanel AS (
   GROUP BY 1, 2, 3)"""
 
 
-def supplier_nation(spark: SparkSession, sf: str) -> DataFrame:
+# Fact rows meet the key table first and the 25 nations after it: each join then has
+# one side whose size the optimizer knows from its files, and it broadcasts only that.
+
+
+def at_supplier(spark: SparkSession, sf: str, items: DataFrame) -> DataFrame:
+    """Line items with the nation of their supplier."""
+    supplier = read(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
     nation = read(spark, sf, "nation").select("n_nationkey", "n_name")
-    return read(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
+    joined = items.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    return joined.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+
+
+def at_buyer(spark: SparkSession, sf: str, orders: DataFrame) -> DataFrame:
+    """Orders with the nation of their customer."""
+    customer = read(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    return joined.join(read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
 
 
 # ---- budget lines ------------------------------------------------------------
@@ -116,9 +131,7 @@ def budget_lines(spark: SparkSession, sf: str) -> DataFrame:
     flexibility = (
         F.when(size <= 12, "FIXED").when(size <= 25, "PARTIAL").when(size <= 40, "FLEXIBLE").otherwise("UNKNOWN")
     )
-    joined = items.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(
-        supplier_nation(spark, sf), F.col("l_suppkey") == F.col("s_suppkey")
-    )
+    joined = at_supplier(spark, sf, items.join(parts, F.col("l_partkey") == F.col("p_partkey")))
     return joined.select(
         F.year("l_shipdate").alias("year"),
         F.col("n_name").alias("municipality_name"),
@@ -153,7 +166,7 @@ BUDGET_LINES_SQL = """lines AS (
 
 def cash_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Monthly cash per nation, code and side; heavily discounted returns count as negative revenue."""
-    items = read(spark, sf, "lineitem").join(supplier_nation(spark, sf), F.col("l_suppkey") == F.col("s_suppkey"))
+    items = at_supplier(spark, sf, read(spark, sf, "lineitem"))
     flag = F.col("l_returnflag")
     refund = (flag == "R") & (F.col("l_discount") >= 0.09)
     signed = F.when(refund, -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice"))
@@ -200,7 +213,7 @@ def report_lines(spark: SparkSession, sf: str) -> DataFrame:
     ytd = Window.partitionBy("municipality", "kbk", "side", F.year("month")).orderBy("month").rowsBetween(
         Window.unboundedPreceding, 0
     )
-    base = cash_totals(spark, sf).withColumn("total", F.sum(F.col("amount").cast("decimal(20,2)")).over(ytd).cast("double"))
+    base = cash_totals(spark, sf).withColumn("total", F.sum(cents("amount")).over(ytd) / 100.0)
     vintages = F.array(
         F.struct((F.col("total") * 0.5).alias("amount"), F.date_add("month", 40).alias("available_at")),
         F.struct(F.col("total").alias("amount"), F.date_add("month", 75).alias("available_at")),
@@ -300,8 +313,7 @@ CORRECTIONS_SQL = _corrections_sql()
 def fiscal_core(spark: SparkSession, sf: str) -> DataFrame:
     """Annual amounts per nation in two vintages, and per region under a digit-only name."""
     orders = read(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus", "o_totalprice")
-    buyers = read(spark, sf, "customer").join(read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    joined = orders.join(buyers, F.col("o_custkey") == F.col("c_custkey"))
+    joined = at_buyer(spark, sf, orders)
     price = F.col("o_totalprice")
     small = F.when(price < 200000, price)
 

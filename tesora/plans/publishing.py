@@ -33,9 +33,7 @@ def _records(spark, sf):
         F.lpad(F.col("s_suppkey").cast("string"), 8, "0").alias("object_oktmo"),
     )
     yearly = (
-        data.read(spark, sf, "orders")
-        .join(data.read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(data.read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        data.at_buyer(spark, sf, data.read(spark, sf, "orders"))
         .groupBy(F.col("n_name").alias("geography_name"), F.year("o_orderdate").alias("year"))
         .agg(F.count(F.lit(1)).alias("orders"))
     )
@@ -484,8 +482,7 @@ def workbook_cells(spark, sf):
 
 def _budget_cells(spark, sf):
     amounts = (
-        data.read(spark, sf, "lineitem")
-        .join(data.supplier_nation(spark, sf), F.col("l_suppkey") == F.col("s_suppkey"))
+        data.at_supplier(spark, sf, data.read(spark, sf, "lineitem"))
         .where(F.year("l_shipdate").isin(1998, 1999, 2000))
         .groupBy(F.col("n_name").alias("municipality_name"), F.year("l_shipdate").alias("year"), "l_returnflag", "l_linestatus")
         .agg(data.money("l_extendedprice").alias("v"))

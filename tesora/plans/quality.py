@@ -155,11 +155,9 @@ for _c in ds.PLAN_AMOUNTS:
     "DUPLICATE_KEY": ("WARNING", "0"), "MISSING_COLUMN": ("ERROR", "1"), "DUPLICATE_COLUMN": ("ERROR", "0"), "EXTRA_COLUMN": ("WARNING", "1")}, 'p')}""",
 )
 def validation_official_plan(spark, sf):
-    buyers = data.read(spark, sf, "customer").join(data.read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     v = F.col("v")
     plan = (
-        data.read(spark, sf, "orders")
-        .join(buyers, F.col("o_custkey") == F.col("c_custkey"))
+        data.at_buyer(spark, sf, data.read(spark, sf, "orders"))
         .groupBy(F.year("o_orderdate").alias("year"), F.col("n_name").alias("municipality_name"), F.col("o_orderstatus").alias("stage"))
         .agg(data.money("o_totalprice").alias("v"))
         .select(

@@ -69,19 +69,19 @@ def _sheet_cells(content: bytes) -> Iterator[tuple[int, int, str | None, float |
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = ["path", "row", "col", "text", "num", "problem"]
+    rows: list[tuple] = []
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            rows: list[tuple] = []
             try:
                 for cell in _sheet_cells(content):
                     rows.append((path, *cell, None))
-                    if len(rows) == 20_000:
-                        yield pd.DataFrame(rows, columns=names)
+                    if len(rows) >= 20_000:
+                        yield pd.DataFrame(rows, columns=names).astype({"num": "float64"})
                         rows = []
             except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, IndexError):
                 rows.append((path, None, None, None, None, "UNSUPPORTED_WORKBOOK"))
-            if rows:
-                yield pd.DataFrame(rows, columns=names).astype({"num": "float64"})
+    if rows:
+        yield pd.DataFrame(rows, columns=names).astype({"num": "float64"})
 
 
 def workbook_cells(files: DataFrame) -> Split:
