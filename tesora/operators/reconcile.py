@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesora.functions.scalar import safe_ratio
 from tesora.operators.contracts import unique_rows
 from tesora.operators.forecast import keep_last
 
@@ -44,7 +45,8 @@ def reconcile(
     flat = joined.groupBy("oktmo").agg(
         F.count(F.lit(1)).alias("n"),
         ((F.min(x) != F.max(x)) & (F.min(y) != F.max(y))).alias("_varies"),
-        F.corr(x, y).alias("_corr"),
+        # not corr(): it divides by zero on a constant side under ANSI rules
+        safe_ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("_corr"),
         F.min(same).alias("_same"),
     )
     repeated = doubtful[0].unionByName(doubtful[1]).distinct().withColumn("_repeated", F.lit(True))
