@@ -119,15 +119,14 @@ def summarize(lines: DataFrame, keys: Sequence[str] = ENTITY) -> DataFrame:
 
 
 def group_structure(lines: DataFrame, side: str | None = None, keys: Sequence[str] = ENTITY) -> DataFrame:
-    """Amount and share of every group within a budget side; a zero total gives share 0.
-
-    The window runs over the already summed groups of one budget.
-    """
+    """Amount and share of every group within a budget side; a zero total gives share 0."""
     if side is not None:
         lines = lines.where(F.col("budget_side") == side.strip().upper())
     grouped = lines.groupBy(*keys, "budget_side", "group").agg(F.sum("amount").alias("amount"))
-    total = F.sum("amount").over(Window.partitionBy(*keys, "budget_side"))
-    return grouped.withColumn("share", F.when(total != 0, F.col("amount") / total).otherwise(F.lit(0.0)))
+    totals = grouped.groupBy(*keys, "budget_side").agg(F.sum("amount").alias("_total"))
+    total = F.col("_total")
+    joined = grouped.join(totals, [*keys, "budget_side"])
+    return joined.withColumn("share", F.when(total != 0, F.col("amount") / total).otherwise(F.lit(0.0))).drop("_total")
 
 
 def gap_exposure(lines: DataFrame, gaps: DataFrame, keys: Sequence[str] = ENTITY) -> DataFrame:
@@ -147,8 +146,8 @@ def flexible_cut(lines: DataFrame, gaps: DataFrame, keys: Sequence[str] = ENTITY
         .groupBy(*keys, "group")
         .agg(F.sum("amount").alias("amount"), F.sum(F.col("amount") * factor).alias("capacity"))
     )
-    total = F.sum("capacity").over(Window.partitionBy(*keys))
-    joined = grouped.withColumn("_total", total).join(gaps.select(*keys, "normalization_gap"), list(keys))
+    totals = grouped.groupBy(*keys).agg(F.sum("capacity").alias("_total"))
+    joined = grouped.join(totals.join(gaps.select(*keys, "normalization_gap"), list(keys)), list(keys))
     gap = floor_zero("normalization_gap")
     used = F.least(gap, F.col("_total"))
     return joined.withColumns(

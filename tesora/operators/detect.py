@@ -1,7 +1,9 @@
 """Change-point alarms, hysteresis states and their evaluation, without row-by-row recursion.
 
-The recursions have closed forms over running sums and running extremes, so one
-window per series (see ``panel`` for why a series is small) covers each of them.
+The recursions have closed forms over running sums and running extremes. A series
+with one row per period is bounded by the calendar and runs in one window; a long
+one (events, readings) names a ``block`` column and is spread over many tasks, see
+``prefix.running``.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tesora.functions.scalar import first_reason, safe_ratio
 from tesora.operators.contracts import Split
+from tesora.operators.prefix import running
 
 # State names by level and the reason texts of a state update.
 STATES = ("NORMAL", "OBSERVE", "WARNING", "BREAK_CONFIRMED")
@@ -34,10 +37,6 @@ PAGE_HINKLEY_CANDIDATES = (3.0, 4.0, 5.0, 6.0, 8.0, 10.0, 12.0, 15.0, 20.0, 30.0
 MAD_TO_SIGMA = 1.4826
 
 
-def _running(by):
-    return by.rowsBetween(Window.unboundedPreceding, 0)
-
-
 # ---- standardisation ---------------------------------------------------------
 
 
@@ -52,16 +51,37 @@ def robust_standardize(df: DataFrame, *, keys: Sequence[str], value: str, out: s
     return centred.join(mad, list(keys)).withColumn(out, (F.col(value) - F.col("med")) / scale).drop("med", "sd", "mad")
 
 
+def _position(df: DataFrame, keys: Sequence[str], order: str, block: str | None) -> DataFrame:
+    if "pos" in df.columns:
+        df = df.drop("pos")
+    df = running(df, {"pos": ("sum", F.lit(1))}, keys=keys, order=order, block=block)
+    return df.withColumn("pos", (F.col("pos") - 1).cast("int"))
+
+
 def baseline_standardize(
-    df: DataFrame, *, keys: Sequence[str], order: str, value: str, warmup: int = 12, out: str = "z"
+    df: DataFrame,
+    *,
+    keys: Sequence[str],
+    order: str,
+    value: str,
+    warmup: int = 12,
+    out: str = "z",
+    block: str | None = None,
 ) -> DataFrame:
     """Position in the series and score against mean and population deviation of the first rows."""
-    by = Window.partitionBy(*keys).orderBy(order)
-    whole = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    df = df.withColumn("pos", F.row_number().over(by) - 1)
-    first = F.when(F.col("pos") < warmup, F.col(value))
-    sd = F.stddev_pop(first).over(whole)
-    return df.withColumn(out, (F.col(value) - F.avg(first).over(whole)) / F.when(sd != 0, sd).otherwise(F.lit(1.0)))
+    df = _position(df, keys, order, block)
+    if block is None:
+        first = F.when(F.col("pos") < warmup, F.col(value))
+        whole = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        df = df.withColumns({"_mu": F.avg(first).over(whole), "_sd": F.stddev_pop(first).over(whole)})
+    else:
+        # a handful of rows per series, joined back
+        base = df.where(F.col("pos") < warmup).groupBy(*keys).agg(
+            F.avg(value).alias("_mu"), F.stddev_pop(value).alias("_sd")
+        )
+        df = df.join(base, list(keys))
+    sd = F.when(F.col("_sd") != 0, F.col("_sd")).otherwise(F.lit(1.0))
+    return df.withColumn(out, (F.col(value) - F.col("_mu")) / sd).drop("_mu", "_sd")
 
 
 # ---- online detectors --------------------------------------------------------
@@ -76,6 +96,7 @@ def cusum(
     threshold: float = 5.0,
     drift: float = 0.5,
     warmup: int = 12,
+    block: str | None = None,
 ) -> DataFrame:
     """Two-sided CUSUM: adds ``pos``, ``z``, ``cusum_up``, ``cusum_down`` and ``cusum_flag``.
 
@@ -85,23 +106,26 @@ def cusum(
     """
     if warmup < 2:
         return df.withColumns({"cusum_flag": F.lit(False)})
-    by = _running(Window.partitionBy(*keys).orderBy(order))
-    df = baseline_standardize(df, keys=keys, order=order, value=value, warmup=warmup)
+    along = {"keys": keys, "order": order, "block": block}
+    df = baseline_standardize(df, value=value, warmup=warmup, **along)
     live = F.col("pos") >= warmup
-    df = df.withColumns(
+    df = running(
+        df,
         {
-            "_s": F.sum(F.when(live, F.col("z") - drift).otherwise(0.0)).over(by),
-            "_u": F.sum(F.when(live, F.col("z") + drift).otherwise(0.0)).over(by),
-        }
+            "_s": ("sum", F.when(live, F.col("z") - drift).otherwise(0.0)),
+            "_u": ("sum", F.when(live, F.col("z") + drift).otherwise(0.0)),
+        },
+        **along,
     )
+    df = running(df, {"_low": ("min", F.col("_s")), "_high": ("max", F.col("_u"))}, **along)
     df = df.withColumns(
         {
-            "cusum_up": F.col("_s") - F.least(F.lit(0.0), F.min("_s").over(by)),
-            "cusum_down": F.col("_u") - F.greatest(F.lit(0.0), F.max("_u").over(by)),
+            "cusum_up": F.col("_s") - F.least(F.lit(0.0), "_low"),
+            "cusum_down": F.col("_u") - F.greatest(F.lit(0.0), "_high"),
         }
     )
     flag = live & ((F.col("cusum_up") > threshold) | (F.abs("cusum_down") > threshold))
-    return df.withColumn("cusum_flag", flag).drop("_s", "_u")
+    return df.withColumn("cusum_flag", flag).drop("_s", "_u", "_low", "_high")
 
 
 def page_hinkley(
@@ -113,29 +137,33 @@ def page_hinkley(
     threshold: float = 8.0,
     delta: float = 0.05,
     warmup: int = 12,
+    block: str | None = None,
 ) -> DataFrame:
     """Two-sided Page-Hinkley against the running mean of all points so far."""
     if warmup < 2:
         return df.withColumns({"page_hinkley_flag": F.lit(False)})
-    ordered = Window.partitionBy(*keys).orderBy(order)
-    by = _running(ordered)
-    df = df.withColumns({"pos": F.row_number().over(ordered) - 1, "_mean": F.avg(value).over(by)})
+    along = {"keys": keys, "order": order, "block": block}
+    df = running(df.drop("pos"), {"pos": ("sum", F.lit(1)), "_sum": ("sum", F.col(value))}, **along)
+    df = df.withColumns({"_mean": F.col("_sum") / F.col("pos"), "pos": (F.col("pos") - 1).cast("int")})
     live = F.col("pos") >= warmup
     step = F.col(value) - F.col("_mean")
-    df = df.withColumns(
+    df = running(
+        df,
         {
-            "_p": F.sum(F.when(live, step - delta).otherwise(0.0)).over(by),
-            "_n": F.sum(F.when(live, -step - delta).otherwise(0.0)).over(by),
-        }
+            "_p": ("sum", F.when(live, step - delta).otherwise(0.0)),
+            "_n": ("sum", F.when(live, -step - delta).otherwise(0.0)),
+        },
+        **along,
     )
+    df = running(df, {"_p_min": ("min", F.col("_p")), "_n_min": ("min", F.col("_n"))}, **along)
     df = df.withColumns(
         {
-            "ph_up": F.col("_p") - F.least(F.lit(0.0), F.min("_p").over(by)),
-            "ph_down": F.col("_n") - F.least(F.lit(0.0), F.min("_n").over(by)),
+            "ph_up": F.col("_p") - F.least(F.lit(0.0), "_p_min"),
+            "ph_down": F.col("_n") - F.least(F.lit(0.0), "_n_min"),
         }
     )
     flag = live & ((F.col("ph_up") > threshold) | (F.col("ph_down") > threshold))
-    return df.withColumn("page_hinkley_flag", flag).drop("_mean", "_p", "_n")
+    return df.withColumn("page_hinkley_flag", flag).drop("_sum", "_mean", "_p", "_n", "_p_min", "_n_min")
 
 
 def first_alarm(df: DataFrame, *, keys: Sequence[str], flag: str, at: str = "pos") -> DataFrame:
@@ -205,6 +233,7 @@ def hysteresis(
     score: str = "score",
     confirmations: str = "confirmations",
     config: HysteresisConfig = HysteresisConfig(),
+    block: str | None = None,
 ) -> DataFrame:
     """State, streaks and reason of every row, for all series at once. Input must be clean.
 
@@ -213,17 +242,23 @@ def hysteresis(
     release; levels of earlier episodes cannot win because the running maximum
     is taken over ``episode * 4 + level`` and episodes only grow.
     """
-    by = _running(Window.partitionBy(*keys).orderBy(order))
+    along = {"keys": keys, "order": order, "block": block}
     s = F.col(score)
     df = df.withColumns({"_above": s >= config.on_threshold, "_below": s < config.off_threshold})
-    df = df.withColumns(
-        {"_n": F.count(F.lit(1)).over(by), "_na": F.sum(F.col("_above").cast("long")).over(by)}
+    df = running(df, {"_n": ("sum", F.lit(1)), "_na": ("sum", F.col("_above").cast("long"))}, **along)
+    df = running(
+        df,
+        {
+            "_na_at": ("max", F.when(F.col("_below"), F.col("_na"))),
+            "_n_at": ("max", F.when(~F.col("_below"), F.col("_n"))),
+        },
+        **along,
     )
     zero = F.lit(0)
     df = df.withColumns(
         {
-            "above_streak": F.col("_na") - F.coalesce(F.max(F.when(F.col("_below"), F.col("_na"))).over(by), zero),
-            "below_streak": F.col("_n") - F.coalesce(F.max(F.when(~F.col("_below"), F.col("_n"))).over(by), zero),
+            "above_streak": F.col("_na") - F.coalesce("_na_at", zero),
+            "below_streak": F.col("_n") - F.coalesce("_n_at", zero),
         }
     )
     released = F.col("_below") & (F.col("below_streak") >= config.k_off)
@@ -239,8 +274,9 @@ def hysteresis(
         .otherwise(0)
     )
     df = df.withColumns({"_released": released, "_confirmed": confirmed, "_level": level})
-    df = df.withColumn("_episode", F.sum(F.col("_released").cast("long")).over(by))
-    df = df.withColumn("_state", F.pmod(F.max(F.col("_episode") * 4 + F.col("_level")).over(by), F.lit(4)))
+    df = running(df, {"_episode": ("sum", F.col("_released").cast("long"))}, **along)
+    df = running(df, {"_top": ("max", F.col("_episode") * 4 + F.col("_level"))}, **along)
+    df = df.withColumn("_state", F.pmod("_top", F.lit(4)))
     code = (
         F.when(F.col("_confirmed"), "CONFIRMED")
         .when(F.col("_above") & (F.col("_state") == 2), "SUSTAINED")
@@ -256,7 +292,9 @@ def hysteresis(
     out = df.withColumns(
         {"state": F.element_at(names, F.col("_state").cast("int") + 1), "reason_code": code}
     ).withColumn("reason", F.element_at(texts, F.col("reason_code")))
-    return out.drop("_above", "_below", "_n", "_na", "_released", "_confirmed", "_level", "_episode", "_state")
+    return out.drop(
+        "_above", "_below", "_n", "_na", "_na_at", "_n_at", "_released", "_confirmed", "_level", "_episode", "_top", "_state"
+    )
 
 
 # ---- evaluation --------------------------------------------------------------

@@ -1,4 +1,4 @@
-"""Ranks and running counts over one very large group.
+"""Ranks, running counts and running series over one very large group.
 
 A window without a fine partitioning would send a whole group to one task. Here
 values are first collapsed to a histogram (partial aggregation), the value axis
@@ -108,3 +108,46 @@ def exact_median(df: DataFrame, group: Sequence[str], value: str, *, pieces: int
         ((F.max(F.when(holds_low, F.col(value))) + F.max(F.when(holds_high, F.col(value)))) / 2.0).alias("median"),
         F.max("n_total").alias("n"),
     )
+
+
+# ---- running aggregates along a series ---------------------------------------
+
+_RUNNING = {"sum": F.sum, "min": F.min, "max": F.max}
+_JOIN_UP = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest}
+
+
+def running(
+    df: DataFrame,
+    cols: Mapping[str, tuple[str, Column]],
+    *,
+    keys: Sequence[str],
+    order: str,
+    block: str | None = None,
+) -> DataFrame:
+    """Running ``sum``, ``min`` or ``max`` up to and including each row of a series.
+
+    ``cols``: new column to (function, input). Without ``block`` a series is one
+    window partition, right for series bounded by the calendar. A long series
+    names a ``block`` column that never falls along the order (a day, say): rows
+    are windowed inside a block and the totals of earlier blocks, one row each,
+    are carried over, so one series spreads over as many tasks as it has blocks.
+    """
+    if block is None:
+        by = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({name: _RUNNING[how](c).over(by) for name, (how, c) in cols.items()})
+    df = df.withColumns({f"_in_{n}": c for n, (_, c) in cols.items()})
+    totals = df.groupBy(*keys, block).agg(*[_RUNNING[how](f"_in_{n}").alias(f"_t_{n}") for n, (how, _) in cols.items()])
+    earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(
+        *keys, block, *[_RUNNING[how](f"_t_{n}").over(earlier).alias(f"_c_{n}") for n, (how, _) in cols.items()]
+    )
+    inside = Window.partitionBy(*keys, block).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = df.withColumns({f"_l_{n}": _RUNNING[how](f"_in_{n}").over(inside) for n, (how, _) in cols.items()})
+    joined = local.join(carried, [*keys, block])
+
+    def whole(name: str, how: str) -> Column:
+        here, before = F.col(f"_l_{name}"), F.col(f"_c_{name}")
+        return F.when(before.isNull(), here).when(here.isNull(), before).otherwise(_JOIN_UP[how](here, before))
+
+    out = joined.withColumns({n: whole(n, how) for n, (how, _) in cols.items()})
+    return out.drop(*[f"{mark}_{n}" for n in cols for mark in ("_in", "_l", "_c")])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesora.functions.scalar import parse_number
-from tesora.operators.contracts import ERROR, Rule, Split, missing_columns, split
+from tesora.operators.contracts import ERROR, Rule, Split, missing_columns, require_unique, split
 
 # Compatibility keys, external columns, categories of public aggregates.
 COMPATIBILITY_KEYS = (
@@ -70,11 +70,15 @@ def ytd_to_flow(
     period_end: str = "period_end",
     value: str = "value",
     compatibility: Sequence[str] = COMPATIBILITY_KEYS,
+    unique: bool = False,
 ) -> DataFrame:
     """Flow between consecutive snapshots of a year when all compatibility keys agree.
 
-    One snapshot per series and date, so a partition is bounded by the calendar.
+    One snapshot per series and date (checked unless ``unique``), so a partition
+    is bounded by the calendar.
     """
+    if not unique:
+        df = require_unique(df, [*series, period_end], "snapshot date repeats")
     by = Window.partitionBy(*series).orderBy(period_end)
     prior = F.lag(F.struct(F.year(period_end).alias("y"), F.col(value).alias("v"), *compatibility), 1).over(by)
     df = df.withColumn("_p", prior)

@@ -71,9 +71,9 @@ def _months(spark, sf):
     calendar = lines.select("month").distinct()
     deflators = calendar.withColumn("deflator", 1 + 0.0625 * (F.year("month") - 1995))
     factor = F.when(F.col("kbk") == "KO", 1.25).when(F.col("kbk") == "KF", 0.5).otherwise(1.0)
+    codes = F.explode(F.array(F.lit("KO"), F.lit("KF"), F.lit("RET"))).alias("kbk")
     factors = (
-        lines.select("month", "kbk")
-        .distinct()
+        calendar.select("month", codes)
         .where(~((F.col("kbk") == "KF") & (F.month("month") == 11)))
         .withColumn("factor", factor)
     )

@@ -101,6 +101,59 @@ def robust_scores(spark, sf):
     return rounded(dt.robust_standardize(data.panel(spark, sf, "nation"), keys=KEYS, value="spending_nominal"), 8, "z")
 
 
+# ---- long series: five event types share all events, so each is cut into days ----
+
+_EVENT_Z_SQL = """e0 AS (SELECT event_type, ts, value, row_number() OVER w - 1 AS pos FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+e1 AS (SELECT *, avg(CASE WHEN pos < 12 THEN value END) OVER (PARTITION BY event_type) AS mu, stddev_pop(CASE WHEN pos < 12 THEN value END) OVER (PARTITION BY event_type) AS sd FROM e0),
+e AS (SELECT event_type, ts, pos, value, (value - mu) / coalesce(nullif(sd, 0), 1) AS z FROM e1)"""
+_EW = "(PARTITION BY event_type ORDER BY ts)"
+
+
+def _event_series(spark, sf):
+    events = data.read(spark, sf, "events").select("event_type", "ts", "value")
+    return events.withColumn("day", F.col("ts").cast("date"))
+
+
+@query(
+    "event_cusum",
+    f"""WITH {_EVENT_Z_SQL}, s AS (SELECT *, sum(CASE WHEN pos >= 12 THEN z - 0.5 ELSE 0 END) OVER {_EW} AS s, sum(CASE WHEN pos >= 12 THEN z + 0.5 ELSE 0 END) OVER {_EW} AS u FROM e),
+m AS (SELECT *, s - least(0, min(s) OVER {_EW}) AS up, u - greatest(0, max(u) OVER {_EW}) AS down FROM s)
+SELECT event_type, ts, {r("z", 7)} AS z, {r("up", 5)} AS cusum_up, {r("down", 5)} AS cusum_down, pos >= 12 AND (up > 20 OR abs(down) > 20) AS cusum_flag FROM m""",
+)
+def event_cusum(spark, sf):
+    df = dt.cusum(_event_series(spark, sf), keys=["event_type"], order="ts", value="value", threshold=20.0, block="day")
+    return rounded(rounded(df.drop("day", "pos", "value"), 7, "z"), 5, "cusum_up", "cusum_down")
+
+
+@query(
+    "event_page_hinkley",
+    f"""WITH {_EVENT_Z_SQL}, d AS (SELECT *, value - avg(value) OVER {_EW} AS d FROM e),
+s AS (SELECT *, sum(CASE WHEN pos >= 12 THEN d - 0.05 ELSE 0 END) OVER {_EW} AS p, sum(CASE WHEN pos >= 12 THEN -d - 0.05 ELSE 0 END) OVER {_EW} AS q FROM d)
+SELECT event_type, ts, {r(f"p - least(0, min(p) OVER {_EW})", 4)} AS ph_up, {r(f"q - least(0, min(q) OVER {_EW})", 4)} AS ph_down FROM s""",
+)
+def event_page_hinkley(spark, sf):
+    df = dt.page_hinkley(_event_series(spark, sf), keys=["event_type"], order="ts", value="value", block="day")
+    return rounded(df.select("event_type", "ts", "ph_up", "ph_down"), 4, "ph_up", "ph_down")
+
+
+@query(
+    "event_states",
+    f"""WITH {_EVENT_Z_SQL}, i AS (SELECT event_type, ts, pos, abs(z) AS score, CASE WHEN value > 50 THEN 2 ELSE 1 END AS conf FROM e),
+a AS (SELECT *, sum(CASE WHEN score >= 2 THEN 1 ELSE 0 END) OVER {_EW} AS na, max(CASE WHEN score < 1 THEN pos END) OVER {_EW} AS lb, max(CASE WHEN score >= 1 THEN pos END) OVER {_EW} AS lnb FROM i),
+b AS (SELECT *, na - coalesce(max(CASE WHEN score < 1 THEN na END) OVER {_EW}, 0) AS above_streak, pos - coalesce(lnb, -1) AS below_streak FROM a),
+c AS (SELECT *, max(CASE WHEN score < 1 AND below_streak >= 2 THEN pos END) OVER {_EW} AS rel,
+  CASE WHEN score < 2 THEN 0 WHEN above_streak >= 3 AND conf >= 2 THEN 3 WHEN above_streak >= 2 THEN 2 ELSE 1 END AS lvl FROM b)
+SELECT event_type, ts, CAST(above_streak AS BIGINT) AS above_streak, below_streak,
+  list_extract(['NORMAL', 'OBSERVE', 'WARNING', 'BREAK_CONFIRMED'], max(lvl) OVER (PARTITION BY event_type, coalesce(rel, -1) ORDER BY ts) + 1) AS state FROM c""",
+)
+def event_states(spark, sf):
+    z = dt.baseline_standardize(_event_series(spark, sf), keys=["event_type"], order="ts", value="value", block="day")
+    scored = z.withColumns({"score": F.abs("z"), "confirmations": F.when(F.col("value") > 50, 2).otherwise(1)})
+    clean = dt.split_state_input(scored).clean
+    out = dt.hysteresis(clean, keys=["event_type"], order="ts", block="day")
+    return out.select("event_type", "ts", "above_streak", "below_streak", "state")
+
+
 # the state machine unrolled in SQL: one recursive step per row would be slow, so the oracle
 # lists streaks by counting rows since the last resetting row
 def _hysteresis_sql(source: str, name: str = "states") -> str:

@@ -127,7 +127,7 @@ _INDICATORS = {
     "execution_rate": "tax_actual / nullif(tax_initial, 0)",
     "execution_gap": "(tax_actual - tax_initial) / nullif(tax_initial, 0)",
     "coverage_gap": "own_revenue_base / nullif(total_expense, 0) - 1",
-    "i13": "greatest((tax_actual + nontax_actual - (tax_initial + nontax_initial)) / nullif(tax_initial + nontax_initial, 0), 0)",
+    "i13": "CASE WHEN tax_initial + nontax_initial <> 0 THEN greatest((tax_actual + nontax_actual - (tax_initial + nontax_initial)) / nullif(tax_initial + nontax_initial, 0), 0) END",
     "i15": "program_expense / nullif(total_expense, 0)",
     "i25": "nontax_actual / nullif((tax_initial + nontax_initial + tax_actual) / 3, 0)",
     "i26": "municipal_debt / nullif(total_expense, 0)",

@@ -437,18 +437,30 @@ def packed(names: pd.Series, texts: pd.Series) -> pd.Series:
 
 @query(
     "archive_members",
-    """SELECT conv_id AS path, CASE WHEN role = 'system' THEN '../' || turn || '.txt' ELSE 'turns/' || turn || '.txt' END AS member_name,
-  CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes, role = 'system' AS unsafe FROM conversations""",
+    """SELECT conv_id || '-' || turn AS path, CASE WHEN role = 'system' THEN '../text.txt' ELSE 'turn/text.txt' END AS member_name, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes,
+  role = 'system' AS unsafe FROM conversations UNION ALL SELECT conv_id || '-' || turn, 'role.txt', length(role), false FROM conversations""",
 )
 def archive_members(spark, sf):
-    turns = data.read(spark, sf, "conversations")
-    folder = F.when(F.col("role") == "system", "../").otherwise("turns/")
-    member = F.struct(F.concat(folder, F.col("turn").cast("string"), F.lit(".txt")).alias("n"), F.col("text").alias("t"))
-    # a conversation is an archive; its turns are the members
-    grouped = turns.groupBy(F.col("conv_id").cast("string").alias("path")).agg(F.collect_list(member).alias("m"))
-    files = grouped.select("path", packed(F.transform("m", lambda x: x["n"]), F.transform("m", lambda x: x["t"])).alias("content"))
-    out = fl.archive_members(files)
-    return out.select(F.col("path").cast("long").alias("path"), "member_name", "size_bytes", "unsafe")
+    """Every turn as a small archive with its text and its role."""
+    folder = F.when(F.col("role") == "system", "../").otherwise("turn/")
+    files = data.read(spark, sf, "conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("path"),
+        packed(F.array(F.concat(folder, F.lit("text.txt")), F.lit("role.txt")), F.array("text", "role")).alias("content"),
+    )
+    return fl.archive_members(files).drop("compressed_bytes", "problem")
+
+
+@query(
+    "safe_archives",
+    """SELECT conv_id || '-' || turn AS path, CAST(2 AS BIGINT) AS members, CAST(octet_length(encode(text)) + length(role) AS BIGINT) AS size_bytes FROM conversations WHERE role <> 'system'""",
+)
+def safe_archives(spark, sf):
+    folder = F.when(F.col("role") == "system", "../").otherwise("turn/")
+    files = data.read(spark, sf, "conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("path"),
+        packed(F.array(F.concat(folder, F.lit("text.txt")), F.lit("role.txt")), F.array("text", "role")).alias("content"),
+    )
+    return fl.safe_archives(fl.archive_members(files))
 
 
 def _sheet(cells):

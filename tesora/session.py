@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,13 +27,25 @@ def build_session(app: str = "tesora", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="tesora-")
+
+
+def _shared_base(spark: SparkSession) -> str | None:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.startswith("local"):
+        base = _local_folder()  # one machine: its folders are shared by definition
+    return base
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's checkpoint folder.
 
-    The folder must be visible to every executor, so there is no machine-local
-    default: a session without ``spark.checkpoint.dir`` is refused.
+    Every executor must see it, so a cluster session without
+    ``spark.checkpoint.dir`` is refused.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = _shared_base(spark)
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return f"{base.rstrip('/')}/tesora/{purpose}/{uuid.uuid4().hex}"
@@ -50,7 +64,7 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     survives lost executors. Without a shared folder the plan stays as it is.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
+    if not _shared_base(spark):
         return df
     path = shared_folder(spark, purpose)
     df.write.parquet(path)

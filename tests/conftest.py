@@ -11,7 +11,7 @@ from tesora.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     conf = {
         "spark.sql.shuffle.partitions": "4",
         "spark.ui.enabled": "false",
@@ -20,8 +20,6 @@ def spark(tmp_path_factory):
     }
     session = build_session("tests", "local[4]", **conf)
     session.sparkContext.setLogLevel("ERROR")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
     return session
 
 

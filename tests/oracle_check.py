@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import decimal
 import math
+import os
 import sys
 import time
 import traceback
@@ -72,7 +73,7 @@ def main(argv: list[str]) -> int:
     size = argv[0] if argv else "0.01"
     wanted = argv[1:]
     sf = f"/root/testdata/sf{size}"
-    spark = build_session("oracle-check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+    spark = build_session("oracle-check", "local[8]", **{"spark.sql.shuffle.partitions": os.environ.get("PARTS", "8"), "spark.ui.enabled": "false",
                           "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con, oracles, bad = connect(sf), oracle_sql(), 0

@@ -181,3 +181,43 @@ def test_confirmations(spark):
     breaks = spark.createDataFrame([("a", 3), ("a", 4)], "k string, break_pos int")
     got = dt.confirmations(flagged, breaks, keys=["k"]).orderBy("pos").collect()
     assert [r["confirmations"] for r in got] == [0, 0, 1, 2, 2, 2]
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_blocks_change_nothing(spark, size):
+    many = random_series(6, n=8)
+    df = frame(spark, many).withColumn("part", F.floor(F.col("t") / size))
+    by = dict(keys=["k"], order="t")
+    for run, cols in (
+        (lambda **kw: dt.cusum(df, value="x", **by, **kw), ("cusum_up", "cusum_down")),
+        (lambda **kw: dt.page_hinkley(df, value="x", **by, **kw), ("ph_up", "ph_down")),
+    ):
+        whole = {(r["k"], r["t"]): r for r in run().collect()}
+        for r in run(block="part").collect():
+            for c in cols:
+                assert r[c] == pytest.approx(whole[r["k"], r["t"]][c], abs=1e-9)
+    scored = df.withColumns({"score": F.abs("x") * 1.3, "confirmations": F.lit(2)})
+    cols = ("k", "t", "state", "above_streak", "below_streak", "reason_code")
+    whole = dt.hysteresis(scored, **by).select(*cols).collect()
+    cut = dt.hysteresis(scored, block="part", **by).select(*cols).collect()
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, cut))
+
+
+def test_pruned_breaks_equal_the_full_search():
+    import numpy as np
+
+    from tesora.operators import pelt
+
+    def full(x, penalty):
+        n, p = len(x), pelt._kernel_sums(np.asarray(x, dtype=float))
+        cost = lambda a, b: (b - a) - (p[b, b] - p[a, b] - p[b, a] + p[a, a]) / (b - a)
+        ends = [e for e in range(0, n, pelt.JUMP) if e >= pelt.MIN_SIZE] + [n]
+        best = {0: (0.0, [])}
+        for e in ends:
+            best[e] = min((best[s][0] + cost(s, e) + penalty, best[s][1] + [s]) for s in best if e - s >= pelt.MIN_SIZE)
+        return best[n][0], [b for b in best[n][1] if b]
+
+    for seed in range(20):
+        rng = random.Random(seed)
+        x = [rng.gauss(rng.choice([0, 0, 3]) if i % 15 == 0 else 0, 1) + (2 if i > 30 else 0) for i in range(60)]
+        assert break_positions(x, 1.0) == full(x, 1.0)[1], seed
