@@ -115,3 +115,11 @@ def fill_missing(df: DataFrame, schema: T.StructType) -> DataFrame:
         *df.columns,
         *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields if f.name not in present],
     )
+
+
+def side_by_side(*parts: DataFrame) -> DataFrame:
+    """Columns of several one-row tables in one row, without a join."""
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])

@@ -19,6 +19,7 @@ from tesora.operators.contracts import (
     missing_columns,
     not_in_set,
     rule_counts,
+    side_by_side,
 )
 
 
@@ -320,10 +321,9 @@ def dataset_status(df: DataFrame | None, key: str, *, uploaded: bool, spark=None
     schema = "dataset_key string, mode string, row_count long, entities long, period_label string, quality string"
     if df is None:
         return spark.createDataFrame([(key, "missing", 0, 0, "—", "MISSING")], schema)
-    line = dataset_summary(df).withColumn("dataset_key", F.lit(key))
-    verdict = quality(validation_report(df, key)).withColumn("dataset_key", F.lit(key))
-    return line.join(verdict, "dataset_key").select(
-        "dataset_key",
+    both = side_by_side(dataset_summary(df), quality(validation_report(df, key)))
+    return both.select(
+        F.lit(key).alias("dataset_key"),
         F.lit("uploaded" if uploaded else "built_in").alias("mode"),
         "row_count",
         "entities",

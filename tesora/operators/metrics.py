@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesora.functions.scalar import safe_ratio
-from tesora.operators.prefix import piece_of, running_by_value, split_points
+from tesora.operators.prefix import cut_at, running_by_value, split_points
 from tesora.session import shuffle_width
 
 
@@ -90,7 +90,7 @@ def average_precision(
     data = df.select(*keys, F.col(truth).alias("y"), (-F.col(score)).alias("s"), F.col(seq).alias("q"))
     seq_points = split_points(data, "q", pieces)
     score_points = split_points(data, "s", pieces)
-    data = data.withColumns({"qb": piece_of(F.col("q"), seq_points), "sb": piece_of(F.col("s"), score_points)})
+    data = cut_at(cut_at(data, "q", seq_points, "qb"), "s", score_points, "sb")
     cells = data.groupBy(*keys, "sb", "s", "qb").agg(
         F.count(F.lit(1)).alias("n"), F.sum((F.col("y") == 1).cast("long")).alias("tp")
     )

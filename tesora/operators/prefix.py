@@ -8,8 +8,10 @@ the few per-piece totals are carried over to the next pieces.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,19 +29,15 @@ def split_points(df: DataFrame, value: str, pieces: int) -> list:
         return []
     shares = [i / pieces for i in range(1, pieces)]
     found = df.agg(F.percentile_approx(value, shares, 10 * pieces).alias("q")).first()["q"]
-    return sorted({x for x in (found or []) if x is not None and x == x})
+    return sorted({float(x) for x in (found or []) if x is not None and math.isfinite(x)})
 
 
-def piece_of(c: Column, points: Sequence) -> Column:
-    """Number of split points below ``c``: a balanced decision tree, log2 comparisons per row."""
-
-    def descend(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(c > F.lit(points[mid]), descend(mid + 1, hi)).otherwise(descend(lo, mid))
-
-    return descend(0, len(points))
+def cut_at(df: DataFrame, value: str, points: Sequence, out: str) -> DataFrame:
+    """Number of the piece a value falls into. A JVM binary search, so thousands of points cost little."""
+    if not points:
+        return df.withColumn(out, F.lit(0.0))
+    splits = [-math.inf, *[float(p) for p in points], math.inf]
+    return Bucketizer(splits=splits, inputCol=value, outputCol=out, handleInvalid="keep").transform(df)
 
 
 def running_by_value(
@@ -57,7 +55,7 @@ def running_by_value(
     pieces = pieces or shuffle_width(df.sparkSession)
     # written once: the cut points, the totals and the local pass all start from it
     hist = materialize(df.groupBy(*group, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()]), "histogram")
-    cut = hist.withColumn("_piece", piece_of(F.col(value), split_points(hist, value, pieces)))
+    cut = cut_at(hist, value, split_points(hist, value, pieces), "_piece")
     totals = cut.groupBy(*group, "_piece").agg(*[F.sum(n).alias(f"_t_{n}") for n in sums])
     # one row per piece: at most `pieces` rows per group
     earlier = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)

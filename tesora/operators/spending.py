@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesora.functions.scalar import month_bounds, parse_number
-from tesora.operators.contracts import ERROR, Rule, clean_header, missing_columns, split, unique_rows
+from tesora.operators.contracts import ERROR, Rule, clean_header, missing_columns, side_by_side, split, unique_rows
 from tesora.operators.identity import RESOLVED, resolve_names
 from tesora.session import materialize
 
@@ -182,7 +182,6 @@ def ingest_profile(staged: DataFrame, canonical: DataFrame) -> DataFrame:
         F.count_if(open_rows).alias("quarantined_rows"),
         F.count_if(F.col("identity_status") == "UNRESOLVED").alias("unresolved_rows"),
         F.count_distinct(F.when(F.col("identity_status") == AMBIGUOUS, F.col("mo"))).alias("ambiguous_names"),
-        F.lit(1).alias("_one"),
     )
     right = canonical.agg(
         F.count(F.lit(1)).alias("canonical_rows"),
@@ -191,9 +190,8 @@ def ingest_profile(staged: DataFrame, canonical: DataFrame) -> DataFrame:
         F.count_distinct("category_code").alias("categories"),
         F.min("period_start").alias("period_start"),
         F.max("period_start").alias("period_end"),
-        F.lit(1).alias("_one"),
     )
-    return left.join(right, "_one").drop("_one")
+    return side_by_side(left, right)
 
 
 def peer_panel(export: DataFrame, peers: DataFrame):

@@ -321,14 +321,14 @@ def best_online_detector(spark, sf):
 @query(
     "calibrated_summary",
     f"""WITH {_MATCHED_SQL}, cal AS (SELECT detector, avg(CASE WHEN first_alarm IS NOT NULL THEN 1.0 ELSE 0.0 END) AS null_path_fpr
-  FROM alarms WHERE detector = 'CUSUM' GROUP BY 1)
+  FROM alarms GROUP BY 1)
 SELECT detector, event_type, {r("detection_rate", 9)} AS detection_rate, {r("null_path_fpr", 9)} AS null_path_fpr
 FROM summary LEFT JOIN cal USING (detector)""",
 )
 def calibrated_summary(spark, sf):
-    alarms = dt.first_alarm(_cusum(spark, sf, "nation"), keys=KEYS, flag="cusum_flag").withColumn("detector", F.lit("CUSUM"))
-    cal = alarms.groupBy("detector").agg(F.avg(F.col("first_alarm").isNotNull().cast("double")).alias("null_path_fpr"))
-    joined = dt.with_calibration(dt.detection_summary(_matched(spark, sf)), cal)
+    matched = _matched(spark, sf)
+    cal = matched.groupBy("detector").agg(F.avg(F.col("first_alarm").isNotNull().cast("double")).alias("null_path_fpr"))
+    joined = dt.with_calibration(dt.detection_summary(matched), cal)
     return rounded(joined.select("detector", "event_type", "detection_rate", "null_path_fpr"), 9, "detection_rate", "null_path_fpr")
 
 

@@ -598,12 +598,14 @@ def budget_structure_rows(spark, sf):
     return rounded(out.select(*cols), 2, "amount")
 
 
-@query(
-    "filtered_scan",
-    """SELECT s_suppkey, s_name, s_acctbal, (SELECT count(*) FROM supplier) AS actual_rows FROM supplier WHERE s_nationkey = 7""",
-)
+@query("filtered_scan", "SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_nationkey = 7")
 def filtered_scan(spark, sf):
     supplier = data.read(spark, sf, "supplier")
-    total = supplier.agg(F.count(F.lit(1)).alias("actual_rows")).withColumn("_k", F.lit(7))
-    rows = supplier.where(F.col("s_nationkey") == 7).join(total, F.col("s_nationkey") == F.col("_k"))
-    return rows.select("s_suppkey", "s_name", "s_acctbal", "actual_rows")
+    return supplier.where(F.col("s_nationkey") == 7).select("s_suppkey", "s_name", "s_acctbal")
+
+
+@query("scan_counts", "SELECT count(*) AS actual_rows, count(*) FILTER (s_nationkey = 7) AS kept_rows FROM supplier")
+def scan_counts(spark, sf):
+    return data.read(spark, sf, "supplier").agg(
+        F.count(F.lit(1)).alias("actual_rows"), F.count_if(F.col("s_nationkey") == 7).alias("kept_rows")
+    )

@@ -27,11 +27,15 @@ CONTRACT_FIELDS = ("columns", "category", "period_format", "separator", "encodin
 
 
 def write_canonical(canonical: DataFrame, quarantine: DataFrame, profile: DataFrame, path: str) -> None:
-    """Canonical rows by category and year in a stable order, next to quarantine and profile."""
+    """Canonical rows by category and year in a stable order, next to quarantine and profile.
+
+    Ranges over the unique key give tasks of similar size even when one category
+    holds most rows, and few files per folder.
+    """
     out = canonical.withColumn("_year", F.year("period_start"))
     (
-        out.repartition("category_code", "_year")
-        .sortWithinPartitions("municipality_id", "category_code", "period_start")
+        out.repartitionByRange("category_code", "_year", "municipality_id", "period_start")
+        .sortWithinPartitions("category_code", "_year", "municipality_id", "period_start")
         .write.mode("overwrite")
         .partitionBy("category_code", "_year")
         .parquet(f"{path}/canonical")

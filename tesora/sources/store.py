@@ -67,9 +67,12 @@ def build_records(products: Mapping[str, DataFrame], registry: DataFrame | None
 
 
 def write_records(records: DataFrame, path: str) -> None:
-    """One folder per dataset, rows of a municipality close together, so reads skip the rest."""
+    """One folder per dataset, rows of a municipality close together, so reads skip the rest.
+
+    The payload hash lets the ranges split even one municipality's period.
+    """
     (
-        records.repartition("dataset", "municipality")
+        records.repartitionByRange("dataset", "municipality", "period", F.xxhash64("payload"))
         .sortWithinPartitions("dataset", "municipality", "period")
         .write.mode("overwrite")
         .partitionBy("dataset")
