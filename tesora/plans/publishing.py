@@ -218,6 +218,15 @@ def source_overview(spark, sf):
     return pb.source_overview(configured, manifest)
 
 
+@query(
+    "overview_counts",
+    """SELECT (SELECT count(*) FROM nation) AS configured_sources, count(*) AS manifest_files, count(DISTINCT s_nationkey) AS raw_sources FROM supplier""",
+)
+def overview_counts(spark, sf):
+    manifest = data.read(spark, sf, "supplier").withColumnRenamed("s_nationkey", "source_id")
+    return pb.overview_counts(data.read(spark, sf, "nation"), manifest)
+
+
 @query(
     "manifest_upsert",
     """WITH old AS (SELECT s_nationkey AS source_id, s_name AS path FROM supplier), new AS (SELECT c_nationkey AS source_id, c_name AS path FROM customer WHERE c_acctbal > 9800)
@@ -264,6 +273,28 @@ def export_scan(spark, sf):
     return rounded(out, 2, "spent")
 
 
+@query(
+    "zipped_export_scan",
+    f"""WITH {data.SPENDING_SQL} SELECT category_15, count(*) AS n_rows, {r("sum(v)", 2)} AS spent
+FROM (SELECT category_15, value AS v FROM exported UNION ALL SELECT category_15, value FROM exported WHERE period = DATE '1998-01-01') GROUP BY 1""",
+)
+def zipped_export_scan(spark, sf):
+    """The export as one small zip per supplier and category, read back from files."""
+    raw = data.spending_export(spark, sf)
+    head = ";".join(sp.EXPORT_COLUMNS)
+    line = F.concat_ws(";", *[F.col(c).cast("string") for c in sp.EXPORT_COLUMNS])
+    # one archive per supplier, category and year: at most 24 months in two copies
+    texts = raw.groupBy("mo", "category_15", F.year("period").alias("y")).agg(F.array_join(F.collect_list(line), "\n").alias("body"))
+    path = shared_folder(spark, "zipped")
+    books = texts.select(packed(F.array(F.lit("export.csv")), F.array(F.concat(F.lit(head + "\n"), "body"))).alias("content"))
+    rows = books.withColumn("path", F.uuid())
+    rows.write.parquet(path)
+    landed = dl.unpacked_exports(spark.read.schema("content binary, path string").parquet(path), sp.EXPORT_COLUMNS)
+    checked = sp.check_export(landed.drop("path", "line_no")).clean
+    out = checked.groupBy("category_15").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("value").alias("spent"))
+    return rounded(out, 2, "spent")
+
+
 @query(
     "mapped_scan",
     """SELECT lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS oktmo, TIMESTAMP '2025-12-31' AS period, 'all' AS category, c_mktsegment AS indicator, c_acctbal AS value, 'rub' AS unit,

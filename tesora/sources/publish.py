@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from tesora.operators.contracts import Split
+from tesora.operators.contracts import Split, side_by_side
 from tesora.operators.temporal import check_aggregates
 
 # Status transitions and the mapping fields a contract covers.
@@ -281,3 +281,11 @@ def source_overview(configured: DataFrame, manifest: DataFrame) -> DataFrame:
     return joined.withColumns(
         {"manifest_files": files, "status": F.when(files > 0, "DOWNLOADED").otherwise("CONFIGURED")}
     )
+
+
+def overview_counts(configured: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Configured sources, manifest files and sources with files, as one row."""
+    return side_by_side(
+        configured.agg(F.count(F.lit(1)).alias("configured_sources")),
+        manifest.agg(F.count(F.lit(1)).alias("manifest_files"), F.count_distinct("source_id").alias("raw_sources")),
+    )

@@ -62,6 +62,22 @@ def test_export_scan(spark, tmp_path):
         dl.scan_export(spark, path, (*sp.EXPORT_COLUMNS, "extra"))
 
 
+def test_zipped_export(spark, tmp_path):
+    def pack(*names):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w") as z:
+            for n in names:
+                z.writestr(n, "period;value\n2024-01-01;5\n")
+        return buffer.getvalue()
+
+    path = folder(tmp_path, a__zip=pack("x.CSV", "readme.txt"))
+    row = dl.scan_zipped_export(spark, path, ["period", "value"]).first()
+    assert (row["period"], row["value"]) == ("2024-01-01", "5")
+    (tmp_path / "b.zip").write_bytes(pack("x.csv", "y.csv"))
+    with pytest.raises(Exception, match="expected one CSV"):
+        dl.scan_zipped_export(spark, path, ["period", "value"]).collect()
+
+
 def test_unknown_encodings(spark, tmp_path):
     path = folder(tmp_path, a__csv="﻿имя;n\nА;1\n", b__csv="имя,n\nБ,2\n".encode("cp1251"), c__csv='имя\tn\n"В\tГ"\t3\n')
     rows = dl.rows_with_header(dl.scan_unknown_encoding(spark, path), ["имя", "n", "нет"])
