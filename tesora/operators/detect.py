@@ -363,8 +363,10 @@ def with_calibration(summary: DataFrame, calibration: DataFrame) -> DataFrame:
 
 
 def best_online_detector(summary: DataFrame, *, rate: str = "detection_rate") -> DataFrame:
+    """Highest rate for regime shifts; equal rates go by name."""
     online = summary.where((F.col("event_type") == "REGIME_SHIFT") & F.col("detector").isin("CUSUM", "PAGE_HINKLEY"))
-    return online.agg(F.max_by("detector", rate).alias("detector"), F.max(rate).alias(rate))
+    best = online.agg(F.min(F.struct((-F.col(rate)).alias("r"), F.col("detector"))).alias("b"), F.max(rate).alias(rate))
+    return best.select(F.col("b.detector").alias("detector"), rate)
 
 
 def peak_statistic(df: DataFrame, *, keys: Sequence[str], sides: Sequence[str]) -> DataFrame:

@@ -268,20 +268,23 @@ def _events(z):
     )
 
 
-def _matched(spark, sf):
-    z = dt.baseline_standardize(data.panel(spark, sf, "nation"), keys=KEYS, **ORDER)
-    events = _events(z)
+def _alarms(spark, sf):
+    """First alarm of every series for both online detectors."""
     out = None
     for name, flagged, flag in (
         ("CUSUM", _cusum(spark, sf, "nation"), "cusum_flag"),
         ("PAGE_HINKLEY", _page_hinkley(spark, sf, "nation"), "page_hinkley_flag"),
     ):
-        alarms = dt.first_alarm(flagged, keys=KEYS, flag=flag)
-        rows = dt.match_alarms(alarms, events, keys=KEYS).withColumn("detector", F.lit(name))
+        rows = dt.first_alarm(flagged, keys=KEYS, flag=flag).withColumn("detector", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def _matched(spark, sf):
+    z = dt.baseline_standardize(data.panel(spark, sf, "nation"), keys=KEYS, **ORDER)
+    return dt.match_alarms(_alarms(spark, sf), _events(z), keys=KEYS)
+
+
 _MATCHED_SQL = f"""{data.panel_sql('nation')}, {_z_sql('nation')}, {_cusum_sql(5.0)}, {_ph_sql(8.0)}, {_EVENTS_SQL},
 alarms AS (SELECT 'CUSUM' AS detector, oktmo, category_code, CAST(min(pos) FILTER (cusum_flag) AS INTEGER) AS first_alarm FROM cusum GROUP BY ALL
   UNION ALL SELECT 'PAGE_HINKLEY', oktmo, category_code, CAST(min(pos) FILTER (page_hinkley_flag) AS INTEGER) FROM ph GROUP BY ALL),
@@ -311,7 +314,7 @@ def detection_summary(spark, sf):
 
 @query(
     "best_online_detector",
-    f"""WITH {_MATCHED_SQL} SELECT arg_max(detector, detection_rate) AS detector, {r("max(detection_rate)", 9)} AS detection_rate
+    f"""WITH {_MATCHED_SQL} SELECT arg_min(detector, (-detection_rate, detector)) AS detector, {r("max(detection_rate)", 9)} AS detection_rate
 FROM summary WHERE event_type = 'REGIME_SHIFT'""",
 )
 def best_online_detector(spark, sf):
@@ -326,9 +329,9 @@ SELECT detector, event_type, {r("detection_rate", 9)} AS detection_rate, {r("nul
 FROM summary LEFT JOIN cal USING (detector)""",
 )
 def calibrated_summary(spark, sf):
-    matched = _matched(spark, sf)
-    cal = matched.groupBy("detector").agg(F.avg(F.col("first_alarm").isNotNull().cast("double")).alias("null_path_fpr"))
-    joined = dt.with_calibration(dt.detection_summary(matched), cal)
+    alarms = _alarms(spark, sf)
+    cal = alarms.groupBy("detector").agg(F.avg(F.col("first_alarm").isNotNull().cast("double")).alias("null_path_fpr"))
+    joined = dt.with_calibration(dt.detection_summary(_matched(spark, sf)), cal)
     return rounded(joined.select("detector", "event_type", "detection_rate", "null_path_fpr"), 9, "detection_rate", "null_path_fpr")
 
 
