@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from tesora.llm import simhash
+from tesora.llm import langid, mixing, packing, quality, simhash, wavelet
 from tesora.llm.base import Build
 
 QUERIES: dict[str, Build] = {
+    "op1_wavelet": wavelet.op1_wavelet,
     "op2_simhash": simhash.op2_simhash,
+    "op5_quality": quality.op5_quality,
+    "op6_language": langid.op6_language,
+    "op9_packing": packing.op9_packing,
+    "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_mixing": mixing.OP10_SQL,
+}
