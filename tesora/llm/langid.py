@@ -141,8 +141,8 @@ def marginals(emit: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) ->
 
 
 def spans(count: int) -> np.ndarray:
-    full, rest = divmod(count, SPAN)
-    return np.array([SPAN] * full + [rest] * (rest > 0), np.int64)
+    full, rest = divmod(int(count), SPAN)
+    return np.array([SPAN] * full + ([rest] if rest else []), np.int64)
 
 
 def language_shares(texts: list[bytes], crf: Crf) -> np.ndarray:
