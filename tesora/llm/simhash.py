@@ -71,7 +71,8 @@ def segment_counts(fp: np.ndarray) -> np.ndarray:
 
 
 def grid_cells(fps: DataFrame) -> DataFrame:
-    """(cell, fp): each distinct fingerprint in its own cell and those one step up, in both halves."""
+    """(cell, fp, own): each distinct fingerprint in its own cell and those one step up, in both halves."""
+    names = ["cell", "fp", "own"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,14 +81,13 @@ def grid_cells(fps: DataFrame) -> DataFrame:
             for half in (0, 1):
                 part = ((packed >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
                 base = part + (half << 32)
-                yield pa.RecordBatch.from_arrays([pa.array(base), pa.array(fp)], ["cell", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(base), pa.array(fp), pa.array(np.ones(len(fp), bool))], names)
                 for segment in range(16):
                     up = (part >> (2 * segment)) & 3 < 2  # a segment counts two bits at most
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(base[up] + (1 << 2 * segment)), pa.array(fp[up])], ["cell", "fp"]
-                    )
+                    step = [base[up] + (1 << 2 * segment), fp[up], np.zeros(int(up.sum()), bool)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in step], names)
 
-    return fps.mapInArrow(run, "cell long, fp long")
+    return fps.mapInArrow(run, "cell long, fp long, own boolean")
 
 
 def _spanning(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -154,6 +154,8 @@ def _link_sorted(radius: int):
 def links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     """(u, v), u > v: enough verified links between distinct fingerprints to connect all that link.
 
+    Two that link meet in the own cell of one of them, so a cell that is nobody's
+    own, or holds one fingerprint only, has nothing to compare.
     A cell with more than ``tile`` fingerprints is dealt to tiles by hash, and
     every pair of tiles is one group, so no task holds a whole large cell and no
     cell emits more links than it has members per tile pair.
@@ -161,7 +163,7 @@ def links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     if not 0 <= radius <= 3:
         raise ValueError("the grid finds fingerprints at 3 or fewer differing bits")
     cells = grid_cells(fps)
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("own").alias("own")).where("n > 1 and own").drop("own")
     cells = cells.join(sizes, "cell")
     tiles = F.ceil(F.col("n") / tile).cast("int")
     mine = F.pmod(F.xxhash64("fp"), tiles)
