@@ -67,22 +67,24 @@ class Forest:
         found = [(np.searchsorted(row, a), np.searchsorted(row, b)) for row, a, b in zip(self.keys, low, ends, strict=True)]
         return np.array([x[0] for x in found]), np.array([x[1] for x in found])
 
-    def candidates(self, queries: np.ndarray, wanted: int):
-        """Rows of each query: descend to the longest prefix, ascend in all trees until enough are found."""
-        keys = self.hashes(queries)
+    def depths(self, keys: np.ndarray, wanted: int) -> np.ndarray:
+        """Each query's longest common depth at which its ranges hold enough rows: descend, then ascend in all trees at once."""
         enough = min(wanted, self.order.size)
-        low, high = np.zeros(len(queries), np.int64), np.full(len(queries), BITS + 1)
-        while (high - low > 1).any():  # the longest depth with enough candidates; counts only grow upwards
+        low, high = np.zeros(keys.shape[1], np.int64), np.full(keys.shape[1], BITS + 1)
+        while (high - low > 1).any():  # counts only grow upwards, so the levels can be halved
             middle = (low + high) // 2
             a, b = self.ranges(keys, middle)
             found = (b - a).sum(axis=0) >= enough
             low, high = np.where(found, middle, low), np.where(found, high, np.maximum(middle, low + 1))
-        a, b = self.ranges(keys, low)
-        for q in range(len(queries)):
-            taken = np.zeros(len(self.vectors), bool)
-            for tree in range(len(self.order)):
-                taken[self.order[tree, a[tree, q] : b[tree, q]]] = True
-            yield q, np.flatnonzero(taken)
+        return low
+
+    def rows(self, keys: np.ndarray, depth: int) -> np.ndarray:
+        """Rows in the ranges of one query's keys at a depth."""
+        a, b = self.ranges(keys[:, None], np.array([depth]))
+        taken = np.zeros(len(self.vectors), bool)
+        for order, start, end in zip(self.order, a[:, 0], b[:, 0], strict=True):
+            taken[order[start:end]] = True
+        return np.flatnonzero(taken)
 
 
 def search(
@@ -117,8 +119,14 @@ def search(
             own, ids = np.stack(left["v"].to_numpy()), left["vec_id"].to_numpy()
             targets, asked_ids = np.stack(right["v"].to_numpy()), right["query_id"].to_numpy()
             forest = Forest(own, centre, trees)
-            for q, found in forest.candidates(targets, candidates):
+            keys = forest.hashes(targets)
+            for q, depth in enumerate(forest.depths(keys, candidates).tolist()):
+                found = forest.rows(keys[:, q], depth)
                 found = found[ids[found] != asked_ids[q]]
+                while len(found) < nearest and depth:  # its own rows are no candidates
+                    depth -= 1
+                    found = forest.rows(keys[:, q], depth)
+                    found = found[ids[found] != asked_ids[q]]
                 distance = np.sqrt(((own[found] - targets[q]) ** 2).sum(axis=1))
                 if len(found) > nearest:
                     last = np.partition(distance, nearest - 1)[nearest - 1]
