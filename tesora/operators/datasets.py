@@ -157,9 +157,11 @@ def close_to(expected: Column, given: Column, reference: Column) -> Column:
 
 
 def missing_cells(df: DataFrame, columns: Sequence[str]) -> Column:
-    """Number of missing cells of a row."""
-    present = [c for c in columns if c in df.columns]
-    return reduce(lambda a, b: a + b, [F.col(c).isNull().cast("long") for c in present], F.lit(0).cast("long"))
+    """Number of missing cells of a row; a number that is none counts as missing."""
+    present = [f for f in df.schema.fields if f.name in columns]
+    real = (T.FloatType, T.DoubleType)
+    gone = [F.col(f.name).isNull() | F.isnan(f.name) if isinstance(f.dataType, real) else F.col(f.name).isNull() for f in present]
+    return reduce(lambda a, b: a + b, [g.cast("long") for g in gone], F.lit(0).cast("long"))
 
 
 def name_rules(df: DataFrame) -> list[Rule]:

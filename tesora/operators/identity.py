@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesora.functions.scalar import code_part, name_key, territory_code
-from tesora.functions.unicode_names import distinct_name_keys
+from tesora.functions.scalar import code_part, territory_code
+from tesora.functions.unicode_names import distinct_name_keys, nfkc_name_key
 from tesora.operators.contracts import Split, clean_header, missing_columns, unique_rows
 
 # Registry and alias columns, header aliases, statuses.
@@ -57,7 +57,7 @@ def read_registry(df: DataFrame) -> Split:
     df = df.select(*REGISTRY_COLUMNS).withColumn("oktmo", territory_code("oktmo"))
     bad = df.where(F.col("oktmo").isNull()).select("oktmo", F.lit(1).cast("long").alias("n_rows"), F.lit("BAD_CODE").alias("reason_code"))
     parts = unique_rows(df.where(F.col("oktmo").isNotNull()), ["oktmo"])
-    keyed = parts.clean.withColumn("name_key", name_key("municipality_name"))
+    keyed = parts.clean.withColumn("name_key", nfkc_name_key("municipality_name"))
     return Split(keyed, bad.unionByName(parts.quarantine))
 
 
@@ -66,7 +66,7 @@ def read_aliases(df: DataFrame) -> Split:
     if missing:
         raise ValueError("alias columns missing: " + ", ".join(missing))
     df = df.select(*ALIAS_COLUMNS).withColumns(
-        {"oktmo": territory_code("oktmo"), "name_key": name_key("source_municipality_name")}
+        {"oktmo": territory_code("oktmo"), "name_key": nfkc_name_key("source_municipality_name")}
     )
     return Split(
         df.where(F.col("oktmo").isNotNull()),

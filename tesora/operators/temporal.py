@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesora.functions.scalar import parse_number
+from tesora.functions.scalar import first_reason, parse_number
 from tesora.operators.contracts import ERROR, Rule, Split, missing_columns, require_unique, split
 
 # Compatibility keys, external columns, categories of public aggregates.
@@ -136,35 +136,38 @@ def extract_series(df: DataFrame, *, geography: str, variable: str) -> DataFrame
 # ---- public aggregates -------------------------------------------------------
 
 
-def check_aggregates(df: DataFrame) -> Split:
-    """Canonical contract of public aggregates: row rules first, then the five-column key.
+def mark_aggregates(df: DataFrame, *, within: Sequence[str] = ()) -> DataFrame:
+    """Rows with ``reason_code`` by the contract of public aggregates; NULL for good ones.
 
-    Every row of a repeated key goes aside; the repeat count is joined back, so
-    rows of a hot key are counted before they move.
+    Row rules come first, then the five-column key: every row of a repeated key
+    is marked (``within`` columns belong to the key). Only keys are counted
+    apart, so rows of a hot key are counted before they move.
     """
-    extra = [c for c in df.columns if c not in AGGREGATE_COLUMNS]
+    extra = [c for c in df.columns if c not in (*AGGREGATE_COLUMNS, *within)]
     if extra:
         raise ValueError("columns outside the contract: " + ", ".join(extra))
-    rules = [
-        Rule("BAD_CODE", ERROR, F.coalesce(~F.col("oktmo").rlike("^[0-9]{8}([0-9]{3})?$"), F.lit(True))),
-        Rule("BAD_VALUE", ERROR, F.coalesce(F.col("value") < 0, F.lit(True)) | F.isnan("value")),
-        Rule("UNKNOWN_CATEGORY", ERROR, F.coalesce(~F.col("category").isin(*AGGREGATE_CATEGORIES), F.lit(True))),
-        Rule("RELEASE_BEFORE_PERIOD", ERROR, F.coalesce(F.col("available_at") < F.col("period"), F.lit(True))),
-        Rule(
-            "MISSING_CELL",
-            ERROR,
-            F.col("indicator").isNull() | F.col("unit").isNull() | F.col("source").isNull() | F.col("period").isNull(),
-        ),
+    reasons = [
+        ("BAD_CODE", F.coalesce(~F.col("oktmo").rlike("^[0-9]{8}([0-9]{3})?$"), F.lit(True))),
+        ("BAD_VALUE", F.coalesce(F.col("value") < 0, F.lit(True)) | F.isnan("value")),
+        ("UNKNOWN_CATEGORY", F.coalesce(~F.col("category").isin(*AGGREGATE_CATEGORIES), F.lit(True))),
+        ("RELEASE_BEFORE_PERIOD", F.coalesce(F.col("available_at") < F.col("period"), F.lit(True))),
+        ("MISSING_CELL", F.col("indicator").isNull() | F.col("unit").isNull() | F.col("source").isNull() | F.col("period").isNull()),
     ]
-    parts = split(df, rules)
-    repeats = (
-        parts.clean.groupBy(*AGGREGATE_KEY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
-    )
-    clean = parts.clean.join(repeats, list(AGGREGATE_KEY), "left_anti").select(*df.columns)
-    twice = parts.clean.join(repeats, list(AGGREGATE_KEY), "left_semi").select(
-        *df.columns, F.lit("DUPLICATE_KEY").alias("reason_code")
+    marked = df.withColumn("reason_code", first_reason(reasons))
+    key = [*within, *AGGREGATE_KEY]
+    good = marked.where(F.col("reason_code").isNull())
+    repeats = good.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    joined = marked.join(repeats, key, "left")
+    twice = F.when(F.col("reason_code").isNull() & F.col("_n").isNotNull(), "DUPLICATE_KEY")
+    return joined.select(*df.columns, F.coalesce("reason_code", twice).alias("reason_code"))
+
+
+def check_aggregates(df: DataFrame) -> Split:
+    """:func:`mark_aggregates` as a split."""
+    marked = mark_aggregates(df)
+    return Split(
+        marked.where(F.col("reason_code").isNull()).drop("reason_code"), marked.where(F.col("reason_code").isNotNull())
     )
-    return Split(clean, parts.quarantine.select(*df.columns, "reason_code").unionByName(twice))
 
 
 def features_as_of(df: DataFrame, prediction_date: str, *, mode: str = "all") -> Split:

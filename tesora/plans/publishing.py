@@ -127,34 +127,52 @@ def publish_status(spark, sf):
     return pb.publish_status(runs, allow_partial=True, by=["c_nationkey"])
 
 
+_FEEDS = {"first": ("view", "click"), "third": ("purchase",)}
+_FEED_SQL = "CASE WHEN indicator IN ('view', 'click') THEN 'first' WHEN indicator = 'purchase' THEN 'third' ELSE 'second' END"
+
+
 @query(
     "published_aggregates",
-    f"""WITH {data.AGGREGATES_SQL} SELECT indicator, count(*) AS n_rows, {r("sum(value)", 2)} AS total FROM agg WHERE available_at >= period GROUP BY 1""",
+    f"""WITH {data.AGGREGATES_SQL}, a AS (SELECT *, {_FEED_SQL} AS feed, available_at >= period AS good FROM agg)
+SELECT 'rows' AS part, indicator AS item, count(*) AS n_rows, {r("sum(value)", 2)} AS total, NULL AS status, NULL AS error FROM a WHERE good AND feed = 'third' GROUP BY indicator
+UNION ALL SELECT '0001 fresh', feed, count(*), NULL, 'accepted', NULL FROM a WHERE good GROUP BY feed
+UNION ALL SELECT '0002 partial', feed, CASE WHEN feed = 'third' THEN count(*) FILTER (good) ELSE 0 END, NULL, CASE WHEN feed = 'third' THEN 'accepted' ELSE 'quarantined' END,
+  CASE feed WHEN 'first' THEN 'RELEASE_BEFORE_PERIOD' WHEN 'second' THEN 'CONTRACT_DRIFT' END FROM a GROUP BY feed""",
 )
 def published_aggregates(spark, sf):
+    """Two runs: all sources good, then one with bad rows and one with a changed mapping; published rows and both reports."""
     from tesora.operators.contracts import Split
 
     root = shared_folder(spark, "published")
-    good = data.aggregates(spark, sf).where(F.col("available_at") >= F.col("period"))
+    every = data.aggregates(spark, sf)
+    good = every.where(F.col("available_at") >= F.col("period"))
     none = good.select(F.lit("x").alias("reason_code")).where(F.lit(False))
-    half = F.col("indicator").isin("view", "click")
-    scans = {"first": Split(good.where(half), none), "second": Split(good.where(~half), none)}
-    pb.publish_aggregates(spark, scans, root=root, run_id="0001")
-    broken = {"first": Split(good.withColumn("value", -F.col("value")), none)}
-    pb.publish_aggregates(spark, broken, root=root, run_id="0002")
-    table = pb.read_published(spark, root)
-    return rounded(table.groupBy("indicator").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("value").alias("total")), 2, "total")
+    kind = F.when(F.col("indicator").isin(*_FEEDS["first"]), "first").when(F.col("indicator").isin(*_FEEDS["third"]), "third").otherwise("second")
+    feed = lambda df, name: Split(df.where(kind == name), none)
+    names = ("first", "second", "third")
+    mappings = {name: {"schema_version": "1", "category": name} for name in names}
+    pb.publish_aggregates(spark, {n: feed(good, n) for n in names}, root=root, run_id="0001", mappings=mappings)
+    later = {"first": feed(every, "first"), "second": feed(good, "second"), "third": feed(good, "third")}
+    mappings["second"] = {"schema_version": "1", "category": "changed"}
+    pb.publish_aggregates(spark, later, root=root, run_id="0002", mappings=mappings, allow_partial=True)
+    table = pb.read_published(spark, root).groupBy(F.lit("rows").alias("part"), F.col("indicator").alias("item")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("value").alias("total")
+    )
+    report = spark.read.parquet(f"{root}/status").select(
+        F.concat_ws(" ", "run_id", "run_status").alias("part"), F.col("source").alias("item"), F.col("rows").alias("n_rows"), "status", "error"
+    )
+    return rounded(table.unionByName(report, allowMissingColumns=True), 2, "total")
 
 
 @query(
     "merged_sources",
-    f"""WITH {data.AGGREGATES_SQL} SELECT 'all' AS part, count(*) AS n_rows FROM agg""",
+    f"""WITH {data.AGGREGATES_SQL} SELECT oktmo, period, category, indicator, {r("value", 2)} AS value, unit, source, available_at, is_estimated FROM agg""",
 )
 def merged_sources(spark, sf):
+    """Two sources whose columns stand in a different order, one table."""
     df = data.aggregates(spark, sf)
     early = F.col("category") == "all"
-    merged = df.where(early).unionByName(df.where(~early).select(*reversed(df.columns)))
-    return merged.agg(F.lit("all").alias("part"), F.count(F.lit(1)).alias("n_rows"))
+    return rounded(df.where(early).unionByName(df.where(~early).select(*reversed(df.columns))), 2, "value")
 
 
 @query(
@@ -289,7 +307,7 @@ def zipped_export_scan(spark, sf):
     books = texts.select(packed(F.array(F.lit("export.csv")), F.array(F.concat(F.lit(head + "\n"), "body"))).alias("content"))
     rows = books.withColumn("path", F.uuid())
     rows.write.parquet(path)
-    landed = dl.unpacked_exports(spark.read.schema("content binary, path string").parquet(path), sp.EXPORT_COLUMNS)
+    landed = dl.unpacked_exports(spark.read.schema("content binary, path string").parquet(path), sp.EXPORT_COLUMNS).clean
     checked = sp.check_export(landed.drop("path", "line_no")).clean
     out = checked.groupBy("category_15").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("value").alias("spent"))
     return rounded(out, 2, "spent")
@@ -428,25 +446,24 @@ def discovered_links(spark, sf):
     return web.discover_links(data.read(spark, sf, "pages"), extensions=None)
 
 
+_HOSTS = ("blog.tionsh.example.com", "thther.example.com", "www.ththhe.example.com", "blog.tionsh.example.net", "tionble.example.org")
+
+
 @query(
     "official_links",
-    """WITH p AS (SELECT page_id, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) AS site FROM pages)
-SELECT regexp_replace(site, '^http:', 'https:') || '/files/budget.xlsx' AS url, 'Adopted budget & annexes' AS title, '.xlsx' AS extension, 2 * count(*) AS occurrences
-FROM p WHERE lower(regexp_extract(site, '://(.*)$', 1)) LIKE '%example.com' GROUP BY 1""",
+    f"""WITH p AS (SELECT page_id, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) AS site FROM pages)
+SELECT regexp_replace(site, '^http:', 'https:') || '/files/budget.xlsx' AS url, '«Adopted» budget & annexes – № 5' AS title, '.xlsx' AS extension, 2 * count(*) AS occurrences
+FROM p WHERE lower(regexp_extract(site, '://(.*)$', 1)) IN {_HOSTS} GROUP BY 1""",
 )
 def official_links(spark, sf):
-    """Pages with an added file link in two spellings; only listed hosts count."""
+    """Pages with an added file link in two spellings, one of them deep below and with named references; only listed hosts count."""
     pages = data.read(spark, sf, "pages")
     site = F.regexp_replace(F.regexp_extract("url", r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1), "^http:", "https:")
     added = F.concat(
-        F.lit("<p><A class='x' HREF='"), site, F.lit("/a/../files/budget.xlsx'>Adopted <b>budget</b>\n &amp; annexes</A>"),
+        F.lit("<p><A class='x' HREF='"), site, F.lit("/a/b/./c/d/e/f/../../../../../../files/x/../budget.xlsx'>&laquo;Adopted&raquo; <b>budget</b>\n &amp;&nbsp;annexes &ndash; &#8470; 5</A>"),
         F.lit('<a href="'), site, F.lit('/files/budget.xlsx">Budget</a><a href="/files/budget.zip">zip</a>'),
     )
-    marked = pages.select("url", F.concat("html", added).alias("html"))
-    links = web.discover_links(marked)
-    # the allow-list here is every .com host of the crawl: a table, so it is joined rather than spelled out
-    hosts = pages.select(web.host("url").alias("h")).where(F.col("h").endswith("example.com")).distinct()
-    return links.join(hosts, web.host(links.url) == hosts.h, "left_semi").where(web.is_allowed("url", ["x"]) | F.col("url").startswith("https://"))
+    return web.discover_links(pages.select("url", F.concat("html", added).alias("html")), hosts=_HOSTS)
 
 
 # ---- archives and workbooks built from rows ----------------------------------
@@ -523,10 +540,12 @@ def workbook_cells(spark, sf):
 # budgets laid out as workbook cells: header row, labelled rows, one column per year
 
 
+_YEARS = tuple(range(1995, 2002))
+
+
 def _budget_cells(spark, sf):
     amounts = (
         data.at_supplier(spark, sf, data.read(spark, sf, "lineitem"))
-        .where(F.year("l_shipdate").isin(1998, 1999, 2000))
         .groupBy(F.col("n_name").alias("municipality_name"), F.year("l_shipdate").alias("year"), "l_returnflag", "l_linestatus")
         .agg(data.money("l_extendedprice").alias("v"))
         .groupBy("municipality_name", "year")
@@ -539,7 +558,7 @@ def _budget_cells(spark, sf):
             F.sum(F.when(F.col("l_returnflag") == "A", F.col("v"))).alias("svc"),
         )
     )
-    col = F.col("year") - 1998 + 2
+    col = F.col("year") - _YEARS[0] + 2
     zero, none = F.lit(0), F.lit(None).cast("double")
 
     def cell(part, row, column, text, num):
@@ -566,7 +585,7 @@ def _budget_cells(spark, sf):
 
 
 _BUDGET_CELLS_SQL = """w AS (SELECT n_name AS municipality_name, CAST(year(l_shipdate) AS INTEGER) AS year, l_returnflag AS f, l_linestatus AS s, l_extendedprice AS v
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE year(l_shipdate) IN (1998, 1999, 2000)),
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
 m AS (SELECT municipality_name, year, sum(v) AS total, sum(v) FILTER (f = 'R') AS base, 2 * sum(v) FILTER (f <> 'R') AS spent, sum(v) FILTER (s = 'O') AS fin,
   sum(v) FILTER (f = 'N') AS exc, sum(v) FILTER (f = 'A') AS svc FROM w GROUP BY 1, 2)"""
 _ADOPTED = ("total_revenue", "revenue_base", "transfers", "expenditure", "financing_sources", "eligible_exceptions", "debt_service", "deficit")
@@ -578,7 +597,7 @@ _ADOPTED = ("total_revenue", "revenue_base", "transfers", "expenditure", "financ
   {r("fin", 2)} AS financing_sources, {r("exc", 2)} AS eligible_exceptions, {r("svc", 2)} AS debt_service, {r("greatest(spent - total, 0)", 2)} AS deficit FROM m""",
 )
 def adopted_budget(spark, sf):
-    return rounded(wb.adopted_budget(_budget_cells(spark, sf), years=(1998, 1999, 2000)).clean, 2, *_ADOPTED)
+    return rounded(wb.adopted_budget(_budget_cells(spark, sf), years=_YEARS).clean, 2, *_ADOPTED)
 
 
 @query(
@@ -588,22 +607,22 @@ UNION ALL SELECT municipality_name, year, '13', 'Обслуживание мун
 )
 def expenditure_sections(spark, sf):
     cells = _budget_cells(spark, sf).where(F.col("part") == "expenditure").drop("part")
-    return rounded(wb.expenditure_sections(cells, years=(1998, 1999, 2000)), 2, "amount")
+    return rounded(wb.expenditure_sections(cells, years=_YEARS).clean, 2, "amount")
 
 
-@query("unit_scale", "SELECT n_name AS municipality_name, 1000.0::DOUBLE AS unit_scale FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE year(l_shipdate) IN (1998, 1999, 2000))")
+@query("unit_scale", "SELECT n_name AS municipality_name, 1000.0::DOUBLE AS unit_scale FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier JOIN lineitem ON l_suppkey = s_suppkey)")
 def unit_scale(spark, sf):
     return wb.unit_scale(_budget_cells(spark, sf), ["municipality_name"])
 
 
 @query(
     "budget_plan_rows",
-    f"""WITH {_BUDGET_CELLS_SQL} SELECT municipality_name, year, CASE WHEN year = 1998 THEN 'ADOPTED' ELSE 'PLAN_PERIOD' END AS stage, {r("total", 2)} AS total_revenue,
+    f"""WITH {_BUDGET_CELLS_SQL} SELECT municipality_name, year, CASE WHEN year = min(year) OVER (PARTITION BY municipality_name) THEN 'ADOPTED' ELSE 'PLAN_PERIOD' END AS stage, {r("total", 2)} AS total_revenue,
   CASE WHEN year = 1999 THEN 1234.5::DOUBLE ELSE 0.0 END AS debt_upper_limit FROM m""",
 )
 def budget_plan_rows(spark, sf):
     cells = _budget_cells(spark, sf)
-    budgets = wb.adopted_budget(cells, years=(1998, 1999, 2000)).clean
+    budgets = wb.adopted_budget(cells, years=_YEARS).clean
     limits = budgets.where(F.col("year") == 1999).select("municipality_name", "year", F.lit(1234500.0).alias("debt_limit"))
     rows = wb.plan_rows(budgets, wb.unit_scale(cells, ["municipality_name"]), limits)
     return rounded(rows.select("municipality_name", "year", "stage", "total_revenue", "debt_upper_limit"), 2, "total_revenue")
@@ -621,9 +640,9 @@ SELECT municipality_name, year, budget_side, grp AS "group", {r("amount", 2)} AS
 )
 def budget_structure_rows(spark, sf):
     cells = _budget_cells(spark, sf)
-    years = (1998, 1999, 2000)
+    years = _YEARS
     budgets = wb.adopted_budget(cells, years=years).clean
-    sections = wb.expenditure_sections(cells.where(F.col("part") == "expenditure").drop("part"), years=years)
+    sections = wb.expenditure_sections(cells.where(F.col("part") == "expenditure").drop("part"), years=years).clean
     out = wb.structure_rows(budgets, sections)
     cols = ("municipality_name", "year", "budget_side", "group", "amount", "item_code", "is_transfer", "is_debt_service")
     return rounded(out.select(*cols), 2, "amount")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import shutil
 import uuid
-from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,45 +27,52 @@ def build_session(app: str = "tesora", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="tesora-")
+def staging_base(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's checkpoint folder, on every master.
 
-
-def _shared_base(spark: SparkSession) -> str | None:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and spark.sparkContext.master.startswith("local"):
-        base = _local_folder()  # one machine: its folders are shared by definition
-    return base
+    It is the setting ``spark.checkpoint.dir``, or what ``setCheckpointDir``
+    named; without either, operators that write are refused.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return f"{base.rstrip('/')}/tesora"
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the cluster's checkpoint folder.
+    """A fresh folder for one written table below the staging base."""
+    return f"{staging_base(spark)}/{purpose}/{uuid.uuid4().hex}"
 
-    Every executor must see it, so a cluster session without
-    ``spark.checkpoint.dir`` is refused.
-    """
-    base = _shared_base(spark)
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return f"{base.rstrip('/')}/tesora/{purpose}/{uuid.uuid4().hex}"
+
+def clear_staging(spark: SparkSession) -> None:
+    """Remove every table staged below this session's base, once nothing reads them any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging_base(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:
-    """How many pieces a large ordered pass is cut into."""
-    return max(8, min(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 2000))
+    """How many pieces a large ordered pass is cut into; it grows with the partitions the session asks for."""
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
-    """Write an intermediate table to the shared folder and read it back.
+    """Write an intermediate table to the shared folder, at once, and read it back.
 
     Several branches of a plan then start from one small table instead of each
     scanning the source again; its size is known to the optimizer and it
-    survives lost executors. Without a shared folder the plan stays as it is.
+    survives lost executors.
     """
     spark = df.sparkSession
-    if not _shared_base(spark):
-        return df
     path = shared_folder(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession, archive: str) -> None:
+    """Zip this package to ``archive`` (a path of the driver, without ``.zip``) and send it to every executor.
+
+    Needed where the cluster's workers lack the package and the job was not
+    started with ``--py-files``.
+    """
+    package = Path(__file__).resolve().parent
+    spark.sparkContext.addPyFile(shutil.make_archive(archive, "zip", package.parent, package.name))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import sys
 import zipfile
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -32,27 +33,33 @@ def scan_export(spark: SparkSession, path: str, required: Sequence[str], *, sep:
     return df
 
 
-def scan_zipped_export(spark: SparkSession, path: str, required: Sequence[str], *, sep: str = ";") -> DataFrame:
+def scan_zipped_export(spark: SparkSession, path: str, required: Sequence[str], *, sep: str = ";") -> Split:
     """The same export packed as zip archives."""
     return unpacked_exports(spark.read.format("binaryFile").load(path), required, sep=sep)
 
 
-def unpacked_exports(files: DataFrame, required: Sequence[str], *, sep: str = ";") -> DataFrame:
-    """Rows of archives holding exactly one CSV file each; other archives fail the job."""
+def unpacked_exports(files: DataFrame, required: Sequence[str], *, sep: str = ";") -> Split:
+    """Rows of archives holding exactly one CSV file each; other archives go aside with a reason."""
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            contents = []
-            for path, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    names = [n for n in archive.namelist() if n.lower().endswith(".csv")]
-                    if len(names) != 1:
-                        raise ValueError(f"{path}: expected one CSV, found {len(names)}")
-                    contents.append(archive.read(names[0]))
-            yield pd.DataFrame({"path": batch["path"], "content": contents})
-
-    unpacked = files.select("path", "content").mapInPandas(unpack, "path string, content binary")
-    return rows_with_header(text_records(unpacked, sep=sep), required)
+            for path, content in zip(batch["path"], batch["content"]):  # one unpacked archive at a time
+                text, problem = None, None
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                        names = [n for n in archive.namelist() if n.lower().endswith(".csv")]
+                        if len(names) == 1:
+                            text = archive.read(names[0])
+                        else:
+                            problem = "NOT_ONE_CSV"
+                except zipfile.BadZipFile:
+                    problem = "BAD_ARCHIVE"
+                yield pd.DataFrame({"path": [path], "content": [text], "problem": [problem]})
+
+    unpacked = files.select("path", "content").mapInPandas(unpack, "path string, content binary, problem string")
+    records = text_records(unpacked, sep=sep)
+    bad = records.where(F.col("problem").isNotNull()).select("path", F.col("problem").alias("reason_code"))
+    return Split(rows_with_header(records, required), bad)
 
 
 def scan_mapped(spark: SparkSession, path: str, config: Mapping) -> Split:
@@ -98,7 +105,7 @@ def scan_mapped(spark: SparkSession, path: str, config: Mapping) -> Split:
     return split(typed, rules)
 
 
-RECORDS = "path string, line_no int, fields array<string>, problem string"
+RECORDS = "path string, line_no int, header array<string>, fields array<string>, problem string"
 
 
 def _decode(content: bytes, encodings: Sequence[str]) -> str | None:
@@ -112,36 +119,52 @@ def _decode(content: bytes, encodings: Sequence[str]) -> str | None:
 
 def _separator(text: str) -> str:
     """The separator seen most often in the header line."""
-    header = text.split("\n", 1)[0]
+    header = text.lstrip("\r\n").replace("\r", "\n").split("\n", 1)[0]
     return max(",;\t|", key=header.count)
 
 
 def text_records(files: DataFrame, *, encodings: Sequence[str] = ENCODINGS, sep: str | None = None) -> DataFrame:
-    """``(path, line_no, fields, problem)`` from files given as ``path`` and ``content``.
+    """``(path, line_no, header, fields, problem)`` from files given as ``path`` and ``content``.
 
     The first encoding that decodes a file counts; a missing separator is
-    guessed from the file's first lines. Line 0 holds the header.
+    guessed from the file's first lines. Line 0 holds the header, which every
+    line of the file carries. Lines may end in any of the usual ways and fields
+    may have any length. A file that cannot be read goes on with its problem
+    and never stops the others; so does one that arrives with a ``problem``.
     """
-    names = ["path", "line_no", "fields", "problem"]
+    names = ["path", "line_no", "header", "fields", "problem"]
 
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(sys.maxsize)
         rows: list[tuple] = []
+        held = 0
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                text = _decode(content, encodings)
+            for path, content, problem in zip(batch["path"], batch["content"], batch["problem"]):
+                text = None if problem or content is None else _decode(content, encodings)
                 if text is None:
-                    rows.append((path, 0, [], "UNREADABLE_TEXT"))
+                    rows.append((path, 0, [], [], problem or "UNREADABLE_TEXT"))
                     continue
-                lines = csv.reader(io.StringIO(text.lstrip("\ufeff")), delimiter=sep or _separator(text))
-                for i, fields in enumerate(lines):
-                    rows.append((path, i, fields, None))
-                    if len(rows) >= 10_000:
+                lines = csv.reader(io.StringIO(text.lstrip("\ufeff"), newline=""), delimiter=sep or _separator(text))
+                i, header = 0, []
+                while True:
+                    try:
+                        fields = next(lines, None)
+                    except csv.Error:
+                        rows.append((path, i, header, [], "UNREADABLE_CSV"))
+                        break
+                    if fields is None:
+                        break
+                    header = header if i else [c.strip() for c in fields]
+                    rows.append((path, i, header, fields, None))
+                    i, held = i + 1, held + sum(map(len, fields))
+                    if len(rows) >= 10_000 or held >= 1 << 24:
                         yield pd.DataFrame(rows, columns=names)
-                        rows = []
+                        rows, held = [], 0
         if rows:
             yield pd.DataFrame(rows, columns=names)
 
-    return files.select("path", "content").mapInPandas(records, RECORDS)
+    problem = F.col("problem") if "problem" in files.columns else F.lit(None).cast("string")
+    return files.select("path", "content", problem.alias("problem")).mapInPandas(records, RECORDS)
 
 
 def scan_unknown_encoding(
@@ -158,10 +181,7 @@ def scan_unknown_encoding(
 
 def rows_with_header(records: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Named columns from scanned records, matched by each file's own header line."""
-    header = records.where((F.col("line_no") == 0) & F.col("problem").isNull()).select(
-        "path", F.transform("fields", lambda x: F.trim(x)).alias("header")
-    )
-    body = records.where(F.col("line_no") > 0).join(header, "path")
+    body = records.where((F.col("line_no") > 0) & F.col("problem").isNull())
     cells = [
         F.when(F.array_position("header", c) > 0, F.try_element_at("fields", F.array_position("header", c).cast("int"))).alias(c)
         for c in columns

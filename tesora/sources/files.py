@@ -60,9 +60,11 @@ def text_digest(content: Column | str) -> tuple[Column, Column]:
 
 
 def relative_path(path: Column | str, root: str) -> Column:
+    """The part of a path below a root folder; the root is taken literally."""
     path = F.col(path) if isinstance(path, str) else path
     bare = F.regexp_replace(path, "^file:/+", "/")
-    return F.regexp_replace(bare, "^" + root.rstrip("/").replace(".", r"\.") + "/", "")
+    lead = root.rstrip("/") + "/"
+    return F.when(bare.startswith(lead), F.substring(bare, F.lit(len(lead) + 1), F.length(bare))).otherwise(bare)
 
 
 def build_manifest(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tesora.operators.contracts import Split, side_by_side
-from tesora.operators.temporal import check_aggregates
+from tesora.operators.temporal import AGGREGATE_KEY, mark_aggregates
 
 # Status transitions and the mapping fields a contract covers.
 TRANSITIONS = {
@@ -131,7 +131,7 @@ def mapping_digest(*fields: Column) -> Column:
 
 
 def config_digest(config: Mapping) -> str:
-    """The fields of one source setting as stable text (digested with :func:`mapping_digest`)."""
+    """The fields of one source setting as stable text, to be digested."""
     return json.dumps({k: config.get(k) for k in CONTRACT_FIELDS}, sort_keys=True, ensure_ascii=False)
 
 
@@ -172,6 +172,25 @@ class Published:
     sources: DataFrame
 
 
+CONTRACTS = "source string, schema_version string, contract_digest string"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def _drifted(spark: SparkSession, root: str, mappings: Mapping[str, Mapping]) -> tuple[DataFrame, set[str]]:
+    """This run's contracts, and the feeds whose mapping changed under the same version (a row per feed)."""
+    rows = [(feed, str(m.get("schema_version", "1")), config_digest(m)) for feed, m in mappings.items()]
+    current = spark.createDataFrame(rows, CONTRACTS).withColumn("contract_digest", F.sha2("contract_digest", 256))
+    if not rows or not _exists(spark, f"{root}/contracts"):
+        return current, set()
+    known = spark.read.schema(CONTRACTS).parquet(f"{root}/contracts").distinct()
+    states = contract_drift(current, known).where(F.col("contract_state") == "DRIFTED").collect()
+    return current, {row["source"] for row in states}
+
+
 def publish_aggregates(
     spark: SparkSession,
     scans: Mapping[str, Split | Exception],
@@ -179,30 +198,34 @@ def publish_aggregates(
     root: str,
     run_id: str,
     allow_partial: bool = False,
+    mappings: Mapping[str, Mapping] | None = None,
 ) -> Published:
     """Accept or quarantine each source on its own, publish the union, keep the last good otherwise.
 
     ``scans`` holds the outcome of reading each source: a split, or the error.
-    A source is accepted when it has rows and no quarantined one. Checked rows of
-    all sources are staged in one pass; one aggregate over the staged table gives
-    the driver what it decides on. The accepted rows become current by one
-    appended pointer row, so a failed run leaves the previous table as it was.
+    ``mappings`` holds the configuration a source was read by; one that changed
+    while its ``schema_version`` stayed the same is drift, and its scan is not
+    even run. A source is accepted when it has rows and no quarantined one. The
+    rows of all sources are marked and staged in one pass; one aggregate over
+    the staged table gives the driver what it decides on. The accepted rows
+    become current by one appended pointer row, so a failed run leaves the
+    previous table, and the known contracts, as they were.
     """
-    staged = None
+    contracts, drifted = _drifted(spark, root, mappings or {})
+    clean, bad = None, None
     for feed, scan in scans.items():
-        if isinstance(scan, Exception):
+        if isinstance(scan, Exception) or feed in drifted:
             continue
-        checked = check_aggregates(scan.clean)
-        rows = checked.clean.withColumn("reason_code", F.lit(None).cast("string"))
-        rows = rows.unionByName(checked.quarantine, allowMissingColumns=True)
-        rows = rows.unionByName(scan.quarantine.select("reason_code"), allowMissingColumns=True)
-        rows = rows.withColumn("feed", F.lit(feed))
-        staged = rows if staged is None else staged.unionByName(rows)
-    found = {}
-    if staged is not None:
+        rows = scan.clean.withColumn("feed", F.lit(feed))
+        aside = scan.quarantine.select(F.lit(feed).alias("feed"), "reason_code")
+        clean = rows if clean is None else clean.unionByName(rows)
+        bad = aside if bad is None else bad.unionByName(aside)
+    found, staged = {}, None
+    if clean is not None:
         place = f"{root}/staged/{run_id}"
-        staged.write.mode("errorifexists").partitionBy("feed").parquet(place)
-        staged = spark.read.schema(staged.schema).parquet(place)
+        marked = mark_aggregates(clean, within=["feed"]).unionByName(bad, allowMissingColumns=True)
+        marked.write.mode("errorifexists").partitionBy("feed").parquet(place)
+        staged = spark.read.schema(marked.schema).parquet(place)
         # one row per feed
         per_feed = staged.groupBy("feed").agg(
             F.count_if(F.col("reason_code").isNull()).alias("good"), F.min("reason_code").alias("problem")
@@ -211,7 +234,10 @@ def publish_aggregates(
     outcome = []
     for feed, scan in scans.items():
         row = found.get(feed)
-        problem = str(scan)[:500] if isinstance(scan, Exception) else "EMPTY" if row is None else row["problem"]
+        if feed in drifted:
+            problem = "CONTRACT_DRIFT"
+        else:
+            problem = str(scan) if isinstance(scan, Exception) else "EMPTY" if row is None else row["problem"]
         state = "accepted" if problem is None else "quarantined"
         outcome.append((feed, state, row["good"] if problem is None else 0, problem))
     sources = spark.createDataFrame(outcome, "source string, status string, rows long, error string")
@@ -220,13 +246,17 @@ def publish_aggregates(
     path, rows = None, 0
     if status == "fresh" or (status == "partial" and allow_partial):
         merged = staged.where(F.col("feed").isin(*accepted)).drop("feed", "reason_code")
-        if check_aggregates(merged).quarantine.first() is not None:
+        # every row passed the rules in its source; what is left is a key that two sources share
+        shared = merged.groupBy(*AGGREGATE_KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+        if shared.first() is not None:
             status = "stale"
         else:
             path, rows = f"{root}/versions/{run_id}", sum(n for _, _, n, _ in outcome)
             merged.write.mode("errorifexists").parquet(path)
             pointer = spark.createDataFrame([(run_id, path, rows)], "run_id string, path string, rows long")
             pointer.write.mode("append").parquet(f"{root}/current")
+            if mappings:
+                contracts.where(F.col("source").isin(*accepted)).write.mode("append").parquet(f"{root}/contracts")
     report = sources.withColumn("run_status", F.lit(status)).withColumn("run_id", F.lit(run_id))
     report.write.mode("append").parquet(f"{root}/status")
     return Published(status, rows, path, sources)

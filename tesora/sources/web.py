@@ -2,39 +2,60 @@
 
 from __future__ import annotations
 
+import html as entities
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# File extensions of official publications, and the common character references.
+# File extensions of official publications.
 OFFICIAL_EXTENSIONS = (".xls", ".xlsx", ".docx")
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
 
 _ANCHOR = r"(?is)(<a\b[^>]*\bhref\s*=[^>]*>.*?</a\s*>)"
 _HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))"""
+_REFERENCE = re.compile("&(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);")
 
 
-def unescape(c: Column) -> Column:
-    """Common character references as characters, the ampersand last."""
-    for name, char in ENTITIES.items():
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+@F.pandas_udf(T.StringType())
+def unescape(texts: pd.Series) -> pd.Series:
+    """All character references that end in a semicolon as characters."""
+    return texts.map(lambda t: t if t is None or "&" not in t else _REFERENCE.sub(lambda m: entities.unescape(m[0]), t))
 
 
 def _href_and_title(anchor: Column) -> Column:
     # the three quoting forms are exclusive, so joining the groups gives the one that matched
     href = F.concat(*[F.regexp_extract(anchor, _HREF, i) for i in (1, 2, 3)])
     inner = F.regexp_replace(F.regexp_replace(anchor, r"(?is)^<a\b[^>]*>", ""), r"(?is)<[^>]*>", " ")
-    title = F.trim(F.regexp_replace(unescape(inner), r"[\s\u00a0]+", " "))
-    return F.struct(F.trim(unescape(href)).alias("href"), title.alias("title"))
-
-
-def anchors(html: Column | str) -> Column:
-    """Array of (href, title), one entry per anchor with a target."""
-    html = F.col(html) if isinstance(html, str) else html
-    found = F.transform(F.regexp_extract_all(html, F.lit(_ANCHOR), F.lit(1)), _href_and_title)
-    return F.filter(found, lambda a: a["href"] != "")
+    return F.struct(href.alias("href"), inner.alias("title"))
+
+
+def anchors(pages: DataFrame, *, page: str = "url", html: str = "html") -> DataFrame:
+    """(page, href, title), one row per anchor with a target, character references resolved."""
+    found = F.transform(F.regexp_extract_all(F.col(html), F.lit(_ANCHOR), F.lit(1)), _href_and_title)
+    raw = pages.select(F.col(page).alias("page"), F.inline(found))
+    plain = raw.select("page", unescape("href").alias("href"), unescape("title").alias("title"))
+    title = F.trim(F.regexp_replace("title", r"[\s\u00a0]+", " "))
+    return plain.select("page", F.trim("href").alias("href"), title.alias("title")).where("href <> ''")
+
+
+def _without_dots(url: Column) -> Column:
+    """``.`` and ``..`` folder names resolved, however many there are; the site is never left."""
+    site = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
+    rest = F.substring(url, F.length(site) + F.length(path) + 1, F.length(url))
+    names = F.split(path, "/")
+    kept = F.aggregate(
+        F.slice(names, 2, F.size(names)),
+        F.array(F.lit("")),
+        lambda out, name: F.when(name == ".", out)
+        .when(name == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(1))))
+        .otherwise(F.concat(out, F.array(name))),
+    )
+    ends = F.when(F.element_at(names, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.when(path.contains("/."), F.concat(site, F.array_join(F.concat(kept, ends), "/"), rest)).otherwise(url)
 
 
 def absolute_url(page: Column | str, href: Column | str) -> Column:
@@ -54,10 +75,7 @@ def absolute_url(page: Column | str, href: Column | str) -> Column:
         .when(href.startswith("?"), F.concat(site, path, href))
         .otherwise(F.concat(site, folder, href))
     )
-    dotted = F.regexp_replace(joined, r"/\./", "/")
-    for _ in range(4):  # each pass removes one "folder/.." level
-        dotted = F.regexp_replace(dotted, r"(?<=[^:/])/[^/?#]+/\.\./", "/")
-    return dotted
+    return joined
 
 
 def extension(url: Column | str) -> Column:
@@ -90,14 +108,9 @@ def discover_links(
 
     Links repeated on a third of all pages are collapsed before the shuffle.
     """
-    # array steps, so that each part of an address is worked out once per link
-    linked = F.transform(
-        anchors(html), lambda a: F.struct(absolute_url(F.col(page), a["href"]).alias("url"), a["title"].alias("title"))
-    )
-    typed = F.transform(
-        linked, lambda a: F.struct(a["url"].alias("url"), a["title"].alias("title"), extension(a["url"]).alias("extension"))
-    )
-    links = pages.select(F.inline(typed))
+    found = anchors(pages, page=page, html=html)
+    links = found.select(absolute_url("page", "href").alias("url"), "title")
+    links = links.withColumn("url", _without_dots(F.col("url"))).withColumn("extension", extension("url"))
     if extensions is not None:
         links = links.where(F.col("extension").isin(*[e.lower() for e in extensions]))
     if hosts is not None:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-import re
+import posixpath
 import zipfile
 from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
@@ -22,58 +22,88 @@ BASE_WORDS = ("налоговые и неналоговые доходы",)
 SERVICE_WORDS = ("обслуживание", "долг")
 THOUSANDS_WORDS = ("тыс", "руб")
 DEBT_SENTENCE = r"(?i)на\s+01\.01\.(20\d{2})\s+в\s+объеме\s+([0-9 \u00a0]+,[0-9]{2})"
+# Defaults of two parameters: rows in which a header and a unit are looked for.
 HEADER_ROWS = 25
 UNIT_ROWS = 20
 
 CELLS = "path string, row int, col int, text string, num double, problem string"
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
-def _column_number(ref: str) -> int:
-    letters = re.match(r"[A-Z]+", ref).group(0)
-    n = 0
-    for ch in letters:
-        n = n * 26 + ord(ch) - 64
-    return n - 1
+def _place(ref: str | None, after: int) -> int:
+    """Column of a cell reference in base 26; a cell without one follows its neighbour."""
+    letters = (ref or "").rstrip("0123456789")
+    if not letters:
+        return after + 1
+    return sum((ord(letter) - 64) * 26**i for i, letter in enumerate(reversed(letters))) - 1
 
 
-def _sheet_cells(content: bytes) -> Iterator[tuple[int, int, str | None, float | None]]:
-    """Non-empty cells of the first sheet; stored results of formulas are read as they are."""
+def _finished(stream, tag: str) -> Iterator[ElementTree.Element]:
+    """Elements of one name as they end, each forgotten afterwards: a sheet is never whole in memory."""
+    steps = ElementTree.iterparse(stream, events=("start", "end"))
+    _, root = next(steps)
+    for event, element in steps:
+        if event == "end" and element.tag == _NS + tag:
+            yield element
+            element.clear()
+            root.clear()
+
+
+def _all_text(element: ElementTree.Element) -> str:
+    return "".join(t.text or "" for t in element.iter(_NS + "t"))
+
+
+def _sheet_member(book: zipfile.ZipFile, sheet: str | int) -> str:
+    """The archive member of a sheet, by its name or its place in the workbook."""
+    listed = book.namelist()
+    if "xl/workbook.xml" not in listed:
+        return "xl/worksheets/sheet1.xml"
+    sheets = [(s.get("name"), s.get(_REL + "id")) for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(_NS + "sheet")]
+    relation = dict(sheets)[sheet] if isinstance(sheet, str) else sheets[sheet][1]
+    targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+    return posixpath.normpath(posixpath.join("/xl", targets[relation])).lstrip("/")
+
+
+def _number(stored: str) -> tuple[str, float | None]:
+    try:
+        num = float(stored)
+    except ValueError:
+        return stored, None
+    return (str(int(num)) if num.is_integer() else str(num)), num
+
+
+def _sheet_cells(content: bytes, sheet: str | int = 0) -> Iterator[tuple[int, int, str | None, float | None]]:
+    """Non-empty cells of one sheet; stored results of formulas are read as they are."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
-        shared: list[str] = []
+        member, common = _sheet_member(book, sheet), []
         if "xl/sharedStrings.xml" in book.namelist():
-            for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).findall(f"{_NS}si"):
-                shared.append("".join(t.text or "" for t in item.iter(f"{_NS}t")))
-        sheet = ElementTree.fromstring(book.read("xl/worksheets/sheet1.xml"))
-    for r, row in enumerate(sheet.iter(f"{_NS}row")):
-        for cell in row.findall(f"{_NS}c"):
-            kind, stored = cell.get("t"), cell.find(f"{_NS}v")
-            text = None if stored is None else stored.text
-            if kind == "inlineStr":
-                text = "".join(t.text or "" for t in cell.iter(f"{_NS}t"))
-            if text is None:
-                continue
-            num = None
-            if kind == "s":
-                text = shared[int(text)]
-            elif kind == "b":
-                text, num = ("True", 1.0) if text == "1" else ("False", 0.0)
-            elif kind != "inlineStr":
-                try:
-                    num = float(text)
-                    text = str(int(num)) if num.is_integer() else str(num)
-                except ValueError:
-                    num = None
-            yield r, _column_number(cell.get("r", "A1")), text, num
-
-
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            with book.open("xl/sharedStrings.xml") as stream:
+                common = [_all_text(item) for item in _finished(stream, "si")]
+        readers = {
+            "s": lambda v: (common[int(v)], None),
+            "b": lambda v: ("True", 1.0) if v == "1" else ("False", 0.0),
+        }
+        with book.open(member) as stream:
+            for r, row in enumerate(_finished(stream, "row")):
+                at = -1
+                for cell in row.iter(_NS + "c"):
+                    at = _place(cell.get("r"), at)
+                    if cell.get("t") == "inlineStr":
+                        yield r, at, _all_text(cell), None
+                        continue
+                    stored = cell.findtext(_NS + "v")
+                    if stored:
+                        yield r, at, *readers.get(cell.get("t"), _number)(stored)
+
+
+def _scan(batches: Iterator[pd.DataFrame], sheet: str | int = 0) -> Iterator[pd.DataFrame]:
     names = ["path", "row", "col", "text", "num", "problem"]
     rows: list[tuple] = []
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
             try:
-                for cell in _sheet_cells(content):
+                for cell in _sheet_cells(content, sheet):
                     rows.append((path, *cell, None))
                     if len(rows) >= 20_000:
                         yield pd.DataFrame(rows, columns=names).astype({"num": "float64"})
@@ -84,9 +114,12 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=names).astype({"num": "float64"})
 
 
-def workbook_cells(files: DataFrame) -> Split:
-    """Long cells of a fleet of workbooks; files that are no xlsx (such as .xls) go aside."""
-    cells = files.select("path", "content").mapInPandas(_scan, CELLS)
+def workbook_cells(files: DataFrame, *, sheet: str | int = 0) -> Split:
+    """Long cells of one sheet, by name or place, of a fleet of workbooks.
+
+    Files that are no xlsx (such as .xls) or lack the sheet go aside.
+    """
+    cells = files.select("path", "content").mapInPandas(lambda batches: _scan(batches, sheet), CELLS)
     return Split(
         cells.where(F.col("problem").isNull()).drop("problem"),
         cells.where(F.col("problem").isNotNull()).select("path", F.col("problem").alias("reason_code")),
@@ -111,127 +144,134 @@ def _has(label: Column, words: Sequence[str]) -> Column:
     return out
 
 
-def row_labels(cells: DataFrame, doc: Sequence[str]) -> DataFrame:
-    """Joined text of every row (a sheet row has a bounded number of cells)."""
-    parts = cells.withColumn("_t", _clean(F.col("text"))).where(F.col("_t") != "")
-    rows = parts.groupBy(*doc, "row").agg(F.sort_array(F.collect_list(F.struct("col", "_t"))).alias("c"))
-    label = F.array_join(F.transform("c", lambda x: x["_t"]), " | ")
-    return rows.select(*doc, "row", label.alias("label")).withColumn("plain", _plain(F.col("label")))
-
+def _sheet_rows(cells: DataFrame, on: Sequence[str], years: Sequence[int], header_rows: int) -> DataFrame:
+    """One row per sheet row: joined label, (col, amount) of its numbers, and (col, year) if it may be the header.
 
-def unit_scale(cells: DataFrame, doc: Sequence[str]) -> DataFrame:
-    """1000 when the first rows mention thousands of roubles, otherwise 1."""
-    head = cells.where(F.col("row") < UNIT_ROWS).withColumn("_p", _plain(_clean(F.col("text"))))
+    A sheet row has a bounded number of cells, which are collected once.
+    """
+    rows = cells.groupBy(*on, "row").agg(F.sort_array(F.collect_list(F.struct("col", "text", "num"))).alias("c"))
+    words = F.filter(F.transform("c", lambda x: _clean(x["text"])), lambda t: t != "")
+    amounts = F.transform("c", lambda x: F.struct(x["col"].alias("col"), F.coalesce(x["num"], parse_number(x["text"])).alias("amount")))
+    named = [
+        F.struct(F.lit(int(y)).alias("year"), F.array_max(F.transform(F.filter("c", lambda x: x["text"].rlike(rf"(?<!\d){y}(?!\d)")), lambda x: x["col"])).alias("col"))
+        for y in years
+    ]
+    head = F.when(F.col("row") < header_rows, F.filter(F.array(*named), lambda h: h["col"].isNotNull()))
+    label = F.array_join(words, " | ")
+    return rows.select(
+        *on, "row", "c", label.alias("label"), _plain(label).alias("plain"),
+        F.filter(amounts, lambda x: x["amount"].isNotNull()).alias("amounts"), F.coalesce(head, F.expr("slice(array(named_struct('year', 0, 'col', 0)), 1, 0)")).alias("head"),
+    )
+
+
+def _header() -> Column:
+    """The row naming most of the years, the first such row."""
+    n = F.size("head")
+    return F.min(F.when(n > 0, F.struct((-n).alias("missed"), F.col("row"), F.col("head")))).alias("best")
+
+
+def _amount_at(amounts: Column, col: Column) -> Column:
+    return F.get(F.transform(F.filter(amounts, lambda x: x["col"] == col), lambda x: x["amount"]), F.lit(0))
+
+
+def unit_scale(cells: DataFrame, doc: Sequence[str], *, rows: int = UNIT_ROWS) -> DataFrame:
+    """1000 when the first ``rows`` rows mention thousands of roubles, otherwise 1; one row per document."""
+    head = cells.withColumn("_p", F.when(F.col("row") < rows, _plain(_clean(F.col("text")))))
     said = [F.max(F.col("_p").contains(w)) for w in THOUSANDS_WORDS]
     return head.groupBy(*doc).agg(F.when(said[0] & said[1], 1000.0).otherwise(1.0).alias("unit_scale"))
 
 
-def year_columns(cells: DataFrame, doc: Sequence[str], years: Sequence[int] = ADOPTED_YEARS) -> DataFrame:
-    """Column of every year: the header row naming most of the years, the first such row."""
-    head = cells.where(F.col("row") < HEADER_ROWS)
-    named = F.array(*[F.when(F.col("text").rlike(rf"(?<!\d){y}(?!\d)"), F.lit(int(y))) for y in years])
-    hits = head.select(*doc, "row", "col", F.explode(F.array_compact(named)).alias("year"))
-    per = hits.groupBy(*doc, "row", "year").agg(F.max("col").alias("col"))
-    counts = per.groupBy(*doc, "row").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy(*doc).agg(F.min(F.struct((-F.col("n")).alias("m"), F.col("row"))).alias("b"))
-    best = best.select(*doc, F.col("b.row").alias("row"), (-F.col("b.m")).alias("n_years"))
-    return per.join(best, [*doc, "row"]).select(*doc, "year", "col", "n_years")
-
-
-def year_values(cells: DataFrame, columns: DataFrame, doc: Sequence[str]) -> DataFrame:
-    """Numbers standing in the year columns: one row per sheet row and year."""
-    value = F.coalesce("num", parse_number("text"))
-    joined = cells.join(columns, [*doc, "col"])
-    return joined.select(*doc, "row", "year", "n_years", value.alias("amount")).where(F.col("amount").isNotNull())
-
-
-def _shortest(rows: DataFrame, doc: Sequence[str]) -> DataFrame:
-    by = F.struct(F.length("label").alias("n"), F.col("row"))
-    return rows.groupBy(*doc).agg(F.min(by).alias("b")).select(*doc, F.col("b.row").alias("row"))
-
-
 def adopted_budget(
-    cells: DataFrame, *, doc: Sequence[str] = ("municipality_name",), part: str = "part", years: Sequence[int] = ADOPTED_YEARS
+    cells: DataFrame,
+    *,
+    doc: Sequence[str] = ("municipality_name",),
+    part: str = "part",
+    years: Sequence[int] = ADOPTED_YEARS,
+    header_rows: int = HEADER_ROWS,
 ) -> Split:
     """Adopted budget per document and year, from revenue, financing and expenditure sheets.
 
-    ``part`` names the sheet (``revenue``, ``financing``, ``expenditure``).
-    Documents lacking a required row or number go aside.
+    ``part`` names the sheet (``revenue``, ``financing``, ``expenditure``); its
+    header is looked for in the first ``header_rows`` rows. Every document comes
+    out with every year: clean, or aside with what it lacks.
     """
-    on = [*doc, part]
-    labels = row_labels(cells, on)
-    values = year_values(cells, year_columns(cells, on, years), on)
-    complete = values.groupBy(*on, "row").agg(F.count(F.lit(1)).alias("n"), F.max("n_years").alias("n_years"))
-    complete = complete.where(F.col("n") == F.col("n_years")).select(*on, "row")
-
-    totals = labels.where(F.col("plain").contains(TOTAL_WORD)).join(complete, [*on, "row"], "left_semi")
-    picked = _shortest(totals, on).withColumn("measure", F.lit("total"))
-    for measure, sheet, words in (("base", "revenue", BASE_WORDS), ("service", "expenditure", SERVICE_WORDS)):
-        rows = labels.where((F.col(part) == sheet) & _has(F.col("plain"), words))
-        picked = picked.unionByName(_shortest(rows, on).withColumn("measure", F.lit(measure)))
-    # one row per sheet and measure joined to its yearly numbers
-    found = picked.join(values, [*on, "row"])
-    pick = lambda p, m: F.max(F.when((F.col(part) == p) & (F.col("measure") == m), F.col("amount")))
-    flat = found.groupBy(*doc, "year").agg(
-        pick("revenue", "total").alias("total_revenue"),
-        pick("revenue", "base").alias("revenue_base"),
-        pick("expenditure", "total").alias("expenditure"),
-        pick("financing", "total").alias("financing_total"),
-        pick("expenditure", "service").alias("service"),
-    )
-    plain = F.col("plain")
+    c, plain, on = F.col, F.col("plain"), [*doc, part]
     sale = plain.contains("продаж") & (plain.contains("акци") | plain.contains("участи") | plain.contains("капитал"))
-    special = labels.where((F.col(part) == "financing") & (_has(plain, ("изменен", "остат")) | sale))
-    extra = (
-        special.join(values, [*on, "row"])
-        .groupBy(*doc, "year")
-        .agg(F.sum(F.greatest(F.col("amount"), F.lit(0.0))).alias("eligible_exceptions"))
+    marks = {
+        "total": plain.contains(TOTAL_WORD),
+        "base": (c(part) == "revenue") & _has(plain, BASE_WORDS),
+        "service": (c(part) == "expenditure") & _has(plain, SERVICE_WORDS),
+        "special": (c(part) == "financing") & (_has(plain, ("изменен", "остат")) | sale),
+    }
+    rows = _sheet_rows(cells, on, years, header_rows).withColumns(marks)
+    wanted = c("total") | c("base") | c("service") | c("special")
+    line = F.when(wanted, F.struct(F.length("label").alias("n"), "row", "amounts", *marks))
+    sheets = rows.groupBy(*on).agg(_header(), F.sort_array(F.collect_list(line)).alias("lines"))
+    sheets = sheets.withColumn("head", F.col("best.head"))
+    yearly = lambda x: F.transform("head", lambda h: _amount_at(x["amounts"], h["col"]))
+    whole = lambda x: F.forall(yearly(x), lambda a: a.isNotNull())
+    first = lambda test: F.get(F.transform(F.filter("lines", test), yearly), F.lit(0))
+    # lines are sorted by the length of their label, so the first one is the shortest
+    found = sheets.select(
+        *on,
+        "head",
+        first(lambda x: x["total"] & whole(x)).alias("total"),
+        first(lambda x: x["base"]).alias("base"),
+        first(lambda x: x["service"]).alias("service"),
+        F.transform(F.filter("lines", lambda x: x["special"]), yearly).alias("special"),
     )
-    c = F.col
-    out = flat.join(extra, [*doc, "year"], "left").select(
-        *doc,
-        "year",
-        "total_revenue",
-        "revenue_base",
-        (c("total_revenue") - c("revenue_base")).alias("transfers"),
-        "expenditure",
-        F.abs("financing_total").alias("financing_sources"),
-        F.coalesce("eligible_exceptions", F.lit(0.0)).alias("eligible_exceptions"),
-        F.coalesce("service", F.lit(0.0)).alias("debt_service"),
+    dated = found.withColumn("year", F.explode(F.array(*[F.lit(int(y)) for y in years])))
+    dated = dated.withColumn("at", F.array_position(F.transform("head", lambda h: h["year"]), c("year")).cast("int"))
+    pick = lambda name: F.when(c("at") > 0, F.try_element_at(c(name), c("at")))
+    above = F.transform("special", lambda a: F.greatest(F.coalesce(F.try_element_at(a, c("at")), F.lit(0.0)), F.lit(0.0)))
+    extra = F.when(c("at") > 0, F.aggregate(above, F.lit(0.0), lambda x, y: x + y))
+    flat = dated.select(*on, "year", c("at").isNotNull().alias("headed"), *[pick(n).alias(n) for n in ("total", "base", "service")], extra.alias("extra"))
+    of = lambda sheet, name: F.max(F.when(c(part) == sheet, c(name)))
+    out = flat.groupBy(*doc, "year").agg(
+        F.max("headed").alias("headed"),
+        of("revenue", "total").alias("total_revenue"),
+        of("revenue", "base").alias("revenue_base"),
+        of("expenditure", "total").alias("expenditure"),
+        F.abs(of("financing", "total")).alias("financing_sources"),
+        F.coalesce(of("financing", "extra"), F.lit(0.0)).alias("eligible_exceptions"),
+        F.coalesce(of("expenditure", "service"), F.lit(0.0)).alias("debt_service"),
+    )
+    out = out.withColumns(
+        {"transfers": c("total_revenue") - c("revenue_base"), "deficit": F.greatest(c("expenditure") - c("total_revenue"), F.lit(0.0))}
     )
-    out = out.withColumn("deficit", F.greatest(c("expenditure") - c("total_revenue"), F.lit(0.0)))
     needed = ("total_revenue", "revenue_base", "expenditure", "financing_sources")
-    gap = F.coalesce(*[F.when(c(n).isNull(), F.lit(f"MISSING_{n.upper()}")) for n in needed])
-    marked = out.withColumn("reason_code", gap)
+    gap = F.coalesce(F.when(~c("headed"), "MISSING_HEADER"), *[F.when(c(n).isNull(), F.lit(f"MISSING_{n.upper()}")) for n in needed])
+    amounts = ("total_revenue", "revenue_base", "transfers", "expenditure", "financing_sources", "eligible_exceptions", "debt_service", "deficit")
+    marked = out.select(*doc, "year", *amounts, gap.alias("reason_code"))
     return Split(marked.where(c("reason_code").isNull()).drop("reason_code"), marked.where(c("reason_code").isNotNull()))
 
 
 def expenditure_sections(
-    cells: DataFrame, *, doc: Sequence[str] = ("municipality_name",), years: Sequence[int] = ADOPTED_YEARS
-) -> DataFrame:
-    """Two-digit section rows: code, the next text cell as name, first amount per year and code."""
-    text = _clean(F.col("text"))
-    rows = cells.withColumn("_t", text)
-    code = (
-        rows.where(F.col("_t").rlike("^[0-9]{2}$"))
-        .groupBy(*doc, "row")
-        .agg(F.min(F.struct("col", "_t")).alias("c"))
-        .select(*doc, "row", F.col("c.col").alias("code_col"), F.col("c._t").alias("section_code"))
-    )
-    words = rows.where((F.col("_t") != "") & parse_number("_t").isNull() & ~F.col("_t").rlike("^[0-9]+$"))
-    name = (
-        words.join(code, [*doc, "row"])
-        .where(F.col("col") > F.col("code_col"))
-        .groupBy(*doc, "row", "section_code")
-        .agg(F.min(F.struct("col", "_t")).alias("c"))
-        .select(*doc, "row", "section_code", F.col("c._t").alias("section_name"))
-    )
-    values = year_values(cells, year_columns(cells, doc, years), doc)
-    joined = name.join(values, [*doc, "row"])
-    first = joined.groupBy(*doc, "year", "section_code").agg(
-        F.min(F.struct("row", "section_name", "amount")).alias("f")
-    )
-    return first.select(*doc, "year", "section_code", "f.section_name", "f.amount")
+    cells: DataFrame,
+    *,
+    doc: Sequence[str] = ("municipality_name",),
+    years: Sequence[int] = ADOPTED_YEARS,
+    header_rows: int = HEADER_ROWS,
+) -> Split:
+    """Two-digit section rows: code, the next text cell as name, first amount per year and code.
+
+    Documents without a header or without any section go aside.
+    """
+    rows = _sheet_rows(cells, doc, years, header_rows)
+    text = F.transform("c", lambda x: F.struct(x["col"].alias("col"), _clean(x["text"]).alias("t")))
+    code = F.get(F.filter(text, lambda x: x["t"].rlike("^[0-9]{2}$")), F.lit(0))
+    rows = rows.withColumns({"text": text, "code": code})
+    is_name = lambda x: (x["col"] > F.col("code.col")) & (x["t"] != "") & parse_number(x["t"]).isNull() & ~x["t"].rlike("^[0-9]+$")
+    rows = rows.withColumn("name", F.get(F.filter("text", is_name), F.lit(0))["t"])
+    line = F.when(F.col("name").isNotNull(), F.struct("row", F.col("code.t").alias("code"), "name", "amounts"))
+    sheets = rows.groupBy(*doc).agg(_header(), F.collect_list(line).alias("lines"))
+    both = sheets.select(*doc, F.col("best.head").alias("head"), F.explode("lines").alias("x")).select(*doc, "x", F.explode("head").alias("h"))
+    amount = _amount_at(F.col("x.amounts"), F.col("h.col"))
+    found = both.select(*doc, F.col("h.year").alias("year"), F.col("x.code").alias("section_code"), F.struct("x.row", "x.name", amount.alias("amount")).alias("f"))
+    first = found.where("f.amount is not null").groupBy(*doc, "year", "section_code").agg(F.min("f").alias("f"))
+    clean = first.select(*doc, "year", "section_code", F.col("f.name").alias("section_name"), F.col("f.amount").alias("amount"))
+    why = F.when(F.col("best").isNull(), "MISSING_HEADER").when(F.size("lines") == 0, "MISSING_SECTIONS")
+    return Split(clean, sheets.select(*doc, why.alias("reason_code")).where("reason_code is not null"))
 
 
 # ---- decision text -----------------------------------------------------------

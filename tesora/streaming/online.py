@@ -174,12 +174,15 @@ def revision_writer(path: str, keys: Sequence[str], version: str = "available_at
 
 
 def start_revisions(
-    facts: DataFrame, *, path: str, checkpoint: str, keys: Sequence[str], version: str = "available_at", delay: str = "30 days"
+    facts: DataFrame, *, path: str, checkpoint: str, keys: Sequence[str], version: str = "available_at"
 ):
-    """Stream of facts to versioned folders; exact repeats within the delay are dropped."""
-    unique = facts.withWatermark(version, delay).dropDuplicatesWithinWatermark([*keys, version])
+    """Stream of facts to versioned folders, however late they are.
+
+    Each batch keeps the newest version per key and readers pick the newest over
+    all batches, so repeats are harmless and no state or watermark is needed.
+    """
     return (
-        unique.writeStream.foreachBatch(revision_writer(path, keys, version))
+        facts.writeStream.foreachBatch(revision_writer(path, keys, version))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

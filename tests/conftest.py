@@ -11,8 +11,9 @@ from tesora.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     conf = {
+        "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}",
         "spark.sql.shuffle.partitions": "4",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "4g",

@@ -71,11 +71,25 @@ def test_zipped_export(spark, tmp_path):
         return buffer.getvalue()
 
     path = folder(tmp_path, a__zip=pack("x.CSV", "readme.txt"))
-    row = dl.scan_zipped_export(spark, path, ["period", "value"]).first()
+    row = dl.scan_zipped_export(spark, path, ["period", "value"]).clean.first()
     assert (row["period"], row["value"]) == ("2024-01-01", "5")
     (tmp_path / "b.zip").write_bytes(pack("x.csv", "y.csv"))
-    with pytest.raises(Exception, match="expected one CSV"):
-        dl.scan_zipped_export(spark, path, ["period", "value"]).collect()
+    (tmp_path / "c.zip").write_bytes(b"no archive")
+    parts = dl.scan_zipped_export(spark, path, ["period", "value"])
+    assert parts.clean.count() == 1
+    assert {r["path"].rsplit("/", 1)[1]: r["reason_code"] for r in parts.quarantine.collect()} == {"b.zip": "NOT_ONE_CSV", "c.zip": "BAD_ARCHIVE"}
+
+
+def test_uploads_that_break_the_usual_reader(spark, tmp_path):
+    """Very long fields and every kind of line end are read; one bad file does not stop the others."""
+    path = folder(
+        tmp_path, long__csv="name;n\n" + "x" * 200_000 + ";1\n", mac__csv="name;n\ra;2\rb;3\r", dos__csv="name;n\r\nc;4\r\n", bad__csv=b"\xff\xfe\x98;n\n"
+    )
+    records = dl.scan_unknown_encoding(spark, path, encodings=("utf-8",))
+    got = sorted((len(r["name"]), r["n"]) for r in dl.rows_with_header(records, ["name", "n"]).collect())
+    assert got == [(1, "2"), (1, "3"), (1, "4"), (200_000, "1")]
+    assert [r["problem"] for r in records.where("problem is not null").collect()] == ["UNREADABLE_TEXT"]
+    assert "Join" not in dl.rows_with_header(records, ["n"])._jdf.queryExecution().executedPlan().toString()
 
 
 def test_unknown_encodings(spark, tmp_path):
@@ -158,10 +172,42 @@ def test_adopted_budget(spark):
     assert {r["reason_code"] for r in wb.adopted_budget(bad).quarantine.collect()} == {"MISSING_REVENUE_BASE"}
 
 
+def test_budgets_without_a_usable_header_go_aside(spark):
+    low = {k: [["x"]] * 30 + v for k, v in SHEETS.items()}
+    for sheets in (low, {k: v[-1:] for k, v in SHEETS.items()}):
+        parts = wb.adopted_budget(cells(spark, sheets))
+        assert parts.clean.count() == 0
+        assert {(r["year"], r["reason_code"]) for r in parts.quarantine.collect()} == {(y, "MISSING_HEADER") for y in wb.ADOPTED_YEARS}
+    assert wb.adopted_budget(cells(spark, low), header_rows=40).clean.count() == 3
+    untotalled = {**SHEETS, "expenditure": SHEETS["expenditure"][:4]}
+    assert {r["reason_code"] for r in wb.adopted_budget(cells(spark, untotalled)).quarantine.collect()} == {"MISSING_EXPENDITURE"}
+    expense = lambda sheets: cells(spark, sheets).where("part = 'expenditure'").drop("part")
+    assert wb.expenditure_sections(expense(low)).quarantine.first()["reason_code"] == "MISSING_HEADER"
+    headed = {"expenditure": [SHEETS["expenditure"][0], SHEETS["expenditure"][4]]}
+    assert wb.expenditure_sections(expense(headed)).quarantine.first()["reason_code"] == "MISSING_SECTIONS"
+    assert wb.expenditure_sections(expense(SHEETS)).quarantine.count() == 0
+
+
+def test_sheets_are_found_through_the_workbook(spark, tmp_path):
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    sheet = lambda v: f"<worksheet {ns}><sheetData><row><c><v>{v}</v></c><c><v>8</v></c></row></sheetData></worksheet>"
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="Итог" r:id="rId2"/><sheet name="Data" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="/xl/worksheets/other.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet(1))
+        z.writestr("xl/worksheets/other.xml", sheet(2))
+    files = fl.binary_files(spark, folder(tmp_path, a__xlsx=buffer.getvalue()))
+    for which, value in ((0, 2.0), (1, 1.0), ("Data", 1.0), ("Итог", 2.0)):
+        got = {r["col"]: r["num"] for r in wb.workbook_cells(files, sheet=which).clean.collect()}
+        assert got == {0: value, 1: 8.0}
+    assert wb.workbook_cells(files, sheet="none").quarantine.count() == 1
+
+
 def test_sections_scale_and_outputs(spark):
     df = cells(spark, SHEETS)
     expense = df.where("part = 'expenditure'").drop("part")
-    sections = wb.expenditure_sections(expense)
+    sections = wb.expenditure_sections(expense).clean
     got = sorted((r["year"], r["section_code"], r["amount"]) for r in sections.collect())
     assert got[:2] == [(2025, "01", 70.0), (2025, "13", 5.0)] and len(got) == 6
     scale = wb.unit_scale(df.where("part = 'revenue'").drop("part"), ["municipality_name"])
@@ -241,6 +287,32 @@ def test_links(spark):
     assert check.first()["x"] is False
 
 
+def test_links_with_many_levels_and_named_references(spark):
+    html = """<a href="../../../../../x.xlsx">&laquo;A&raquo; &ndash; &#8470; 5</a><a href="./y/.././z/..">&copy=1</a><a href="/p/../../q/./r.xls?a=../b">R</a>"""
+    pages = spark.createDataFrame([("https://h/a/b/c/d/e/f/g.html", html)], "url string, html string")
+    got = {r["url"]: r["title"] for r in web.discover_links(pages, extensions=None).collect()}
+    assert got == {"https://h/a/x.xlsx": "«A» – № 5", "https://h/a/b/c/d/e/f/": "&copy=1", "https://h/q/r.xls?a=../b": "R"}
+
+
+def test_relative_paths_take_the_root_literally(spark):
+    rows = spark.createDataFrame([("file:/data/a+b (1)/x.csv",), ("file:///data/a+b (1)/y/z.csv",), ("/data/aab 1/q.csv",)], "path string")
+    got = [r["p"] for r in rows.select(fl.relative_path("path", "/data/a+b (1)").alias("p")).collect()]
+    assert got == ["x.csv", "y/z.csv", "/data/aab 1/q.csv"]
+
+
+def test_drift_closes_the_gate(spark):
+    root = shared_folder(spark, "test_drift")
+    good = scan(spark)
+    first = {"a": {"schema_version": "1", "columns": {"x": "y"}}, "b": {"schema_version": "1"}}
+    assert pb.publish_aggregates(spark, {"a": good}, root=root, run_id="1", mappings={"a": first["a"]}).status == "fresh"
+    changed = {"a": {"schema_version": "1", "columns": {"x": "z"}}}
+    out = pb.publish_aggregates(spark, {"a": good}, root=root, run_id="2", mappings=changed)
+    assert (out.status, [r["error"] for r in out.sources.collect()]) == ("stale", ["CONTRACT_DRIFT"])
+    raised = {"a": {**changed["a"], "schema_version": "2"}}
+    assert pb.publish_aggregates(spark, {"a": good}, root=root, run_id="3", mappings=raised).status == "fresh"
+    assert pb.publish_aggregates(spark, {"a": good}, root=root, run_id="4", mappings={"a": first["a"]}).status == "fresh"
+
+
 def test_record_store(spark):
     product = spark.createDataFrame([("Сургут", 2025, 1), ("Иной", 2024, 2)], "municipality_name string, year int, v int")
     coded = spark.createDataFrame([("Сургут", "71870000", "2025-01")], "object_name string, object_oktmo string, period string")

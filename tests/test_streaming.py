@@ -59,10 +59,11 @@ def test_hysteresis_equals_the_batch(spark):
 def test_revisions_keep_the_newest(spark):
     schema = "k string, available_at string, v int"
     first = spark.createDataFrame([("a", "2024-01-01", 1), ("a", "2024-01-01", 1), ("b", "2024-01-02", 5)], schema)
-    second = spark.createDataFrame([("a", "2024-01-10", 2), ("b", "2024-01-01", 4)], schema)
+    # key c is first seen 61 days behind key a
+    second = spark.createDataFrame([("a", "2024-03-10", 2), ("b", "2024-01-01", 4), ("c", "2024-01-09", 7)], schema)
     stamp = lambda df: df.withColumn("available_at", F.col("available_at").cast("timestamp"))
     root = shared_folder(spark, "test_revisions")
     facts = landed(spark, stamp(first), stamp(second))
     online.start_revisions(facts, path=f"{root}/facts", checkpoint=f"{root}/checkpoint", keys=["k"]).awaitTermination()
     got = {r["k"]: r["v"] for r in online.read_revisions(spark, f"{root}/facts", ["k"]).collect()}
-    assert got == {"a": 2, "b": 5}
+    assert got == {"a": 2, "b": 5, "c": 7}
