@@ -231,9 +231,26 @@ def too_short(lengths: DataFrame, *, n: str = "n_periods", min_train=24, horizon
     return lengths.where(F.col(n) < min_train + horizon + holdout)
 
 
-def assign_folds(panel: DataFrame, folds: DataFrame, *, keys: Sequence[str], period: str) -> DataFrame:
-    """Panel rows to TRAIN or TEST of every fold of their series (equi join plus range)."""
+def fold_sums(
+    panel: DataFrame, folds: DataFrame, *, keys: Sequence[str], period: str, value: str
+) -> DataFrame:
+    """Rows and total of the TRAIN and the TEST part of every fold, ``(keys, train_end, test_end, part, n_rows, total)``.
+
+    Sums along each series are taken once; a fold needs the two at its ends, so
+    no row is paired with the folds it belongs to. ``folds`` start at the first
+    period, as :func:`expanding_folds` makes them.
+    """
     by = Window.partitionBy(*keys).orderBy(period)
-    rows = panel.withColumn("pos", F.row_number().over(by) - 1)
-    joined = rows.join(folds, list(keys)).where(F.col("pos") < F.col("test_end"))
-    return joined.withColumn("part", F.when(F.col("pos") < F.col("train_end"), "TRAIN").otherwise("TEST"))
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    rows = panel.select(*keys, (F.row_number().over(by) - 1).alias("_pos"), F.sum(value).over(upto).alias("_sum"))
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("end"), (F.col("train_end") - 1).alias("at")), F.struct(F.lit(1).alias("end"), (F.col("test_end") - 1).alias("at"))))
+    cuts = folds.select(*keys, "train_end", "test_end", ends.alias("_cut"))
+    met = cuts.join(rows.withColumnRenamed("_pos", "_at"), [*[cuts[k] == rows[k] for k in keys], F.col("_cut.at") == F.col("_at")])
+    met = met.select(*[cuts[k] for k in keys], "train_end", "test_end", F.col("_cut.end").alias("_end"), "_sum")
+    both = met.groupBy(*keys, "train_end", "test_end").agg(
+        F.max(F.when(F.col("_end") == 0, F.col("_sum"))).alias("_train"), F.max(F.when(F.col("_end") == 1, F.col("_sum"))).alias("_all")
+    )
+    part = lambda name, n, total: F.struct(F.lit(name).alias("part"), n.cast("long").alias("n_rows"), total.alias("total"))
+    train = part("TRAIN", F.col("train_end"), F.col("_train"))
+    test = part("TEST", F.col("test_end") - F.col("train_end"), F.col("_all") - F.col("_train"))
+    return both.select(*keys, "train_end", "test_end", F.inline(F.array(train, test)))

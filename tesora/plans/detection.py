@@ -40,10 +40,39 @@ ph2 AS (SELECT *, p - least(0, min(p) OVER {_W}) AS ph_up, q - least(0, min(q) O
 ph AS (SELECT *, pos >= {warmup} AND (ph_up > {threshold} OR ph_down > {threshold}) AS page_hinkley_flag FROM ph2)"""
 
 
+def _pelt_sql(penalties, source: str = "panel", value: str = "spending_nominal", name: str = "pelt") -> str:
+    """The offline search as plain dynamic programming over its grid of five, without pruning."""
+    listed = ", ".join(f"({float(p)}::DOUBLE)" for p in penalties)
+    by = "oktmo, category_code"
+    return f"""{name}_x AS (SELECT {by}, {value} AS x, row_number() OVER (PARTITION BY {by} ORDER BY period_start) - 1 AS p, count(*) OVER (PARTITION BY {by}) AS n FROM {source}),
+{name}_d AS (SELECT {by}, a.n, a.p AS i, b.p AS j, (a.x - b.x) * (a.x - b.x) AS d FROM {name}_x a JOIN {name}_x b USING ({by})),
+{name}_s AS (SELECT {by}, median(d) AS scale FROM {name}_d WHERE i < j GROUP BY ALL),
+{name}_k AS (SELECT {by}, n, i // 5 AS bi, j // 5 AS bj,
+  sum(CASE WHEN i = j THEN 1.0 ELSE exp(-least(greatest(CASE WHEN scale > 0 THEN d / scale ELSE d END, 0.01), 100)) END) AS k FROM {name}_d JOIN {name}_s USING ({by}) GROUP BY ALL),
+{name}_e AS (SELECT DISTINCT {by}, n, least(e, n) AS e FROM (SELECT DISTINCT {by}, n FROM {name}_x WHERE p = 0 AND n >= 4), generate_series(5, n + 4, 5) g(e)),
+{name}_c AS (SELECT e.oktmo, e.category_code, e.n, e.e, s.s, sum(k) AS mass
+  FROM {name}_e e JOIN (SELECT DISTINCT {by}, bi * 5 AS s FROM {name}_k) s ON s.oktmo = e.oktmo AND s.category_code = e.category_code AND s.s <= e.e - 2 AND (s.s % 5 = 0)
+  JOIN {name}_k k ON k.oktmo = e.oktmo AND k.category_code = e.category_code AND k.bi * 5 >= s.s AND k.bj * 5 >= s.s AND k.bi * 5 < e.e AND k.bj * 5 < e.e GROUP BY ALL),
+{name}_l AS (SELECT {by}, n, e, (e + 4) // 5 AS step, list(e - s - mass / (e - s) ORDER BY s) AS costs FROM {name}_c GROUP BY ALL),
+{name}_r AS (
+  SELECT DISTINCT {by}, n, penalty, CAST(0 AS BIGINT) AS step, [0.0::DOUBLE] AS best, [CAST(-1 AS BIGINT)] AS came FROM {name}_e, (VALUES {listed}) q(penalty)
+  UNION ALL
+  SELECT {by}, n, penalty, t.step, list_append(best, list_min(t.total) + penalty), list_append(came, CAST(list_position(t.total, list_min(t.total)) - 1 AS BIGINT))
+  FROM (SELECT r.oktmo, r.category_code, r.n, r.penalty, l.step, r.best, r.came, list_transform(range(1, len(l.costs) + 1), lambda i: r.best[i] + l.costs[i]) AS total
+        FROM {name}_r r JOIN {name}_l l ON l.oktmo = r.oktmo AND l.category_code = r.category_code AND l.step = r.step + 1) t),
+{name}_f AS (SELECT {by}, penalty, came, step AS node FROM {name}_r WHERE step = (n + 4) // 5
+  UNION ALL SELECT {by}, penalty, came, came[node + 1] AS node FROM {name}_f WHERE came[node + 1] > 0),
+{name} AS (SELECT {by}, penalty, CAST(came[node + 1] * 5 AS INTEGER) AS break_pos FROM {name}_f WHERE came[node + 1] > 0)"""
+
+
 def _cusum(spark, sf, level, threshold=5.0):
     return dt.cusum(data.panel(spark, sf, level), keys=KEYS, **ORDER, threshold=threshold)
 
 
+def _pelt(spark, sf, penalties=(1.0,)):
+    return pelt_breaks(data.panel(spark, sf, "nation"), keys=KEYS, order="period_start", value="spending_nominal", penalties=penalties)
+
+
 def _page_hinkley(spark, sf, level, threshold=8.0):
     z = dt.baseline_standardize(data.panel(spark, sf, level), keys=KEYS, **ORDER).drop("pos")
     return dt.page_hinkley(z, keys=KEYS, order="period_start", value="z", threshold=threshold)
@@ -233,18 +262,24 @@ FROM (SELECT h, avg(CASE WHEN peak > h THEN 1.0 ELSE 0.0 END) AS rate FROM {peak
 
 @query(
     "threshold_choice",
-    f"""WITH {data.panel_sql('nation')}, {_z_sql('nation')}, {_cusum_sql(5.0)}, {_ph_sql(8.0)},
+    f"""WITH RECURSIVE {data.panel_sql('nation')}, {_z_sql('nation')}, {_cusum_sql(5.0)}, {_ph_sql(8.0)}, {_pelt_sql(dt.PELT_CANDIDATES)},
 cp AS (SELECT oktmo, category_code, max(greatest(abs(cusum_up), abs(cusum_down))) AS peak FROM cusum GROUP BY 1, 2),
-pp AS (SELECT oktmo, category_code, max(greatest(ph_up, ph_down)) AS peak FROM ph GROUP BY 1, 2)
+pp AS (SELECT oktmo, category_code, max(greatest(ph_up, ph_down)) AS peak FROM ph GROUP BY 1, 2),
+pc AS (SELECT penalty, count(DISTINCT (oktmo, category_code)) AS flagged FROM pelt GROUP BY 1),
+pr AS (SELECT h, coalesce(flagged, 0) / (SELECT count(DISTINCT (oktmo, category_code)) FROM panel)::DOUBLE AS rate
+  FROM (VALUES {", ".join(f"({c}::DOUBLE)" for c in dt.PELT_CANDIDATES)}) c(h) LEFT JOIN pc ON penalty = h)
 {_threshold_sql('CUSUM', 'cp', dt.CUSUM_CANDIDATES)}
-UNION ALL {_threshold_sql('PAGE_HINKLEY', 'pp', dt.PAGE_HINKLEY_CANDIDATES)}""",
+UNION ALL {_threshold_sql('PAGE_HINKLEY', 'pp', dt.PAGE_HINKLEY_CANDIDATES)}
+UNION ALL SELECT 'PELT', arg_min(h, CASE WHEN rate <= 0.4 THEN h ELSE 1e9 - h END), {r("arg_min(rate, CASE WHEN rate <= 0.4 THEN h ELSE 1e9 - h END)", 9)}, bool_or(rate <= 0.4) FROM pr""",
 )
 def threshold_choice(spark, sf):
     a = dt.peak_statistic(_cusum(spark, sf, "nation"), keys=KEYS, sides=["cusum_up", "cusum_down"])
     b = dt.peak_statistic(_page_hinkley(spark, sf, "nation"), keys=KEYS, sides=["ph_up", "ph_down"])
     a = dt.choose_threshold(a, candidates=dt.CUSUM_CANDIDATES, target_rate=0.4).withColumn("detector", F.lit("CUSUM"))
     b = dt.choose_threshold(b, candidates=dt.PAGE_HINKLEY_CANDIDATES, target_rate=0.4).withColumn("detector", F.lit("PAGE_HINKLEY"))
-    return rounded(a.unionByName(b), 9, "null_path_fpr")
+    breaks = _pelt(spark, sf, dt.PELT_CANDIDATES)
+    c = dt.choose_penalty(data.panel(spark, sf, "nation"), breaks, keys=KEYS, candidates=dt.PELT_CANDIDATES, target_rate=0.4)
+    return rounded(a.unionByName(b).unionByName(c.withColumn("detector", F.lit("PELT"))), 9, "null_path_fpr")
 
 
 # ---- events ------------------------------------------------------------------
@@ -281,32 +316,39 @@ def _alarms(spark, sf):
 
 
 def _matched(spark, sf):
+    """Events against the alarms of both online detectors and the breaks of the offline one."""
     z = dt.baseline_standardize(data.panel(spark, sf, "nation"), keys=KEYS, **ORDER)
-    return dt.match_alarms(_alarms(spark, sf), _events(z), keys=KEYS)
+    online = dt.match_alarms(_alarms(spark, sf), _events(z), keys=KEYS)
+    offline = dt.match_breaks(_pelt(spark, sf), _events(z), keys=KEYS).withColumn("detector", F.lit("PELT"))
+    return online.unionByName(offline, allowMissingColumns=True)
 
 
-_MATCHED_SQL = f"""{data.panel_sql('nation')}, {_z_sql('nation')}, {_cusum_sql(5.0)}, {_ph_sql(8.0)}, {_EVENTS_SQL},
+_MATCHED_SQL = f"""{data.panel_sql('nation')}, {_z_sql('nation')}, {_cusum_sql(5.0)}, {_ph_sql(8.0)}, {_EVENTS_SQL}, {_pelt_sql((1.0,))},
 alarms AS (SELECT 'CUSUM' AS detector, oktmo, category_code, CAST(min(pos) FILTER (cusum_flag) AS INTEGER) AS first_alarm FROM cusum GROUP BY ALL
   UNION ALL SELECT 'PAGE_HINKLEY', oktmo, category_code, CAST(min(pos) FILTER (page_hinkley_flag) AS INTEGER) FROM ph GROUP BY ALL),
+nearest AS (SELECT oktmo, category_code, start, duration, CAST(min(abs(break_pos - start)) AS INTEGER) AS localization_error
+  FROM labelled LEFT JOIN pelt USING (oktmo, category_code) GROUP BY ALL),
 matched AS (SELECT detector, oktmo, category_code, start, duration, first_alarm,
   coalesce(first_alarm BETWEEN start AND start + duration + 2, false) AS detected, coalesce(first_alarm < start, false) AS false_early,
   CASE WHEN first_alarm BETWEEN start AND start + duration + 2 THEN first_alarm - start END AS delay,
-  CASE WHEN duration <= 3 THEN 'TRANSIENT_SHOCK' ELSE 'REGIME_SHIFT' END AS event_type
-  FROM labelled JOIN alarms USING (oktmo, category_code)),
+  CASE WHEN duration <= 3 THEN 'TRANSIENT_SHOCK' ELSE 'REGIME_SHIFT' END AS event_type, CAST(NULL AS INTEGER) AS localization_error
+  FROM labelled JOIN alarms USING (oktmo, category_code)
+  UNION ALL SELECT 'PELT', oktmo, category_code, start, duration, NULL, coalesce(localization_error <= 2, false), NULL, NULL,
+  CASE WHEN duration <= 3 THEN 'TRANSIENT_SHOCK' ELSE 'REGIME_SHIFT' END, localization_error FROM nearest),
 summary AS (SELECT detector, event_type, avg(CAST(detected AS DOUBLE)) AS detection_rate,
-  avg(CAST(false_early AS DOUBLE)) AS false_early_rate, median(delay) AS median_delay, count(*) AS events
+  avg(CAST(false_early AS DOUBLE)) AS false_early_rate, median(delay) AS median_delay, median(localization_error) AS median_localization_error, count(*) AS events
   FROM matched GROUP BY 1, 2)"""
 
 
-@query("event_detection", f"WITH {_MATCHED_SQL} SELECT * FROM matched")
+@query("event_detection", f"WITH RECURSIVE {_MATCHED_SQL} SELECT * FROM matched")
 def event_detection(spark, sf):
     return _matched(spark, sf)
 
 
 @query(
     "detection_summary",
-    f"""WITH {_MATCHED_SQL} SELECT detector, event_type, {r("detection_rate", 9)} AS detection_rate,
-  {r("false_early_rate", 9)} AS false_early_rate, median_delay, events FROM summary""",
+    f"""WITH RECURSIVE {_MATCHED_SQL} SELECT detector, event_type, {r("detection_rate", 9)} AS detection_rate,
+  {r("false_early_rate", 9)} AS false_early_rate, median_delay, median_localization_error, events FROM summary""",
 )
 def detection_summary(spark, sf):
     return rounded(dt.detection_summary(_matched(spark, sf)), 9, "detection_rate", "false_early_rate")
@@ -314,8 +356,8 @@ def detection_summary(spark, sf):
 
 @query(
     "best_online_detector",
-    f"""WITH {_MATCHED_SQL} SELECT arg_min(detector, (-detection_rate, detector)) AS detector, {r("max(detection_rate)", 9)} AS detection_rate
-FROM summary WHERE event_type = 'REGIME_SHIFT'""",
+    f"""WITH RECURSIVE {_MATCHED_SQL} SELECT arg_min(detector, (-detection_rate, detector)) AS detector, {r("max(detection_rate)", 9)} AS detection_rate
+FROM summary WHERE event_type = 'REGIME_SHIFT' AND detector <> 'PELT'""",
 )
 def best_online_detector(spark, sf):
     return rounded(dt.best_online_detector(dt.detection_summary(_matched(spark, sf))), 9, "detection_rate")
@@ -323,23 +365,25 @@ def best_online_detector(spark, sf):
 
 @query(
     "calibrated_summary",
-    f"""WITH {_MATCHED_SQL}, cal AS (SELECT detector, avg(CASE WHEN first_alarm IS NOT NULL THEN 1.0 ELSE 0.0 END) AS null_path_fpr
-  FROM alarms GROUP BY 1)
+    f"""WITH RECURSIVE {_MATCHED_SQL}, cal AS (SELECT detector, avg(CASE WHEN first_alarm IS NOT NULL THEN 1.0 ELSE 0.0 END) AS null_path_fpr
+  FROM alarms GROUP BY 1 UNION ALL SELECT 'PELT', (SELECT count(DISTINCT (oktmo, category_code)) FROM pelt) / (SELECT count(DISTINCT (oktmo, category_code)) FROM panel)::DOUBLE)
 SELECT detector, event_type, {r("detection_rate", 9)} AS detection_rate, {r("null_path_fpr", 9)} AS null_path_fpr
 FROM summary LEFT JOIN cal USING (detector)""",
 )
 def calibrated_summary(spark, sf):
     alarms = _alarms(spark, sf)
     cal = alarms.groupBy("detector").agg(F.avg(F.col("first_alarm").isNotNull().cast("double")).alias("null_path_fpr"))
-    joined = dt.with_calibration(dt.detection_summary(_matched(spark, sf)), cal)
+    flagged = data.panel(spark, sf, "nation").select(*KEYS).distinct().join(_pelt(spark, sf).select(*KEYS, F.lit(1).alias("hit")).distinct(), KEYS, "left")
+    offline = flagged.agg(F.lit("PELT").alias("detector"), F.avg(F.col("hit").isNotNull().cast("double")).alias("null_path_fpr"))
+    joined = dt.with_calibration(dt.detection_summary(_matched(spark, sf)), cal.unionByName(offline))
     return rounded(joined.select("detector", "event_type", "detection_rate", "null_path_fpr"), 9, "detection_rate", "null_path_fpr")
 
 
 @query(
     "scenario_summary",
-    f"""WITH {_MATCHED_SQL}, scen AS (
+    f"""WITH RECURSIVE {_MATCHED_SQL}, scen AS (
   SELECT detector, event_type, oktmo, avg(CAST(detected AS DOUBLE)) AS detection_rate, avg(CAST(false_early AS DOUBLE)) AS false_early_rate,
-    median(delay) AS median_delay_periods, median(abs(first_alarm - start)) AS median_localization_error FROM matched GROUP BY 1, 2, 3)
+    median(delay) AS median_delay_periods, median(localization_error) AS median_localization_error FROM matched GROUP BY 1, 2, 3)
 SELECT detector, event_type, {r("avg(detection_rate)", 9)} AS mean_detection_rate, {r("avg(false_early_rate)", 9)} AS mean_false_early_rate,
   median(median_delay_periods) AS median_delay, median(median_localization_error) AS median_localization_error
 FROM scen GROUP BY 1, 2""",
@@ -349,45 +393,41 @@ def scenario_summary(spark, sf):
         F.avg(F.col("detected").cast("double")).alias("detection_rate"),
         F.avg(F.col("false_early").cast("double")).alias("false_early_rate"),
         F.median("delay").alias("median_delay_periods"),
-        F.median(F.abs(F.col("first_alarm") - F.col("start"))).alias("median_localization_error"),
+        F.median("localization_error").alias("median_localization_error"),
     )
     return rounded(dt.scenario_summary(rows), 9, "mean_detection_rate", "mean_false_early_rate")
 
 
 @query(
     "detector_confirmations",
-    f"""WITH {data.panel_sql('nation')}, {_z_sql('nation')}, {_cusum_sql(5.0)}, {_EVENTS_SQL}
-SELECT oktmo, category_code, period_start, cusum_flag, coalesce(abs(pos - start) <= 1, false) AS break_near,
-  CAST(cusum_flag AS INTEGER) + CAST(coalesce(abs(pos - start) <= 1, false) AS INTEGER) AS confirmations
-FROM cusum LEFT JOIN labelled USING (oktmo, category_code)""",
+    f"""WITH RECURSIVE {data.panel_sql('nation')}, {_z_sql('nation')}, {_cusum_sql(5.0)}, {_pelt_sql((1.0,))},
+near AS (SELECT DISTINCT oktmo, category_code, break_pos + d AS pos FROM pelt, (VALUES (-1), (0), (1)) v(d))
+SELECT oktmo, category_code, period_start, cusum_flag, near.pos IS NOT NULL AS break_near,
+  CAST(cusum_flag AS INTEGER) + CAST(near.pos IS NOT NULL AS INTEGER) AS confirmations
+FROM cusum LEFT JOIN near USING (oktmo, category_code, pos)""",
 )
 def detector_confirmations(spark, sf):
-    flagged = _cusum(spark, sf, "nation")
-    breaks = _events(flagged).withColumnRenamed("start", "break_pos")
-    out = dt.confirmations(flagged, breaks, keys=KEYS)
+    """An online alarm next to a break of the offline search counts twice."""
+    out = dt.confirmations(_cusum(spark, sf, "nation"), _pelt(spark, sf), keys=KEYS)
     return out.select(*KEYS, "period_start", "cusum_flag", "break_near", "confirmations")
 
 
 @query(
     "break_matches",
-    f"""WITH {data.panel_sql('nation')}, {_z_sql('nation')}, {_EVENTS_SQL},
-top AS (SELECT oktmo, category_code, pos FROM z WHERE abs(z) >= 2),
-near AS (SELECT oktmo, category_code, start, duration, CAST(min(abs(pos - start)) AS INTEGER) AS localization_error
-  FROM labelled LEFT JOIN top USING (oktmo, category_code) GROUP BY ALL)
+    f"""WITH RECURSIVE {data.panel_sql('nation')}, {_z_sql('nation')}, {_EVENTS_SQL}, {_pelt_sql((1.0,))},
+near AS (SELECT oktmo, category_code, start, duration, CAST(min(abs(break_pos - start)) AS INTEGER) AS localization_error
+  FROM labelled LEFT JOIN pelt USING (oktmo, category_code) GROUP BY ALL)
 SELECT *, coalesce(localization_error <= 2, false) AS detected,
   CASE WHEN duration <= 3 THEN 'TRANSIENT_SHOCK' ELSE 'REGIME_SHIFT' END AS event_type FROM near""",
 )
 def break_matches(spark, sf):
     z = dt.baseline_standardize(data.panel(spark, sf, "nation"), keys=KEYS, **ORDER)
-    breaks = z.where(F.abs("z") >= 2).select(*KEYS, F.col("pos").alias("break_pos"))
-    return dt.match_breaks(breaks, _events(z), keys=KEYS)
+    return dt.match_breaks(_pelt(spark, sf), _events(z), keys=KEYS)
 
 
-@query("pelt_breaks")
+@query("pelt_breaks", f"WITH RECURSIVE {data.panel_sql('nation')}, {_pelt_sql((1.0, 3.0))} SELECT oktmo, category_code, penalty, break_pos FROM pelt")
 def pelt_breaks_query(spark, sf):
-    return pelt_breaks(
-        data.panel(spark, sf, "nation"), keys=KEYS, order="period_start", value="spending_nominal", penalties=(1.0, 3.0)
-    )
+    return _pelt(spark, sf, (1.0, 3.0))
 
 
 @query(

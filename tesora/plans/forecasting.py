@@ -293,10 +293,8 @@ def fold_assignment(spark, sf):
     panel = data.panel(spark, sf, "region")
     lengths = panel.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_periods"))
     folds = fc.expanding_folds(lengths, min_train=24, horizon=3, holdout=12, step=6)
-    rows = fc.assign_folds(panel, folds, keys=KEYS, period="period_start")
-    return rows.groupBy(*KEYS, "train_end", "part").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("spending_nominal"), 2).alias("spent")
-    )
+    out = fc.fold_sums(panel, folds, keys=KEYS, period="period_start", value="spending_nominal")
+    return out.select(*KEYS, "train_end", "part", "n_rows", F.round("total", 2).alias("spent"))
 
 
 @query(

@@ -146,6 +146,13 @@ def test_alarm_matching_and_summary(spark):
     assert got["a"]["detected"] and got["a"]["delay"] == 5 and got["a"]["event_type"] == "TRANSIENT_SHOCK"
     assert got["b"]["false_early"] and not got["b"]["detected"]
     assert not got["c"]["detected"] and got["c"]["event_type"] == "REGIME_SHIFT"
+    breaks = spark.createDataFrame([("a", 3), ("a", 19), ("a", 24), ("b", 23), ("b", 23), ("d", 20)], "k string, break_pos int")
+    near = {r["k"]: (r["localization_error"], r["detected"]) for r in dt.match_breaks(breaks, events, keys=["k"]).collect()}
+    assert near == {"a": (1, True), "b": (3, False), "c": (None, False)}
+    offline = dt.match_breaks(breaks, events, keys=["k"]).withColumn("detector", F.lit("PELT"))
+    both = dt.match_alarms(alarms, events, keys=["k"]).unionByName(offline, allowMissingColumns=True)
+    error = {(r["detector"], r["event_type"]): r["median_localization_error"] for r in dt.detection_summary(both).collect()}
+    assert error["PELT", "REGIME_SHIFT"] == 3 and error["CUSUM", "REGIME_SHIFT"] is None
     out = {r["event_type"]: r for r in dt.detection_summary(dt.match_alarms(alarms, events, keys=["k"])).collect()}
     assert out["REGIME_SHIFT"]["false_early_rate"] == 0.5 and out["TRANSIENT_SHOCK"]["detection_rate"] == 1.0
 
@@ -156,6 +163,10 @@ def test_threshold_choice(spark):
     assert (out["parameter"], out["null_path_fpr"], out["target_met"]) == (12.0, 0.2, True)
     out = dt.choose_threshold(peaks, candidates=(1.0, 2.0), target_rate=0.1).first()
     assert out["parameter"] == 2.0 and not out["target_met"]
+    series = spark.createDataFrame([(c,) for c in "abcd"], "k string")
+    breaks = spark.createDataFrame([("a", 1.0, 5), ("a", 3.0, 5), ("b", 1.0, 9), ("b", 1.0, 12), ("c", 1.0, 4)], "k string, penalty double, break_pos int")
+    out = dt.choose_penalty(series, breaks, keys=["k"], candidates=(1.0, 3.0, 5.0), target_rate=0.3).first()
+    assert (out["parameter"], out["null_path_fpr"], out["target_met"]) == (3.0, 0.25, True)
 
 
 def test_probability_state(spark):

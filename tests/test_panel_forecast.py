@@ -106,6 +106,20 @@ def test_calendar_fill(spark):
     assert filled.count() == 4 and filled.where(F.col("spending_nominal").isNull()).count() == 1
 
 
+def test_fold_sums_equal_a_plain_count(spark):
+    values = {"a": [float(i * i % 17) for i in range(40)], "b": [1.0] * 20, "c": [2.0] * 9}
+    rows = [(k, f"{2000 + i // 12}-{i % 12 + 1:02d}-01", v) for k, x in values.items() for i, v in enumerate(x)]
+    panel = spark.createDataFrame(rows, "k string, p string, v double").withColumn("p", F.col("p").cast("date"))
+    lengths = panel.groupBy("k").count().withColumnRenamed("count", "n_periods")
+    folds = fc.expanding_folds(lengths, min_train=6, horizon=2, holdout=3, step=4)
+    got = {(r["k"], r["train_end"], r["part"]): (r["n_rows"], r["total"]) for r in fc.fold_sums(panel, folds, keys=["k"], period="p", value="v").collect()}
+    want = {}
+    for k, x in values.items():
+        for e in range(6, len(x) - 4, 4):
+            want[k, e, "TRAIN"], want[k, e, "TEST"] = (e, sum(x[:e])), (2, sum(x[e : e + 2]))
+    assert got == want
+
+
 def test_folds(spark):
     lengths = spark.createDataFrame([("a", 40), ("b", 30)], "s string, n_periods int")
     folds = fc.expanding_folds(lengths, min_train=24, horizon=1, holdout=12, step=1).orderBy("train_end").collect()
