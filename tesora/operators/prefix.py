@@ -114,6 +114,17 @@ _RUNNING = {"sum": F.sum, "min": F.min, "max": F.max}
 _JOIN_UP = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest}
 
 
+def cut_series(df: DataFrame, keys: Sequence[str], order: str, *, pieces: int | None = None, out: str = "piece") -> DataFrame:
+    """Series cut into pieces of similar size along their order; a written table with the piece number.
+
+    Range partitioning over keys and order samples the quantiles, so however a
+    series' rows are spread over time a piece holds about the same number.
+    """
+    pieces = pieces or shuffle_width(df.sparkSession)
+    dealt = df.repartitionByRange(pieces, *[F.col(k) for k in keys], F.col(order))
+    return materialize(dealt.withColumn(out, F.spark_partition_id()), "series_pieces")
+
+
 def running(
     df: DataFrame,
     cols: Mapping[str, tuple[str, Column]],
@@ -126,21 +137,24 @@ def running(
 
     ``cols``: new column to (function, input). Without ``block`` a series is one
     window partition, right for series bounded by the calendar. A long series
-    names a ``block`` column that never falls along the order (a day, say): rows
-    are windowed inside a block and the totals of earlier blocks, one row each,
-    are carried over, so one series spreads over as many tasks as it has blocks.
+    names a ``block`` column that never falls along the order (see
+    :func:`cut_series`): rows are windowed inside a block, the result is written
+    once, and the totals of earlier blocks, one row each, are carried over. So
+    one series spreads over as many tasks as it has blocks, and a further
+    running pass starts from the written rows, not from the source.
     """
     if block is None:
         by = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({name: _RUNNING[how](c).over(by) for name, (how, c) in cols.items()})
+    inside = Window.partitionBy(*keys, block).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumns({f"_in_{n}": c for n, (_, c) in cols.items()})
-    totals = df.groupBy(*keys, block).agg(*[_RUNNING[how](f"_in_{n}").alias(f"_t_{n}") for n, (how, _) in cols.items()])
+    local = df.withColumns({f"_l_{n}": _RUNNING[how](f"_in_{n}").over(inside) for n, (how, _) in cols.items()})
+    local = materialize(local, "running")
+    totals = local.groupBy(*keys, block).agg(*[_RUNNING[how](f"_in_{n}").alias(f"_t_{n}") for n, (how, _) in cols.items()])
     earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
         *keys, block, *[_RUNNING[how](f"_t_{n}").over(earlier).alias(f"_c_{n}") for n, (how, _) in cols.items()]
     )
-    inside = Window.partitionBy(*keys, block).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    local = df.withColumns({f"_l_{n}": _RUNNING[how](f"_in_{n}").over(inside) for n, (how, _) in cols.items()})
     joined = local.join(carried, [*keys, block])
 
     def whole(name: str, how: str) -> Column:

@@ -130,7 +130,7 @@ def robust_scores(spark, sf):
     return rounded(dt.robust_standardize(data.panel(spark, sf, "nation"), keys=KEYS, value="spending_nominal"), 8, "z")
 
 
-# ---- long series: five event types share all events, so each is cut into days ----
+# ---- long series: five event types share all events, so each is cut into pieces ----
 
 _EVENT_Z_SQL = """e0 AS (SELECT event_type, ts, value, row_number() OVER w - 1 AS pos FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
 e1 AS (SELECT *, avg(CASE WHEN pos < 12 THEN value END) OVER (PARTITION BY event_type) AS mu, stddev_pop(CASE WHEN pos < 12 THEN value END) OVER (PARTITION BY event_type) AS sd FROM e0),
@@ -139,8 +139,7 @@ _EW = "(PARTITION BY event_type ORDER BY ts)"
 
 
 def _event_series(spark, sf):
-    events = data.read(spark, sf, "events").select("event_type", "ts", "value")
-    return events.withColumn("day", F.col("ts").cast("date"))
+    return px.cut_series(data.read(spark, sf, "events").select("event_type", "ts", "value"), ["event_type"], "ts")
 
 
 @query(
@@ -150,8 +149,8 @@ m AS (SELECT *, s - least(0, min(s) OVER {_EW}) AS up, u - greatest(0, max(u) OV
 SELECT event_type, ts, {r("z", 7)} AS z, {r("up", 5)} AS cusum_up, {r("down", 5)} AS cusum_down, pos >= 12 AND (up > 20 OR abs(down) > 20) AS cusum_flag FROM m""",
 )
 def event_cusum(spark, sf):
-    df = dt.cusum(_event_series(spark, sf), keys=["event_type"], order="ts", value="value", threshold=20.0, block="day")
-    return rounded(rounded(df.drop("day", "pos", "value"), 7, "z"), 5, "cusum_up", "cusum_down")
+    df = dt.cusum(_event_series(spark, sf), keys=["event_type"], order="ts", value="value", threshold=20.0, block="piece")
+    return rounded(rounded(df.drop("piece", "pos", "value"), 7, "z"), 5, "cusum_up", "cusum_down")
 
 
 @query(
@@ -161,7 +160,7 @@ s AS (SELECT *, sum(CASE WHEN pos >= 12 THEN d - 0.05 ELSE 0 END) OVER {_EW} AS
 SELECT event_type, ts, {r(f"p - least(0, min(p) OVER {_EW})", 4)} AS ph_up, {r(f"q - least(0, min(q) OVER {_EW})", 4)} AS ph_down FROM s""",
 )
 def event_page_hinkley(spark, sf):
-    df = dt.page_hinkley(_event_series(spark, sf), keys=["event_type"], order="ts", value="value", block="day")
+    df = dt.page_hinkley(_event_series(spark, sf), keys=["event_type"], order="ts", value="value", block="piece")
     return rounded(df.select("event_type", "ts", "ph_up", "ph_down"), 4, "ph_up", "ph_down")
 
 
@@ -176,10 +175,10 @@ SELECT event_type, ts, CAST(above_streak AS BIGINT) AS above_streak, below_strea
   list_extract(['NORMAL', 'OBSERVE', 'WARNING', 'BREAK_CONFIRMED'], max(lvl) OVER (PARTITION BY event_type, coalesce(rel, -1) ORDER BY ts) + 1) AS state FROM c""",
 )
 def event_states(spark, sf):
-    z = dt.baseline_standardize(_event_series(spark, sf), keys=["event_type"], order="ts", value="value", block="day")
+    z = dt.baseline_standardize(_event_series(spark, sf), keys=["event_type"], order="ts", value="value", block="piece")
     scored = z.withColumns({"score": F.abs("z"), "confirmations": F.when(F.col("value") > 50, 2).otherwise(1)})
     clean = dt.split_state_input(scored).clean
-    out = dt.hysteresis(clean, keys=["event_type"], order="ts", block="day")
+    out = dt.hysteresis(clean, keys=["event_type"], order="ts", block="piece")
     return out.select("event_type", "ts", "above_streak", "below_streak", "state")
 
 
