@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tesora.functions.scalar import any_of, first_reason, floor_zero, parse_bool
 from tesora.operators.contracts import ERROR, Rule, Split, missing_columns, split
+from tesora.session import materialize
 
 # Flags, sides, flexibility factors, component labels and criterion titles.
 FLAGS = ("is_transfer", "is_recurring", "is_subvention", "is_debt_service", "is_borrowing")
@@ -118,6 +119,17 @@ def summarize(lines: DataFrame, keys: Sequence[str] = ENTITY) -> DataFrame:
     )
 
 
+def compact_lines(lines: DataFrame, keys: Sequence[str] = ENTITY) -> DataFrame:
+    """Lines summed over everything but side, group, flexibility and the flags; a written table.
+
+    Totals, gap, structure and cuts are sums of amounts, so all of them can start
+    from this one pass over the lines. Its size is that of the groups.
+    """
+    flags = ("is_transfer", "is_recurring", "is_borrowing", "is_debt_service", "is_subvention")
+    kept = [*keys, "budget_side", "group", "flexibility", *flags]
+    return materialize(lines.groupBy(*kept).agg(F.sum("amount").alias("amount")), "budget_groups")
+
+
 def group_structure(lines: DataFrame, side: str | None = None, keys: Sequence[str] = ENTITY) -> DataFrame:
     """Amount and share of every group within a budget side; a zero total gives share 0."""
     if side is not None:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesora.functions.scalar import safe_ratio
-from tesora.operators.prefix import cut_at, running_by_value, split_points
-from tesora.session import shuffle_width
+from tesora.operators.prefix import cut_at, running_by_value, split_points_of
+from tesora.session import materialize, shuffle_width
 
 
 def point_errors(df: DataFrame, *, keys: Sequence[str], actual: str, predicted: str) -> DataFrame:
@@ -84,12 +84,13 @@ def average_precision(
 
     Rows are cut into cells by score and by ranges of ``seq`` (a score shared by
     a third of the rows still spreads over many cells). Cell totals give each
-    cell's starting counts; ranks inside a cell come from a window.
+    cell's starting counts; ranks inside a cell come from a window. The four
+    columns needed are written once and all passes read them.
     """
     pieces = pieces or shuffle_width(df.sparkSession)
     data = df.select(*keys, F.col(truth).alias("y"), (-F.col(score)).alias("s"), F.col(seq).alias("q"))
-    seq_points = split_points(data, "q", pieces)
-    score_points = split_points(data, "s", pieces)
+    data = materialize(data, "scored")
+    seq_points, score_points = split_points_of(data, ["q", "s"], pieces)
     data = cut_at(cut_at(data, "q", seq_points, "qb"), "s", score_points, "sb")
     cells = data.groupBy(*keys, "sb", "s", "qb").agg(
         F.count(F.lit(1)).alias("n"), F.sum((F.col("y") == 1).cast("long")).alias("tp")
@@ -145,6 +146,7 @@ def dual_value(
         )
     )
     long = df.select(F.col(truth).alias("y"), F.col(seq).alias("seq"), scores.alias("x")).select("y", "seq", "x.*")
+    long = materialize(long, "contour_scores")  # the scores' source is read once
     auc = roc_auc(long, keys=["contour"], truth="y", score="score", pieces=pieces)
     ap = average_precision(long, keys=["contour"], truth="y", score="score", seq="seq", pieces=pieces)
 

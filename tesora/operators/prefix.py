@@ -19,17 +19,22 @@ from tesora.session import materialize, shuffle_width
 
 
 def split_points(df: DataFrame, value: str, pieces: int) -> list:
-    """At most ``pieces - 1`` quantiles of a numeric column, as literals.
+    """:func:`split_points_of` one column."""
+    return split_points_of(df, [value], pieces)[0]
+
+
+def split_points_of(df: DataFrame, values: Sequence[str], pieces: int) -> list[list]:
+    """At most ``pieces - 1`` quantiles of each numeric column, as literals, from one pass.
 
     They are read once so that every branch of a plan cuts at the same places,
     also when a stage is computed again. Which places they are does not change
     any result, only the size of the pieces.
     """
     if pieces < 2:
-        return []
+        return [[] for _ in values]
     shares = [i / pieces for i in range(1, pieces)]
-    found = df.agg(F.percentile_approx(value, shares, 10 * pieces).alias("q")).first()["q"]
-    return sorted({float(x) for x in (found or []) if x is not None and math.isfinite(x)})
+    row = df.agg(*[F.percentile_approx(v, shares, 10 * pieces).alias(f"q{i}") for i, v in enumerate(values)]).first()
+    return [sorted({float(x) for x in (found or []) if x is not None and math.isfinite(x)}) for found in row]
 
 
 def cut_at(df: DataFrame, value: str, points: Sequence, out: str) -> DataFrame:

@@ -85,15 +85,15 @@ def _lines(spark, sf):
     return bg.normalize_lines(data.budget_lines(spark, sf)).clean
 
 
-def _inputs(spark, sf):
+def _inputs(spark, sf, lines=None):
     limits = data.read(spark, sf, "nation").select(
         F.col("n_name").alias("municipality_name"), (F.col("n_nationkey") * 50000.0).alias("current_debt")
     )
-    return bg.to_inputs(bg.summarize(_lines(spark, sf)), limits)
+    return bg.to_inputs(bg.summarize(lines or _lines(spark, sf)), limits)
 
 
-def _result(spark, sf):
-    return bg.budget_result(split(_inputs(spark, sf), bg.input_rules()).clean)
+def _result(spark, sf, lines=None):
+    return bg.budget_result(split(_inputs(spark, sf, lines), bg.input_rules()).clean)
 
 
 @query(
@@ -298,7 +298,8 @@ SELECT municipality_name, year, grp AS "group", {r("amount", 2)} AS amount, {r("
 FROM shares JOIN (SELECT municipality_name, year, normalization_gap FROM result) USING (municipality_name, year) WHERE budget_side = 'EXPENDITURE'""",
 )
 def gap_exposure(spark, sf):
-    out = bg.gap_exposure(_lines(spark, sf), _result(spark, sf))
+    lines = bg.compact_lines(_lines(spark, sf))
+    out = bg.gap_exposure(lines, _result(spark, sf, lines))
     return rounded(rounded(rounded(out, 2, "amount"), 9, "share"), 3, "normalization_gap", "gap_exposure")
 
 
@@ -314,7 +315,8 @@ SELECT municipality_name, year, grp AS "group", {r("amount", 2)} AS amount, {r("
 FROM t JOIN (SELECT municipality_name, year, normalization_gap FROM result) USING (municipality_name, year)""",
 )
 def flexible_cut(spark, sf):
-    out = bg.flexible_cut(_lines(spark, sf), _result(spark, sf))
+    lines = bg.compact_lines(_lines(spark, sf))
+    out = bg.flexible_cut(lines, _result(spark, sf, lines))
     return rounded(rounded(out, 2, "amount"), 3, "capacity", "mechanical_cut", "remaining_gap")
 
 
