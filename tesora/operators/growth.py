@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesora.functions.scalar import from_log_growth
 from tesora.operators.panel import growth_features
+from tesora.session import materialize
 
 NUMERIC = (
     "month",
@@ -32,6 +34,8 @@ NUMERIC = (
     "yoy_lag",
 )
 MISSING = -1.0e12
+#: Buckets of the hash that stands for a territory or category; also the number of bins of a feature.
+BUCKETS = 64
 
 
 def rolling_growth_forecast(
@@ -46,25 +50,26 @@ def rolling_growth_forecast(
     learning_rate: float = 0.05,
     seed: int = 42,
     unique: bool = False,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Forecast of every series for each month of the holdout year.
 
-    For each month a model is fitted on all earlier rows of all series. The loop
-    runs over at most twelve origins; fitting and scoring are Spark jobs. Only
-    the list of holdout months comes to the driver.
+    For each month a model is fitted on all earlier rows of all series. The
+    features are written once; at most twelve fits, ``parallelism`` of them at a
+    time, and the scoring read them. Keys enter as hashed buckets, so neither
+    the driver nor the trees hold a list of territories. Only the holdout months
+    come to the driver.
     """
     data = growth_features(panel, keys=keys, period=period, value=value, unique=unique)
     data = data.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(MISSING)) for c in NUMERIC if c != "lag_1"})
-    data = data.where(F.col("lag_1").isNotNull()).persist()
-    try:
-        months = [
-            r[0]
-            for r in data.where(F.year(period) == holdout_year).select(period).distinct().orderBy(period).collect()
-        ]
-        names = [f"_{k}_index" for k in keys]
-        index = StringIndexer(inputCols=list(keys), outputCols=names, handleInvalid="keep")
-        assemble = VectorAssembler(inputCols=[*names, *NUMERIC], outputCol="features", handleInvalid="keep")
-        widest = max(data.select(F.approx_count_distinct(k)).first()[0] for k in keys)
+    hashed = {f"_{k}_bucket": F.pmod(F.xxhash64(k), F.lit(BUCKETS)).cast("double") for k in keys}
+    data = materialize(data.where(F.col("lag_1").isNotNull()).withColumns(hashed), "growth_features")
+    months = [r[0] for r in data.where(F.year(period) == holdout_year).select(period).distinct().orderBy(period).collect()]
+    if not months:
+        raise ValueError(f"no observations in holdout year {holdout_year}")
+    assemble = VectorAssembler(inputCols=[*hashed, *NUMERIC], outputCol="features", handleInvalid="keep")
+
+    def forecast(month) -> DataFrame:
         trees = GBTRegressor(
             featuresCol="features",
             labelCol="growth",
@@ -73,24 +78,14 @@ def rolling_growth_forecast(
             maxIter=iterations,
             maxDepth=depth,
             stepSize=learning_rate,
-            maxBins=max(32, int(widest * 1.2) + 2),
+            maxBins=BUCKETS,
             seed=seed,
         )
-        scored = []
-        for month in months:
-            train = data.where((F.col(period) < F.lit(month)) & F.col("growth").isNotNull())
-            model = Pipeline(stages=[index, assemble, trees]).fit(train)
-            rows = model.transform(data.where(F.col(period) == F.lit(month)))
-            scored.append(
-                rows.select(
-                    *keys,
-                    period,
-                    F.col(value).alias("actual"),
-                    from_log_growth("lag_1", "predicted_growth").alias("grow_prediction"),
-                )
-            )
-        if not scored:
-            raise ValueError(f"no observations in holdout year {holdout_year}")
-        return reduce(DataFrame.unionByName, scored)
-    finally:
-        data.unpersist()
+        train = data.where((F.col(period) < F.lit(month)) & F.col("growth").isNotNull())
+        rows = Pipeline(stages=[assemble, trees]).fit(train).transform(data.where(F.col(period) == F.lit(month)))
+        return rows.select(
+            *keys, period, F.col(value).alias("actual"), from_log_growth("lag_1", "predicted_growth").alias("grow_prediction")
+        )
+
+    with ThreadPool(max(1, min(parallelism, len(months)))) as pool:
+        return reduce(DataFrame.unionByName, pool.map(forecast, months))

@@ -361,4 +361,4 @@ def scaled_error(spark, sf):
 def growth_model_forecast(spark, sf):
     from tesora.operators.growth import rolling_growth_forecast
 
-    return rolling_growth_forecast(data.panel(spark, sf, "region"), holdout_year=2001, iterations=3, depth=3, unique=True)
+    return rolling_growth_forecast(data.panel(spark, sf, "region"), holdout_year=2001, unique=True)
