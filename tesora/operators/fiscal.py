@@ -39,6 +39,16 @@ FLAGS_TEXT = (
     "Это повод для наблюдения, но не подтвержденный структурный шок. "
     "Для WARNING/BREAK_CONFIRMED нужны persistence и независимое подтверждение."
 )
+FLAG_EXPLANATIONS = {
+    "income_shortfall": "Отклонение {}: требуется внимание к доходной части.",
+    "income_none": "Отрицательного отклонения от первоначального плана по доступному году нет.",
+    "debt_peer_high": "Долговая нагрузка находится примерно на {} перцентиле.",
+    "debt_none": "Недостаточно данных для peer-сравнения долговой нагрузки.",
+    "amendments_peer_high": "Число изменений бюджета находится примерно на {} перцентиле.",
+    "amendments_none": "Недостаточно данных для peer-сравнения числа изменений бюджета.",
+    "quality_rank_peer": "Официальный ранг находится примерно на {} перцентиле; это контекстный флаг, а не доказательство экономического шока.",
+    "rank_none": "Официальный ранг для сравнения недоступен.",
+}
 CORE_AMOUNTS = (
     "tax_initial",
     "nontax_initial",
@@ -144,42 +154,18 @@ def screening_flags(panel: DataFrame, *, pieces: int | None = None) -> DataFrame
             text.alias("explanation"),
         )
 
-    peers = "Недостаточно данных для peer-сравнения {}."
-    rows = F.array(
-        flag(
-            "income_shortfall",
-            short,
-            F.when(
-                short,
-                _text("Отклонение {}: требуется внимание к доходной части.", _percent(c("income_plan_deviation"), 1)),
-            ).otherwise("Отрицательного отклонения от первоначального плана по доступному году нет."),
-        ),
-        flag(
-            "debt_peer_high",
-            high_debt,
-            F.when(c("debt_pct").isNull(), peers.format("долговой нагрузки")).otherwise(
-                _text("Долговая нагрузка находится примерно на {} перцентиле.", _percent(c("debt_pct")))
-            ),
-        ),
-        flag(
-            "amendments_peer_high",
-            many,
-            F.when(c("amend_pct").isNull(), peers.format("числа изменений бюджета")).otherwise(
-                _text("Число изменений бюджета находится примерно на {} перцентиле.", _percent(c("amend_pct")))
-            ),
-        ),
-        flag(
-            "quality_rank_peer",
-            rank,
-            F.when(c("rank_pct").isNull(), "Официальный ранг для сравнения недоступен.").otherwise(
-                _text(
-                    "Официальный ранг находится примерно на {} перцентиле; "
-                    "это контекстный флаг, а не доказательство экономического шока.",
-                    _percent(c("rank_pct")),
-                )
-            ),
-        ),
-    )
+    says = FLAG_EXPLANATIONS
+    explained = {
+        "income_shortfall": F.when(short, _text(says["income_shortfall"], _percent(c("income_plan_deviation"), 1))).otherwise(says["income_none"])
+    }
+    for code, share, none in (
+        ("debt_peer_high", "debt_pct", "debt_none"),
+        ("amendments_peer_high", "amend_pct", "amendments_none"),
+        ("quality_rank_peer", "rank_pct", "rank_none"),
+    ):
+        explained[code] = F.when(c(share).isNull(), says[none]).otherwise(_text(says[code], _percent(c(share))))
+    active = {"income_shortfall": short, "debt_peer_high": high_debt, "amendments_peer_high": many, "quality_rank_peer": rank}
+    rows = F.array(*[flag(code, active[code], explained[code]) for code in FLAG_TITLES])
     return df.select(*PANEL_KEY, F.inline(rows))
 
 

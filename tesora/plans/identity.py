@@ -106,18 +106,26 @@ def registry_checks(spark, sf):
     return idn.read_registry(rows.join(codes, "municipality_name")).quarantine
 
 
+# names in compatibility forms: full-width digits, a number sign, and a letter written as two code points
+_DIGITS, _WIDE = "0123456789", "０１２３４５６７８９"
+_TAIL, _PLAIN_TAIL = " № 5 и\u0306", " No 5 й"
+
+
 @query(
     "identity_resolution",
-    f"""WITH {data.SPENDING_SQL} SELECT DISTINCT mo, 'supplier ' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS name_key,
+    f"""WITH {data.SPENDING_SQL} SELECT DISTINCT translate(mo, '{_DIGITS}', '{_WIDE}') || '{_TAIL}' AS mo, 'supplier ' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') || ' no 5 й' AS name_key,
   CASE WHEN s_acctbal < 0 THEN '' ELSE lpad(CAST(s_suppkey AS VARCHAR), 8, '0') END AS oktmo, CASE WHEN s_acctbal < 0 THEN '' ELSE s_name END AS municipality_name,
   CASE WHEN s_acctbal < 0 THEN 'UNRESOLVED' ELSE 'OKTMO_RESOLVED' END AS identity_status,
   CASE WHEN s_acctbal < 0 THEN 'NO_APPROVED_OKTMO_ALIAS' ELSE 'APPROVED_SOURCE_ALIAS' END AS identity_reason FROM exported""",
 )
 def identity_resolution(spark, sf):
-    names = _export(spark, sf).select(F.trim("mo").alias("mo"))
-    return idn.resolve_names(
-        names, name="mo", source_id=data.SOURCE_ID, registry=_registry(spark, sf), aliases=_aliases(spark, sf)
-    )
+    """Half of the approved aliases and all source names are written in compatibility forms."""
+    names = _export(spark, sf).select(F.concat(F.translate(F.trim("mo"), _DIGITS, _WIDE), F.lit(_TAIL)).alias("mo"))
+    spelled = F.col("source_municipality_name")
+    odd = F.substring("oktmo", 8, 1).cast("int") % 2 == 1
+    other = F.when(odd, F.concat(F.translate(spelled, _DIGITS, _WIDE), F.lit(_TAIL))).otherwise(F.concat(spelled, F.lit(_PLAIN_TAIL)))
+    aliases = idn.read_aliases(data.aliases(spark, sf).withColumn("source_municipality_name", other)).clean
+    return idn.resolve_names(names, name="mo", source_id=data.SOURCE_ID, registry=_registry(spark, sf), aliases=aliases)
 
 
 @query(
@@ -165,7 +173,9 @@ def _proposal(spark, sf):
     names = data.read(spark, sf, "customer").select(
         F.concat(F.lit("SUPPLIER--"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("nm")
     )
-    return idn.propose_aliases(names, name="nm", source_id="customers", registry=_registry(spark, sf))
+    wide = F.translate("municipality_name", _DIGITS, _WIDE)
+    registry = idn.read_registry(data.registry(spark, sf).withColumn("municipality_name", wide)).clean
+    return idn.propose_aliases(names, name="nm", source_id="customers", registry=registry)
 
 
 # ---- spending export ---------------------------------------------------------

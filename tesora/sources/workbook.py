@@ -17,6 +17,12 @@ from tesora.operators.contracts import Split
 
 # Years of the adopted decision, row labels, unit words, and the debt sentence.
 ADOPTED_YEARS = (2025, 2026, 2027)
+PLAN_NOTES = {
+    "exceptions": "PARSED_FROM_OFFICIAL_APP2",
+    "limit": "generated from official source files; workbook unit preserved; debt limit parsed from decision DOCX",
+    "no_limit": "generated from official source files; workbook unit preserved; debt limit not found in raw DOCX",
+    "section": "top-level budget classification section",
+}
 TOTAL_WORD = "всего"
 BASE_WORDS = ("налоговые и неналоговые доходы",)
 SERVICE_WORDS = ("обслуживание", "долг")
@@ -321,13 +327,8 @@ def plan_rows(
         {
             "stage": stage,
             "debt_upper_limit": F.coalesce(F.col("debt_limit") / F.coalesce("unit_scale", F.lit(1.0)), F.lit(0.0)),
-            "exceptions_status": F.lit("PARSED_FROM_OFFICIAL_APP2"),
-            "notes": F.when(
-                F.col("debt_limit").isNotNull(),
-                "generated from official source files; workbook unit preserved; debt limit parsed from decision DOCX",
-            ).otherwise(
-                "generated from official source files; workbook unit preserved; debt limit not found in raw DOCX"
-            ),
+            "exceptions_status": F.lit(PLAN_NOTES["exceptions"]),
+            "notes": F.when(F.col("debt_limit").isNotNull(), PLAN_NOTES["limit"]).otherwise(PLAN_NOTES["no_limit"]),
         }
     ).drop("debt_limit", "unit_scale")
 
@@ -360,6 +361,6 @@ def structure_rows(budgets: DataFrame, sections: DataFrame, *, doc: Sequence[str
         F.col("section_code").alias("item_code"),
         F.lit(0).alias("is_transfer"),
         _plain(F.col("section_name")).contains("долг").cast("int").alias("is_debt_service"),
-        F.lit("top-level budget classification section").alias("notes"),
+        F.lit(PLAN_NOTES["section"]).alias("notes"),
     )
     return fixed.unionByName(spent).withColumns({"is_borrowing": F.lit(0), "flexibility": F.lit("UNKNOWN")})
