@@ -9,13 +9,14 @@ memory is bounded. Special tokens written in a text count as ordinary text.
 
 from __future__ import annotations
 
+import gc
 import re
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 from tokenizers import Tokenizer
 
-from tesora.llm.base import ragged
 
 #: Distinct chunks a worker remembers, and the longest that it does.
 REMEMBERED = 600_000
@@ -30,12 +31,14 @@ def _byte_characters() -> dict[int, str]:
 
 
 _SPELL = _byte_characters()
-#: A plain Latin word and what may follow it; each of the two is one piece in both vocabularies.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-
-
-def _spelled(text: str) -> str:
-    return text.encode("utf-8").decode("latin-1").translate(_SPELL)
+#: Pieces that both vocabularies cut in the same plain way: runs of Latin letters, of digits (single ones, word-level)
+#: and of ASCII signs but the apostrophe, and lone line ends.
+_PIECES = {
+    True: re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-&(-/:-@\\[-`{-~]+|\n"),
+    False: re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\\[-`{-~]+|\n"),
+}
+#: A blank that is not in front of a visible character.
+_LOOSE = re.compile(r" (?=\s|$)")
 
 
 class Encoder:
@@ -44,12 +47,13 @@ class Encoder:
     def __init__(self, path: str, leading: bool):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.leading = leading
+        self.model, self.leading, self.pattern = self.tokenizer.model, leading, _PIECES[leading]
         self._forget()
 
     def _forget(self) -> None:
         self.first: dict[str, int] = {}  # chunks at the start of a text
         self.later: dict[str, int] = {} if self.leading else self.first
+        self.pieces: dict[str, list[int]] = {}
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.starts, self.sizes, self.count = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
 
@@ -57,35 +61,56 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _ids(self, chunk: str) -> list[int]:
-        """Ids of one chunk; plain words skip the library's text handling and go to its model."""
-        blank = chunk[:1] == " "
-        match = _PLAIN.fullmatch(chunk, int(blank))
-        if not match:
+        """Ids of one chunk; plain pieces skip the library's text handling and go to its model."""
+        found = self.pattern.findall(chunk)
+        if sum(map(len, found)) != len(chunk) or "\n\n" in chunk or (self.leading and chunk.find(" ", 1) > 0):
             return self._library(chunk)
-        word, tail = match[1], match[2]
-        if not self.leading:
-            word = word.lower()
-        ids = [t.id for t in self.tokenizer.model.tokenize(_spelled(" " * (blank and self.leading) + word))]
-        return ids + self._library(tail) if tail else ids
-
-    def _add(self, table: dict[str, int], part: str, chunk: str) -> int:
-        ids = self._ids(chunk)
-        while self.used + len(ids) > len(self.flat):
+        ids: list[int] = []
+        for piece in found:
+            ids += self._piece(piece)
+        return ids
+
+    def _piece(self, piece: str) -> list[int]:
+        known = self.pieces.get(piece)
+        if known is None:
+            if not self.leading and piece == "\n":
+                return []
+            spelled = (piece if self.leading else piece.lower()).encode("utf-8").decode("latin-1").translate(_SPELL)
+            known = [t.id for t in self.model.tokenize(spelled)]
+            if len(piece) <= LONGEST:
+                self.pieces[piece] = known
+        return known
+
+    def _learn(self, table: dict[str, int], parts: list[str], lead: str) -> None:
+        """Ids of new chunks go to the end of the table of ids."""
+        flat: list[int] = []
+        sizes: list[int] = []
+        at, blank, tokenize = self.count, _SPELL[32] * bool(lead), self.model.tokenize
+        for part in parts:
+            if part in table:
+                continue
+            if part.isalpha() and part.isascii():
+                ids = [t.id for t in tokenize(blank + (part if self.leading else part.lower()))]
+            else:
+                ids = self._ids(lead + part)
+            table[part] = at + len(sizes)
+            sizes.append(len(ids))
+            flat += ids
+        while self.used + len(flat) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        if self.count == len(self.starts):
-            self.starts, self.sizes = np.resize(self.starts, 2 * self.count), np.resize(self.sizes, 2 * self.count)
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[self.count], self.sizes[self.count] = self.used, len(ids)
-        self.used += len(ids)
-        self.count += 1
-        if len(part) <= LONGEST:
-            table[part] = self.count - 1
-        return self.count - 1
+        while self.count + len(sizes) > len(self.starts):
+            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
+        self.flat[self.used : self.used + len(flat)] = flat
+        new = slice(self.count, self.count + len(sizes))
+        self.sizes[new] = sizes
+        self.starts[new] = self.used + np.cumsum(self.sizes[new]) - self.sizes[new]
+        self.used += len(flat)
+        self.count += len(sizes)
 
     def _parts(self, text: str) -> tuple[str, list[str]]:
         """The first chunk, and the others without their leading blank."""
         head, *rest = text.split(" ")
-        if self.leading and any(not p or p[0].isspace() for p in rest):
+        if self.leading and _LOOSE.search(text):
             joined = [head]
             for p in rest:
                 if not p or p[0].isspace():
@@ -102,21 +127,33 @@ class Encoder:
         if self.count >= REMEMBERED:
             self._forget()
         head, rest = self._parts(text)
-        at = list(map(self.later.get, rest))
-        if None in at:
-            for i, found in enumerate(at):
-                if found is None:  # it may have been added since
-                    part = rest[i]
-                    known = self.later.get(part)
-                    at[i] = self._add(self.later, part, " " * self.leading + part) if known is None else known
-        start = self.first.get(head)
-        at.insert(0, self._add(self.first, head, head) if start is None else start)
-        where = np.array(at, np.int64)
+        if head not in self.first:
+            self._learn(self.first, [head], "")
+        where = np.empty(len(rest) + 1, np.int64)
+        where[0] = self.first[head]
+        later = self.later
+        where[1:] = np.fromiter(map(later.get, rest, repeat(-1)), np.int64, len(rest))
+        missing = np.flatnonzero(where < 0)
+        if len(missing):
+            new = [rest[i - 1] for i in missing.tolist()]
+            self._learn(later, new, " " if self.leading else "")
+            where[missing] = list(map(later.__getitem__, new))
+            for part in new:
+                if len(part) > LONGEST:
+                    later.pop(part, None)
+        if len(head) > LONGEST:
+            self.first.pop(head, None)
         sizes = self.sizes[where]
-        return self.flat[np.repeat(self.starts[where], sizes) + ragged(sizes)]
+        ends = np.cumsum(sizes)
+        index = np.repeat(self.starts[where] - ends + sizes, sizes)
+        index += np.arange(len(index))
+        return self.flat.take(index)
 
 
 @lru_cache(maxsize=4)
 def encoder(path: str, leading: bool) -> Encoder:
-    """One per worker process."""
-    return Encoder(path, leading)
+    """One per worker process. Its tables hold no cycles, so they are kept from the cycle collector's rounds."""
+    found = Encoder(path, leading)
+    gc.freeze()
+    gc.set_threshold(200_000, 50, 1000)
+    return found

@@ -34,7 +34,7 @@ from tesora.session import shared_folder
 
 END = 0
 #: Tokens after which a shard is closed; a longer document makes a longer shard.
-SHARD_TOKENS = 1 << 22
+SHARD_TOKENS = 1 << 21
 _MAGIC = b"WVMX1\x00\x00\x00"
 _HEAD = struct.Struct("<8sIIQQ")  # magic, bits, sections, tokens, documents
 _BLOCK = 2048
@@ -49,18 +49,22 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
-        rest = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+        kind = np.uint16 if bits <= 16 else np.uint32
+        rest, other = ids.astype(kind), np.empty(len(ids), kind)
         n, planes, ranks = len(rest), [], []
         padded = -(-max(n, 1) // _BLOCK) * _BLOCK // 8
         for level in range(bits - 1, -1, -1):
-            bit = (rest >> level) & 1 != 0
+            bit = (rest & kind(1 << level)).astype(bool)
             plane = np.zeros(padded, np.uint8)
             packed = np.packbits(bit, bitorder="little")
             plane[: len(packed)] = packed
             ones = np.bitwise_count(plane.view(np.uint64)).reshape(-1, _BLOCK // 64).sum(axis=1, dtype=np.int64)
             planes.append(plane)
             ranks.append(np.concatenate(([0], np.cumsum(ones))))
-            rest = np.concatenate([rest[~bit], rest[bit]])
+            zeros = n - int(ranks[-1][-1])
+            np.compress(~bit, rest, out=other[:zeros])
+            np.compress(bit, rest, out=other[zeros:])
+            rest, other = other, rest
         return cls(n, planes, ranks)
 
     def _bit(self, level: int, i: int) -> int:
@@ -132,8 +136,8 @@ class WaveletMatrix:
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             mixed = np.empty(self.n, kind)
             zeros = self.zeros[level]
-            mixed[~bit] = rest[:zeros]
-            mixed[bit] = rest[zeros:] | kind(1 << (bits - 1 - level))
+            mixed[np.flatnonzero(~bit)] = rest[:zeros]
+            mixed[np.flatnonzero(bit)] = rest[zeros:] | kind(1 << (bits - 1 - level))
             rest = mixed
         return rest
 

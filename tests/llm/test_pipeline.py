@@ -82,6 +82,6 @@ def test_all_tokens_are_packed(steps):
 def test_run_and_registration(spark):
     import __spark_entry__ as entry
 
-    assert entry.queries()["pipeline"] is pipeline.run
+    assert entry.queries()["pipeline"].__wrapped__ is pipeline.run
     assert {f"op{n}" for n in range(1, 11)} <= {name.split("_")[0] for name in entry.queries()}
     assert pipeline.run(spark, SMALL).count() > 0

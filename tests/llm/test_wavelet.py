@@ -92,7 +92,7 @@ def test_documents_come_back_from_the_files(spark, awkward, tmp_path):
     starts = np.cumsum([0] + [r.n_tokens for r in got])
     assert [r.start for r in got] == starts[:-1].tolist()
     shards = spark.read.parquet(path)
-    assert shards.count() > 3 and len({(r.part, r.seq) for r in shards.collect()}) == shards.count()
+    assert shards.count() >= 3 and len({(r.part, r.seq) for r in shards.collect()}) == shards.count()
     assert len(list((tmp_path / "shards").glob("part-*.parquet"))) == shards.count()
 
 
