@@ -7,7 +7,7 @@ more class stands for all other words. The model gives
     p(word | context) = p(class | context) * p(word | class, context),
 
 each factor a softmax over the sum of the weight rows that the context's hashed
-features pick: the word before, the two words before, and two skipped ones. A
+features pick: the word before, the two words before, and the one before the last (skipping one). A
 word outside the vocabulary has p(other | context) times its add-half share
 among the other words, unseen ones counting as one more word. So probabilities
 sum to one over all words.
@@ -41,7 +41,7 @@ from tesora.llm.base import ASCII_LOWER, chunks, documents, fold, order_hash, ra
 
 WIDTH = 64  # classes, and words in a class
 CLASSES = WIDTH - 1  # the last class is for words outside the vocabulary
-FEATURES = 4
+FEATURES = 3
 CLASS_ROWS, WORD_ROWS = 1 << 12, 1 << 14
 #: Most hashes with their counts that are sent to the tasks.
 LISTED = 1 << 19
@@ -68,7 +68,11 @@ def token_hashes(text: str | None) -> np.ndarray:
     if words:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         data = np.frombuffer(b"".join(words), np.uint8).astype(np.uint64) + np.uint64(1)
-        sums = np.add.reduceat(data * _POWERS[ragged(sizes) % 4096], np.cumsum(sizes) - sizes)
+        place = ragged(sizes)
+        if sizes.max() > len(_POWERS):
+            place %= len(_POWERS)
+        data *= _POWERS[place]
+        sums = np.add.reduceat(data, np.cumsum(sizes) - sizes)
         out[:-1] = np.maximum(_finish(sums), np.uint64(2))
     return out
 
@@ -88,13 +92,24 @@ class Lexicon:
         rank = np.full(len(self.listed), -1, np.int32)
         rank[np.searchsorted(self.listed, self.head)] = np.arange(len(self.head))
         self.listed_rank = rank
+        # hashes are uniform: the first 20 bits lead to a place among the sorted ones, or close before it
+        self.places = np.searchsorted(self.listed, np.arange((1 << 20) + 1, dtype=np.uint64) << np.uint64(44)).astype(np.int32)
+        self.places[-1] = len(self.listed)
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank in the vocabulary (-1: outside) and count (-1: not listed)."""
         if not len(self.listed):
             return np.full(len(hashes), -1, np.int32), np.full(len(hashes), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.listed, hashes), len(self.listed) - 1)
-        found = self.listed[at] == hashes
+        top = (hashes >> np.uint64(44)).astype(np.int64)
+        at, end = self.places[top], self.places[top + 1]
+        last = len(self.listed) - 1
+        found = self.listed[np.minimum(at, last)] == hashes
+        rest = np.flatnonzero(~found & (end - at > 1))
+        while len(rest):  # a few rounds: buckets hold one or two on average
+            at[rest] += 1
+            found[rest] = self.listed[at[rest]] == hashes[rest]
+            rest = rest[~found[rest] & (end[rest] - at[rest] > 1)]
+        at = np.minimum(at, last)
         return np.where(found, self.listed_rank[at], -1), np.where(found, self.listed_counts[at], -1)
 
 
@@ -173,14 +188,14 @@ def contexts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Feature hashes (FEATURES, tokens); a text's start is seen as end tokens before it."""
     place = np.arange(len(hashes)) - np.repeat(starts, np.diff(np.append(starts, len(hashes))))
     before = []
-    for back in (1, 2, 3):
+    for back in (1, 2):
         shifted = np.full(len(hashes), END)
         shifted[back:] = hashes[: len(hashes) - back]
         shifted[place < back] = END
         before.append(shifted)
-    one, two, three = before
+    one, two = before
     f = _FEATURE
-    found = [one * f[0, 0], one * f[1, 0] + two * f[1, 1], two * f[2, 0], three * f[3, 0]]
+    found = [one * f[0, 0], one * f[1, 0] + two * f[1, 1], two * f[2, 0]]
     return np.stack([_finish(x) for x in found])
 
 
@@ -219,14 +234,28 @@ def token_logs(model: Model, features: np.ndarray, rank: np.ndarray) -> np.ndarr
     return out
 
 
+def _run_sums(values: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of runs of ordered rows. Most runs are short: all advance one row a round, the few long ones are summed apart."""
+    ends = np.append(starts[1:], len(order))
+    total = values[order[starts]]
+    done, live = 1, np.flatnonzero(ends - starts > 1)
+    while len(live) > 64:
+        total[live] += values[order[starts[live] + done]]
+        done += 1
+        live = live[ends[live] - starts[live] > done]
+    for i in live:
+        total[i] += values[order[starts[i] + done : ends[i]]].sum(axis=0)
+    return total
+
+
 def _update(rows: np.ndarray, squares: np.ndarray, seen: np.ndarray, index: np.ndarray, gradient: np.ndarray, rate: float) -> None:
     """One adaptive step on the rows that a block's features pick."""
-    flat = index.reshape(-1)
+    flat = index.reshape(-1).astype(np.uint16)  # both tables have at most 65536 rows; sixteen bits sort by radix
     order = np.argsort(flat, kind="stable")
     ordered = flat[order]
-    starts = np.flatnonzero(np.diff(ordered, prepend=-1))
-    which = ordered[starts]
-    total = np.add.reduceat(gradient[order % gradient.shape[0]], starts, axis=0)
+    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    which = ordered[starts].astype(np.int64)
+    total = _run_sums(gradient, order % gradient.shape[0], starts)
     squares[which] += np.einsum("ij,ij->i", total, total)
     seen[which] += np.diff(np.append(starts, len(flat)))
     rows[which] -= total * (rate / np.sqrt(squares[which]))[:, None].astype(np.float32)
