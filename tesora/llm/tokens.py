@@ -37,6 +37,7 @@ _PIECES = {
     True: re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-&(-/:-@\\[-`{-~]+|\n"),
     False: re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\\[-`{-~]+|\n"),
 }
+_STOPS = frozenset(".,;:!?")
 #: A blank that is not in front of a visible character.
 _LOOSE = re.compile(r" (?=\s|$)")
 
@@ -91,6 +92,8 @@ class Encoder:
                 continue
             if part.isalpha() and part.isascii():
                 ids = [t.id for t in tokenize(blank + (part if self.leading else part.lower()))]
+            elif part[-1:] in _STOPS and part[:-1].isalpha() and part.isascii():
+                ids = self._piece(lead + part[:-1]) + self._piece(part[-1])
             else:
                 ids = self._ids(lead + part)
             table[part] = at + len(sizes)
