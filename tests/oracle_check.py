@@ -78,7 +78,7 @@ def main(argv: list[str]) -> int:
     spark.sparkContext.setLogLevel("ERROR")
     con, oracles, bad = connect(sf), oracle_sql(), 0
     for name, build in queries().items():
-        if wanted and not any(w in name for w in wanted):
+        if wanted and not any(w == name or w in name and w not in oracles for w in wanted):
             continue
         try:
             state, n, took, note = compare(spark, con, sf, name, build, oracles.get(name))
