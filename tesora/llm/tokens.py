@@ -18,8 +18,9 @@ import numpy as np
 from tokenizers import Tokenizer
 
 
-#: Distinct chunks a worker remembers, and the longest that it does.
-REMEMBERED = 600_000
+#: Distinct chunks a worker remembers (byte-level, word-level), pieces of them, and the longest that it does.
+REMEMBERED = {True: 600_000, False: 400_000}
+PIECES = 100_000
 LONGEST = 64
 
 
@@ -79,6 +80,8 @@ class Encoder:
             spelled = (piece if self.leading else piece.lower()).encode("utf-8").decode("latin-1").translate(_SPELL)
             known = [t.id for t in self.model.tokenize(spelled)]
             if len(piece) <= LONGEST:
+                if len(self.pieces) >= PIECES:
+                    self.pieces.clear()
                 self.pieces[piece] = known
         return known
 
@@ -127,7 +130,7 @@ class Encoder:
         """Ids of a whole text; null counts as empty."""
         if not text:
             return np.empty(0, np.uint32)
-        if self.count >= REMEMBERED:
+        if self.count >= REMEMBERED[self.leading]:
             self._forget()
         head, rest = self._parts(text)
         if head not in self.first:

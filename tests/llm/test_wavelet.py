@@ -60,12 +60,13 @@ _encoders = {p: (Encoder(p, leading), library(p)) for p, leading in ((BYTES, Tru
 
 
 def test_the_table_of_chunks_is_bounded(monkeypatch):
-    monkeypatch.setattr("tesora.llm.tokens.REMEMBERED", 50)
+    monkeypatch.setattr("tesora.llm.tokens.REMEMBERED", {True: 50})
+    monkeypatch.setattr("tesora.llm.tokens.PIECES", 7)
     encoder, whole = Encoder(BYTES, True), library(BYTES)
     for i in range(20):
-        text = " ".join(f"word{i}x{j}" for j in range(30))
+        text = " ".join(f"word{i}x{j}." for j in range(30))
         assert encoder.encode(text).tolist() == whole(text)
-        assert encoder.count < 50 + 31
+        assert encoder.count < 50 + 31 and len(encoder.pieces) <= 7
 
 
 def expected(rows):
