@@ -7,7 +7,7 @@ more class stands for all other words. The model gives
     p(word | context) = p(class | context) * p(word | class, context),
 
 each factor a softmax over the sum of the weight rows that the context's hashed
-features pick: the word before, the two words before, and the one before the last (skipping one). A
+features pick: the word before, the two words before, and each of the two words back from there (skipping one or two). A
 word outside the vocabulary has p(other | context) times its add-half share
 among the other words, unseen ones counting as one more word. So probabilities
 sum to one over all words.
@@ -41,7 +41,7 @@ from tesora.llm.base import ASCII_LOWER, chunks, documents, fold, order_hash, ra
 
 WIDTH = 64  # classes, and words in a class
 CLASSES = WIDTH - 1  # the last class is for words outside the vocabulary
-FEATURES = 3
+FEATURES = 4
 CLASS_ROWS, WORD_ROWS = 1 << 12, 1 << 14
 #: Most hashes with their counts that are sent to the tasks.
 LISTED = 1 << 19
@@ -189,14 +189,14 @@ def contexts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Feature hashes (FEATURES, tokens); a text's start is seen as end tokens before it."""
     place = np.arange(len(hashes)) - np.repeat(starts, np.diff(np.append(starts, len(hashes))))
     before = []
-    for back in (1, 2):
+    for back in (1, 2, 3):
         shifted = np.full(len(hashes), END)
         shifted[back:] = hashes[: len(hashes) - back]
         shifted[place < back] = END
         before.append(shifted)
-    one, two = before
+    one, two, three = before
     f = _FEATURE
-    found = [one * f[0, 0], one * f[1, 0] + two * f[1, 1], two * f[2, 0]]
+    found = [one * f[0, 0], one * f[1, 0] + two * f[1, 1], two * f[2, 0], three * f[3, 0]]
     return np.stack([_finish(x) for x in found])
 
 

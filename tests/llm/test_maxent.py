@@ -104,3 +104,8 @@ def test_query_folds(spark, awkward):
 def test_hashes_tell_words_apart():
     found = {int(maxent.token_hashes(f"{a}{b}")[0]) for a in words(300).split() for b in "xyz"}
     assert len(found) == len({f"{a}{b}" for a in words(300).split() for b in "xyz"})
+
+
+def test_the_word_three_back_is_a_feature():
+    one, other = (maxent.contexts(maxent.token_hashes(t), np.array([0])) for t in ("a b c d", "x b c d"))
+    assert (one[:3, 3] == other[:3, 3]).all() and one[3, 3] != other[3, 3]
