@@ -132,7 +132,9 @@ def profiles(docs: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFrame,
 def _distances(key: tuple, table: pa.Table) -> pa.Table:
     """Sums of absolute differences between the sources of two tiles over one block of terms.
 
-    Rows without a term name a source and the share of a term it lacks.
+    Rows without a term name a source, the share of a term it lacks and the
+    number of terms of the block; those that no source of the two tiles holds
+    differ by these shares alone.
     """
     tile_a, tile_b = key[2].as_py(), key[3].as_py()
     names = table.filter(pc.is_null(table["term"])).sort_by("number")
@@ -140,6 +142,7 @@ def _distances(key: tuple, table: pa.Table) -> pa.Table:
     number, base, tile = (names[c].to_numpy() for c in ("number", "p", "tile"))
     terms = cells["term"].combine_chunks().dictionary_encode()
     shares = np.repeat(base[:, None], len(terms.dictionary), axis=1)
+    elsewhere = (names["in_block"][0].as_py() if len(names) else 0) - len(terms.dictionary)
     shares[np.searchsorted(number, cells["number"].to_numpy()), terms.indices.to_numpy()] = cells["p"].to_numpy()
     left, right = np.flatnonzero(tile == tile_a), np.flatnonzero(tile == tile_b)
     a, b, value = [], [], []
@@ -147,7 +150,7 @@ def _distances(key: tuple, table: pa.Table) -> pa.Table:
         others = right[right > i] if tile_a == tile_b else right
         a.append(np.full(len(others), number[i]))
         b.append(number[others])
-        value.append(np.abs(shares[others] - shares[i]).sum(axis=1))
+        value.append(np.abs(shares[others] - shares[i]).sum(axis=1) + elsewhere * np.abs(base[others] - base[i]))
     columns = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b, value)]
     return pa.table([pa.array([key[0].as_py()] * len(columns[0]), pa.string()), *columns], ["lang", "a", "b", "value"])
 
@@ -161,13 +164,16 @@ def pair_rows(groups: DataFrame, kept: DataFrame, block: int = BLOCK, tile: int
     of = numbered.withColumns({"tile": _div(F.col("number"), F.lit(tile)).cast("int"), "tiles": tiles, "blocks": blocks})
     known = ["lang", "number", "tile", "tiles"]
     lacking = F.when(F.col("terms") > 0, share(F.lit(0).cast("long"), F.col("total"), F.greatest("terms", F.lit(1)))).otherwise(0)
-    named = of.select(*known, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("string").alias("term"), lacking.alias("p"))
-    met = kept.join(of, ["lang", "source"])
     mine = F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block")
+    met = kept.join(of, ["lang", "source"])
     cells = met.select(*known, mine, "term", share(F.col("n"), F.col("total"), F.col("terms")).alias("p"))
+    cells = cells.withColumn("in_block", F.lit(0).cast("long"))
+    sizes = cells.select("lang", "block", "term").distinct().groupBy("lang", "block").agg(F.count("*").alias("in_block"))
+    named = of.select(*known, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("string").alias("term"), lacking.alias("p"))
+    named = named.join(sizes, ["lang", "block"], "left").fillna(0, ["in_block"])
     both = F.transform(F.sequence(F.lit(0), F.col("tiles")), lambda t: F.struct(F.least(t, "tile").alias("a"), F.greatest(t, "tile").alias("b")))
     dealt = named.unionByName(cells).select("*", F.explode(both).alias("pair"))
-    dealt = dealt.select("lang", "block", F.col("pair.a").alias("tile_a"), F.col("pair.b").alias("tile_b"), "number", "tile", "term", "p")
+    dealt = dealt.select("lang", "block", F.col("pair.a").alias("tile_a"), F.col("pair.b").alias("tile_b"), "number", "tile", "term", "p", "in_block")
     parts = dealt.groupBy("lang", "block", "tile_a", "tile_b").applyInArrow(_distances, "lang string, a long, b long, value long")
     sums = parts.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     ways = F.explode(F.array(*[F.struct(F.col(x).alias("own"), F.col(y).alias("other")) for x, y in (("a", "b"), ("b", "a"))]))

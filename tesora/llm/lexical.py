@@ -218,7 +218,8 @@ def search_shard(
     holding both).
     """
     ranked = sorted(units, key=lambda u: -u[2])
-    later = np.concatenate((np.cumsum([u[2] for u in ranked][::-1])[::-1][1:], [0])).tolist()
+    bounds = np.array([u[2] for u in ranked], np.int64)
+    later = (bounds.sum() - np.cumsum(bounds)).tolist()
     score, met = np.zeros(rows, np.int64), np.zeros(rows, bool)
     for (a, b, joint, both), rest in zip(ranked, later, strict=True):
         if not joint:
