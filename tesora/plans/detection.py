@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesora.functions import scalar as S
+from tesora.operators import bocpd
 from tesora.operators import detect as dt
 from tesora.operators import metrics as mt
 from tesora.operators import prefix as px
@@ -117,6 +118,50 @@ def page_hinkley_alarms(spark, sf):
     return dt.first_alarm(_page_hinkley(spark, sf, "region"), keys=KEYS, flag="page_hinkley_flag")
 
 
+def _run_length_sql(level: str, hazard: str = "1 / 24.0") -> str:
+    """The posterior without pruning: densities of each point after each run from prefix sums, then a recursion over lists."""
+    by = "oktmo, category_code"
+    return f"""{data.panel_sql(level)}, {_z_sql(level)},
+rl_p AS (SELECT {by}, pos, z, sum(z) OVER w AS s1, sum(z * z) OVER w AS s2 FROM z WINDOW w AS (PARTITION BY {by} ORDER BY pos)),
+rl_q AS (SELECT {by}, pos, z, coalesce(lag(s1) OVER w, 0) AS s1, coalesce(lag(s2) OVER w, 0) AS s2 FROM rl_p WINDOW w AS (PARTITION BY {by} ORDER BY pos)),
+rl_n AS (SELECT {by}, a.pos, a.z, a.pos - b.pos AS n, a.s1 - b.s1 AS t1, a.s2 - b.s2 AS t2 FROM rl_q a JOIN rl_q b USING ({by}) WHERE b.pos <= a.pos),
+rl_m AS (SELECT *, t1 / (1 + n) AS centre, 1 + n / 2.0 AS shape,
+  1 + CASE WHEN n > 0 THEN (t2 - t1 * t1 / n) / 2 + t1 * t1 / n / (2 * (1 + n)) ELSE 0 END AS rate FROM rl_n),
+rl_d AS (SELECT {by}, pos, n, lgamma(shape + 0.5) - lgamma(shape) - 0.5 * ln(2 * pi() * shape * v) - (shape + 0.5) * ln(1 + (z - centre) ** 2 / (2 * shape * v)) AS f
+  FROM (SELECT *, rate * (n + 2) / (shape * (n + 1)) AS v FROM rl_m)),
+rl_l AS (SELECT {by}, pos, list(exp(f) ORDER BY n) AS f FROM rl_d GROUP BY ALL),
+rl AS (
+  SELECT DISTINCT {by}, CAST(-1 AS BIGINT) AS pos, [1.0::DOUBLE] AS p, 0.0::DOUBLE AS evidence FROM z
+  UNION ALL
+  SELECT {by}, pos, list_prepend({hazard}, list_transform(joint, lambda j: j * scale)), -ln(scale / (1 - {hazard}))
+  FROM (SELECT *, (1 - {hazard}) / list_sum(joint) AS scale FROM (SELECT l.oktmo, l.category_code, l.pos, list_transform(range(1, len(l.f) + 1), lambda i: l.f[i] * rl.p[i]) AS joint
+    FROM rl JOIN rl_l l ON l.oktmo = rl.oktmo AND l.category_code = rl.category_code AND l.pos = rl.pos + 1))),
+run_lengths AS (SELECT {by}, pos, list_position(p, list_max(p)) - 1 AS run_length, list_sum(p[1:4]) AS p_recent, evidence AS log_predictive FROM rl WHERE pos >= 0)"""
+
+
+@query(
+    "run_lengths",
+    f"""WITH RECURSIVE {_run_length_sql("nation")}
+SELECT oktmo, category_code, period_start, CAST(run_length AS BIGINT) AS run_length, {r("p_recent", 5)} AS p_recent, {r("log_predictive", 5)} AS log_predictive,
+  pos >= 12 AND p_recent > 0.5 AS bocpd_flag FROM run_lengths JOIN z USING (oktmo, category_code, pos)""",
+)
+def run_lengths(spark, sf):
+    """The second online method of the detection protocol, on standardised values."""
+    z = dt.baseline_standardize(data.panel(spark, sf, "nation"), keys=KEYS, **ORDER).drop("pos")
+    out = bocpd.run_lengths(z, keys=KEYS, order="period_start", value="z")
+    return rounded(out.select(*KEYS, "period_start", "run_length", "p_recent", "log_predictive", "bocpd_flag"), 5, "p_recent", "log_predictive")
+
+
+@query(
+    "run_length_alarms",
+    f"""WITH RECURSIVE {_run_length_sql("region")}
+SELECT oktmo, category_code, CAST(min(pos) FILTER (pos >= 12 AND p_recent > 0.5) AS BIGINT) AS first_alarm FROM run_lengths GROUP BY 1, 2""",
+)
+def run_length_alarms(spark, sf):
+    z = dt.baseline_standardize(data.panel(spark, sf, "region"), keys=KEYS, **ORDER).drop("pos")
+    return dt.first_alarm(bocpd.run_lengths(z, keys=KEYS, order="period_start", value="z"), keys=KEYS, flag="bocpd_flag")
+
+
 @query(
     "robust_scores",
     f"""WITH {data.panel_sql('nation')},

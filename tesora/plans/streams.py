@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tesora.operators import detect as dt
 from tesora.plans import inputs as data
-from tesora.plans.detection import KEYS, ORDER, _cusum_sql, _hysteresis_sql, _ph_sql, _scored, _z_sql
+from tesora.plans.detection import KEYS, ORDER, _cusum_sql, _hysteresis_sql, _ph_sql, _run_length_sql, _scored, _z_sql
 from tesora.plans.registry import query, rounded, sql_round as r
 from tesora.session import shared_folder
 from tesora.streaming import online
@@ -57,6 +57,18 @@ def online_detectors(spark, sf):
     )
 
 
+@query(
+    "online_run_lengths",
+    f"""WITH RECURSIVE {_run_length_sql("region")}
+SELECT {_SERIES_SQL}, CAST(run_length AS BIGINT) AS run_length, {r("p_recent", 5)} AS p_recent FROM run_lengths JOIN z USING (oktmo, category_code, pos)""",
+)
+def online_run_lengths(spark, sf):
+    online.use_rocksdb(spark)
+    z = dt.baseline_standardize(data.panel(spark, sf, "region"), keys=KEYS, **ORDER)
+    points = _landed(spark, z.select(*_series(z), F.col("z").alias("value")))
+    return rounded(_run(spark, online.run_length_stream(points)).select("series_id", "t", "run_length", "p_recent"), 5, "p_recent")
+
+
 @query(
     "online_hysteresis",
     f"""WITH {data.panel_sql('region')}, {_z_sql('region')}, {_cusum_sql(5.0)}, {_hysteresis_sql('cusum')}

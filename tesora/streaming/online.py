@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tesora.operators import bocpd
 from tesora.operators.detect import STATES, HysteresisConfig
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -23,6 +24,7 @@ DETECTOR_OUTPUT = (
 HYSTERESIS_OUTPUT = (
     "series_id string, t long, score double, confirmations int, state string, above_streak long, below_streak long, late boolean"
 )
+RUN_LENGTH_OUTPUT = f"series_id string, t long, value double, {bocpd.OUTPUT}, late boolean"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -132,6 +134,44 @@ class OnlineHysteresis(StatefulProcessor):
         pass
 
 
+class OnlineRunLengths(StatefulProcessor):
+    """Run-length posterior per series, one point at a time; the state is the kept run lengths."""
+
+    def __init__(self, model: bocpd.RunLengthModel = bocpd.RunLengthModel()):
+        self.settings = asdict(model)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("run_lengths", "seen long, last_t long, lost double, runs binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        model = bocpd.RunLengthModel(**self.settings)
+        last_t, held = None, bocpd.RunLengths(model)
+        if self.state.exists():
+            seen, last_t, lost, runs = self.state.get()
+            held = bocpd.RunLengths.load(model, seen, lost, bytes(runs))
+        fresh, late = _in_order(rows, last_t)
+        out = [(*key, t, x, *held.step(x), False) for t, x in zip(fresh["t"].tolist(), fresh["value"].tolist())]
+        out += [(*key, t, x, *([None] * len(bocpd.NAMES)), True) for t, x in zip(late["t"].tolist(), late["value"].tolist())]
+        if len(fresh):
+            self.state.update((held.seen, int(fresh["t"].iloc[-1]), held.lost, held.dump()))
+        yield pd.DataFrame(out, columns=[f.split()[0] for f in RUN_LENGTH_OUTPUT.split(", ")]).astype(
+            {"pos": "Int64", "run_length": "Int64", "kept": "Int32", "bocpd_flag": "boolean"}
+        )
+
+    def close(self) -> None:
+        pass
+
+
+def run_length_stream(points: DataFrame, model: bocpd.RunLengthModel = bocpd.RunLengthModel()) -> DataFrame:
+    """``points``: series_id, t, value (finite). Equals :func:`tesora.operators.bocpd.run_lengths` row by row."""
+    return points.groupBy("series_id").transformWithStateInPandas(
+        statefulProcessor=OnlineRunLengths(model),
+        outputStructType=RUN_LENGTH_OUTPUT,
+        outputMode="Append",
+        timeMode="None",
+    )
+
+
 def detector_stream(points: DataFrame, **settings) -> DataFrame:
     """``points``: series_id, t, value. Rows at or before the last folded time come out as late."""
     return points.groupBy("series_id").transformWithStateInPandas(
