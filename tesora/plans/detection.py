@@ -9,8 +9,11 @@ from tesora.operators import bocpd
 from tesora.operators import detect as dt
 from tesora.operators import metrics as mt
 from tesora.operators import prefix as px
+from tesora.operators import resample as rs
+from tesora.operators import significance as sg
 from tesora.operators.pelt import pelt_breaks
 from tesora.plans import inputs as data
+from tesora.plans.forecasting import _resampled_sql
 from tesora.plans.registry import query, rounded, sql_round as r
 
 KEYS = ["oktmo", "category_code"]
@@ -559,6 +562,103 @@ def dual_value(spark, sf):
     return rounded(out, 9, *out.columns)
 
 
+_AREA_SCORES = ("n_chars", "words", "n_chars + 5 * words")
+_AREA_SQL = f"""{_JUDGED_SQL},
+scored AS (SELECT toxic, doc_id, quality AS y, n_chars AS s0, words AS s1, n_chars + 5 * words AS s2 FROM judged),
+placed AS (SELECT a.toxic, a.doc_id, a.y, {", ".join(f"avg(CASE WHEN a.s{i} = b.s{i} THEN 0.5 WHEN (a.s{i} > b.s{i}) = (a.y = 1) THEN 1.0 ELSE 0 END) AS v{i}" for i in range(3))}
+  FROM scored a JOIN scored b ON a.toxic = b.toxic AND a.y <> b.y GROUP BY ALL),
+moments AS (SELECT toxic, y, count(*) AS n, {", ".join(f"avg(v{i}) AS m{i}" for i in range(3))}, {", ".join(f"var_samp(v2 - v{i}) / count(*) AS d{i}" for i in range(2))} FROM placed GROUP BY 1, 2),
+sides AS (SELECT toxic, p.n AS positives, q.n AS negatives, p.m2 AS auc, [p.m0, p.m1] AS others, [p.d0 + q.d0, p.d1 + q.d1] AS variances
+  FROM (SELECT * FROM moments WHERE y = 1) p JOIN (SELECT * FROM moments WHERE y = 0) q USING (toxic)),
+areas AS (SELECT toxic, positives, negatives, auc, ['n_chars', 'words'][i] AS against, others[i] AS auc_against, variances[i] AS variance FROM sides, (VALUES (1), (2)) v(i)),
+tests AS (SELECT *, auc - auc_against AS difference, CASE WHEN variance > 1e-15 THEN (auc - auc_against) / sqrt(variance) END AS statistic FROM areas),
+tails AS (SELECT toxic, against, 1 - sum(h * (exp(-0.5 * (2 * i * h) ** 2) + 4 * exp(-0.5 * ((2 * i + 1) * h) ** 2) + exp(-0.5 * ((2 * i + 2) * h) ** 2)) / 3) * 2 / sqrt(2 * pi()) AS p_value
+  FROM (SELECT toxic, against, least(abs(statistic), 9) / 2000 AS h FROM tests), generate_series(0, 999) g(i) GROUP BY 1, 2)"""
+
+
+@query(
+    "area_tests",
+    f"""WITH {_AREA_SQL}
+SELECT toxic, against, {r("auc", 9)} AS auc, {r("auc_against", 9)} AS auc_against, {r("difference", 9)} AS difference, {r("variance", 10)} AS variance,
+  {r("statistic", 6)} AS statistic, {r("greatest(p_value, 0)", 7)} AS p_value, positives, negatives, positives >= 20 AND negatives >= 20 AS usable
+FROM tests JOIN tails USING (toxic, against)""",
+)
+def area_tests(spark, sf):
+    """Is the area of the fused score larger than that of either single one?"""
+    judged = _judged(spark, sf).withColumn("both", F.col("n_chars") + 5 * F.col("words"))
+    out = sg.delong(judged, keys=["toxic"], truth="quality", scores=["n_chars", "words", "both"]).where("auc IS NOT NULL").drop("score")
+    return rounded(rounded(rounded(rounded(out, 9, "auc", "auc_against", "difference"), 10, "variance"), 6, "statistic"), 7, "p_value")
+
+
+_FALLS_SQL = f"""{data.panel_sql('nation')}, {_z_sql('nation')}, {_cusum_sql(5.0)},
+judged AS (SELECT oktmo, category_code, year(period_start) AS y, round(greatest(abs(cusum_up), abs(cusum_down)), 6) AS score,
+    CASE WHEN lead(spending_nominal) OVER {_W} < 0.8 * spending_nominal THEN 1 ELSE 0 END AS truth FROM cusum),
+effects AS (SELECT category_code, t.h AS threshold, count(*) FILTER (truth = 1 AND score >= t.h) AS found, count(*) FILTER (truth = 0 AND score >= t.h) AS false_alarms,
+    count(*) FILTER (truth = 1 AND score < t.h) AS missed FROM (SELECT * FROM judged WHERE y < 2000) JOIN (SELECT DISTINCT category_code, score AS h FROM judged WHERE y < 2000) t USING (category_code) GROUP BY 1, 2),
+utility AS (SELECT *, 3.0::DOUBLE * found - false_alarms - 2 * missed - 5 AS net_effect FROM effects),
+frozen AS (SELECT * FROM utility QUALIFY row_number() OVER (PARTITION BY category_code ORDER BY net_effect DESC, threshold DESC) = 1)"""
+
+
+def _falls(spark, sf):
+    """Every month with the size of the online statistic, and whether spending falls by a fifth in the next one."""
+    from pyspark.sql import Window
+
+    df = _cusum(spark, sf, "nation")
+    following = F.lead("spending_nominal").over(Window.partitionBy(*KEYS).orderBy("period_start"))
+    size = F.greatest(F.abs("cusum_up"), F.abs("cusum_down"))
+    falls = F.coalesce(following < 0.8 * F.col("spending_nominal"), F.lit(False)).cast("int")
+    return df.select(*KEYS, F.year("period_start").alias("y"), F.round(size, 6).alias("score"), falls.alias("truth"))
+
+
+_COSTS = {"benefit": 3.0, "false_alarm": 1.0, "miss": 2.0, "model_cost": 5.0}
+
+
+@query(
+    "utility_thresholds",
+    f"""WITH {_FALLS_SQL} SELECT category_code, threshold, found, false_alarms, missed, net_effect FROM frozen""",
+)
+def utility_thresholds(spark, sf):
+    development = _falls(spark, sf).where("y < 2000")
+    return sg.best_threshold(sg.utility_by_threshold(development, keys=["category_code"], truth="truth", score="score", **_COSTS), keys=["category_code"])
+
+
+@query(
+    "net_effect_interval",
+    f"""WITH {_FALLS_SQL},
+pays AS (SELECT category_code, oktmo, y, sum(CASE WHEN score >= threshold AND truth = 1 THEN 3.0 WHEN score >= threshold THEN -1 WHEN truth = 1 THEN -2 ELSE 0 END) AS e
+  FROM (SELECT * FROM judged WHERE y >= 2000) JOIN frozen USING (category_code) GROUP BY ALL),
+units AS (SELECT category_code, oktmo, y, e - 5.0 / count(*) OVER (PARTITION BY category_code) AS a, 1.0 AS b FROM pays),
+{_resampled_sql("units", ("category_code", "oktmo", "y"), "category_code")}
+SELECT category_code, units, {r("estimate", 8)} AS estimate, {r("lower", 8)} AS lower, {r("upper", 8)} AS upper, {r("share_above", 6)} AS share_above, lower > 0 AS accepted
+FROM sizes JOIN ends USING (category_code)""",
+)
+def net_effect_interval(spark, sf):
+    """Thresholds frozen on the development years, effect a territory and year after them."""
+    rows = _falls(spark, sf)
+    frozen = sg.best_threshold(sg.utility_by_threshold(rows.where("y < 2000"), keys=["category_code"], truth="truth", score="score", **_COSTS), keys=["category_code"])
+    out = sg.net_effect_interval(rows.where("y >= 2000"), frozen, keys=["category_code"], unit=["oktmo", "y"], truth="truth", score="score", **_COSTS)
+    return rounded(rounded(out, 8, "estimate", "lower", "upper"), 6, "share_above")
+
+
+@query(
+    "lead_time_interval",
+    f"""WITH {data.panel_sql('nation')}, {_z_sql('nation')}, {_cusum_sql(5.0)}, {_ph_sql(8.0)},
+a AS (SELECT oktmo, category_code, min(period_start) FILTER (cusum_flag) AS signal FROM cusum GROUP BY 1, 2),
+b AS (SELECT oktmo, category_code, min(period_start) FILTER (page_hinkley_flag) AS confirmed FROM ph GROUP BY 1, 2),
+units AS (SELECT category_code, oktmo, date_diff('day', signal, confirmed) AS a, 1.0 AS b FROM a JOIN b USING (oktmo, category_code) WHERE signal IS NOT NULL AND confirmed IS NOT NULL),
+drawn AS (SELECT *, {rs.hashed_sql("1", "k", "category_code", "oktmo")} AS x FROM units, generate_series(1, 2000) g(k)),
+replicates AS (SELECT category_code, k, quantile_disc(a, 0.5) AS v FROM (SELECT category_code, k, a, unnest(range({rs.weight_sql("x")})) FROM drawn) GROUP BY 1, 2),
+ends AS (SELECT category_code, quantile_cont(v, 0.025) AS lower, quantile_cont(v, 0.975) AS upper, avg(CASE WHEN v > 0 THEN 1.0 ELSE 0 END) AS share_above FROM replicates GROUP BY 1),
+sizes AS (SELECT category_code, count(*) AS units, CAST(quantile_disc(a, 0.5) AS DOUBLE) AS estimate FROM units GROUP BY 1)
+SELECT category_code, units, estimate, CASE WHEN units >= 10 THEN lower + 0.0 END AS lower, CASE WHEN units >= 10 THEN upper + 0.0 END AS upper,
+  {r("CASE WHEN units >= 10 THEN share_above END", 6)} AS share_above
+FROM sizes JOIN ends USING (category_code)""",
+)
+def lead_time_interval(spark, sf):
+    """Median lead of the signal over its confirmation, territories resampled."""
+    return rounded(rs.quantile_interval(lead_time(spark, sf), keys=["category_code"], unit=["oktmo"], value="lead_days"), 6, "share_above")
+
+
 @query(
     "precision_recall",
     f"""WITH {_JUDGED_SQL}, g AS (SELECT source, count(*) FILTER (quality = 1 AND n_chars >= 1000) AS tp,

@@ -8,6 +8,8 @@ from tesora.functions import scalar as S
 from tesora.operators import forecast as fc
 from tesora.operators import metrics as mt
 from tesora.operators import panel as pn
+from tesora.operators import resample as rs
+from tesora.operators import significance as sg
 from tesora.plans import inputs as data
 from tesora.plans.registry import query, rounded, sql_round as r
 
@@ -357,6 +359,83 @@ def scaled_error(spark, sf):
     return rounded(out, 8, "mase")
 
 
+# ---- is the better forecast really better ------------------------------------
+
+#: Two windows of the walk: all of it, and the last 24 months, which are too few errors for the loss test.
+_LOSSES_SQL = f"""{_walk_sql('nation', 24, 12)},
+placed AS (SELECT *, max(pos) OVER (PARTITION BY oktmo, category_code) - pos AS back FROM walk WHERE pos >= 24),
+losses AS (SELECT w AS span, oktmo, category_code, pos, period_start, abs(actual - last_value) AS a, abs(actual - seasonal_naive) AS b
+  FROM placed, (VALUES ('ALL'), ('LAST_24')) v(w) WHERE w = 'ALL' OR back < 24)"""
+_SPAN = ["span", *KEYS]
+_BY = "span, oktmo, category_code"
+
+
+def _losses(spark, sf):
+    from pyspark.sql import Window
+
+    table = fc.rolling_origin(data.panel(spark, sf, "nation"), keys=KEYS, **PERIOD, min_train=24, unique=True).where("pos >= 24")
+    placed = table.withColumn("back", F.max("pos").over(Window.partitionBy(*KEYS)) - F.col("pos"))
+    spans = F.when(F.col("back") < 24, F.array(F.lit("ALL"), F.lit("LAST_24"))).otherwise(F.array(F.lit("ALL")))
+    long = placed.withColumn("span", F.explode(spans))
+    error = lambda c: F.abs(F.col("actual") - F.col(c))
+    return long.select(*_SPAN, "pos", error("last_value").alias("a"), error("seasonal_naive").alias("b"))
+
+
+def _resampled_sql(units: str, unit: tuple[str, ...], by: str, value: str = "sum(w * a) / sum(w * b)") -> str:
+    """Replicates of a ratio over rows (by, unit columns, a, b), and the interval per group."""
+    return f"""drawn AS (SELECT *, {rs.hashed_sql("1", "k", *unit)} AS x FROM {units}, generate_series(1, 2000) g(k)),
+weighed AS (SELECT *, {rs.weight_sql("x")} AS w FROM drawn),
+replicates AS (SELECT {by}, k, {value} AS v FROM weighed WHERE w > 0 GROUP BY {by}, k),
+ends AS (SELECT {by}, quantile_cont(v, 0.025) AS lower, quantile_cont(v, 0.975) AS upper, avg(CASE WHEN v > 0 THEN 1.0 ELSE 0 END) AS share_above
+  FROM replicates GROUP BY {by}),
+sizes AS (SELECT {by}, count(*) AS units, sum(a) / sum(b) AS estimate FROM {units} GROUP BY {by})"""
+
+
+_STUDENT = """CASE WHEN f % 2 = 0 THEN sin(angle) * list_sum(list_transform(range(0, f // 2), lambda j: exp(2 * j * ln(cos(angle)) + lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1))))
+  ELSE 2 / pi() * (angle + coalesce(sin(angle) * cos(angle) * list_sum(list_transform(range(0, f // 2), lambda j: exp(2 * j * ln(cos(angle)) + lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)))), 0)) END"""
+
+
+@query(
+    "loss_tests",
+    f"""WITH {_LOSSES_SQL},
+c AS (SELECT *, a - b - avg(a - b) OVER (PARTITION BY {_BY}) AS c FROM losses),
+g AS (SELECT *, c * lag(c) OVER (PARTITION BY {_BY} ORDER BY pos) AS c1 FROM c),
+m AS (SELECT {_BY}, count(*) AS errors, avg(a) AS mean_a, avg(a - b) AS difference, (sum(c * c) + 2 * sum(c1)) / count(*) AS variance FROM g GROUP BY ALL),
+t AS (SELECT *, CASE WHEN variance > 0 THEN difference / sqrt(variance / errors) * sqrt((errors - 3 + 2.0 / errors) / errors) END AS statistic FROM m),
+p AS (SELECT *, errors - 1 AS f, atan(abs(statistic) / sqrt(errors - 1)) AS angle FROM t),
+tested AS (SELECT *, CASE WHEN errors >= 30 AND statistic IS NOT NULL THEN 'DIEBOLD_MARIANO' ELSE 'BLOCK_BOOTSTRAP' END AS method, greatest(0, 1 - {_STUDENT}) AS p_value FROM p),
+units AS (SELECT {_BY}, block, sum(a - b) AS a, sum(1.0) AS b FROM (SELECT *, (row_number() OVER (PARTITION BY {_BY} ORDER BY pos) - 1) // 2 AS block
+  FROM losses SEMI JOIN (SELECT * FROM tested WHERE method = 'BLOCK_BOOTSTRAP') USING ({_BY})) GROUP BY ALL),
+{_resampled_sql("units", ("span", "oktmo", "category_code", "block"), _BY)}
+SELECT span, oktmo, category_code, errors, {r("difference", 2)} AS difference, {r("statistic", 6)} AS statistic, {r("p_value", 7)} AS p_value, method,
+  {r("CASE WHEN units >= 10 THEN lower END", 2)} AS lower, {r("CASE WHEN units >= 10 THEN upper END", 2)} AS upper, {r("difference / nullif(mean_a, 0)", 8)} AS reduction,
+  CASE WHEN method = 'DIEBOLD_MARIANO' THEN p_value < 0.05 AND statistic > 0 ELSE coalesce(units >= 10 AND lower > 0, false) END AND difference / nullif(mean_a, 0) >= 0.05 AS accepted
+FROM tested LEFT JOIN ends USING ({_BY}) LEFT JOIN sizes USING ({_BY})""",
+)
+def loss_tests(spark, sf):
+    """Seasonal naive against last value: the loss test with the first autocovariance, else block resampling."""
+    plan = rs.Resampling()
+    out = sg.loss_test(_losses(spark, sf), keys=_SPAN, order="pos", loss_a=F.col("a"), loss_b=F.col("b"), horizon=2, block=2, plan=plan)
+    out = out.select(*_SPAN, "errors", "difference", "statistic", "p_value", "method", "lower", "upper", "reduction", "accepted")
+    return rounded(rounded(rounded(rounded(out, 2, "difference", "lower", "upper"), 6, "statistic"), 7, "p_value"), 8, "reduction")
+
+
+@query(
+    "pooled_loss_interval",
+    f"""WITH {_LOSSES_SQL},
+units AS (SELECT category_code, oktmo, block, sum(a - b) AS a, sum(a) AS b FROM (SELECT *, (row_number() OVER (PARTITION BY oktmo, category_code ORDER BY pos) - 1) // 3 AS block
+  FROM losses WHERE span = 'ALL') GROUP BY ALL),
+{_resampled_sql("units", ("category_code", "oktmo", "block"), "category_code")}
+SELECT category_code, units, {r("estimate", 8)} AS estimate, {r("lower", 8)} AS lower, {r("upper", 8)} AS upper, {r("share_above", 6)} AS share_above
+FROM sizes JOIN ends USING (category_code)""",
+)
+def pooled_loss_interval(spark, sf):
+    """Relative loss reduction over all territories of a category, resampled by blocks of a quarter."""
+    rows = rs.blocks(_losses(spark, sf).where("span = 'ALL'"), keys=KEYS, order="pos", length=3)
+    out = rs.ratio_interval(rows, keys=["category_code"], unit=["oktmo", "block"], numerator=F.col("a") - F.col("b"), denominator=F.col("a"))
+    return rounded(rounded(out, 8, "estimate", "lower", "upper"), 6, "share_above")
+
+
 @query("growth_model_forecast")
 def growth_model_forecast(spark, sf):
     from tesora.operators.growth import rolling_growth_forecast
