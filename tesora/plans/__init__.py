@@ -3,6 +3,7 @@
 from tesora.plans import (  # noqa: F401
     budgeting,
     cashflow,
+    codes,
     detection,
     fiscal,
     forecasting,
