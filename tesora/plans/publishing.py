@@ -490,6 +490,68 @@ def packed(names: pd.Series, texts: pd.Series) -> pd.Series:
     return pd.Series([pack(n, t) for n, t in zip(names, texts)])
 
 
+#: Ways to break an archive, in the order of the rows that show them; the first leaves it whole.
+_BROKEN = ("WHOLE", "ENCRYPTED", "UNSUPPORTED_COMPRESSION", "CORRUPT", "CUT")
+
+
+@F.pandas_udf(T.BinaryType())
+def broken(contents: pd.Series, ways: pd.Series) -> pd.Series:
+    """Archives as they arrive when an upload goes wrong."""
+
+    def spoil(content: bytes, way: str) -> bytes:
+        out = bytearray(content)
+        if way in ("ENCRYPTED", "UNSUPPORTED_COMPRESSION"):
+            at, bits = (6, 1) if way == "ENCRYPTED" else (8, 99)
+            out[at] |= bits  # in the member's own header and in the directory
+            out[out.find(b"PK\x01\x02") + at + 2] |= bits
+        elif way == "CORRUPT":
+            start = 30 + int.from_bytes(out[26:28], "little")
+            out[start : start + 4] = b"\xff" * 4
+        elif way == "CUT":
+            del out[-30:]
+        return bytes(out)
+
+    return pd.Series([spoil(c, w) for c, w in zip(contents, ways)])
+
+
+def _way(key):
+    return F.element_at(F.array(*[F.lit(w) for w in _BROKEN]), (key % len(_BROKEN)).cast("int") + 1)
+
+
+@query(
+    "broken_workbooks",
+    """SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN CASE WHEN s_nationkey % 5 = 0 THEN 'BAD_REFERENCE' ELSE 'READ' END WHEN 1 THEN 'ENCRYPTED'
+  WHEN 2 THEN 'UNSUPPORTED_COMPRESSION' WHEN 3 THEN 'CORRUPT' ELSE 'UNSUPPORTED_WORKBOOK' END AS outcome, CASE WHEN s_suppkey % 5 = 0 AND s_nationkey % 5 > 0 THEN 3 ELSE 0 END AS cells FROM supplier""",
+)
+def broken_workbooks(spark, sf):
+    """One workbook a supplier, four of five damaged and some naming a text they lack: every file by what came of it."""
+    supplier = data.read(spark, sf, "supplier")
+    sheet = _sheet([(F.col("s_name"), True), (F.col("s_nationkey").cast("string"), False), (F.col("s_acctbal").cast("string"), False)])
+    sheet = F.when(F.col("s_nationkey") % 5 == 0, F.replace(sheet, F.lit('<c r="C1">'), F.lit('<c r="C1" t="s">'))).otherwise(sheet)
+    book = packed(F.array(F.lit("xl/worksheets/sheet1.xml")), F.array(sheet))
+    books = supplier.select(F.col("s_suppkey").cast("string").alias("path"), broken(book, _way(F.col("s_suppkey"))).alias("content"))
+    parts = wb.workbook_cells(books)
+    read = parts.clean.groupBy("path").agg(F.lit("READ").alias("outcome"), F.count(F.lit(1)).alias("cells"))
+    out = read.unionByName(parts.quarantine.select("path", F.col("reason_code").alias("outcome"), F.lit(0).cast("long").alias("cells")))
+    return out.select(F.col("path").cast("long").alias("s_suppkey"), "outcome", "cells")
+
+
+@query(
+    "broken_exports",
+    """SELECT CASE c_custkey % 5 WHEN 0 THEN 'READ' WHEN 1 THEN 'ENCRYPTED' WHEN 2 THEN 'UNSUPPORTED_COMPRESSION' WHEN 3 THEN 'CORRUPT' ELSE 'BAD_ARCHIVE' END AS outcome,
+  count(*) AS files, sum(CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 0 END)::BIGINT AS n_rows FROM customer GROUP BY 1""",
+)
+def broken_exports(spark, sf):
+    """One zipped export a customer, four of five damaged."""
+    customer = data.read(spark, sf, "customer")
+    text = F.concat(F.lit("name;segment\n"), F.repeat(F.concat_ws(";", "c_name", F.concat("c_mktsegment", F.lit("\n"))), F.lit(2)))
+    content = broken(packed(F.array(F.lit("export.csv")), F.array(text)), _way(F.col("c_custkey")))
+    parts = dl.unpacked_exports(customer.select(F.col("c_custkey").cast("string").alias("path"), content.alias("content")), ["name", "segment"])
+    rows = parts.clean.groupBy("path").agg(F.lit("READ").alias("outcome"), F.count(F.lit(1)).alias("n"))
+    files = rows.unionByName(parts.quarantine.select("path", F.col("reason_code").alias("outcome"), F.lit(0).cast("long").alias("n")))
+    return files.groupBy("outcome").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("n_rows"))
+
+
 @query(
     "archive_members",
     """SELECT conv_id || '-' || turn AS path, CASE WHEN role = 'system' THEN '../text.txt' ELSE 'turn/text.txt' END AS member_name, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes,

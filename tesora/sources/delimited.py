@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
+import itertools
 import sys
-import zipfile
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from typing import IO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,7 @@ from pyspark.sql import types as T
 
 from tesora.functions.scalar import parse_number
 from tesora.operators.contracts import ERROR, Rule, Split, clean_header, missing_columns, split
+from tesora.sources.faults import member_problem, opened
 
 # Known public sources and the columns a mapping must define.
 PUBLIC_SOURCES = ("fns_5_ndfl", "fns_7_ndfl", "fns_kkt", "rosstat_pmo", "other_public")
@@ -39,25 +42,25 @@ def scan_zipped_export(spark: SparkSession, path: str, required: Sequence[str],
 
 
 def unpacked_exports(files: DataFrame, required: Sequence[str], *, sep: str = ";") -> Split:
-    """Rows of archives holding exactly one CSV file each; other archives go aside with a reason."""
+    """Rows of archives holding exactly one CSV file each; other archives go aside with a reason.
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    The member is streamed, never unpacked whole. A broken, encrypted or
+    unreadable archive only sets itself aside.
+    """
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):  # one unpacked archive at a time
-                text, problem = None, None
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                        names = [n for n in archive.namelist() if n.lower().endswith(".csv")]
-                        if len(names) == 1:
-                            text = archive.read(names[0])
-                        else:
-                            problem = "NOT_ONE_CSV"
-                except zipfile.BadZipFile:
-                    problem = "BAD_ARCHIVE"
-                yield pd.DataFrame({"path": [path], "content": [text], "problem": [problem]})
-
-    unpacked = files.select("path", "content").mapInPandas(unpack, "path string, content binary, problem string")
-    records = text_records(unpacked, sep=sep)
+            for path, content in zip(batch["path"], batch["content"]):  # one archive at a time
+                with opened(content) as (archive, problem):
+                    names = [] if problem else [n for n in archive.namelist() if n.lower().endswith(".csv")]
+                    if not problem:
+                        problem = member_problem(archive, names[0]) if len(names) == 1 else "NOT_ONE_CSV"
+                    if problem:
+                        yield path, 0, [], [], problem
+                    else:
+                        yield from _lines(path, lambda archive=archive, name=names[0]: archive.open(name), ENCODINGS, sep)
+
+    records = files.select("path", "content").mapInPandas(lambda batches: _frames(unpack(batches)), RECORDS)
     bad = records.where(F.col("problem").isNotNull()).select("path", F.col("problem").alias("reason_code"))
     return Split(rows_with_header(records, required), bad)
 
@@ -108,21 +111,69 @@ def scan_mapped(spark: SparkSession, path: str, config: Mapping) -> Split:
 RECORDS = "path string, line_no int, header array<string>, fields array<string>, problem string"
 
 
-def _decode(content: bytes, encodings: Sequence[str]) -> str | None:
+def _encoding_of(open_: Callable[[], IO[bytes]], encodings: Sequence[str]) -> str | None:
+    """The first encoding that decodes the whole stream; the stream is read in pieces."""
     for encoding in encodings:
+        decoder = codecs.getincrementaldecoder(encoding)()
         try:
-            return content.decode(encoding)
+            with open_() as stream:
+                while piece := stream.read(1 << 20):
+                    decoder.decode(piece)
+            decoder.decode(b"", True)
+            return encoding
         except UnicodeDecodeError:
             continue
     return None
 
 
-def _separator(text: str) -> str:
+def _separator(header: str) -> str:
     """The separator seen most often in the header line."""
-    header = text.lstrip("\r\n").replace("\r", "\n").split("\n", 1)[0]
     return max(",;\t|", key=header.count)
 
 
+def _lines(path: str, open_: Callable[[], IO[bytes]], encodings: Sequence[str], sep: str | None) -> Iterator[tuple]:
+    """The records of one file, read as they come."""
+    encoding = _encoding_of(open_, encodings)
+    if encoding is None:
+        yield path, 0, [], [], "UNREADABLE_TEXT"
+        return
+    with io.TextIOWrapper(open_(), encoding=encoding, newline="") as text:
+        blank, head = [], ""
+        for head in text:  # up to the first line with something on it
+            head = head if blank else head.lstrip("\ufeff")
+            if head.strip("\r\n"):
+                break
+            blank.append(head)
+        lines = csv.reader(itertools.chain(blank, [head], text), delimiter=sep or _separator(head))
+        i, header = 0, []
+        while True:
+            try:
+                fields = next(lines, None)
+            except csv.Error:
+                yield path, i, header, [], "UNREADABLE_CSV"
+                return
+            if fields is None:
+                return
+            header = header if i else [c.strip() for c in fields]
+            yield path, i, header, fields, None
+            i += 1
+
+
+def _frames(records: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    """Records in tables of a bounded size."""
+    names = ["path", "line_no", "header", "fields", "problem"]
+    csv.field_size_limit(sys.maxsize)
+    rows, held = [], 0
+    for record in records:
+        rows.append(record)
+        held += sum(map(len, record[3]))
+        if len(rows) >= 10_000 or held >= 1 << 24:
+            yield pd.DataFrame(rows, columns=names)
+            rows, held = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=names)
+
+
 def text_records(files: DataFrame, *, encodings: Sequence[str] = ENCODINGS, sep: str | None = None) -> DataFrame:
     """``(path, line_no, header, fields, problem)`` from files given as ``path`` and ``content``.
 
@@ -132,39 +183,17 @@ def text_records(files: DataFrame, *, encodings: Sequence[str] = ENCODINGS, sep:
     may have any length. A file that cannot be read goes on with its problem
     and never stops the others; so does one that arrives with a ``problem``.
     """
-    names = ["path", "line_no", "header", "fields", "problem"]
 
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        csv.field_size_limit(sys.maxsize)
-        rows: list[tuple] = []
-        held = 0
+    def records(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
             for path, content, problem in zip(batch["path"], batch["content"], batch["problem"]):
-                text = None if problem or content is None else _decode(content, encodings)
-                if text is None:
-                    rows.append((path, 0, [], [], problem or "UNREADABLE_TEXT"))
-                    continue
-                lines = csv.reader(io.StringIO(text.lstrip("\ufeff"), newline=""), delimiter=sep or _separator(text))
-                i, header = 0, []
-                while True:
-                    try:
-                        fields = next(lines, None)
-                    except csv.Error:
-                        rows.append((path, i, header, [], "UNREADABLE_CSV"))
-                        break
-                    if fields is None:
-                        break
-                    header = header if i else [c.strip() for c in fields]
-                    rows.append((path, i, header, fields, None))
-                    i, held = i + 1, held + sum(map(len, fields))
-                    if len(rows) >= 10_000 or held >= 1 << 24:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows, held = [], 0
-        if rows:
-            yield pd.DataFrame(rows, columns=names)
+                if problem or content is None:
+                    yield path, 0, [], [], problem or "UNREADABLE_TEXT"
+                else:
+                    yield from _lines(path, lambda content=content: io.BytesIO(content), encodings, sep)
 
     problem = F.col("problem") if "problem" in files.columns else F.lit(None).cast("string")
-    return files.select("path", "content", problem.alias("problem")).mapInPandas(records, RECORDS)
+    return files.select("path", "content", problem.alias("problem")).mapInPandas(lambda batches: _frames(records(batches)), RECORDS)
 
 
 def scan_unknown_encoding(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import io
+import itertools
 import posixpath
 import zipfile
 from collections.abc import Iterator, Sequence
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tesora.functions.scalar import parse_number
 from tesora.operators.contracts import Split
+from tesora.sources.faults import member_problem, opened
 
 # Years of the adopted decision, row labels, unit words, and the debt sentence.
 ADOPTED_YEARS = (2025, 2026, 2027)
@@ -32,6 +33,9 @@ DEBT_SENTENCE = r"(?i)на\s+01\.01\.(20\d{2})\s+в\s+объеме\s+([0-9 \u00a
 HEADER_ROWS = 25
 UNIT_ROWS = 20
 
+#: Cells of one sheet kept until it has proved readable.
+HELD_CELLS = 200_000
+
 CELLS = "path string, row int, col int, text string, num double, problem string"
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -79,28 +83,58 @@ def _number(stored: str) -> tuple[str, float | None]:
     return (str(int(num)) if num.is_integer() else str(num)), num
 
 
-def _sheet_cells(content: bytes, sheet: str | int = 0) -> Iterator[tuple[int, int, str | None, float | None]]:
+def _sheet_cells(book: zipfile.ZipFile, sheet: str | int = 0) -> Iterator[tuple[int, int, str | None, float | None]]:
     """Non-empty cells of one sheet; stored results of formulas are read as they are."""
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
-        member, common = _sheet_member(book, sheet), []
-        if "xl/sharedStrings.xml" in book.namelist():
-            with book.open("xl/sharedStrings.xml") as stream:
-                common = [_all_text(item) for item in _finished(stream, "si")]
-        readers = {
-            "s": lambda v: (common[int(v)], None),
-            "b": lambda v: ("True", 1.0) if v == "1" else ("False", 0.0),
-        }
-        with book.open(member) as stream:
-            for r, row in enumerate(_finished(stream, "row")):
-                at = -1
-                for cell in row.iter(_NS + "c"):
-                    at = _place(cell.get("r"), at)
-                    if cell.get("t") == "inlineStr":
-                        yield r, at, _all_text(cell), None
-                        continue
-                    stored = cell.findtext(_NS + "v")
-                    if stored:
-                        yield r, at, *readers.get(cell.get("t"), _number)(stored)
+    member, common = _sheet_member(book, sheet), []
+    if "xl/sharedStrings.xml" in book.namelist():
+        with book.open("xl/sharedStrings.xml") as stream:
+            common = [_all_text(item) for item in _finished(stream, "si")]
+    readers = {
+        "s": lambda v: (common[int(v)], None),
+        "b": lambda v: ("True", 1.0) if v == "1" else ("False", 0.0),
+    }
+    with book.open(member) as stream:
+        for r, row in enumerate(_finished(stream, "row")):
+            at = -1
+            for cell in row.iter(_NS + "c"):
+                at = _place(cell.get("r"), at)
+                if cell.get("t") == "inlineStr":
+                    yield r, at, _all_text(cell), None
+                    continue
+                stored = cell.findtext(_NS + "v")
+                if stored:
+                    yield r, at, *readers.get(cell.get("t"), _number)(stored)
+
+
+def _sound_cells(content: bytes | None, sheet: str | int) -> Iterator[tuple]:
+    """All cells of a sheet, or one row with the reason why it cannot be read; never some cells of a broken sheet.
+
+    A sheet of up to ``HELD_CELLS`` cells is kept until its end is reached; a
+    longer one is read through once before its cells come out of a second reading.
+    """
+    with opened(content) as (book, problem):
+        if book is None:
+            yield None, None, None, None, "UNSUPPORTED_WORKBOOK" if problem == "BAD_ARCHIVE" else problem
+            return
+        for name in book.namelist():
+            if name.endswith((".xml", ".rels")) and (problem := member_problem(book, name)):
+                yield None, None, None, None, problem
+                return
+        try:
+            cells = _sheet_cells(book, sheet)
+            held = list(itertools.islice(cells, HELD_CELLS))
+            if len(held) == HELD_CELLS:
+                for _ in cells:
+                    pass
+                held = _sheet_cells(book, sheet)
+        except (KeyError, ElementTree.ParseError):
+            yield None, None, None, None, "UNSUPPORTED_WORKBOOK"
+            return
+        except (IndexError, ValueError):  # a sheet, string or cell that the workbook names and does not have
+            yield None, None, None, None, "BAD_REFERENCE"
+            return
+        for cell in held:
+            yield *cell, None
 
 
 def _scan(batches: Iterator[pd.DataFrame], sheet: str | int = 0) -> Iterator[pd.DataFrame]:
@@ -108,14 +142,11 @@ def _scan(batches: Iterator[pd.DataFrame], sheet: str | int = 0) -> Iterator[pd.
     rows: list[tuple] = []
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            try:
-                for cell in _sheet_cells(content, sheet):
-                    rows.append((path, *cell, None))
-                    if len(rows) >= 20_000:
-                        yield pd.DataFrame(rows, columns=names).astype({"num": "float64"})
-                        rows = []
-            except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, IndexError):
-                rows.append((path, None, None, None, None, "UNSUPPORTED_WORKBOOK"))
+            for cell in _sound_cells(content, sheet):
+                rows.append((path, *cell))
+                if len(rows) >= 20_000:
+                    yield pd.DataFrame(rows, columns=names).astype({"num": "float64"})
+                    rows = []
     if rows:
         yield pd.DataFrame(rows, columns=names).astype({"num": "float64"})
 
@@ -123,7 +154,8 @@ def _scan(batches: Iterator[pd.DataFrame], sheet: str | int = 0) -> Iterator[pd.
 def workbook_cells(files: DataFrame, *, sheet: str | int = 0) -> Split:
     """Long cells of one sheet, by name or place, of a fleet of workbooks.
 
-    Files that are no xlsx (such as .xls) or lack the sheet go aside.
+    Files that are no xlsx (such as .xls) or lack the sheet go aside, and so do
+    encrypted, damaged and inconsistent ones, each with its reason and whole.
     """
     cells = files.select("path", "content").mapInPandas(lambda batches: _scan(batches, sheet), CELLS)
     return Split(

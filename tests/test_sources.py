@@ -80,6 +80,68 @@ def test_zipped_export(spark, tmp_path):
     assert {r["path"].rsplit("/", 1)[1]: r["reason_code"] for r in parts.quarantine.collect()} == {"b.zip": "NOT_ONE_CSV", "c.zip": "BAD_ARCHIVE"}
 
 
+def damaged(content, how):
+    """The archive with its members marked encrypted, in an unknown form, or with broken bytes."""
+    out = bytearray(content)
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        info = z.infolist()[0]
+    if how in ("encrypted", "compression"):
+        at, bits = (6, 1) if how == "encrypted" else (8, 99)
+        for mark, shift in ((b"PK\x03\x04", 0), (b"PK\x01\x02", 2)):
+            place = out.find(mark)
+            out[place + at + shift] |= bits
+    elif how == "corrupt":
+        start = info.header_offset + 30 + len(info.filename)
+        out[start : start + 8] = b"\xff" * 8
+    elif how == "cut":
+        del out[len(out) // 2 :]
+    return bytes(out)
+
+
+REASONS = {"encrypted": "ENCRYPTED", "compression": "UNSUPPORTED_COMPRESSION", "corrupt": "CORRUPT", "cut": "BAD_ARCHIVE"}
+
+
+def test_broken_archives_leave_the_others_alone(spark, tmp_path):
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("x.csv", "\ufeff\n\nperiod;value\n" + "2024-01-01;5\n" * 500)
+    good = buffer.getvalue()
+    path = folder(tmp_path, good__zip=good, none__zip=b"x", **{f"{how}__zip": damaged(good, how) for how in REASONS})
+    parts = dl.scan_zipped_export(spark, path, ["period", "value"])
+    got = {r["path"].rsplit("/", 1)[1].removesuffix(".zip"): r["reason_code"] for r in parts.quarantine.collect()}
+    assert got == REASONS | {"none": "BAD_ARCHIVE"}
+    assert {r["path"].rsplit("/", 1)[1] for r in parts.clean.select("path").distinct().collect()} == {"good.zip"}
+    files = spark.createDataFrame([("null", None), ("good", bytearray(good))], "path string, content binary")
+    assert {r["path"]: r["reason_code"] for r in dl.unpacked_exports(files, ["value"]).quarantine.collect()} == {"null": "BAD_ARCHIVE"}
+
+
+def test_broken_workbooks_leave_the_others_alone(spark, tmp_path, monkeypatch):
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(workbook([['<c r="A1"><v>7</v></c>']] * 300))) as z, zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as packed:
+        packed.writestr("xl/worksheets/sheet1.xml", z.read("xl/worksheets/sheet1.xml"))
+    good = buffer.getvalue()
+    cell = ['<c r="A1"><v>1</v></c>']
+    far = workbook([cell] * 50 + [['<c r="A1" t="s"><v>9</v></c>']], shared=["ab"])
+    word = workbook([cell] * 50 + [['<c r="A1" t="s"><v>x</v></c>']], shared=["ab"])
+    books = {f"{how}__xlsx": damaged(good, how) for how in REASONS} | {"good__xlsx": good, "far__xlsx": far, "word__xlsx": word}
+    books["open__xlsx"] = workbook([cell, ["<c>"]])
+    files = fl.binary_files(spark, folder(tmp_path, **books))
+    want = REASONS | {"cut": "UNSUPPORTED_WORKBOOK", "far": "BAD_REFERENCE", "word": "BAD_REFERENCE", "open": "UNSUPPORTED_WORKBOOK"}
+    parts = wb.workbook_cells(files)
+    assert {r["path"].rsplit("/", 1)[1].removesuffix(".xlsx"): r["reason_code"] for r in parts.quarantine.collect()} == want
+    assert {(r["path"].rsplit("/", 1)[1], r["num"]) for r in parts.clean.collect()} == {("good.xlsx", 7.0)}
+    assert parts.clean.count() == 300
+
+
+@pytest.mark.parametrize("held", [1, 3, 100])
+def test_long_sheets_are_read_twice_and_alike(monkeypatch, held):
+    book = workbook([['<c r="A1"><v>7</v></c>']] * 7)
+    broken = workbook([['<c r="A1"><v>7</v></c>']] * 7 + [['<c r="A1" t="s"><v>0</v></c>']])
+    monkeypatch.setattr(wb, "HELD_CELLS", held)
+    assert [c[:2] for c in wb._sound_cells(book, 0)] == [(i, 0) for i in range(7)]
+    assert [c[-1] for c in wb._sound_cells(broken, 0)] == ["BAD_REFERENCE"]
+
+
 def test_uploads_that_break_the_usual_reader(spark, tmp_path):
     """Very long fields and every kind of line end are read; one bad file does not stop the others."""
     path = folder(
