@@ -28,12 +28,15 @@ def _kernel_sums(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def break_positions(x: np.ndarray, penalty: float, min_size: int = MIN_SIZE, jump: int = JUMP) -> list[int]:
-    """Starts of new segments; candidate ends lie on the ``jump`` grid, pruned by the cost bound."""
+def break_positions(x: np.ndarray, penalty: float, min_size: int = MIN_SIZE, jump: int = JUMP, sums: np.ndarray | None = None) -> list[int]:
+    """Starts of new segments; candidate ends lie on the ``jump`` grid, pruned by the cost bound.
+
+    ``sums`` are the series' kernel sums, where several penalties are searched.
+    """
     n = len(x)
     if n < 2 * min_size:
         return []
-    p = _kernel_sums(np.asarray(x, dtype=float))
+    p = _kernel_sums(np.asarray(x, dtype=float)) if sums is None else sums
 
     def cost(a: int, b: int) -> float:
         return (b - a) - (p[b, b] - p[a, b] - p[b, a] + p[a, a]) / (b - a)
@@ -68,7 +71,8 @@ def pelt_breaks(
 
     def per_series(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x = rows.sort_values("_t")["_x"].to_numpy()
-        found = [(*key, q, int(b)) for q in wanted for b in break_positions(x, q)]
+        sums = _kernel_sums(x)  # the same for all penalties
+        found = [(*key, q, int(b)) for q in wanted for b in break_positions(x, q, sums=sums)]
         return pd.DataFrame(found, columns=[*keys, "penalty", "break_pos"])
 
     return slim.groupBy(*keys).applyInPandas(per_series, f"{key_fields}, penalty double, break_pos int")

@@ -3,6 +3,8 @@ from __future__ import annotations
 import datetime as dt
 import math
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,3 +171,26 @@ def test_growth_model_is_leakage_free(spark):
     again = rolling_growth_forecast(changed, holdout_year=2024, iterations=2, depth=2)
     first = lambda d: sorted(r["grow_prediction"] for r in d.where(F.month("period_start") == 1).collect())
     assert first(out) == pytest.approx(first(again))
+
+
+def test_ordered_statistic_sees_earlier_periods_only(spark):
+    from tesora.operators.growth import ordered_statistic
+
+    rng = random.Random(1)
+    rows = [(k, t, rng.gauss(0, 1) if rng.random() < 0.8 else None) for t in range(6) for k in "abc" for _ in range(rng.randint(1, 3))]
+    out = ordered_statistic(spark.createDataFrame(rows, "k string, t int, g double"), "k", period="t", label="g", out="m", prior_rows=2.0)
+    got = {(r.k, r.t): r.m for r in out.collect()}
+    assert out.count() == len(rows)
+    for (k, t), m in got.items():
+        before = [g for _, s, g in rows if s < t and g is not None]
+        own = [g for c, s, g in rows if c == k and s < t and g is not None]
+        want = (sum(own) + 2 * sum(before) / len(before)) / (len(own) + 2) if before else None
+        assert m == pytest.approx(want)
+
+
+def test_nominal_keys_must_be_few(spark):
+    from tesora.operators import growth
+
+    wide = panel(spark, SPENDING).withColumn("category_code", F.explode(F.transform(F.sequence(F.lit(1), F.lit(70)), lambda i: i.cast("string"))))
+    with pytest.raises(ValueError, match="category_code"):
+        growth.rolling_growth_forecast(wide, holdout_year=2024, iterations=1, depth=1)
