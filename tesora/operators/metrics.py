@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesora.functions.scalar import safe_ratio
-from tesora.operators.prefix import cut_at, running_by_value, split_points_of
+from tesora.operators.prefix import cut_at, running, running_by_value, split_points_of
 from tesora.session import materialize, shuffle_width
 
 
@@ -179,3 +179,44 @@ def false_alarms_per_unit(df: DataFrame, *, entity: str, year: str, alarm: str,
     return total.withColumn(
         "false_alarms_per_entity_year", F.coalesce(safe_ratio("false_alarms", "units"), F.lit(0.0))
     )
+
+
+# ---- averages over territories -----------------------------------------------
+
+
+def asof_weight(
+    df: DataFrame, weights: DataFrame, *, keys: Sequence[str], period: str, at: str, weight: str, block: str | None = None, pieces=None
+) -> DataFrame:
+    """Every row with the latest weight of its key that is not after its period; null where none is known yet.
+
+    Rows and weights stand in one line per key and the last weight seen is
+    carried along, so no row is paired with all weights of its key. Among
+    weights of one date the largest counts; null weights and null dates do not.
+    With ``block`` a key's line is cut into pieces first (``pieces`` is
+    :func:`tesora.operators.prefix.cut_series` or another cut by keys and
+    ``_at``), for keys with very many rows.
+    """
+    known = weights.where(F.col(weight).isNotNull() & F.col(at).isNotNull())
+    known = known.select(*keys, F.col(at).cast("date").alias("_day"), F.col(weight).cast("double").alias("_w"))
+    facts = df.select(*keys, F.col(period).cast("date").alias("_day"), F.struct(*df.columns).alias("_row"))
+    line = known.unionByName(facts, allowMissingColumns=True)
+    # weights come first among equal days; rows of one day see the same weight
+    line = line.withColumn("_at", F.struct("_day", F.col("_row").isNotNull().alias("late")))
+    line = line if block is None else pieces(line)
+    seen = F.when(F.col("_w").isNotNull(), F.struct("_day", "_w"))
+    out = running(line, {"_last": ("max", seen)}, keys=keys, order="_at", block=block)
+    return out.where(F.col("_row").isNotNull()).select("_row.*", F.col("_last._w").alias(weight))
+
+
+def averages(df: DataFrame, *, by: Sequence[str], metrics: Sequence[str], weights: Sequence[str]) -> DataFrame:
+    """Macro mean of each metric and its mean under each weight; rows without a metric or a weight do not enter that mean.
+
+    ``(by, rows, <metric>_macro, <metric>_<weight>)``.
+    """
+    out = [F.count(F.lit(1)).alias("rows")]
+    for m in metrics:
+        out.append(F.avg(m).alias(f"{m}_macro"))
+        for w in weights:
+            used = F.when(F.col(m).isNotNull(), F.col(w))
+            out.append(safe_ratio(F.sum(F.col(m) * F.col(w)), F.sum(used)).alias(f"{m}_{w}"))
+    return df.groupBy(*by).agg(*out)

@@ -436,6 +436,32 @@ def pooled_loss_interval(spark, sf):
     return rounded(rounded(out, 8, "estimate", "lower", "upper"), 6, "share_above")
 
 
+# ---- averages over territories -----------------------------------------------
+
+
+@query(
+    "weighted_averages",
+    f"""WITH {_walk_sql('nation', 24, 12)},
+e AS (SELECT oktmo, period_start, m AS model, CASE m WHEN 'last_value' THEN abs(actual - last_value) WHEN 'seasonal_naive' THEN abs(actual - seasonal_naive) ELSE abs(actual - linear_trend) END / actual AS ape
+  FROM walk, (VALUES ('last_value'), ('seasonal_naive'), ('linear_trend')) v(m) WHERE pos >= 24 AND actual > 0),
+people AS (SELECT n_name AS oktmo, make_date(year(o_orderdate), 12, 31) AS day, count(DISTINCT o_custkey) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+w AS (SELECT e.*, n AS population FROM e ASOF LEFT JOIN people ON e.oktmo = people.oktmo AND e.period_start >= people.day)
+SELECT model, count(*) AS rows, {r("avg(ape)", 9)} AS ape_macro, {r("sum(ape * population) / sum(population)", 9)} AS ape_population, count(population) AS weighted_rows FROM w GROUP BY 1""",
+)
+def weighted_averages(spark, sf):
+    """Relative errors of the baselines: each territory alike, and by the customers known at the time."""
+    table = fc.baseline_forecasts(data.panel(spark, sf, "nation"), keys=KEYS, **PERIOD, min_train=24, unique=True).where("actual > 0")
+    errors = [F.struct(F.lit(m).alias("model"), (F.abs(F.col("actual") - F.col(m)) / F.col("actual")).alias("ape")) for m in fc.BASELINES]
+    long = table.select("oktmo", "period_start", F.inline(F.array(*errors)))
+    orders = data.at_buyer(spark, sf, data.read(spark, sf, "orders").select("o_custkey", "o_orderdate"))
+    day = F.make_date(F.year("o_orderdate"), F.lit(12), F.lit(31)).alias("day")
+    people = orders.groupBy(F.col("n_name").alias("oktmo"), day).agg(F.count_distinct("o_custkey").alias("population"))
+    weighed = mt.asof_weight(long, people, keys=["oktmo"], period="period_start", at="day", weight="population")
+    out = mt.averages(weighed, by=["model"], metrics=["ape"], weights=["population"])
+    counted = weighed.groupBy("model").agg(F.count("population").alias("weighted_rows"))
+    return rounded(out.join(counted, "model"), 9, "ape_macro", "ape_population")
+
+
 @query("growth_model_forecast")
 def growth_model_forecast(spark, sf):
     from tesora.operators.growth import rolling_growth_forecast

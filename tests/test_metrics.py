@@ -92,3 +92,34 @@ def test_ranks_and_medians(spark, pieces):
     assert got[("h", 2.0)]["percentile_rank"] == 1.0
     med = {r["g"]: r["median"] for r in px.exact_median(df, ["g"], "v", pieces=pieces).collect()}
     assert med == {"g": (values[149] + values[150]) / 2, "h": 1.5}
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_the_latest_weight_not_after_the_period(spark, cut):
+    import datetime as dt
+
+    from tesora.operators.prefix import cut_series
+
+    rng = random.Random(5)
+    day = lambda: dt.date(2024, 1, 1) + dt.timedelta(days=rng.randint(0, 40))
+    facts = [(k, i, day()) for i in range(80) for k in "ab"] + [("c", 1, day()), (None, 2, day())]
+    known = [(k, day(), float(rng.randint(1, 9))) for k in ("a", "a", "a", "a", "b", "b", None) for _ in range(2)] + [("a", None, 9.0), ("a", dt.date(2023, 1, 1), None)]
+    df = spark.createDataFrame(facts, "k string, i int, t date").repartition(3)
+    weights = spark.createDataFrame(known, "k string, d date, w double")
+    by = {"block": "piece", "pieces": lambda line: cut_series(line, ["k"], "_at", pieces=6)} if cut else {}
+    out = mt.asof_weight(df, weights, keys=["k"], period="t", at="d", weight="w", **by)
+
+    def latest(k, t):
+        seen = [(d, w) for key, d, w in known if key == k and d is not None and w is not None and d <= t]
+        return max(seen)[1] if seen else None
+
+    if cut:  # the carried join leaves null keys out; keys of long series are never null
+        facts = [f for f in facts if f[0] is not None]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(((k, i, t, latest(k, t)) for k, i, t in facts), key=str)
+
+
+def test_macro_and_weighted_means(spark):
+    df = spark.createDataFrame([("m", 0.1, 1.0), ("m", 0.3, 3.0), ("m", None, 9.0), ("m", 0.5, None), ("n", None, None)], "model string, e double, w double")
+    out = {r.model: r for r in mt.averages(df, by=["model"], metrics=["e"], weights=["w"]).collect()}
+    assert (out["m"].e_macro, out["m"].e_w, out["m"].rows) == (pytest.approx(0.3), pytest.approx(0.25), 4)
+    assert out["n"].e_macro is None and out["n"].e_w is None
