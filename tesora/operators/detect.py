@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from tesora.functions.scalar import first_reason, safe_ratio
 from tesora.operators.contracts import Split
-from tesora.operators.prefix import running
+from tesora.operators.prefix import carried, inside, met, running
+from tesora.session import materialize
 
 # State names by level and the reason texts of a state update.
 STATES = ("NORMAL", "OBSERVE", "WARNING", "BREAK_CONFIRMED")
@@ -52,11 +53,23 @@ def robust_standardize(df: DataFrame, *, keys: Sequence[str], value: str, out: s
     return centred.join(mad, list(keys)).withColumn(out, (F.col(value) - F.col("med")) / scale).drop("med", "sd", "mad")
 
 
-def _position(df: DataFrame, keys: Sequence[str], order: str, block: str | None) -> DataFrame:
-    if "pos" in df.columns:
-        df = df.drop("pos")
-    df = running(df, {"pos": ("sum", F.lit(1))}, keys=keys, order=order, block=block)
-    return df.withColumn("pos", (F.col("pos") - 1).cast("int"))
+def _numbered(df: DataFrame, keys: Sequence[str], order: str, block: str | None, sums: dict[str, Column] | None = None) -> DataFrame:
+    """Rows with their position and the running ``sums``.
+
+    A long series is read once for the totals of its blocks, one row each; its
+    rows are numbered inside the block and nothing is written.
+    """
+    df, sums = df.drop("pos"), sums or {}
+    if block is None:
+        df = running(df, {"pos": ("sum", F.lit(1)), **{n: ("sum", c) for n, c in sums.items()}}, keys=keys, order=order)
+        return df.withColumn("pos", (F.col("pos") - 1).cast("int"))
+    totals = df.groupBy(*keys, block).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    offsets = carried(totals, {"n": "sum", **{n: "sum" for n in sums}}, keys=keys, block=block).drop("n", *sums)
+    here = inside(keys, block, order)
+    rows = met(df, offsets, [*keys, block]).withColumn("_l_n", F.row_number().over(here))
+    rows = rows.withColumns({n: F.sum(c).over(here) + F.coalesce(f"_c_{n}", F.lit(0.0)) for n, c in sums.items()})
+    pos = (F.coalesce("_c_n", F.lit(0)) + F.col("_l_n") - 1).cast("int")
+    return rows.withColumn("pos", pos).drop("_l_n", "_c_n", *[f"_c_{n}" for n in sums])
 
 
 def baseline_standardize(
@@ -70,17 +83,20 @@ def baseline_standardize(
     block: str | None = None,
 ) -> DataFrame:
     """Position in the series and score against mean and population deviation of the first rows."""
-    df = _position(df, keys, order, block)
+    rows = df
+    df = _numbered(df, keys, order, block)
     if block is None:
         first = F.when(F.col("pos") < warmup, F.col(value))
         whole = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         df = df.withColumns({"_mu": F.avg(first).over(whole), "_sd": F.stddev_pop(first).over(whole)})
     else:
-        # a handful of rows per series, joined back
-        base = df.where(F.col("pos") < warmup).groupBy(*keys).agg(
-            F.avg(value).alias("_mu"), F.stddev_pop(value).alias("_sd")
-        )
-        df = df.join(base, list(keys))
+        # only the first blocks hold warm-up rows: numbering starts again from those alone
+        first = rows.groupBy(*keys, block).agg(F.count(F.lit(1)).alias("n"))
+        first = carried(first, {"n": "sum"}, keys=keys, block=block).where(F.coalesce("_c_n", F.lit(0)) < warmup)
+        early = met(rows, first.select(*keys, block, F.lit(True).alias("_early")), [*keys, block]).where("_early").drop("_early")
+        head = _numbered(early, keys, order, block).where(F.col("pos") < warmup)
+        base = head.groupBy(*keys).agg(F.avg(value).alias("_mu"), F.stddev_pop(value).alias("_sd"))
+        df = met(df, base, keys)
     sd = F.when(F.col("_sd") != 0, F.col("_sd")).otherwise(F.lit(1.0))
     return df.withColumn(out, (F.col(value) - F.col("_mu")) / sd).drop("_mu", "_sd")
 
@@ -110,23 +126,44 @@ def cusum(
     along = {"keys": keys, "order": order, "block": block}
     df = baseline_standardize(df, value=value, warmup=warmup, **along)
     live = F.col("pos") >= warmup
-    df = running(
-        df,
-        {
-            "_s": ("sum", F.when(live, F.col("z") - drift).otherwise(0.0)),
-            "_u": ("sum", F.when(live, F.col("z") + drift).otherwise(0.0)),
-        },
-        **along,
-    )
-    df = running(df, {"_low": ("min", F.col("_s")), "_high": ("max", F.col("_u"))}, **along)
-    df = df.withColumns(
-        {
-            "cusum_up": F.col("_s") - F.least(F.lit(0.0), "_low"),
-            "cusum_down": F.col("_u") - F.greatest(F.lit(0.0), "_high"),
-        }
-    )
+    steps = {"cusum_up": (F.col("z") - drift, "min"), "cusum_down": (F.col("z") + drift, "max")}
+    df = _above_extreme(df, {n: (F.when(live, c).otherwise(0.0), how) for n, (c, how) in steps.items()}, **along)
     flag = live & ((F.col("cusum_up") > threshold) | (F.abs("cusum_down") > threshold))
-    return df.withColumn("cusum_flag", flag).drop("_s", "_u", "_low", "_high")
+    return df.withColumn("cusum_flag", flag)
+
+
+def _above_extreme(df: DataFrame, steps: dict[str, tuple[Column, str]], *, keys: Sequence[str], order: str, block: str | None) -> DataFrame:
+    """For each step the running sum less its lowest ("min") or highest ("max") value so far, zero included.
+
+    A block's state is its sum and its extreme running sum; the states of
+    earlier blocks compose to a sum and an extreme. So a long series is windowed
+    and written once, and its rows meet the carried state of their block.
+    """
+    pick = {"min": (F.min, F.least), "max": (F.max, F.greatest)}
+    here = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0) if block is None else inside(keys, block, order)
+    df = df.withColumns({f"_d_{n}": c for n, (c, _) in steps.items()})
+    df = df.withColumns({f"_s_{n}": F.sum(f"_d_{n}").over(here) for n in steps})
+    df = df.withColumns({f"_e_{n}": pick[how][0](f"_s_{n}").over(here) for n, (_, how) in steps.items()})
+    zero = F.lit(0.0)
+    if block is None:
+        df = df.withColumns({n: F.col(f"_s_{n}") - pick[how][1](zero, f"_e_{n}") for n, (_, how) in steps.items()})
+    else:
+        df = materialize(df, "block_states")
+        totals = df.groupBy(*keys, block).agg(
+            *[F.sum(f"_d_{n}").alias(f"s_{n}") for n in steps], *[pick[how][0](f"_s_{n}").alias(f"e_{n}") for n, (_, how) in steps.items()]
+        )
+        states = carried(totals, {f"s_{n}": "sum" for n in steps}, keys=keys, block=block)
+        states = states.withColumns({f"e_{n}": F.col(f"e_{n}") + F.coalesce(f"_c_s_{n}", zero) for n in steps})
+        states = carried(states, {f"e_{n}": how for n, (_, how) in steps.items()}, keys=keys, block=block)
+        df = met(df, states.select(*keys, block, *[f"_c_{mark}_{n}" for n in steps for mark in "se"]), [*keys, block])
+        before = {n: F.coalesce(f"_c_s_{n}", zero) for n in steps}
+        df = df.withColumns(
+            {
+                n: before[n] + F.col(f"_s_{n}") - pick[how][1](zero, before[n] + F.col(f"_e_{n}"), F.coalesce(f"_c_e_{n}", zero))
+                for n, (_, how) in steps.items()
+            }
+        )
+    return df.drop(*[f"{mark}_{n}" for n in steps for mark in ("_d", "_s", "_e", "_c_s", "_c_e")])
 
 
 def page_hinkley(
@@ -144,27 +181,13 @@ def page_hinkley(
     if warmup < 2:
         return df.withColumns({"page_hinkley_flag": F.lit(False)})
     along = {"keys": keys, "order": order, "block": block}
-    df = running(df.drop("pos"), {"pos": ("sum", F.lit(1)), "_sum": ("sum", F.col(value))}, **along)
-    df = df.withColumns({"_mean": F.col("_sum") / F.col("pos"), "pos": (F.col("pos") - 1).cast("int")})
+    df = _numbered(df, keys, order, block, {"_sum": F.col(value)})
     live = F.col("pos") >= warmup
-    step = F.col(value) - F.col("_mean")
-    df = running(
-        df,
-        {
-            "_p": ("sum", F.when(live, step - delta).otherwise(0.0)),
-            "_n": ("sum", F.when(live, -step - delta).otherwise(0.0)),
-        },
-        **along,
-    )
-    df = running(df, {"_p_min": ("min", F.col("_p")), "_n_min": ("min", F.col("_n"))}, **along)
-    df = df.withColumns(
-        {
-            "ph_up": F.col("_p") - F.least(F.lit(0.0), "_p_min"),
-            "ph_down": F.col("_n") - F.least(F.lit(0.0), "_n_min"),
-        }
-    )
+    step = F.col(value) - F.col("_sum") / (F.col("pos") + 1)
+    steps = {"ph_up": (F.when(live, step - delta).otherwise(0.0), "min"), "ph_down": (F.when(live, -step - delta).otherwise(0.0), "min")}
+    df = _above_extreme(df, steps, **along)
     flag = live & ((F.col("ph_up") > threshold) | (F.col("ph_down") > threshold))
-    return df.withColumn("page_hinkley_flag", flag).drop("_sum", "_mean", "_p", "_n", "_p_min", "_n_min")
+    return df.withColumn("page_hinkley_flag", flag).drop("_sum")
 
 
 def first_alarm(df: DataFrame, *, keys: Sequence[str], flag: str, at: str = "pos") -> DataFrame:
@@ -249,22 +272,7 @@ def hysteresis(
     along = {"keys": keys, "order": order, "block": block}
     s = F.col(score)
     df = df.withColumns({"_above": s >= config.on_threshold, "_below": s < config.off_threshold})
-    df = running(df, {"_n": ("sum", F.lit(1)), "_na": ("sum", F.col("_above").cast("long"))}, **along)
-    df = running(
-        df,
-        {
-            "_na_at": ("max", F.when(F.col("_below"), F.col("_na"))),
-            "_n_at": ("max", F.when(~F.col("_below"), F.col("_n"))),
-        },
-        **along,
-    )
-    zero = F.lit(0)
-    df = df.withColumns(
-        {
-            "above_streak": F.col("_na") - F.coalesce("_na_at", zero),
-            "below_streak": F.col("_n") - F.coalesce("_n_at", zero),
-        }
-    )
+    df = _streaks(df, **along)
     released = F.col("_below") & (F.col("below_streak") >= config.k_off)
     confirmed = (
         F.col("_above")
@@ -278,8 +286,7 @@ def hysteresis(
         .otherwise(0)
     )
     df = df.withColumns({"_released": released, "_confirmed": confirmed, "_level": level})
-    df = running(df, {"_episode": ("sum", F.col("_released").cast("long"))}, **along)
-    df = running(df, {"_top": ("max", F.col("_episode") * 4 + F.col("_level"))}, **along)
+    df = _highest_of_episode(df, **along)
     df = df.withColumn("_state", F.pmod("_top", F.lit(4)))
     code = (
         F.when(F.col("_confirmed"), "CONFIRMED")
@@ -297,8 +304,55 @@ def hysteresis(
         {"state": F.element_at(names, F.col("_state").cast("int") + 1), "reason_code": code}
     ).withColumn("reason", F.element_at(texts, F.col("reason_code")))
     return out.drop(
-        "_above", "_below", "_n", "_na", "_na_at", "_n_at", "_released", "_confirmed", "_level", "_episode", "_top", "_state"
+        "_above", "_below", "_released", "_confirmed", "_level", "_top", "_state"
+    )
+
+
+def _streaks(df: DataFrame, *, keys: Sequence[str], order: str, block: str | None) -> DataFrame:
+    """``above_streak`` and ``below_streak``: running counts less their value at the last row that resets them.
+
+    For a long series the blocks' counts and reset values are summed up in a
+    first reading; the second one adds the carried ones and writes nothing.
+    """
+    here = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0) if block is None else inside(keys, block, order)
+    counted = df.withColumns({"_n": F.row_number().over(here).cast("long"), "_na": F.sum(F.col("_above").cast("long")).over(here)})
+    at = {"_na_at": F.when(F.col("_below"), F.col("_na")), "_n_at": F.when(~F.col("_below"), F.col("_n"))}
+    zero = F.lit(0).cast("long")
+    if block is not None:
+        totals = counted.groupBy(*keys, block).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.col("_above").cast("long")).alias("na"), *[F.max(c).alias(name[1:]) for name, c in at.items()]
+        )
+        states = carried(totals, {"n": "sum", "na": "sum"}, keys=keys, block=block)
+        states = states.withColumns({"na_at": F.col("na_at") + F.coalesce("_c_na", zero), "n_at": F.col("n_at") + F.coalesce("_c_n", zero)})
+        states = carried(states, {"na_at": "max", "n_at": "max"}, keys=keys, block=block)
+        counted = met(counted, states.select(*keys, block, "_c_n", "_c_na", "_c_n_at", "_c_na_at"), [*keys, block])
+        counted = counted.withColumns({"_n": F.col("_n") + F.coalesce("_c_n", zero), "_na": F.col("_na") + F.coalesce("_c_na", zero)})
+    else:
+        counted = counted.withColumns({"_c_n_at": zero, "_c_na_at": zero})
+    counted = counted.withColumns({name: F.max(c).over(here) for name, c in at.items()})
+    out = counted.withColumns(
+        {
+            "above_streak": F.col("_na") - F.coalesce("_na_at", "_c_na_at", zero),
+            "below_streak": F.col("_n") - F.coalesce("_n_at", "_c_n_at", zero),
+        }
     )
+    return out.drop("_n", "_na", "_na_at", "_n_at", "_c_n", "_c_na", "_c_n_at", "_c_na_at")
+
+
+def _highest_of_episode(df: DataFrame, *, keys: Sequence[str], order: str, block: str | None) -> DataFrame:
+    """``_top``: four times the number of releases so far plus the highest level since the last one."""
+    here = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0) if block is None else inside(keys, block, order)
+    df = df.withColumn("_episode", F.sum(F.col("_released").cast("long")).over(here))
+    df = df.withColumn("_top", F.max(F.col("_episode") * 4 + F.col("_level")).over(here))
+    if block is not None:
+        df = materialize(df, "episode_states")
+        totals = df.groupBy(*keys, block).agg(F.max("_episode").alias("e"), F.max("_top").alias("t"))
+        zero = F.lit(0).cast("long")
+        states = carried(totals, {"e": "sum"}, keys=keys, block=block)
+        states = carried(states.withColumn("t", F.col("t") + 4 * F.coalesce("_c_e", zero)), {"t": "max"}, keys=keys, block=block)
+        df = met(df, states.select(*keys, block, "_c_e", "_c_t"), [*keys, block])
+        df = df.withColumn("_top", F.greatest(F.col("_top") + 4 * F.coalesce("_c_e", zero), F.coalesce("_c_t", zero))).drop("_c_e", "_c_t")
+    return df.drop("_episode")
 
 
 # ---- evaluation --------------------------------------------------------------

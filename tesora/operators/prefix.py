@@ -65,17 +65,17 @@ def running_by_value(
     # one row per piece: at most `pieces` rows per group
     earlier = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)
-    carried = totals.select(
+    offsets = totals.select(
         *group,
         "_piece",
         *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums],
         *[F.sum(f"_t_{n}").over(whole).alias(f"{n}_total") for n in sums],
     )
-    inside = Window.partitionBy(*group, "_piece").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.partitionBy(*group, "_piece").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = cut.select(
-        "*", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"_l_{n}") for n in sums]
+        "*", *[F.coalesce(F.sum(n).over(below), F.lit(0)).alias(f"_l_{n}") for n in sums]
     )
-    return local.join(carried, [*group, "_piece"]).select(
+    return local.join(offsets, [*group, "_piece"]).select(
         *group,
         value,
         *sums.keys(),
@@ -130,6 +130,28 @@ def cut_series(df: DataFrame, keys: Sequence[str], order: str, *, pieces: int |
     return materialize(dealt.withColumn(out, F.spark_partition_id()), "series_pieces")
 
 
+def met(rows: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows with the columns of a table of one row per ``on``; null keys meet each other."""
+    named = small.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on]
+    return rows.join(named, same, "left").drop(*[f"_on_{c}" for c in on])
+
+
+def carried(totals: DataFrame, how: Mapping[str, str], *, keys: Sequence[str], block: str) -> DataFrame:
+    """For every block ``_c_<name>``: the sum, min or max of a total over all earlier blocks of its series, null in the first.
+
+    One row a block meets here. Totals may be composed before: the smallest
+    running sum of a block, say, plus the carried sum.
+    """
+    earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.withColumns({f"_c_{name}": _RUNNING[h](name).over(earlier) for name, h in how.items()})
+
+
+def inside(keys: Sequence[str], block: str, order: str):
+    """Window over the rows of one block up to the current one."""
+    return Window.partitionBy(*keys, block).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def running(
     df: DataFrame,
     cols: Mapping[str, tuple[str, Column]],
@@ -151,20 +173,17 @@ def running(
     if block is None:
         by = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({name: _RUNNING[how](c).over(by) for name, (how, c) in cols.items()})
-    inside = Window.partitionBy(*keys, block).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    here = inside(keys, block, order)
     df = df.withColumns({f"_in_{n}": c for n, (_, c) in cols.items()})
-    local = df.withColumns({f"_l_{n}": _RUNNING[how](f"_in_{n}").over(inside) for n, (how, _) in cols.items()})
+    local = df.withColumns({f"_l_{n}": _RUNNING[how](f"_in_{n}").over(here) for n, (how, _) in cols.items()})
     local = materialize(local, "running")
-    totals = local.groupBy(*keys, block).agg(*[_RUNNING[how](f"_in_{n}").alias(f"_t_{n}") for n, (how, _) in cols.items()])
-    earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        *keys, block, *[_RUNNING[how](f"_t_{n}").over(earlier).alias(f"_c_{n}") for n, (how, _) in cols.items()]
-    )
-    joined = local.join(carried, [*keys, block])
+    totals = local.groupBy(*keys, block).agg(*[_RUNNING[how](f"_in_{n}").alias(n) for n, (how, _) in cols.items()])
+    offsets = carried(totals, {n: how for n, (how, _) in cols.items()}, keys=keys, block=block)
+    joined = met(local, offsets.drop(*cols), [*keys, block])
 
     def whole(name: str, how: str) -> Column:
-        here, before = F.col(f"_l_{name}"), F.col(f"_c_{name}")
-        return F.when(before.isNull(), here).when(here.isNull(), before).otherwise(_JOIN_UP[how](here, before))
+        local_, before = F.col(f"_l_{name}"), F.col(f"_c_{name}")
+        return F.when(before.isNull(), local_).when(local_.isNull(), before).otherwise(_JOIN_UP[how](local_, before))
 
     out = joined.withColumns({n: whole(n, how) for n, (how, _) in cols.items()})
     return out.drop(*[f"{mark}_{n}" for n in cols for mark in ("_in", "_l", "_c")])

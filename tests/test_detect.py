@@ -232,3 +232,25 @@ def test_pruned_breaks_equal_the_full_search():
         rng = random.Random(seed)
         x = [rng.gauss(rng.choice([0, 0, 3]) if i % 15 == 0 else 0, 1) + (2 if i > 30 else 0) for i in range(60)]
         assert break_positions(x, 1.0) == full(x, 1.0)[1], seed
+
+
+def test_long_series_write_once_and_keep_null_keys(spark, monkeypatch):
+    data = [(k, t, math.sin(t) + 4 * (t > 25)) for k in ("a", None) for t in range(50)]
+    df = spark.createDataFrame(data, "k string, t int, x double").withColumn("part", F.floor(F.col("t") / 4)).repartition(3)
+    written = []
+    for name, run, cols in (
+        ("cusum", lambda d, **b: dt.cusum(d, keys=["k"], order="t", value="x", **b), ["k", "t", "pos", "cusum_up", "cusum_down", "cusum_flag"]),
+        ("page_hinkley", lambda d, **b: dt.page_hinkley(d, keys=["k"], order="t", value="x", **b), ["k", "t", "pos", "ph_up", "ph_down", "page_hinkley_flag"]),
+        (
+            "hysteresis",
+            lambda d, **b: dt.hysteresis(d.withColumns({"score": F.abs("x"), "confirmations": F.lit(2)}), keys=["k"], order="t", **b),
+            ["k", "t", "state", "above_streak", "below_streak"],
+        ),
+    ):
+        want = {tuple(r)[:2]: tuple(r)[2:] for r in run(df).select(*cols).collect()}
+        with monkeypatch.context() as patch:
+            patch.setattr(dt, "materialize", lambda d, purpose, name=name: written.append(name) or d)
+            got = {tuple(r)[:2]: tuple(r)[2:] for r in run(df, block="part").select(*cols).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k] == pytest.approx(want[k]) if name != "hysteresis" else got[k] == want[k] for k in want)
+    assert written == ["cusum", "page_hinkley", "hysteresis"]

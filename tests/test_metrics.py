@@ -113,8 +113,6 @@ def test_the_latest_weight_not_after_the_period(spark, cut):
         seen = [(d, w) for key, d, w in known if key == k and d is not None and w is not None and d <= t]
         return max(seen)[1] if seen else None
 
-    if cut:  # the carried join leaves null keys out; keys of long series are never null
-        facts = [f for f in facts if f[0] is not None]
     assert sorted(map(tuple, out.collect()), key=str) == sorted(((k, i, t, latest(k, t)) for k, i, t in facts), key=str)
 
 
