@@ -179,7 +179,7 @@ def links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     return found.distinct()
 
 
-def components(edges: DataFrame, purpose: str = "components", rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     """(node, label): the smallest node each node of an edge list (u > v) can reach.
 
     Alternates connecting larger neighbours and smaller neighbours to the
@@ -191,9 +191,7 @@ def components(edges: DataFrame, purpose: str = "components", rounds: int = 100)
 
     edges = staged(edges.select("u", "v"), purpose)
     seen = mark(edges)
-    for _ in range(rounds):
-        if not seen[0]:
-            break
+    while seen[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -4,7 +4,8 @@ Both vocabularies cut a text into pieces before merging, and a blank in front of
 a visible character always starts a new piece. So a text is cut at such blanks,
 each distinct chunk is encoded once by the tokenizers library, and the ids of a
 text are gathered from that table. The table is emptied when it is full, so its
-memory is bounded. Special tokens written in a text count as ordinary text.
+memory is bounded. A text that spells a special token is encoded whole, as the
+library does by default.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ _PIECES = {
     False: re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\\[-`{-~]+|\n"),
 }
 _STOPS = frozenset(".,;:!?")
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: A blank that is not in front of a visible character.
 _LOOSE = re.compile(r" (?=\s|$)")
 
@@ -48,7 +50,8 @@ class Encoder:
 
     def __init__(self, path: str, leading: bool):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(sorted(added, key=len, reverse=True))) if added else None
         self.model, self.leading, self.pattern = self.tokenizer.model, leading, _PIECES[leading]
         self._forget()
 
@@ -90,13 +93,22 @@ class Encoder:
         flat: list[int] = []
         sizes: list[int] = []
         at, blank, tokenize = self.count, _SPELL[32] * bool(lead), self.model.tokenize
+        plain = _LETTERS.fullmatch
         for part in parts:
             if part in table:
                 continue
             if part.isalpha() and part.isascii():
                 ids = [t.id for t in tokenize(blank + (part if self.leading else part.lower()))]
-            elif part[-1:] in _STOPS and part[:-1].isalpha() and part.isascii():
-                ids = self._piece(lead + part[:-1]) + self._piece(part[-1])
+            elif part[-1:] in _STOPS and plain(part, 0, len(part) - 1):
+                stem = part[:-1]
+                known = table.get(stem, at)
+                if known < at:  # the same letters were a chunk of their own
+                    begin = self.starts[known]
+                    ids = self.flat[begin : begin + self.sizes[known]].tolist() + self._piece(part[-1])
+                else:
+                    ids = self._piece(lead + stem) + self._piece(part[-1])
+            elif plain(part):
+                ids = self._piece(lead + part)
             else:
                 ids = self._ids(lead + part)
             table[part] = at + len(sizes)
@@ -130,6 +142,8 @@ class Encoder:
         """Ids of a whole text; null counts as empty."""
         if not text:
             return np.empty(0, np.uint32)
+        if self.special is not None and self.special.search(text):
+            return np.array(self._library(text), np.uint32)
         if self.count >= REMEMBERED[self.leading]:
             self._forget()
         head, rest = self._parts(text)

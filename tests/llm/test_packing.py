@@ -72,7 +72,6 @@ def test_carry_bounds_what_moves_up():
 
 def test_awkward_rows(spark, awkward, nothing):
     encode = Tokenizer.from_file(PATH)
-    encode.encode_special_tokens = True
     want = []
     for r in awkward.collect():
         ids = np.array([*encode.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")

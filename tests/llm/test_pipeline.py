@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from test_packing import assert_packed
 from test_quality import plain_measures
-from test_simhash import plain_components, plain_fingerprint
+from test_shingles import plain_kept
 
 import corpus_pipeline as pipeline
 from tesora.llm import mixing, quality
@@ -53,13 +53,8 @@ def test_language_keeps_documents_of_one_language(steps):
 
 
 def test_one_of_each_group_stays(steps):
-    rows = steps[2].collect()
-    prints = {r.doc_id: plain_fingerprint(r.text) for r in rows}
-    label = plain_components(sorted(set(prints.values())))
-    best = {}
-    for d, f in prints.items():
-        best[label[f]] = min(d, best.get(label[f], d))
-    assert sorted(r.doc_id for r in steps[3].collect()) == sorted(best.values())
+    want = plain_kept([(r.doc_id, r.text) for r in steps[2].collect()])
+    assert sorted(r.doc_id for r in steps[3].collect()) == want
 
 
 def test_the_mix_follows_its_sql(steps):
@@ -79,9 +74,16 @@ def test_all_tokens_are_packed(steps):
     assert {r.doc_id for r in rows} == {r.doc_id for r in steps[4].collect()}
 
 
+def test_every_stage_takes_awkward_and_empty_tables(spark, awkward, nothing):
+    for docs in (awkward, nothing):
+        for name, stage in pipeline.STAGES:
+            out = stage(spark, docs, SMALL)
+            assert out.count() <= 2 * docs.count() + 200 if name == "best_fit" else out.columns == docs.columns
+
+
 def test_run_and_registration(spark):
     import __spark_entry__ as entry
 
     assert entry.queries()["pipeline"].__wrapped__ is pipeline.run
-    assert {f"op{n}" for n in range(1, 11)} <= {name.split("_")[0] for name in entry.queries()}
+    assert {f"op{n}" for n in range(1, 14)} <= {name.split("_")[0] for name in entry.queries()}
     assert pipeline.run(spark, SMALL).count() > 0
