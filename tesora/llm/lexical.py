@@ -42,7 +42,7 @@ BEST = 10
 #: Items and terms of items that one pass over the documents answers.
 ITEMS, ITEM_TERMS = 4096, 1 << 18
 #: Postings of a shard.
-SHARD = 1 << 20
+SHARD = 1 << 18
 _TERM = term_bytes(digits=True)
 _SHORT = 16
 
