@@ -12,6 +12,10 @@ Training reads a bounded sample: at most ``rows`` documents, about as many per
 language, one run of at most ``run_words`` words of each. Runs of several
 documents are chained together, so that transitions between languages are seen.
 
+Words of more than ``LONGEST`` bytes, such as the sentences of scripts without
+blanks, are read as several words of at most that length, cut between
+characters, both in training and in prediction.
+
 Defined results: null texts and texts without a letter are ``und`` with score 0,
 as is everything if nothing was labelled; score is the mean probability of the
 predicted language over the words with letters; ties go to the smaller name;
@@ -20,6 +24,7 @@ repeated rows get equal results; a null id is in fold zero.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +38,9 @@ from tesora.llm.base import add_columns, documents, fold, order_hash, ragged
 
 SPAN = 64
 BITS = 16
+#: Bytes of a word; longer ones are cut.
+LONGEST = 40
+_LONG = re.compile(rb"[^ ]{%d,}" % (LONGEST + 1))
 #: Bytes whose emissions are computed at once.
 BLOCK = 1 << 21
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(64)], np.uint64)
@@ -61,9 +69,21 @@ class Words:
     letters: np.ndarray
 
 
+def _cut(found: re.Match) -> bytes:
+    """A long word with blanks between pieces of whole characters."""
+    word, parts, at = found.group(), [], 0
+    while at < len(word):
+        end = at + LONGEST
+        while end < len(word) and word[end] & 0xC0 == 0x80:
+            end -= 1
+        parts.append(word[at:end])
+        at = end
+    return b" ".join(parts)
+
+
 def normalised(text: str | None) -> bytes:
-    """Lower-cased words with one blank between them."""
-    return b" ".join((text or "").lower().encode("utf-8", "replace").split())
+    """Lower-cased words with one blank between them, long ones cut."""
+    return _LONG.sub(_cut, b" ".join((text or "").lower().encode("utf-8", "replace").split()))
 
 
 def analyse(buffer: bytes) -> Words:
@@ -219,7 +239,7 @@ def training_runs(docs: DataFrame, learn: Column, rows: int, run_words: int) ->
         for batch in batches:
             found = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = [w for w in normalised(text.as_py()).split(b" ") if 0 < len(w) <= 40]
+                words = normalised(text.as_py()).split(b" ")
                 at = (key or 0) * 2654435761 % max(1, len(words) - run_words + 1)
                 found.append(b" ".join(words[at : at + run_words]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["doc_id", "lang", "words"])

@@ -76,6 +76,32 @@ def test_parts_of_long_texts_make_the_same_answer(trained):
     assert langid.label_texts([text, None, "!!! 123", ""], crf)[0][0] == "fr"
 
 
+def test_scripts_without_blanks(spark):
+    """Chinese, Thai and English texts of common characters, some of one word only, some with blanks."""
+    rng = np.random.default_rng(3)
+    signs = {"zh": [chr(c) for c in range(0x4E00, 0x4E00 + 400)], "th": [chr(c) for c in range(0x0E01, 0x0E2F)]}
+    english = "the of and to in is that for it was on are with as at be this have from or had by not but what all were when".split()
+    rows = []
+    for i in range(240):
+        for lang, letters in signs.items():
+            blank = " " if i % 5 == 0 else ""
+            rows.append((f"{lang}{i}", blank.join("".join(rng.choice(letters, 60)) for _ in range(3)), lang))
+        rows.append((f"en{i}", " ".join(rng.choice(english, 40)), "en"))
+    docs = spark.createDataFrame([(n, *r[1:]) for n, r in enumerate(rows)], "doc_id long, text string, lang string").repartition(3)
+    crf = langid.fit(docs, F.col("doc_id") % 4 != 0)
+    got = langid.predict(docs.where("doc_id % 4 = 0"), crf).collect()
+    for lang in ("zh", "th", "en"):
+        assert np.mean([r.lang_pred == lang for r in got if r.lang == lang]) >= 0.95
+
+
+def test_long_words_are_cut_between_characters():
+    text = "a" * 95 + " b " + "漢" * 30 + "é" + "x" * 39
+    data = langid.normalised(text)
+    assert max(map(len, data.split(b" "))) <= langid.LONGEST
+    assert data.replace(b" ", b"").decode() == text.replace(" ", "")
+    assert langid.normalised("x" * 40) == b"x" * 40
+
+
 def test_awkward_rows(spark, awkward, nothing):
     learn = F.lit(True)
     crf = langid.fit(awkward, learn)
