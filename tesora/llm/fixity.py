@@ -1,30 +1,34 @@
 """Fixity audit of replicated WARC records with Merkle trees.
 
 Pages become WARC records in the order of their ids. The manifest has each
-record's digest, place and byte range. Its records are the leaves of a tree; a
-node covers ``FAN`` neighbours, that is one range of offsets, and its digest is
-that of their digests in order. First every range partition of the records has a
-tree of its own, then the partitions' roots are the leaves of a top tree. A
-replica's records are put at the manifest's places and hashed into the same
-ranges, so that a lost record changes its own ranges only. The audit compares
-the roots and joins only the children of nodes that differ, down to the records.
+record's digest, length and offset. Each replica, the manifest's own included,
+is hashed by itself: a leaf of its tree is a range of ``SPAN`` bytes of offsets,
+with the digest of offset, length and digest of the records that begin there in
+order; a node covers ``FAN`` neighbours. The audit compares the roots and goes
+on with the children of nodes that differ. Only records of ranges that differ
+meet: those at the same place with the same bytes are intact, then equal bytes
+of an id at another offset are ``moved``, then what is left of an id is
+``altered`` or ``resized``, and the rest is ``missing`` or ``extra``.
 
 Defined results: a null url or page is an empty one; a null id comes first;
-repeated ids keep the order of their digests and are compared in that order;
-records of a replica at no place of the manifest are ``extra``; equal replicas
-give no row; an empty table has no root. Other columns are not read.
+repeated ids are paired in the order of their offsets; equal rows of a replica
+at one offset are one; a record of a replica without an offset (null, or no such
+column) has no place in its tree and is compared by id and bytes alone; equal
+replicas give no row; an empty table has no root. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesora.llm.base import staged
 
 FAN = 64
+#: Bytes of offsets that make a leaf of the tree.
+SPAN = 1 << 16
+#: Bytes of offsets that are numbered by one window.
+PIECE = 1 << 28
 _DATE = "1970-01-01T00:00:00Z"
 
 
@@ -43,127 +47,155 @@ def warc_records(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.encode(warc_text(F.col("page_id"), F.col("url"), F.col("html")), "UTF-8").alias("record"))
 
 
-def _digests(records: DataFrame) -> DataFrame:
-    return records.select("page_id", F.sha2("record", 256).alias("digest"), F.octet_length("record").cast("long").alias("length"))
+def digests(records: DataFrame) -> DataFrame:
+    """(page_id, digest, length) of records, and record_offset where they have one; given digests stay as they are."""
+    place = [F.col("record_offset").cast("long")] if "record_offset" in records.columns else []
+    if "record" not in records.columns:
+        return records.select("page_id", "digest", "length", *place)
+    return records.select("page_id", F.sha2("record", 256).alias("digest"), F.octet_length("record").cast("long").alias("length"), *place)
 
 
-def manifest(records: DataFrame) -> DataFrame:
-    """(part, seq, page_id, copy, digest, length, record_offset) of all records in id order; a written table.
+def manifest(records: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(page_id, digest, length, record_offset) of all records in id order; a written table.
 
-    ``part`` is a range of ids, ``seq`` the place in it, ``copy`` the place among
-    records of one id. One row per part meets in the window that carries offsets.
+    Records are dealt by ranges of id and digest; one row per range meets in the
+    window that carries offsets. ``extra`` columns are carried along.
     """
-    dealt = _digests(records).repartitionByRange("page_id", "digest").withColumn("part", F.spark_partition_id())
+    body = records.select("page_id", F.sha2("record", 256).alias("digest"), F.octet_length("record").cast("long").alias("length"), *extra)
+    dealt = body.repartitionByRange("page_id", "digest").withColumn("part", F.spark_partition_id())
     dealt = staged(dealt, "fixity_digests")
-    inside = Window.partitionBy("part").orderBy("page_id", "digest")
-    own = dealt.withColumn("seq", (F.row_number().over(inside) - 1).cast("long"))
-    own = own.withColumn("inner", F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))
+    inside = Window.partitionBy("part").orderBy("page_id", "digest", *extra)
+    own = dealt.withColumn("inner", F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))
     totals = dealt.groupBy("part").agg(F.sum("length").alias("total"))
     carried = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
     placed = own.join(carried, "part").withColumn("record_offset", F.col("before") + F.col("inner"))
-    return staged(_numbered(placed.drop("inner", "before")), "fixity_manifest")
-
+    return staged(placed.drop("inner", "before", "part"), "fixity_manifest")
 
-def _numbered(records: DataFrame) -> DataFrame:
-    """Adds ``copy``: 0 for an id's only record, else its place among the id's records by digest."""
-    repeated = records.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("page_id").alias("again"))
-    both = records.join(repeated, F.col("page_id").eqNullSafe(F.col("again")), "left")
-    # ids that occur once form groups of one; hot ids are the only long windows
-    place = F.row_number().over(Window.partitionBy("page_id").orderBy("digest")) - 1
-    is_repeated = F.col("again").isNotNull() | (F.col("page_id").isNull())
-    single, many = both.where(~is_repeated), both.where(is_repeated)
-    return single.withColumn("copy", F.lit(0)).unionByName(many.withColumn("copy", place)).drop("again")
 
+def tree(records: DataFrame, height: int, fan: int = FAN, span: int = SPAN) -> list[DataFrame]:
+    """(idx, digest) of all nodes of one replica, one written table per level, the leaves first and the root last.
 
-def replica_leaves(places: DataFrame, replica: DataFrame) -> DataFrame:
-    """A replica's digests at the manifest's places; what the manifest doesn't know has no part."""
-    found = _numbered(_digests(replica)).select(
-        F.col("page_id").alias("id"), F.col("copy").alias("nth"), F.col("digest").alias("found"), F.col("length").alias("found_length")
-    )
-    joined = places.drop("digest", "length").join(found, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("copy") == F.col("nth")), "full")
-    page_id = F.when(F.col("part").isNull(), F.col("id")).otherwise(F.col("page_id"))
-    return joined.select("part", "seq", page_id.alias("page_id"), F.col("found").alias("digest"), F.col("found_length").alias("length"))
+    Reads nothing but the replica's own offsets, lengths and digests.
+    """
+    def above(nodes: DataFrame, index: Column, fields: list[str]) -> DataFrame:
+        inside = F.array_sort(F.collect_list(F.struct(*fields)))
+        text = F.concat_ws(" ", F.transform(inside, lambda c: F.concat_ws(":", *[c[f].cast("string") for f in fields])))
+        return staged(nodes.groupBy(index.cast("long").alias("idx")).agg(F.sha2(text, 256).alias("digest")), "fixity_tree")
+
+    levels = [above(records, F.floor(F.col("record_offset") / span), ["record_offset", "length", "digest"])]
+    for _ in range(height):
+        levels.append(above(levels[-1], F.floor(F.col("idx") / fan), ["idx", "digest"]))
+    return levels
 
 
-def _fold(nodes: DataFrame, group: Column, index: Column, place: str) -> DataFrame:
-    """One level up: at most FAN children, in order, make one digest."""
-    children = F.array_sort(F.collect_list(F.struct(F.col(place), F.coalesce("digest", F.lit("-")).alias("d"))))
-    text = F.concat_ws("", F.transform(children, lambda c: F.concat_ws(":", c[place].cast("string"), c["d"])))
-    return nodes.groupBy(group.alias("part"), index.alias("idx")).agg(F.sha2(text, 256).alias("digest"))
+def differing(ours: list[DataFrame], theirs: list[DataFrame], fan: int = FAN) -> DataFrame:
+    """idx of the leaves that differ, reached from the root through differing nodes only."""
+    suspects = None
+    for mine, other in zip(reversed(ours), reversed(theirs), strict=True):
+        a, b = mine.withColumnRenamed("digest", "a"), other.withColumnRenamed("digest", "b")
+        if suspects is not None:
+            up = suspects.withColumnRenamed("idx", "up")
+            a, b = (nodes.withColumn("up", F.floor(F.col("idx") / fan).cast("long")).join(up, "up", "left_semi").drop("up") for nodes in (a, b))
+        both = a.join(b, "idx", "full").where(~F.col("a").eqNullSafe(F.col("b")))
+        suspects = staged(both.select("idx"), "fixity_level")
+    return suspects
 
 
-def tree(leaves: DataFrame, sizes: tuple[int, int], fan: int = FAN) -> list[DataFrame]:
-    """(part, idx, digest) of all nodes, one written table per level, the leaves first and the root last.
+def _numbered(records: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``nth``, the place by offset among records of the same keys; a hot key is numbered piece by piece."""
+    cut = records.withColumn("piece", F.coalesce(F.floor(F.col("record_offset") / PIECE), -1 - F.col("lot")))
+    counts = cut.groupBy(*keys, "piece").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = counts.select(
+        *[F.col(k).alias(f"of_{k}") for k in keys], F.col("piece").alias("in"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
+    )
+    same = F.col("piece") == F.col("in")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "piece").orderBy("record_offset", "digest"))
+    own = cut.withColumn("inside", inside).join(carried, same)
+    return own.withColumn("nth", F.col("before") + F.col("inside")).drop("piece", "in", "before", "inside", *[f"of_{k}" for k in keys])
 
-    ``sizes``: most records in a part, and parts; both replicas must use the
-    manifest's. The levels within the parts come first, those of the top tree above.
-    """
-    in_part, above = _levels(sizes, fan)
-    rows = leaves.where("part is not null").select("part", F.col("seq").alias("idx"), "digest")
-    levels = [staged(rows, "fixity_tree")]
-    for k in range(1, in_part + above + 1):
-        if k <= in_part:
-            up = _fold(levels[-1], F.col("part"), F.floor(F.col("idx") / fan), "idx")
-        else:  # above the parts, the part itself is the place
-            up = _fold(levels[-1], F.floor(F.col("part") / fan).cast("int"), F.lit(0).cast("long"), "part")
-        levels.append(staged(up, "fixity_tree"))
-    return levels
 
+_FIELDS = ["page_id", "record_offset", "length", "digest", "lot"]
 
-def _levels(sizes: tuple[int, int], fan: int) -> tuple[int, int]:
-    deep = lambda n: max(1, math.ceil(math.log(max(n, 1), fan) - 1e-9))
-    return deep(sizes[0]), deep(sizes[1])
 
+def _paired(ours: DataFrame, theirs: DataFrame, keys: list[str]) -> DataFrame:
+    """Full join of records with equal keys, one to one in the order of offsets; the replica's columns start with ``r_``."""
+    other = _numbered(theirs, keys).select(*[F.col(c).alias(f"r_{c}") for c in [*_FIELDS, "nth"]])
+    same = F.col("nth") == F.col("r_nth")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"r_{k}"))
+    return staged(_numbered(ours, keys).join(other, same, "full"), "fixity_pairs")
 
-def differing(ours: list[DataFrame], theirs: list[DataFrame], sizes: tuple[int, int], fan: int = FAN) -> DataFrame:
-    """(part, idx): records that differ, reached from the root through differing nodes only."""
-    in_part, _ = _levels(sizes, fan)
-    suspects = None
-    for k in range(len(ours) - 1, -1, -1):
-        a, b = (nodes[k].withColumnRenamed("digest", name) for nodes, name in ((ours, "a"), (theirs, "b")))
-        if suspects is not None:
-            if k >= in_part:  # children of a node of the top tree are parts
-                parent = {"up_part": F.floor(F.col("part") / fan).cast("int"), "up_idx": F.lit(0).cast("long")}
-            else:
-                parent = {"up_part": F.col("part"), "up_idx": F.floor(F.col("idx") / fan)}
-            up = suspects.select(F.col("part").alias("up_part"), F.col("idx").alias("up_idx"))
-            a, b = (nodes.withColumns(parent).join(up, list(parent), "left_semi").drop(*parent) for nodes in (a, b))
-        both = a.join(b, ["part", "idx"], "full").where(~F.col("a").eqNullSafe(F.col("b")))
-        suspects = staged(both.select("part", "idx"), "fixity_level")
-    return suspects
 
+def audit(places: DataFrame, replica: DataFrame, fan: int = FAN, span: int = SPAN) -> DataFrame:
+    """(page_id, record_offset, length, digest, found, found_offset, status) of every record that is not intact.
 
-def audit(places: DataFrame, replica: DataFrame, fan: int = FAN) -> DataFrame:
-    """(page_id, record_offset, length, digest, found, status) of every record that is not intact."""
-    row = places.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("s"), F.coalesce(F.max("part"), F.lit(0)).alias("p")).first()
-    sizes = (row["s"] + 1, row["p"] + 1)
-    leaves = staged(replica_leaves(places, replica), "fixity_leaves")
-    bad = differing(tree(places, sizes, fan), tree(leaves, sizes, fan), sizes, fan)
-    found = leaves.where("part is not null").select("part", F.col("seq").alias("idx"), F.col("digest").alias("found"), F.col("length").alias("found_length"))
-    named = bad.join(places.withColumnRenamed("seq", "idx"), ["part", "idx"]).join(found, ["part", "idx"], "left")
-    status = F.when(F.col("found").isNull(), "missing").when(F.col("found_length") != F.col("length"), "resized").otherwise("altered")
-    lost = named.select("page_id", "record_offset", "length", "digest", "found", status.alias("status"))
-    extra = leaves.where("part is null").select(
-        "page_id", F.lit(None).cast("long").alias("record_offset"), "length", F.lit(None).cast("string").alias("digest"),
-        F.col("digest").alias("found"), F.lit("extra").alias("status"),
+    ``replica``: page_id, record (or digest and length) and its own record_offset.
+    """
+    theirs = digests(replica)
+    if "record_offset" not in theirs.columns:
+        theirs = theirs.withColumn("record_offset", F.lit(None).cast("long"))
+    theirs = staged(theirs, "fixity_replica")
+    placed = theirs.where("record_offset is not null").dropDuplicates(["page_id", "record_offset", "length", "digest"])
+    furthest = places.select("record_offset").unionByName(placed.select("record_offset")).agg(F.max("record_offset")).first()[0]
+    height, leaves = 0, (furthest or 0) // span
+    while leaves:
+        leaves, height = leaves // fan, height + 1
+    bad = differing(tree(places, height, fan, span), tree(placed, height, fan, span), fan)
+    here = lambda rows: rows.withColumn("idx", F.floor(F.col("record_offset") / span).cast("long")).join(bad, "idx", "left_semi").drop("idx")
+    a, b = here(places.select("page_id", "record_offset", "length", "digest")), here(placed)
+
+    def without(rows: DataFrame, known: DataFrame) -> DataFrame:
+        known = known.select(*[F.col(c).alias(f"k_{c}") for c in _FIELDS[:4]])
+        same = F.col("page_id").eqNullSafe(F.col("k_page_id"))
+        for c in _FIELDS[1:4]:
+            same = same & (F.col(c) == F.col(f"k_{c}"))
+        return rows.join(known, same, "left_anti")
+
+    lots = lambda rows, name: staged(rows.select(*_FIELDS[:4], F.spark_partition_id().alias("lot")), name)
+    rest_a = lots(without(a, b), "fixity_ours")
+    rest_b = lots(without(b, a).unionByName(theirs.where("record_offset is null").select(*b.columns)), "fixity_theirs")
+    equal = _paired(rest_a, rest_b, ["page_id", "digest"])
+    left_a = equal.where("r_nth is null").select(*_FIELDS)
+    left_b = equal.where("nth is null").select(*[F.col(f"r_{c}").alias(c) for c in _FIELDS])
+    changed = _paired(left_a, left_b, ["page_id"])
+    status = (
+        F.when(F.col("r_nth").isNull(), "missing").when(F.col("nth").isNull(), "extra")
+        .when(F.col("length") != F.col("r_length"), "resized").otherwise("altered")
+    )
+    moved = equal.where("nth is not null and r_record_offset is not null").withColumn("status", F.lit("moved"))
+    rows = moved.unionByName(changed.withColumn("status", status))
+    is_extra = F.col("nth").isNull()
+    return rows.select(
+        F.when(is_extra, F.col("r_page_id")).otherwise(F.col("page_id")).alias("page_id"), "record_offset",
+        F.when(is_extra, F.col("r_length")).otherwise(F.col("length")).alias("length"), "digest",
+        F.col("r_digest").alias("found"), F.col("r_record_offset").alias("found_offset"), "status",
     )
-    return lost.unionByName(extra)
 
 
 def damaged(records: DataFrame) -> DataFrame:
-    """A second copy as a faulty store might give it back: some records altered, cut short or lost."""
+    """Adds ``copy_digest`` and ``copy_length`` of a second copy of each record: some altered, cut short or lost (null)."""
     key, size = F.col("page_id"), F.octet_length("record")
     altered = F.concat(F.substring("record", F.lit(1), size - 1), F.encode(F.lit("!"), "UTF-8"))
     cut = F.substring("record", F.lit(1), size - 10)
     body = F.when(key % 101 == 7, altered).when(key % 103 == 11, cut).otherwise(F.col("record"))
-    return records.where(F.coalesce(key % 107 != 13, F.lit(True))).select("page_id", body.alias("record"))
+    body = F.when(F.coalesce(key % 107 != 13, F.lit(True)), body)
+    return records.withColumns({"copy_digest": F.sha2(body, 256), "copy_length": F.octet_length(body).cast("long")})
 
 
 def op3_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's record in the manifest and what the audit of the second copy says about it."""
+    """Every page's record in the manifest and what the audit of the second copy says about it.
+
+    The copy's records stand where they were written, so a lost or short one leaves a hole.
+    """
     records = warc_records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    places = manifest(records)
-    bad = audit(places, damaged(records)).select(F.col("record_offset").alias("at"), "status", "found")
+    both = manifest(damaged(records), ("copy_digest", "copy_length"))
+    copy = both.where("copy_digest is not null")
+    copy = copy.select("page_id", "record_offset", F.col("copy_digest").alias("digest"), F.col("copy_length").alias("length"))
+    places = both.drop("copy_digest", "copy_length")
+    bad = audit(places, copy).where("record_offset is not null").select(F.col("record_offset").alias("at"), "status")
     joined = places.join(bad, F.col("record_offset") == F.col("at"), "left")
     return joined.select("page_id", "record_offset", "length", "digest", F.coalesce("status", F.lit("intact")).alias("status"))
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 from pathlib import Path
 
 import pytest
@@ -43,6 +44,66 @@ def test_audit_finds_exactly_the_damage(spark, fan):
     assert got == {0: "missing", 99: "missing", 17: "resized", 50: "altered", 500: "extra"}
 
 
+def laid_out(spark, rows):
+    """A replica of (page_id, bytes) written one after another, with its own offsets."""
+    at, out = 0, []
+    for key, data in rows:
+        out.append((key, at, bytearray(data)))
+        at += len(data)
+    return spark.createDataFrame(out, "page_id long, record_offset long, record binary").repartition(3)
+
+
+def stored(spark, n=60):
+    rows = [(i, f"http://h/{i}", "p" * (i % 13)) for i in range(n)]
+    records = fixity.warc_records(pages(spark, rows).repartition(5))
+    data = {r.page_id: bytes(r.record) for r in records.collect()}
+    return fixity.manifest(records), [(i, data[i]) for i in range(n)]
+
+
+@pytest.mark.parametrize(("fan", "span"), [(2, 300), (3, 1000), (64, 1 << 16)])
+def test_replicas_with_their_own_places(spark, fan, span):
+    places, rows = stored(spark)
+    same = laid_out(spark, rows)
+    assert fixity.audit(places, same, fan, span).count() == 0
+    place = {r.page_id: r.record_offset for r in places.collect()}
+    # reordered: two records have changed places, and what stands between them has shifted if their sizes differ
+    swapped = [*rows]
+    swapped[10], swapped[25] = rows[25], rows[10]
+    other = laid_out(spark, swapped)
+    own = {r.page_id: r.record_offset for r in other.collect()}
+    got = {r.page_id: (r.status, r.found_offset) for r in fixity.audit(places, other, fan, span).collect()}
+    assert got == {i: ("moved", own[i]) for i in own if own[i] != place[i]} and {10, 25} <= set(got)
+    # shifted: a lost record moves all that follow
+    got = {r.page_id: r.status for r in fixity.audit(places, laid_out(spark, rows[:40] + rows[41:]), fan, span).collect()}
+    assert got == {40: "missing"} | {i: "moved" for i in range(41, 60)}
+    # in place: one altered, one lost, one cut, one put behind the others
+    held = [(r.page_id, r.record_offset, bytes(r.record)) for r in same.collect() if r.page_id != 3]
+    held = [(i, at, b"#" * len(d) if i == 7 else d[:-5] if i == 50 else d) for i, at, d in held] + [(900, 10**6, b"new")]
+    store = spark.createDataFrame([(i, at, bytearray(d)) for i, at, d in held], "page_id long, record_offset long, record binary")
+    got = {r.page_id: r.status for r in fixity.audit(places, store.unionByName(store.limit(2)), fan, span).collect()}
+    assert got == {3: "missing", 7: "altered", 50: "resized", 900: "extra"}
+
+
+def test_only_differing_ranges_are_reached(spark):
+    places, rows = stored(spark)
+    rows[33] = (33, rows[33][1][:-1] + b"!")
+    other = fixity.digests(laid_out(spark, rows))
+    at = places.where("page_id = 33").first().record_offset
+    height = 9  # more than enough levels: the root covers everything
+    bad = fixity.differing(fixity.tree(places, height, 3, 400), fixity.tree(other, height, 3, 400), 3)
+    assert [r.idx for r in bad.collect()] == [at // 400]
+
+
+def test_repeated_and_null_ids_are_paired_by_offset(spark):
+    rows = [(None, None, None), (None, "a", "b"), (5, "u", "x"), (5, "u", "x"), (5, "u", "y")]
+    records = fixity.warc_records(pages(spark, rows))
+    places = fixity.manifest(records)
+    data = sorted(((r.page_id, bytes(r.record)) for r in records.collect()), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(r[1]).hexdigest()))
+    lost = [d for d in data if d[0] is None] + [d for d in data if d[0] == 5][:2]
+    got = fixity.audit(places, laid_out(spark, [(k, b"?" * len(d)) for k, d in lost])).collect()
+    assert sorted((r.page_id or 0, r.status) for r in got) == [(0, "altered"), (0, "altered"), (5, "altered"), (5, "altered"), (5, "missing")]
+
+
 def test_equal_replicas_give_no_row(spark):
     records = fixity.warc_records(pages(spark, [(1, None, None), (None, "u", "x"), (2, "u", "")]))
     assert fixity.audit(fixity.manifest(records), records).count() == 0
