@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tesora.functions import scalar as S
 from tesora.operators import bocpd
 from tesora.operators import detect as dt
+from tesora.operators import knots as kn
 from tesora.operators import metrics as mt
 from tesora.operators import prefix as px
 from tesora.operators import resample as rs
@@ -165,6 +166,63 @@ def run_length_alarms(spark, sf):
     return dt.first_alarm(bocpd.run_lengths(z, keys=KEYS, order="period_start", value="z"), keys=KEYS, flag="bocpd_flag")
 
 
+# ---- knots: all sets of them, weighted; with levels alone the sum has an SQL form ----
+
+
+def _knots_sql(level: str, hazard: str = "1 / 24.0", scale: float = 3.0, shape: float = 1.0, rate: float = 0.5) -> str:
+    """Segment evidences from prefix sums, then the recursion over lists forwards, and backwards over the same lists by start."""
+    by = "oktmo, category_code"
+    return f"""{data.panel_sql(level)},
+kn_x AS (SELECT {by}, period_start, row_number() OVER (PARTITION BY {by} ORDER BY period_start) AS pos, count(*) OVER (PARTITION BY {by}) AS n,
+  (spending_nominal - avg(spending_nominal) OVER (PARTITION BY {by})) / coalesce(nullif(stddev_pop(spending_nominal) OVER (PARTITION BY {by}), 0), 1) AS y FROM panel),
+kn_p AS (SELECT {by}, pos, sum(y) OVER w AS s1, sum(y * y) OVER w AS s2 FROM kn_x WINDOW w AS (PARTITION BY {by} ORDER BY pos)
+  UNION ALL SELECT DISTINCT {by}, CAST(0 AS BIGINT), 0.0, 0.0 FROM kn_x),
+kn_s AS (SELECT {by}, a.pos AS s, b.pos AS e, b.pos - a.pos AS m, b.s1 - a.s1 AS t1, b.s2 - a.s2 AS t2 FROM kn_p a JOIN kn_p b USING ({by}) WHERE a.pos < b.pos),
+kn_f AS (SELECT {by}, s, e, exp(lgamma({shape} + m / 2.0) - lgamma({shape}) + {shape} * ln({rate}) - m / 2.0 * ln(2 * pi()) - 0.5 * ln(1 + {scale**2} * m)
+  - ({shape} + m / 2.0) * ln({rate} + greatest(t2 - t1 * t1 / (m + 1 / {scale**2}), 0) / 2) + (m - 1) * ln(1 - {hazard}) + CASE WHEN s > 0 THEN ln({hazard}) ELSE 0 END) AS f FROM kn_s),
+kn_e AS (SELECT {by}, e, list(f ORDER BY s) AS f FROM kn_f GROUP BY ALL),
+kn_b AS (SELECT {by}, s, list(f ORDER BY e) AS f FROM kn_f GROUP BY ALL),
+kn_fw AS (SELECT DISTINCT {by}, n, CAST(0 AS BIGINT) AS e, [1.0::DOUBLE] AS p FROM kn_x
+  UNION ALL SELECT w.oktmo, w.category_code, w.n, l.e, list_append(w.p, list_sum(list_transform(range(1, len(l.f) + 1), lambda i: l.f[i] * w.p[i])))
+  FROM kn_fw w JOIN kn_e l ON l.oktmo = w.oktmo AND l.category_code = w.category_code AND l.e = w.e + 1),
+kn_bw AS (SELECT DISTINCT {by}, n AS s, [1.0::DOUBLE] AS p FROM kn_x
+  UNION ALL SELECT w.oktmo, w.category_code, l.s, list_prepend(list_sum(list_transform(range(1, len(l.f) + 1), lambda i: l.f[i] * w.p[i])), w.p)
+  FROM kn_bw w JOIN kn_b l ON l.oktmo = w.oktmo AND l.category_code = w.category_code AND l.s = w.s - 1),
+kn AS (SELECT {by}, x.period_start, CASE WHEN x.pos = 1 THEN 0 ELSE a.p[x.pos] * b.p[x.pos] / a.p[x.n + 1] END AS p_knot, ln(a.p[x.n + 1]) AS log_evidence
+  FROM kn_x x JOIN kn_fw a USING ({by}) JOIN kn_bw b USING ({by}) WHERE a.e = x.n AND b.s = 0)"""
+
+
+LEVELS = kn.KnotModel(structures=("level",))
+
+
+@query(
+    "level_knots",
+    f"""WITH RECURSIVE {_knots_sql("nation")}
+SELECT oktmo, category_code, period_start, {r("p_knot", 5)} AS p_knot, {r("log_evidence", 4)} AS log_evidence FROM kn""",
+)
+def level_knots(spark, sf):
+    found = kn.knots(data.panel(spark, sf, "nation"), keys=KEYS, **ORDER, model=LEVELS)
+    return rounded(rounded(found.drop("p_slope", "p_season"), 5, "p_knot"), 4, "log_evidence")
+
+
+@query(
+    "level_knot_counts",
+    f"""WITH RECURSIVE {_knots_sql("region")}
+SELECT oktmo, category_code, {r("sum(p_knot)", 4)} AS expected_knots, count(*) FILTER (p_knot >= 0.5) AS n_knots, {r("max(p_knot)", 5)} AS top_p,
+  arg_min(period_start, (-round(p_knot, 9), period_start)) AS top_at FROM kn GROUP BY 1, 2""",
+)
+def level_knot_counts(spark, sf):
+    found = kn.knots(data.panel(spark, sf, "region"), keys=KEYS, **ORDER, model=LEVELS)
+    return rounded(rounded(kn.knot_alarms(found, keys=KEYS, order="period_start"), 4, "expected_knots"), 5, "top_p")
+
+
+@query("trend_season_knots")
+def trend_season_knots(spark, sf):
+    """All four structures; tested against the sum over all knot sets."""
+    found = kn.knots(data.panel(spark, sf, "nation"), keys=KEYS, **ORDER)
+    return rounded(found, 5, "p_knot", "p_slope", "p_season", "log_evidence")
+
+
 @query(
     "robust_scores",
     f"""WITH {data.panel_sql('nation')},
