@@ -109,3 +109,48 @@ def test_hashes_tell_words_apart():
 def test_the_word_three_back_is_a_feature():
     one, other = (maxent.contexts(maxent.token_hashes(t), np.array([0])) for t in ("a b c d", "x b c d"))
     assert (one[:3, 3] == other[:3, 3]).all() and one[3, 3] != other[3, 3]
+
+
+def plain_step(model, hashes, rank, rate):
+    """Log chances of all tokens, and both tables after one step, token by token."""
+    features = maxent.contexts(hashes, np.array([0]))
+    logs, sums = [], ({}, {})
+    for t, r in enumerate(rank):
+        c = maxent.CLASSES if r < 0 else int(r) // maxent.WIDTH
+        factors = [(0, model.class_bias, model.class_rows, [int(f) % maxent.CLASS_ROWS for f in features[:, t]], c)]
+        if r >= 0:
+            places = maxent._word_index(features[:, t : t + 1], np.array([c]))[:, 0].tolist()
+            factors.append((1, model.word_bias[c], model.word_rows, places, int(r) % maxent.WIDTH))
+        total = 0.0
+        for table, bias, rows, places, target in factors:
+            logits = [float(bias[j]) + sum(float(rows[p, j]) for p in places) for j in range(maxent.WIDTH)]
+            whole = sum(math.exp(x) for x in logits)
+            total += logits[target] - math.log(whole)
+            gradient = np.array([math.exp(x) / whole - (j == target) for j, x in enumerate(logits)])
+            for p in places:  # a row picked twice by one token counts twice
+                sums[table][p] = sums[table].get(p, 0) + gradient
+        logs.append(total)
+    after = [model.class_rows.copy(), model.word_rows.copy()]
+    for rows, found in zip(after, sums, strict=True):
+        for p, g in found.items():
+            rows[p] -= rate * g / math.sqrt(1 + float(g @ g))
+    return logs, after
+
+
+def test_chances_and_one_step_equal_plain_loops():
+    rng = np.random.default_rng(7)
+    hashes = maxent.token_hashes(" ".join(f"w{int(i)}" for i in rng.integers(0, 150, 120)))
+    values, counts = np.unique(hashes, return_counts=True)
+    order = np.argsort(-counts, kind="stable")[:70]  # the rest is outside the vocabulary
+    lex = maxent.Lexicon(len(hashes), len(values), values[order], counts[order], values, counts)
+    model = maxent.unigram(lex)
+    model.class_rows[:] = rng.normal(0, 0.3, model.class_rows.shape)
+    model.word_rows[:] = rng.normal(0, 0.3, model.word_rows.shape)
+    rank = lex.look_up(hashes)[0]
+    assert (rank < 0).any() and len(hashes) < maxent.STEP
+    logs, after = plain_step(model, hashes, rank, 0.25)
+    features = maxent.contexts(hashes, np.array([0]))
+    assert maxent.token_logs(model, features, rank) == pytest.approx(logs, rel=1e-4, abs=1e-4)
+    state = [np.ones(maxent.CLASS_ROWS), np.zeros(maxent.CLASS_ROWS), np.ones(maxent.WORD_ROWS), np.zeros(maxent.WORD_ROWS)]
+    maxent.train_block(model, state, features, rank, 0.25)
+    assert np.allclose(model.class_rows, after[0], atol=1e-4) and np.allclose(model.word_rows, after[1], atol=1e-4)
