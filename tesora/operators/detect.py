@@ -53,7 +53,7 @@ def robust_standardize(df: DataFrame, *, keys: Sequence[str], value: str, out: s
     return centred.join(mad, list(keys)).withColumn(out, (F.col(value) - F.col("med")) / scale).drop("med", "sd", "mad")
 
 
-def _numbered(df: DataFrame, keys: Sequence[str], order: str, block: str | None, sums: dict[str, Column] | None = None) -> DataFrame:
+def _numbered(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], block: str | None, sums: dict[str, Column] | None = None) -> DataFrame:
     """Rows with their position and the running ``sums``.
 
     A long series is read once for the totals of its blocks, one row each; its
@@ -76,7 +76,7 @@ def baseline_standardize(
     df: DataFrame,
     *,
     keys: Sequence[str],
-    order: str,
+    order: str | Sequence[str],
     value: str,
     warmup: int = 12,
     out: str = "z",
@@ -108,7 +108,7 @@ def cusum(
     df: DataFrame,
     *,
     keys: Sequence[str],
-    order: str,
+    order: str | Sequence[str],
     value: str,
     threshold: float = 5.0,
     drift: float = 0.5,
@@ -132,7 +132,7 @@ def cusum(
     return df.withColumn("cusum_flag", flag)
 
 
-def _above_extreme(df: DataFrame, steps: dict[str, tuple[Column, str]], *, keys: Sequence[str], order: str, block: str | None) -> DataFrame:
+def _above_extreme(df: DataFrame, steps: dict[str, tuple[Column, str]], *, keys: Sequence[str], order: str | Sequence[str], block: str | None) -> DataFrame:
     """For each step the running sum less its lowest ("min") or highest ("max") value so far, zero included.
 
     A block's state is its sum and its extreme running sum; the states of
@@ -170,7 +170,7 @@ def page_hinkley(
     df: DataFrame,
     *,
     keys: Sequence[str],
-    order: str,
+    order: str | Sequence[str],
     value: str,
     threshold: float = 8.0,
     delta: float = 0.05,
@@ -256,7 +256,7 @@ def hysteresis(
     df: DataFrame,
     *,
     keys: Sequence[str],
-    order: str,
+    order: str | Sequence[str],
     score: str = "score",
     confirmations: str = "confirmations",
     config: HysteresisConfig = HysteresisConfig(),
@@ -308,7 +308,7 @@ def hysteresis(
     )
 
 
-def _streaks(df: DataFrame, *, keys: Sequence[str], order: str, block: str | None) -> DataFrame:
+def _streaks(df: DataFrame, *, keys: Sequence[str], order: str | Sequence[str], block: str | None) -> DataFrame:
     """``above_streak`` and ``below_streak``: running counts less their value at the last row that resets them.
 
     For a long series the blocks' counts and reset values are summed up in a
@@ -339,7 +339,7 @@ def _streaks(df: DataFrame, *, keys: Sequence[str], order: str, block: str | Non
     return out.drop("_n", "_na", "_na_at", "_n_at", "_c_n", "_c_na", "_c_n_at", "_c_na_at")
 
 
-def _highest_of_episode(df: DataFrame, *, keys: Sequence[str], order: str, block: str | None) -> DataFrame:
+def _highest_of_episode(df: DataFrame, *, keys: Sequence[str], order: str | Sequence[str], block: str | None) -> DataFrame:
     """``_top``: four times the number of releases so far plus the highest level since the last one."""
     here = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0) if block is None else inside(keys, block, order)
     df = df.withColumn("_episode", F.sum(F.col("_released").cast("long")).over(here))

@@ -119,14 +119,17 @@ _RUNNING = {"sum": F.sum, "min": F.min, "max": F.max}
 _JOIN_UP = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest}
 
 
-def cut_series(df: DataFrame, keys: Sequence[str], order: str, *, pieces: int | None = None, out: str = "piece") -> DataFrame:
+def cut_series(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], *, pieces: int | None = None, out: str = "piece") -> DataFrame:
     """Series cut into pieces of similar size along their order; a written table with the piece number.
 
     Range partitioning over keys and order samples the quantiles, so however a
-    series' rows are spread over time a piece holds about the same number.
+    series' rows are spread over time a piece holds about the same number. Where
+    times repeat, ``order`` names further columns: a series is windowed more than
+    once, and rows that tie must stand in the same order each time.
     """
     pieces = pieces or shuffle_width(df.sparkSession)
-    dealt = df.repartitionByRange(pieces, *[F.col(k) for k in keys], F.col(order))
+    along = [order] if isinstance(order, str) else order
+    dealt = df.repartitionByRange(pieces, *[F.col(c) for c in (*keys, *along)])
     return materialize(dealt.withColumn(out, F.spark_partition_id()), "series_pieces")
 
 
@@ -147,7 +150,7 @@ def carried(totals: DataFrame, how: Mapping[str, str], *, keys: Sequence[str], b
     return totals.withColumns({f"_c_{name}": _RUNNING[h](name).over(earlier) for name, h in how.items()})
 
 
-def inside(keys: Sequence[str], block: str, order: str):
+def inside(keys: Sequence[str], block: str, order: str | Sequence[str]):
     """Window over the rows of one block up to the current one."""
     return Window.partitionBy(*keys, block).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
 
@@ -157,7 +160,7 @@ def running(
     cols: Mapping[str, tuple[str, Column]],
     *,
     keys: Sequence[str],
-    order: str,
+    order: str | Sequence[str],
     block: str | None = None,
 ) -> DataFrame:
     """Running ``sum``, ``min`` or ``max`` up to and including each row of a series.

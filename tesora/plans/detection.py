@@ -244,8 +244,12 @@ e AS (SELECT event_type, ts, pos, value, (value - mu) / coalesce(nullif(sd, 0),
 _EW = "(PARTITION BY event_type ORDER BY ts)"
 
 
+#: Times may repeat; the id makes the order of a series a function of its rows.
+_EVENT_ORDER = ["ts", "event_id"]
+
+
 def _event_series(spark, sf):
-    return px.cut_series(data.read(spark, sf, "events").select("event_type", "ts", "value"), ["event_type"], "ts")
+    return px.cut_series(data.read(spark, sf, "events").select("event_type", *_EVENT_ORDER, "value"), ["event_type"], _EVENT_ORDER)
 
 
 @query(
@@ -255,8 +259,8 @@ m AS (SELECT *, s - least(0, min(s) OVER {_EW}) AS up, u - greatest(0, max(u) OV
 SELECT event_type, ts, {r("z", 7)} AS z, {r("up", 5)} AS cusum_up, {r("down", 5)} AS cusum_down, pos >= 12 AND (up > 20 OR abs(down) > 20) AS cusum_flag FROM m""",
 )
 def event_cusum(spark, sf):
-    df = dt.cusum(_event_series(spark, sf), keys=["event_type"], order="ts", value="value", threshold=20.0, block="piece")
-    return rounded(rounded(df.drop("piece", "pos", "value"), 7, "z"), 5, "cusum_up", "cusum_down")
+    df = dt.cusum(_event_series(spark, sf), keys=["event_type"], order=_EVENT_ORDER, value="value", threshold=20.0, block="piece")
+    return rounded(rounded(df.drop("piece", "pos", "value", "event_id"), 7, "z"), 5, "cusum_up", "cusum_down")
 
 
 @query(
@@ -266,7 +270,7 @@ s AS (SELECT *, sum(CASE WHEN pos >= 12 THEN d - 0.05 ELSE 0 END) OVER {_EW} AS
 SELECT event_type, ts, {r(f"p - least(0, min(p) OVER {_EW})", 4)} AS ph_up, {r(f"q - least(0, min(q) OVER {_EW})", 4)} AS ph_down FROM s""",
 )
 def event_page_hinkley(spark, sf):
-    df = dt.page_hinkley(_event_series(spark, sf), keys=["event_type"], order="ts", value="value", block="piece")
+    df = dt.page_hinkley(_event_series(spark, sf), keys=["event_type"], order=_EVENT_ORDER, value="value", block="piece")
     return rounded(df.select("event_type", "ts", "ph_up", "ph_down"), 4, "ph_up", "ph_down")
 
 
@@ -281,10 +285,10 @@ SELECT event_type, ts, CAST(above_streak AS BIGINT) AS above_streak, below_strea
   list_extract(['NORMAL', 'OBSERVE', 'WARNING', 'BREAK_CONFIRMED'], max(lvl) OVER (PARTITION BY event_type, coalesce(rel, -1) ORDER BY ts) + 1) AS state FROM c""",
 )
 def event_states(spark, sf):
-    z = dt.baseline_standardize(_event_series(spark, sf), keys=["event_type"], order="ts", value="value", block="piece")
+    z = dt.baseline_standardize(_event_series(spark, sf), keys=["event_type"], order=_EVENT_ORDER, value="value", block="piece")
     scored = z.withColumns({"score": F.abs("z"), "confirmations": F.when(F.col("value") > 50, 2).otherwise(1)})
     clean = dt.split_state_input(scored).clean
-    out = dt.hysteresis(clean, keys=["event_type"], order="ts", block="piece")
+    out = dt.hysteresis(clean, keys=["event_type"], order=_EVENT_ORDER, block="piece")
     return out.select("event_type", "ts", "above_streak", "below_streak", "state")
 
 

@@ -254,3 +254,20 @@ def test_long_series_write_once_and_keep_null_keys(spark, monkeypatch):
         assert got.keys() == want.keys()
         assert all(got[k] == pytest.approx(want[k]) if name != "hysteresis" else got[k] == want[k] for k in want)
     assert written == ["cusum", "page_hinkley", "hysteresis"]
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_events_of_one_moment_stand_in_the_order_of_their_ids(spark, tmp_path, descending):
+    from datetime import datetime, timedelta
+
+    from tesora.plans.inputs import SCHEMAS
+    from tesora.plans.registry import REGISTRY
+
+    rng = random.Random(5)
+    rows = [(i, datetime(2024, 1, 1) + timedelta(seconds=i // 4), 1, "view", float(rng.choice([10, 12, 30, 48, 70])), "") for i in range(240)]
+    stored = sorted(rows, reverse=descending)
+    spark.createDataFrame(stored, SCHEMAS["events"]).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = REGISTRY["event_states"].build(spark, str(tmp_path)).select("ts", "state", "above_streak", "below_streak").collect()
+    mu, sd = fmean(r[4] for r in rows[:12]), pstdev(r[4] for r in rows[:12])
+    want = walk_states([(abs(r[4] - mu) / sd, 2 if r[4] > 50 else 1) for r in rows], dt.HysteresisConfig())
+    assert sorted(map(tuple, got)) == sorted((r[1], *w) for r, w in zip(rows, want, strict=True))
