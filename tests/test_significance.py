@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -161,3 +162,21 @@ def test_settings_are_checked(spark):
             rs.Resampling(**bad)
     with pytest.raises(ValueError):
         sg.diebold_mariano(spark.range(1), keys=["id"], order="id", loss_a=F.lit(1), loss_b=F.lit(1), horizon=0)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="shared tables are absent")
+def test_differences_of_half_a_cent_are_rounded_from_exact_sums(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+    from fractions import Fraction
+
+    from oracle_check import connect
+
+    from tesora.plans import forecasting as fp
+
+    whole = "SELECT span, oktmo, category_code, count(*), CAST(sum(CAST(round(100 * a) AS BIGINT) - CAST(round(100 * b) AS BIGINT)) AS BIGINT) FROM losses GROUP BY ALL"
+    sums = connect("/root/testdata/sf0.1").execute(f"WITH {fp._LOSSES_SQL} {whole}").fetchall()
+    exact = {tuple(key): Fraction(cents, n) for *key, n, cents in sums}
+    assert sum(e.denominator == 2 for e in exact.values()) > 5  # halves of a cent do occur
+    want = {k: float((Decimal(e.numerator) / e.denominator).quantize(Decimal(1), ROUND_HALF_UP) / 100) for k, e in exact.items()}
+    got = fp.loss_tests(spark, "/root/testdata/sf0.1").select("span", "oktmo", "category_code", "difference").collect()
+    assert {(r.span, r.oktmo, r.category_code): r.difference for r in got} == want
