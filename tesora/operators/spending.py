@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesora.functions.scalar import month_bounds, parse_number
-from tesora.operators.contracts import ERROR, Rule, clean_header, missing_columns, side_by_side, split, unique_rows
+from tesora.operators.contracts import ERROR, Rule, clean_header, computed_once, missing_columns, side_by_side, split, unique_rows
 from tesora.operators.identity import RESOLVED, resolve_names
 from tesora.session import materialize
 
@@ -74,13 +74,14 @@ def check_export(df: DataFrame, labels: Mapping[str, str] = CATEGORY_CODES):
     if missing:
         raise ValueError("export columns missing: " + ", ".join(missing))
     value = parse_number("value") if dict(df.dtypes)["value"] == "string" else F.col("value").cast("double")
-    df = df.withColumns(
+    df = computed_once(
+        df,
         {
             "mo": F.trim("mo"),
             "category_15": F.trim("category_15"),
             "period": F.col("period").try_cast("date"),
             "value": value,
-        }
+        },
     )
     return split(
         df,

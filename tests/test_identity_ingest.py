@@ -129,3 +129,18 @@ def test_peer_panel(spark):
     rows = [("2024-01-01", "1", "Транспорт", " Сургут"), ("2024-02-01", "1", "Транспорт", "Сургут"), ("2024-02-01", "2", "Транспорт", "Сургут"), ("2024-01-01", "1", "Транспорт", "А")]
     parts = sp.peer_panel(export(spark, rows), peers)
     assert [r["oktmo"] for r in parts.clean.collect()] == ["71876000"] and parts.quarantine.count() == 1
+
+
+def test_a_text_is_parsed_once_whatever_the_rules(spark):
+    from tesora.operators import spending as sp
+
+    columns = ", ".join(f"{c} string" for c in sp.EXPORT_COLUMNS)
+    row = ("2024-01-01", "1 234,50", "A", "s", "Транспорт", " x ", "M", "2", "RUB", "0")
+    rows = [row, row[:1] + ("-1",) + row[2:], ("13.2020",) + row[1:], row[:1] + ("1e999",) + row[2:]]
+    parts = sp.check_export(spark.createDataFrame(rows, columns))
+    assert [(r.value, r.mo) for r in parts.clean.collect()] == [(1234.5, "x")]
+    assert sorted(r.reason_code for r in parts.quarantine.collect()) == ["BAD_PERIOD", "BAD_VALUE", "NEGATIVE_VALUE"]
+    assert sorted(str(r.reason_code) for r in parts.marked.collect()) == ["BAD_PERIOD", "BAD_VALUE", "NEGATIVE_VALUE", "None"]
+    for side in (parts.clean, parts.quarantine):
+        plan = side._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("regexp_replace(") == 1 and plan.count("try_cast(period") == 1
