@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesora.functions.scalar import execution_gap, execution_rate, floor_zero, parse_number
-from tesora.operators.contracts import ERROR, Rule, Split, fill_missing, split
+from tesora.operators.contracts import ERROR, Rule, Split, computed_once, fill_missing, split
 from tesora.session import materialize
 
 # Sides, sources, bases, statuses and correction kinds.
@@ -58,7 +58,8 @@ def check_lines(df: DataFrame) -> Split:
     df = fill_missing(df, _OPTIONAL_LINE)
     amount = F.col("amount").cast("double") if dict(df.dtypes)["amount"] != "string" else parse_number("amount")
     prelim = F.lower(F.trim(F.col("preliminary").cast("string")))
-    df = df.withColumns(
+    df = computed_once(
+        df,
         {
             **{
                 c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
@@ -69,7 +70,7 @@ def check_lines(df: DataFrame) -> Split:
             "available_at": F.col("available_at").try_cast("date"),
             "amount": amount,
             "_prelim": prelim,
-        }
+        },
     )
     df = df.withColumn("preliminary", F.when(F.col("_prelim").isin("true", "false"), F.col("_prelim") == "true"))
     default = (

@@ -199,11 +199,8 @@ def cash_line_contract(spark, sf):
         F.when(F.col("l_tax") < 0.005, "final").otherwise("").alias("preliminary_status"),
         F.when(F.col("l_quantity") > 45, "12a").otherwise("244").alias("kvr"),
     )
-    parts = cs.check_lines(raw)
-    both = parts.clean.select(F.lit("clean").alias("verdict")).unionByName(
-        parts.quarantine.select(F.col("reason_code").alias("verdict"))
-    )
-    return both.groupBy("verdict").agg(F.count(F.lit(1)).alias("n_lines"))
+    verdict = F.coalesce("reason_code", F.lit("clean")).alias("verdict")
+    return cs.check_lines(raw).marked.groupBy(verdict).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 @query(
@@ -215,11 +212,8 @@ FROM corr GROUP BY 1""",
 def correction_contract(spark, sf):
     rows = data.corrections(spark, sf)
     early = F.when(F.month("cash_month") == 4, F.date_sub("cash_month", 1)).otherwise(F.col("approved_at"))
-    parts = cs.check_corrections(rows.withColumn("approved_at", early))
-    both = parts.clean.select(F.lit("clean").alias("verdict")).unionByName(
-        parts.quarantine.select(F.col("reason_code").alias("verdict"))
-    )
-    return both.groupBy("verdict").agg(F.count(F.lit(1)).alias("n_corrections"))
+    verdict = F.coalesce("reason_code", F.lit("clean")).alias("verdict")
+    return cs.check_corrections(rows.withColumn("approved_at", early)).marked.groupBy(verdict).agg(F.count(F.lit(1)).alias("n_corrections"))
 
 
 @query(
