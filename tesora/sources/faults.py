@@ -28,6 +28,19 @@ def opened(content: bytes | None) -> Iterator[tuple[zipfile.ZipFile | None, str
         yield archive, None
 
 
+#: Members of at most so many bytes are held whole.
+SMALL = 1 << 20
+
+
+def small_member(archive: zipfile.ZipFile, name: str) -> bytes | None:
+    """A small sound member, read once with its checksum; of any other nothing, and its problem is found by reading it."""
+    try:
+        member = archive.getinfo(name)
+        return None if member.flag_bits & 1 or member.file_size > SMALL else archive.read(member)
+    except (NotImplementedError, KeyError, *DAMAGE):
+        return None
+
+
 def member_problem(archive: zipfile.ZipFile, name: str) -> str | None:
     """Why a member cannot be read, found by reading it once in pieces; its checksum is compared on the way."""
     try:
