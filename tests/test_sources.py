@@ -491,3 +491,30 @@ def test_source_history(spark):
     got = {(r["source_id"], r["seq"]): r["problem"] for r in pb.check_transitions(df).collect() if r["problem"]}
     assert got == {("b", 1): "TRANSITION_NOT_ALLOWED", ("c", 1): "MISSING_DIGEST", ("c", 3): "SEQUENCE_GAP", ("d", 1): "MISSING_EVIDENCE"}
     assert {r["source_id"]: r["status"] for r in pb.current_status(df).collect()}["a"] == "validated"
+
+
+def test_small_and_streamed_members_give_the_same_rows_and_one_reading_has_both_sides(spark, monkeypatch):
+    from tesora.sources import faults
+
+    def packed(*members):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+            for name, text in members:
+                archive.writestr(name, text)
+        return buffer.getvalue()
+
+    big = packed(("big.csv", "value; period\n" + "7;2024\n" * (faults.SMALL // 4)))
+    files = [("a", packed(("a.csv", "period;value;more\n2024;1;x\n2025\n"))), ("b", packed(("b.csv", ""))), ("big", big), ("cut", big[:-30]), ("two", packed(("1.csv", ""), ("2.csv", "")))]
+    parts = dl.unpacked_exports(spark.createDataFrame(files, "path string, content binary"), ["period", "value"])
+    rows = [tuple(r) for r in parts.clean.where("path = 'a'").orderBy("line_no").collect()]
+    assert rows == [("a", 1, "2024", "1"), ("a", 2, "2025", None)]
+    assert parts.clean.where("path = 'big' AND period = '2024' AND value = '7'").count() == faults.SMALL // 4
+    assert {r.path: r.reason_code for r in parts.quarantine.collect()} == {"cut": "BAD_ARCHIVE", "two": "NOT_ONE_CSV"}
+    assert {(r.path, r.reason_code) for r in parts.marked.select("path", "reason_code").distinct().collect()} == {("a", None), ("big", None), ("cut", "BAD_ARCHIVE"), ("two", "NOT_ONE_CSV")}
+
+
+def test_broken_exports_make_and_read_every_archive_once(spark):
+    from tesora.plans.publishing import broken_exports
+
+    plan = broken_exports(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("FileScan") == 1 and "REPARTITION_BY_NUM" in plan
