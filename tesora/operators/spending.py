@@ -122,7 +122,8 @@ def canonicalize(
     and joined once; Spark broadcasts it when small and splits hot names when not.
     """
     checked = check_export(export, labels)
-    rows = checked.clean.groupBy(*checked.clean.columns).agg(F.count(F.lit(1)).alias("copies"))
+    # the names, the doubtful ones and the join all start from the distinct rows: the export is read once for them
+    rows = materialize(checked.clean.groupBy(*checked.clean.columns).agg(F.count(F.lit(1)).alias("copies")), "spending_rows")
     resolved = resolve_names(rows, name="mo", source_id=source_id, registry=registry, aliases=aliases)
     doubtful = ambiguous_names(rows).withColumn("_twice", F.lit(True))
     names = resolved.join(doubtful, "mo", "left")

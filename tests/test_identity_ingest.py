@@ -144,3 +144,18 @@ def test_a_text_is_parsed_once_whatever_the_rules(spark):
     for side in (parts.clean, parts.quarantine):
         plan = side._jdf.queryExecution().executedPlan().toString()
         assert plan.count("regexp_replace(") == 1 and plan.count("try_cast(period") == 1
+
+
+def test_the_export_is_read_once_for_rows_and_names(spark, monkeypatch):
+    real, plans = sp.materialize, []
+
+    def seen(df, purpose):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return real(df, purpose)
+
+    monkeypatch.setattr(sp, "materialize", seen)
+    registry_, aliases_ = both(spark)
+    rows = export(spark, [("2024-01-01", "5", "Транспорт", "Сургут")] * 2 + [("2024-01-01", "7", "Транспорт", "Other")])
+    tables = sp.canonicalize(rows, registry=registry_, aliases=aliases_, source_id=SOURCE)
+    assert [r.spending_nominal for r in tables.canonical.collect()] == [5.0]
+    assert [sum("regexp_replace(value" in line for line in p.splitlines()) for p in plans] == [1, 0]
