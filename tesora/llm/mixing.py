@@ -146,7 +146,7 @@ def position_sql(cycle: str, x: str, schedules: Sequence[Sequence[int]] = SCHEDU
     return f"CASE {' '.join(cases)} END"
 
 
-def mix(
+def planned(
     docs: DataFrame,
     weights: Sequence[int] = WEIGHTS,
     schedules: Sequence[Sequence[int]] = SCHEDULES,
@@ -154,11 +154,7 @@ def mix(
     most: int = 2,
     extra: Sequence[str] = (),
 ) -> DataFrame:
-    """Every document (doc_id, source, text) with size, source_size, target, taken, copies, positions.
-
-    ``positions`` has the training time of each copy; null if the document is
-    not taken. ``extra`` columns are carried along.
-    """
+    """:func:`mix` with ``key`` and ``start``: the order hash, and the words of the source before the document."""
     sized = docs.select(
         "doc_id",
         "source",
@@ -182,7 +178,34 @@ def mix(
     due = "CASE WHEN p < passes THEN p * source_size + start ELSE passes * source_size + tail END"
     times = f"transform(sequence(0, copies - 1), p -> round({position_sql('cycle', f'least(({due}) / target, 1.0D)', schedules)}, 9))"
     out = out.withColumn("positions", F.when(F.col("copies") > 0, F.expr(times)))
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "positions", *extra)
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "positions", "key", "start", *extra)
+
+
+def mix(
+    docs: DataFrame,
+    weights: Sequence[int] = WEIGHTS,
+    schedules: Sequence[Sequence[int]] = SCHEDULES,
+    share: tuple[int, int] = (3, 2),
+    most: int = 2,
+    extra: Sequence[str] = (),
+) -> DataFrame:
+    """Every document (doc_id, source, text) with size, source_size, target, taken, copies, positions.
+
+    ``positions`` has the training time of each copy; null if the document is
+    not taken. ``extra`` columns are carried along.
+    """
+    return planned(docs, weights, schedules, share, most, extra).drop("key", "start")
+
+
+def in_order(plan: DataFrame) -> DataFrame:
+    """The mix itself, written: one row per copy with its ``position``, range-sorted by it.
+
+    Copies due at one time stand in the order of the hash; documents the mix
+    leaves out stand behind it, one row each.
+    """
+    copies = plan.withColumn("position", F.explode_outer("positions")).drop("positions")
+    order = [F.col("position").asc_nulls_last(), F.col("key"), F.col("source").asc_nulls_last(), F.col("start")]
+    return staged(copies.repartitionByRange(*order).sortWithinPartitions(*order), "mix_ordered")
 
 
 def curriculum(docs: DataFrame) -> DataFrame:
@@ -195,13 +218,19 @@ def curriculum(docs: DataFrame) -> DataFrame:
     once = body.join(times.where("__rows = 1"), "__row")
     equal = body.join(rows.where("__rows > 1").select("__row"), "__row", "left_semi").dropDuplicates(["__row"])
     again = equal.join(times.where("__rows > 1"), "__row")
-    ordered = once.unionByName(again).repartitionByRange("__at").sortWithinPartitions("__at")
+    ordered = once.unionByName(again).repartitionByRange("__at", "__row").sortWithinPartitions("__at", "__row")
     return ordered.select(*[F.col(f"`{c}`") for c in columns])
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"))
+    """Each document by the copies of it that stand in the written mix."""
+    mixed = in_order(planned(documents(spark, sf_dir).select("doc_id", "source", "text")))
+    # no two documents with words start at the same word of a source, so these two name a taken one
+    found = mixed.where("position IS NOT NULL").groupBy("source", "start").agg(
+        *[F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")], F.sum("size").alias("taken"), F.min("position").alias("position")
+    )
+    left = mixed.where("position IS NULL").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), "position")
+    return found.select(left.columns).unionByName(left)
 
 
 OP10_SQL = f"""

@@ -143,3 +143,19 @@ def test_copies_are_rows_in_training_order(spark):
 def test_an_impossible_share_is_refused(spark):
     with pytest.raises(ValueError):
         mixing.targets(spark.createDataFrame([("a", 1)], "source string, source_size long"), share=(5, 2))
+
+
+@pytest.mark.skipif(not Path(SMALL).exists(), reason="shared tables are absent")
+def test_the_query_reads_the_range_sorted_mix(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    seen, real = [], mixing.in_order
+    monkeypatch.setattr(mixing, "in_order", lambda plan: seen.append(real(plan)) or seen[-1])
+    got = mixing.op10_mixing(spark, SMALL).collect()
+    placed = seen[0].withColumns({"file": F.input_file_name(), "line": F.monotonically_increasing_id()}).collect()
+    placed.sort(key=lambda r: (r.file.rsplit("/", 1)[1], r.line))
+    times = [r.position for r in placed]
+    taken = [t for t in times if t is not None]
+    assert times == sorted(taken) + [None] * (len(times) - len(taken))
+    assert sum(r.taken for r in got) == sum(r["size"] for r in placed if r.position is not None)
+    assert len(taken) == sum(r.taken // r["size"] for r in got if r.taken)
