@@ -1,13 +1,17 @@
 """Near copies by exact Jaccard similarity of five-word shingles, for the pipeline's near-duplicate stage.
 
 A text is the set of its distinct shingles (a shorter text is one shingle), kept
-as 64-bit hashes. Equal sets collapse first. Every set has ``BANDS`` keys, each
+as 64-bit hashes. Equal sets collapse first. Every set has a SimHash fingerprint
+of its hashes; fingerprints that ``simhash`` links, in its grid of segment
+counts, make their sets candidates. 64 bits at 3 or fewer differing ones do not
+reach down to a similarity of 0.8, so every set also has ``BANDS`` keys, each
 mixed from ``ROWS`` minima of its permuted hashes; two sets of similarity s
 share at least one key with probability 1 - (1 - s^ROWS)^BANDS, which is
-0.99997 at 0.8 and more above. Sets that share a key are candidates, and the
-similarity counted over both whole texts decides. Keys with the same sets, known
-by their number, sum and two digests, are one key, so near copies meet once and
-not once for each of the many keys that they share.
+0.99997 at 0.8 and more above. Sets that share a fingerprint's component or a
+key are candidates, and the similarity counted over both whole texts decides.
+Keys with the same sets, known by their number, sum and two digests, are one
+key, so near copies meet once and not once for each of the many keys that they
+share.
 
 All members of a key are compared, whatever their number: a key with more than
 ``TILE`` sets is dealt to tiles, every pair of tiles is one task's group, and a
@@ -29,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from tesora.llm import simhash
 from tesora.llm.base import add_columns, staged, texts, words_of
 from tesora.llm.simhash import components
 
@@ -89,6 +94,14 @@ def cells(marked: DataFrame, text: str) -> DataFrame:
     return marked.select(F.col(f"`{text}`"), "__set").mapInArrow(run, "key long, set long").distinct()
 
 
+def fingerprint_keys(sets: DataFrame, radius: int = 3) -> DataFrame:
+    """(key, set) of the non-empty sets of ``sets`` (set, fp): one key for each component of SimHash links."""
+    own = sets.where("set <> 0").select("set", "fp")
+    label = components(simhash.links(own.select("fp").distinct(), radius), "shingle_fingerprints").withColumnRenamed("node", "fp")
+    key = F.xxhash64(F.lit("fingerprint"), F.coalesce("label", "fp")).alias("key")
+    return own.join(label, "fp", "left").select(key, "set")
+
+
 def _similar(ids: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the link graph among the sets of one group."""
     size = np.array([len(s) for s in sets], np.int64)
@@ -139,11 +152,8 @@ def _link_sorted(least: float):
     return run
 
 
-def links(found: DataFrame, bodies: DataFrame, least: float = LEAST, tile: int = TILE) -> DataFrame:
-    """(u, v), u > v: enough verified links to connect all sets that link.
-
-    ``found`` has the keys (key, set), ``bodies`` one text of each set (set, text).
-    """
+def candidates(found: DataFrame, tile: int = TILE) -> DataFrame:
+    """(key, set): the groups to compare, from the keys (key, set); sets that meet no other are left out."""
     # near copies share most of their keys: of the keys with the same sets one is enough
     members = [F.bit_xor(F.xxhash64(F.lit(seed), "set")).alias(f"m{seed}") for seed in (0, 1)]
     sizes = found.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("set").cast("decimal(20,0)")).alias("total"), *members).where("n > 1")
@@ -156,10 +166,23 @@ def links(found: DataFrame, bodies: DataFrame, least: float = LEAST, tile: int =
     one = F.array(F.struct(F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("j")))
     dealt = found.join(sizes, "key").select("key", "set", F.explode(F.when(tiles > 1, pairs).otherwise(one)).alias("t"))
     group = F.when((F.col("t.i") == 0) & (F.col("t.j") == 0), F.col("key")).otherwise(F.xxhash64("key", "t.i", "t.j")).alias("key")
-    keyed = dealt.select(group, "set").join(bodies, "set").select("key", "set", "text")
+    return dealt.select(group, "set")
+
+
+def verified(groups: DataFrame, bodies: DataFrame, least: float = LEAST) -> DataFrame:
+    """(u, v), u > v: a spanning forest of the links in every group (key, set)."""
+    keyed = groups.join(bodies, "set").select("key", "set", "text")
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_link_sorted(least), "u long, v long").distinct()
 
 
+def links(found: DataFrame, bodies: DataFrame, least: float = LEAST, tile: int = TILE) -> DataFrame:
+    """(u, v), u > v: enough verified links to connect all sets that link.
+
+    ``found`` has the keys (key, set), ``bodies`` one text of each set (set, text).
+    """
+    return verified(candidates(found, tile), bodies, least)
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, tile: int = TILE) -> DataFrame:
     """One whole document of each component of near copies, the one with the smallest id; all columns stay.
 
@@ -170,15 +193,22 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     body = docs.withColumn("__row", F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]))))
 
     def compute(batch: pa.RecordBatch):
-        ids = np.fromiter((set_id(shingle_set(t)) for t in texts(batch, text)), np.uint64, batch.num_rows)
-        return [ids.view(np.int64)]
+        out = np.empty((2, batch.num_rows), np.uint64)
+        for i, t in enumerate(texts(batch, text)):
+            found = shingle_set(t)
+            out[:, i] = set_id(found), simhash.majority(found)
+        return list(out.view(np.int64))
 
-    marked = staged(add_columns(body, [("__set", LongType())], compute), "shingle_rows")
+    marked = staged(add_columns(body, [("__set", LongType()), ("__fp", LongType())], compute), "shingle_rows")
     order = F.struct(F.col(f"`{doc_id}`").isNull().alias("unnamed"), F.col(f"`{doc_id}`").alias("id"), "__row")
-    sets = staged(marked.groupBy(F.col("__set").alias("set")).agg(F.min(order).alias("best")), "shingle_sets")
-    found = staged(cells(marked, text), "shingle_cells")
-    bodies = marked.join(sets.select(F.col("best.__row").alias("__row")), "__row").dropDuplicates(["__row"])
-    edges = links(found, bodies.select(F.col("__set").alias("set"), F.col(f"`{text}`").alias("text")), least, tile)
+    sets = marked.groupBy(F.col("__set").alias("set")).agg(F.min(order).alias("best"), F.min("__fp").alias("fp"))
+    sets = staged(sets, "shingle_sets")
+    found = staged(cells(marked, text).unionByName(fingerprint_keys(sets)), "shingle_cells")
+    groups = staged(candidates(found, tile), "shingle_groups")
+    # only texts that are compared move to their groups
+    compared = groups.select("set").distinct().join(sets, "set").select(F.col("best.__row").alias("__row"))
+    bodies = marked.join(compared, "__row").dropDuplicates(["__row"])
+    edges = verified(groups, bodies.select(F.col("__set").alias("set"), F.col(f"`{text}`").alias("text")), least)
     label = components(edges, "shingle_components").withColumnRenamed("node", "set")
     named = sets.join(label, "set", "left").groupBy(F.coalesce("label", "set")).agg(F.min("best")["__row"].alias("__row"))
     kept = marked.join(named.select("__row"), "__row").dropDuplicates(["__row"])

@@ -47,11 +47,15 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     n = len(words) - shingle + 1
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), ">u8", n)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):  # bits of a long text are unpacked in blocks
-        counts += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+    return majority(np.fromiter((digest(joined[a:b], SEED) for a, b in spans), ">u8", n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of some hashes; none for no hashes."""
+    data, counts = hashes.astype(">u8", copy=False), np.zeros(64, np.int64)
+    for at in range(0, len(data), 65536):  # bits of a long text are unpacked in blocks
+        counts += np.unpackbits(data[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(data)).tobytes(), "big")
 
 
 def add_fingerprint(docs: DataFrame, out: str = "fp", text: str = "text", keep: list[str] | None = None, shingle: int = SHINGLE) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from conftest import SCHEMA, words
 
 import corpus_pipeline as pipeline
-from tesora.llm import shingles
+from tesora.llm import shingles, simhash
 from tesora.llm.base import words_of
 
 
@@ -62,6 +62,24 @@ def test_keys_with_the_same_sets_are_compared_once(spark, monkeypatch):
     assert texts == [4]  # two sets of one of twenty keys, and two of another
 
 
+def test_sets_of_linked_fingerprints_are_candidates(spark):
+    fps = [0b0, 0b111, 0b111111, 1 << 40 | 0xFFFF << 20, 0b0, 0b1]
+    sets = spark.createDataFrame([(i + 1, fp) for i, fp in enumerate(fps)] + [(0, 0)], "set long, fp long")
+    key = {r.set: r.key for r in shingles.fingerprint_keys(sets).collect()}
+    assert sorted(key) == [1, 2, 3, 4, 5, 6]  # texts without words are one set already
+    assert len({key[i] for i in (1, 2, 3, 5, 6)}) == 1 and key[4] != key[1]
+
+
+def test_copies_are_found_by_fingerprints_alone(spark, monkeypatch):
+    base = words(2000, 3).split()
+    near = [*base[:700], "changed", *base[701:]]
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, words(2000, 4))]
+    one, two = (simhash.majority(shingles.shingle_set(t)) for _, t in rows[:2])
+    assert 0 < (one ^ two).bit_count() <= 3 or one == two
+    monkeypatch.setattr(shingles, "cells", lambda marked, text: spark.createDataFrame([], "key long, set long"))
+    assert sorted(r.doc_id for r in shingles.keep_one(frame(spark, rows)).collect()) == plain_kept(rows) == [1, 3]
+
+
 def test_the_stage_takes_similarities_of_four_fifths(spark):
     rows = planted(6)
     want = plain_kept(rows)
