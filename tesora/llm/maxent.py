@@ -47,6 +47,10 @@ CLASS_ROWS, WORD_ROWS = 1 << 12, 1 << 14
 LISTED = 1 << 19
 #: Tokens per gradient step, and tokens scored or trained at once.
 STEP, BLOCK = 4096, 1 << 17
+#: Tokens scored at once, so that their rows stay in the cache.
+SCORED = 1024
+#: Sums of weights up to here need no common factor taken out before exp.
+SAFE, LOW = 40.0, -1e8
 #: The end of a text; no word has this hash by construction.
 END = np.uint64(1)
 _LOG10 = np.log(10)
@@ -209,43 +213,60 @@ def _word_index(features: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint64(64 - WORD_ROWS.bit_length() + 1)).astype(np.int64)
 
 
-def _softmax(bias: np.ndarray, rows: np.ndarray, index: np.ndarray) -> np.ndarray:
-    x = bias + rows[index[0]]
+def _exponentials(bias: np.ndarray, rows: np.ndarray, index: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the summed weights, up to a factor a token, and their sums; no sum of weights exceeds ``most``."""
+    x = rows.take(index[0], axis=0)
+    x += bias
+    more = np.empty_like(x)
     for i in index[1:]:
-        x += rows[i]
-    x -= x.max(axis=1, keepdims=True)
+        x += rows.take(i, axis=0, out=more, mode="clip")
+    if most > SAFE:
+        x -= x.max(axis=1, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    return x, x @ np.ones(x.shape[1], x.dtype)
+
+
+def _most(bias: np.ndarray, rows: np.ndarray) -> float:
+    """Bound of a summed weight in either direction, apart from words that are not there."""
+    shown = bias[bias > LOW]
+    return float(np.abs(shown).max(initial=0.0) + FEATURES * max(rows.max(), -rows.min()))
+
+
+def _softmax(bias: np.ndarray, rows: np.ndarray, index: np.ndarray, most: float) -> np.ndarray:
+    x, total = _exponentials(bias, rows, index, most)
+    x *= (1 / total)[:, None]
     return x
 
 
 def token_logs(model: Model, features: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """log p(class) + log p(word | class) per token; of the other class, the first term alone."""
     out = np.empty(len(rank))
-    for at in range(0, len(rank), STEP):
-        f, r = features[:, at : at + STEP], rank[at : at + STEP]
+    most = [_most(model.class_bias, model.class_rows), _most(model.word_bias, model.word_rows)]
+    for at in range(0, len(rank), SCORED):
+        f, r = features[:, at : at + SCORED], rank[at : at + SCORED]
         classes = np.where(r < 0, CLASSES, r // WIDTH)
-        p = _softmax(model.class_bias, model.class_rows, _class_index(f))[np.arange(len(r)), classes]
+        x, total = _exponentials(model.class_bias, model.class_rows, _class_index(f), most[0])
+        p = x[np.arange(len(r)), classes] / total
         known = np.flatnonzero(r >= 0)
         if len(known):
             c = classes[known]
-            q = _softmax(model.word_bias[c], model.word_rows, _word_index(f[:, known], c))
-            p[known] *= q[np.arange(len(known)), r[known] % WIDTH]
-        out[at : at + STEP] = np.log(np.maximum(p, 1e-37))
+            x, total = _exponentials(model.word_bias.take(c, axis=0), model.word_rows, _word_index(f[:, known], c), most[1])
+            p[known] *= x[np.arange(len(known)), r[known] % WIDTH] / total
+        out[at : at + SCORED] = np.log(np.maximum(p, 1e-37))
     return out
 
 
-def _run_sums(values: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sums of runs of ordered rows. Most runs are short: all advance one row a round, the few long ones are summed apart."""
-    ends = np.append(starts[1:], len(order))
-    total = values[order[starts]]
-    done, live = 1, np.flatnonzero(ends - starts > 1)
-    while len(live) > 64:
-        total[live] += values[order[starts[live] + done]]
+def _run_sums(values: np.ndarray, order: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of runs of ordered rows, longest run first. All advance one row a round, the few long ones are summed apart."""
+    total = values.take(order[starts], axis=0)
+    live = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1))  # runs with more than 1, 2, ... rows
+    done, more = 1, np.empty_like(total)
+    while live[done - 1] > 64:
+        n = live[done - 1]
+        total[:n] += values.take(order[starts[:n] + done], axis=0, out=more[:n], mode="clip")
         done += 1
-        live = live[ends[live] - starts[live] > done]
-    for i in live:
-        total[i] += values[order[starts[i] + done : ends[i]]].sum(axis=0)
+    for i in range(live[done - 1]):
+        total[i] += values[order[starts[i] + done : starts[i] + sizes[i]]].sum(axis=0)
     return total
 
 
@@ -255,11 +276,16 @@ def _update(rows: np.ndarray, squares: np.ndarray, seen: np.ndarray, index: np.n
     order = np.argsort(flat, kind="stable")
     ordered = flat[order]
     starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    sizes = np.diff(np.append(starts, len(flat)))
+    longest = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[longest], sizes[longest]
     which = ordered[starts].astype(np.int64)
-    total = _run_sums(gradient, order % gradient.shape[0], starts)
+    token = np.tile(np.arange(gradient.shape[0]), len(index)).take(order)
+    total = _run_sums(gradient, token, starts, sizes)
     squares[which] += np.einsum("ij,ij->i", total, total)
-    seen[which] += np.diff(np.append(starts, len(flat)))
-    rows[which] -= total * (rate / np.sqrt(squares[which]))[:, None].astype(np.float32)
+    seen[which] += sizes
+    total *= (rate / np.sqrt(squares[which]))[:, None].astype(np.float32)
+    rows[which] -= total
 
 
 def train_block(model: Model, state: list[np.ndarray], features: np.ndarray, rank: np.ndarray, rate: float) -> None:
@@ -268,14 +294,14 @@ def train_block(model: Model, state: list[np.ndarray], features: np.ndarray, ran
         f, r = features[:, at : at + STEP], rank[at : at + STEP]
         classes = np.where(r < 0, CLASSES, r // WIDTH)
         index = _class_index(f)
-        p = _softmax(model.class_bias, model.class_rows, index)
+        p = _softmax(model.class_bias, model.class_rows, index, _most(model.class_bias, model.class_rows))
         p[np.arange(len(r)), classes] -= 1
         _update(model.class_rows, state[0], state[1], index, p, rate)
         known = np.flatnonzero(r >= 0)
         if len(known):
             c = classes[known]
             index = _word_index(f[:, known], c)
-            q = _softmax(model.word_bias[c], model.word_rows, index)
+            q = _softmax(model.word_bias[c], model.word_rows, index, _most(model.word_bias, model.word_rows))
             q[np.arange(len(known)), r[known] % WIDTH] -= 1
             _update(model.word_rows, state[2], state[3], index, q, rate)
 
@@ -362,21 +388,20 @@ def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, model: Model, keep:
             logs = token_logs(model, contexts(hashes, starts), rank)
             total = lambda x: np.add.reduceat(x, starts)
             listed = np.where(count >= 0, np.log10(np.maximum(count, 0) + 0.5), 0.0)
-            doc = np.repeat(np.arange(len(held)), lengths)
-            unlisted = count < 0
-            offsets, open_hash, open_count = [0], [], []
-            at = doc[unlisted]
-            for part in np.split(hashes[unlisted], np.searchsorted(at, np.arange(1, len(held)))):
-                found, times = np.unique(part, return_counts=True)
-                open_hash.append(found.view(np.int64))
-                open_count.append(times)
-                offsets.append(offsets[-1] + len(found))
+            unlisted = np.flatnonzero(count < 0)
+            doc = np.searchsorted(starts, unlisted, side="right") - 1
+            order = np.lexsort((hashes[unlisted], doc))
+            doc, open_hash = doc[order], hashes[unlisted][order]
+            first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (open_hash[1:] != open_hash[:-1])))[: len(doc)])
+            open_count = np.diff(np.append(first, len(doc)))
+            open_hash = open_hash[first].view(np.int64)
+            offsets = np.searchsorted(doc[first], np.arange(len(held) + 1))
             place = pa.array(offsets, pa.int32())
             values = [
                 pa.array(np.arange(row, row + len(held))), pa.array(lengths), pa.array(total((count > 0).astype(np.int64))),
                 pa.array(total((rank < 0).astype(np.int64))), pa.array(total(listed)), pa.array(total(np.where(rank < 0, listed, 0.0))),
                 pa.array(total(logs) / _LOG10),
-                *[pa.ListArray.from_arrays(place, pa.array(np.concatenate(x).astype(np.int64))) for x in (open_hash, open_count)],
+                *[pa.ListArray.from_arrays(place, pa.array(x)) for x in (open_hash, open_count)],
             ]
             row += len(held)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *values], [*keep, *own])

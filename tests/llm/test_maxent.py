@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -154,3 +155,38 @@ def test_chances_and_one_step_equal_plain_loops():
     state = [np.ones(maxent.CLASS_ROWS), np.zeros(maxent.CLASS_ROWS), np.ones(maxent.WORD_ROWS), np.zeros(maxent.WORD_ROWS)]
     maxent.train_block(model, state, features, rank, 0.25)
     assert np.allclose(model.class_rows, after[0], atol=1e-4) and np.allclose(model.word_rows, after[1], atol=1e-4)
+
+
+def test_rows_of_scored_tokens_stay_in_the_cache():
+    rng, n = np.random.default_rng(5), 20_000
+    bias = (rng.normal(size=maxent.WIDTH).astype(np.float32), rng.normal(size=(maxent.CLASSES, maxent.WIDTH)).astype(np.float32))
+    model = maxent.Model(*bias)
+    features, rank = rng.integers(0, 1 << 63, (maxent.FEATURES, n), np.uint64), rng.integers(-1, maxent.CLASSES * maxent.WIDTH, n)
+    tracemalloc.start()
+    maxent.token_logs(model, features, rank)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_000_000
+
+
+@pytest.mark.parametrize("size", [1, 30, 300])
+def test_softmax_of_small_and_large_weights(size):
+    rng = np.random.default_rng(6)
+    bias = rng.normal(size=maxent.WIDTH).astype(np.float32)
+    bias[5] = -1e9
+    rows = (rng.normal(size=(50, maxent.WIDTH)) * size).astype(np.float32)
+    index = rng.integers(0, 50, (maxent.FEATURES, 200))
+    got = maxent._softmax(bias, rows, index, maxent._most(bias, rows))
+    x = (bias + rows[index].sum(axis=0)).astype(np.float64)
+    x = np.exp(x - x.max(axis=1, keepdims=True))
+    assert got == pytest.approx(x / x.sum(axis=1, keepdims=True), rel=1e-3, abs=1e-5)
+
+
+def test_sums_of_runs():
+    rng = np.random.default_rng(7)
+    values, index = rng.normal(size=(500, 4)), np.concatenate([rng.integers(0, 300, 1500), np.full(500, 7)]).reshape(4, 500)
+    rows, squares, seen = np.zeros((301, 4)), np.zeros(301), np.zeros(301)
+    maxent._update(rows, squares, seen, index, values.astype(np.float32), 0.0)
+    want = np.zeros((301, 4))
+    np.add.at(want, index.reshape(-1), np.tile(values, (4, 1)))
+    assert squares == pytest.approx((want**2).sum(axis=1), rel=1e-3, abs=1e-4) and (seen == np.bincount(index.reshape(-1), minlength=301)).all()
