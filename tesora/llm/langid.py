@@ -42,7 +42,7 @@ BITS = 16
 LONGEST = 40
 _LONG = re.compile(rb"[^ ]{%d,}" % (LONGEST + 1))
 #: Bytes whose emissions are computed at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(64)], np.uint64)
 _GRAM = {2: np.uint64(0xC2B2AE3D27D4EB4F), 3: np.uint64(0x165667B19E3779F9), 4: np.uint64(0x27D4EB2F165667C5)}
 _LETTER = np.array([chr(i).isalpha() or i >= 128 for i in range(256)])

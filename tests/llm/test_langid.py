@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
@@ -114,3 +115,14 @@ def test_awkward_rows(spark, awkward, nothing):
     empty = langid.fit(nothing, learn)
     assert langid.predict(nothing, empty, names=("__lang", "__share")).count() == 0
     assert {r["__lang"] for r in langid.predict(awkward, empty, names=("__lang", "__share")).collect()} == {"und"}
+
+
+def test_memory_of_a_prediction_is_bounded():
+    rng, k = np.random.default_rng(3), 4
+    weights = rng.normal(size=(1 << langid.BITS, k)).astype(np.float32)
+    crf = langid.Crf(tuple("abcd"), weights, np.empty(0, np.uint64), np.empty(0, int), np.zeros((k + 1, k)), np.zeros((k, k)))
+    tracemalloc.start()
+    found = langid.label_texts([" ".join(f"word{i}" for i in range(300_000))], crf)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[0][0] in crf.langs and peak < 60_000_000
