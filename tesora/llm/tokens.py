@@ -1,26 +1,29 @@
 """Token ids of whole texts by a public tokenizer, one encoding per distinct chunk and worker.
 
 Both vocabularies cut a text into pieces before merging, and a blank in front of
-a visible character always starts a new piece. So a text is cut at such blanks,
-each distinct chunk is encoded once by the tokenizers library, and the ids of a
-text are gathered from that table. The table is emptied when it is full, so its
-memory is bounded. A text that spells a special token is encoded whole, as the
-library does by default.
+a visible character, or a line end behind one, always starts a new piece. So a
+text is cut there, each distinct chunk is encoded once by the tokenizers library,
+and the ids of a text are joined from that table as bytes. A word is looked up
+in the same table whatever sign or line end follows it. The table is emptied when
+it is full, so its memory is bounded. A text that spells a special token is
+encoded whole, as the library does by default.
 """
 
 from __future__ import annotations
 
 import gc
 import re
+from array import array
+from codecs import charmap_decode
+from collections.abc import Callable
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 from tokenizers import Tokenizer
 
 
 #: Distinct chunks a worker remembers (byte-level, word-level), pieces of them, and the longest that it does.
-REMEMBERED = {True: 600_000, False: 400_000}
+REMEMBERED = {True: 1_000_000, False: 400_000}
 PIECES = 100_000
 LONGEST = 64
 
@@ -32,17 +35,38 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-_SPELL = _byte_characters()
+#: The stand-ins of all bytes, in their order.
+_SPELL = "".join(c for _, c in sorted(_byte_characters().items()))
 #: Pieces that both vocabularies cut in the same plain way: runs of Latin letters, of digits (single ones, word-level)
 #: and of ASCII signs but the apostrophe, and lone line ends.
 _PIECES = {
     True: re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-&(-/:-@\\[-`{-~]+|\n"),
     False: re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\\[-`{-~]+|\n"),
 }
-_STOPS = frozenset(".,;:!?")
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-#: A blank that is not in front of a visible character.
-_LOOSE = re.compile(r" (?=\s|$)")
+#: Such letters and ASCII signs (but the apostrophe) behind them, which are a piece of their own.
+_SIGNED = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]+)")
+#: Where any text may be cut: at a blank in front of a visible character, and between such a one and a line end.
+_CUT = re.compile(r" (?=\S)|(?<=\S)(?=\n)")
+
+
+class _Loose(Exception):
+    """Blanks stand beside blanks or line ends, so that a text can't be cut at every one."""
+
+
+class _Table(dict[str, bytes]):
+    """Packed ids of chunks; a new chunk is encoded and, unless it is long, kept. A full table is emptied."""
+
+    def __init__(self, encode: Callable[[str], bytes], most: int):
+        self.encode, self.most = encode, most
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.encode(part)
+        if len(part) <= LONGEST:
+            if len(self) >= self.most:
+                self.clear()
+            self[part] = found
+        return found
 
 
 class Encoder:
@@ -50,124 +74,82 @@ class Encoder:
 
     def __init__(self, path: str, leading: bool):
         self.tokenizer = Tokenizer.from_file(path)
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(sorted(added, key=len, reverse=True))) if added else None
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.leading, self.pattern = self.tokenizer.model, leading, _PIECES[leading]
-        self._forget()
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.kind = np.dtype(self.code)
+        self.table = _Table(self._chunk, REMEMBERED[leading])
+        self.pieces: dict[str, bytes] = {}
 
-    def _forget(self) -> None:
-        self.first: dict[str, int] = {}  # chunks at the start of a text
-        self.later: dict[str, int] = {} if self.leading else self.first
-        self.pieces: dict[str, list[int]] = {}
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.starts, self.sizes, self.count = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
+    @property
+    def count(self) -> int:
+        """Chunks remembered."""
+        return len(self.table)
 
-    def _library(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
 
-    def _ids(self, chunk: str) -> list[int]:
-        """Ids of one chunk; plain pieces skip the library's text handling and go to its model."""
-        found = self.pattern.findall(chunk)
-        if sum(map(len, found)) != len(chunk) or "\n\n" in chunk or (self.leading and chunk.find(" ", 1) > 0):
-            return self._library(chunk)
-        ids: list[int] = []
-        for piece in found:
-            ids += self._piece(piece)
-        return ids
+    def _library(self, text: str) -> bytes:
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _piece(self, piece: str) -> list[int]:
+    def _plain(self, piece: str) -> bytes:
+        """Ids of one piece by the library's model, which wants its bytes spelled."""
+        spelled, _ = charmap_decode((piece if self.leading else piece.lower()).encode(), "strict", _SPELL)
+        return self._packed([t.id for t in self.model.tokenize(spelled)])
+
+    def _piece(self, piece: str) -> bytes:
         known = self.pieces.get(piece)
         if known is None:
-            if not self.leading and piece == "\n":
-                return []
-            spelled = (piece if self.leading else piece.lower()).encode("utf-8").decode("latin-1").translate(_SPELL)
-            known = [t.id for t in self.model.tokenize(spelled)]
+            known = b"" if piece == "\n" and not self.leading else self._plain(piece)
             if len(piece) <= LONGEST:
                 if len(self.pieces) >= PIECES:
                     self.pieces.clear()
                 self.pieces[piece] = known
         return known
 
-    def _learn(self, table: dict[str, int], parts: list[str], lead: str) -> None:
-        """Ids of new chunks go to the end of the table of ids."""
-        flat: list[int] = []
-        sizes: list[int] = []
-        at, blank, tokenize = self.count, _SPELL[32] * bool(lead), self.model.tokenize
-        plain = _LETTERS.fullmatch
-        for part in parts:
-            if part in table:
-                continue
-            if part.isalpha() and part.isascii():
-                ids = [t.id for t in tokenize(blank + (part if self.leading else part.lower()))]
-            elif part[-1:] in _STOPS and plain(part, 0, len(part) - 1):
-                stem = part[:-1]
-                known = table.get(stem, at)
-                if known < at:  # the same letters were a chunk of their own
-                    begin = self.starts[known]
-                    ids = self.flat[begin : begin + self.sizes[known]].tolist() + self._piece(part[-1])
-                else:
-                    ids = self._piece(lead + stem) + self._piece(part[-1])
-            elif plain(part):
-                ids = self._piece(lead + part)
-            else:
-                ids = self._ids(lead + part)
-            table[part] = at + len(sizes)
-            sizes.append(len(ids))
-            flat += ids
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        while self.count + len(sizes) > len(self.starts):
-            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
-        self.flat[self.used : self.used + len(flat)] = flat
-        new = slice(self.count, self.count + len(sizes))
-        self.sizes[new] = sizes
-        self.starts[new] = self.used + np.cumsum(self.sizes[new]) - self.sizes[new]
-        self.used += len(flat)
-        self.count += len(sizes)
-
-    def _parts(self, text: str) -> tuple[str, list[str]]:
-        """The first chunk, and the others without their leading blank."""
-        head, *rest = text.split(" ")
-        if self.leading and _LOOSE.search(text):
-            joined = [head]
-            for p in rest:
-                if not p or p[0].isspace():
-                    joined[-1] += " " + p
-                else:
-                    joined.append(p)
-            head, *rest = joined
-        return head, rest
+    def _ids(self, chunk: str) -> bytes:
+        """Ids of one chunk; plain pieces skip the library's text handling and go to its model."""
+        found = self.pattern.findall(chunk)
+        if sum(map(len, found)) != len(chunk) or "\n\n" in chunk or (self.leading and chunk.find(" ", 1) > 0):
+            return self._library(chunk)
+        return b"".join(map(self._piece, found))
+
+    def _chunk(self, part: str) -> bytes:
+        """Ids of a chunk cut off at a blank, which it lacks, or in front of a line end, which it has."""
+        if part.isalpha() and part.isascii():
+            return self._packed([t.id for t in self.model.tokenize(_SPELL[32] + part if self.leading else part.lower())])
+        signed = _SIGNED.fullmatch(part)
+        if signed:
+            return self.table[signed[1]] + self._piece(signed[2])
+        if self.leading and (not part or part[-1].isspace() or (part[0].isspace() and part[0] != "\n")):
+            raise _Loose
+        lead = " " if self.leading and part[0] != "\n" else ""
+        return self._plain(lead + part) if _LETTERS.fullmatch(part) else self._ids(lead + part)
+
+    def _cut(self, text: str) -> bytes:
+        """Ids of a text with any blanks; a chunk that ends in some is not kept."""
+        first, *rest = _CUT.split(text)
+        found = [self._ids(first)]
+        for part in rest:
+            found.append(self._ids(part if part[0] == "\n" else " " + part) if part[-1].isspace() else self.table[part])
+        return b"".join(found)
+
+    def _text(self, text: str) -> bytes:
+        if not self.leading:
+            return b"".join(map(self.table.__getitem__, text.replace("\n", " ").split(" ")))
+        first, *rest = text.replace("\n", " \n").split(" ")
+        try:
+            found = b"".join(map(self.table.__getitem__, rest))
+        except _Loose:
+            return self._cut(text)
+        return self._ids(first) + found
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text; null counts as empty."""
         if not text:
-            return np.empty(0, np.uint32)
-        if self.special is not None and self.special.search(text):
-            return np.array(self._library(text), np.uint32)
-        if self.count >= REMEMBERED[self.leading]:
-            self._forget()
-        head, rest = self._parts(text)
-        if head not in self.first:
-            self._learn(self.first, [head], "")
-        where = np.empty(len(rest) + 1, np.int64)
-        where[0] = self.first[head]
-        later = self.later
-        where[1:] = np.fromiter(map(later.get, rest, repeat(-1)), np.int64, len(rest))
-        missing = np.flatnonzero(where < 0)
-        if len(missing):
-            new = [rest[i - 1] for i in missing.tolist()]
-            self._learn(later, new, " " if self.leading else "")
-            where[missing] = list(map(later.__getitem__, new))
-            for part in new:
-                if len(part) > LONGEST:
-                    later.pop(part, None)
-        if len(head) > LONGEST:
-            self.first.pop(head, None)
-        sizes = self.sizes[where]
-        ends = np.cumsum(sizes)
-        index = np.repeat(self.starts[where] - ends + sizes, sizes)
-        index += np.arange(len(index))
-        return self.flat.take(index)
+            return np.empty(0, self.kind)
+        whole = any(token in text for token in self.special)
+        return np.frombuffer(self._library(text) if whole else self._text(text), self.kind)
 
 
 @lru_cache(maxsize=4)

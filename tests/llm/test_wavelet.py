@@ -68,6 +68,23 @@ def test_the_table_of_chunks_is_bounded(monkeypatch):
         assert encoder.count < 50 + 31 and len(encoder.pieces) <= 7
 
 
+def test_words_at_line_ends_and_before_signs_are_encoded_once():
+    words = [f"w{a}{b}".translate(str.maketrans("0123456789", "abcdefghij")) for a in range(6) for b in range(6)]
+    text = " ".join(f"{x}.\n{y}!! {y}," for x in words for y in words)
+    for path, leading in ((BYTES, True), (WORDS, False)):
+        encoder, whole = Encoder(path, leading), library(path)
+        assert encoder.encode(text).tolist() == whole(text)
+        assert encoder.count <= 6 * len(words)  # not one chunk for each two words that meet at a line end
+
+
+def test_blanks_beside_blanks_and_line_ends():
+    parts = ["a\r\nb", "a\n\nb", "a\n\n\n b", "a \nb", "a\t\n b", "a\n b", "a\n\tb", "\na", " \na", "a\n", "a ", "  a", "a\x1c\nb", "a\u3000\nb c"]
+    for path, leading in ((BYTES, True), (WORDS, False)):
+        encoder, whole = Encoder(path, leading), library(path)
+        for text in [x + glue + y for x in parts for y in parts for glue in ("", " ", "\n", " c ")]:
+            assert encoder.encode(text).tolist() == whole(text), (text, leading)
+
+
 def expected(rows):
     encode, start, out = library(BYTES), 0, []
     for doc_id, text in rows:
