@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesora.llm import langid, mixing, packing, quality, shingles
-from tesora.llm.base import documents, write_shared
+from tesora.llm.base import documents, small_batches, write_shared
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -23,12 +23,14 @@ LEAST_SHARE = 0.5
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a counting rule or score below the threshold go."""
+    small_batches(spark)
     model = quality.fit(docs, quality.labels_of(spark, sf_dir))
     return quality.judge(docs, model, prefix="__").where("__kept").select(*_columns(docs))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: no letters, or no language with half of the words."""
+    small_batches(spark)
     crf = langid.fit(docs, F.lit(True))
     found = langid.predict(docs, crf, names=("__lang", "__share"))
     return found.where((F.col("__lang") != "und") & (F.col("__share") >= LEAST_SHARE)).select(*_columns(docs))
@@ -36,6 +38,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (0.8 of five-word shingles or more) stays."""
+    small_batches(spark)
     return shingles.keep_one(docs)
 
 

@@ -121,8 +121,8 @@ def _last_pass(placed: DataFrame, wanted: DataFrame, digits: int) -> DataFrame:
         both = gaps.join(ends, F.col("of").eqNullSafe(F.col("end_of")), "left")
         more = F.coalesce("more", F.lit(0))
         gaps = staged(both.select("of", (F.col("gap") - more).alias("gap"), (F.col("filled") + more).alias("filled"), F.col("next").alias("after")), "mix_gaps")
-    schema = "of string, at long, tail long"
-    picked = placed.sparkSession.createDataFrame([], schema)
+    # no rows, from a table: rows of the driver would start Python workers
+    picked = gaps.where(F.lit(False)).select("of", F.col("gap").alias("at"), F.col("filled").alias("tail"))
     for rows in found:
         picked = picked.unionByName(rows)
     # whatever is left and no larger than twice the gap brings the source nearer; all that is left is larger than the gap

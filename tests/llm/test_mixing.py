@@ -159,3 +159,9 @@ def test_the_query_reads_the_range_sorted_mix(spark, monkeypatch):
     assert times == sorted(taken) + [None] * (len(times) - len(taken))
     assert sum(r.taken for r in got) == sum(r["size"] for r in placed if r.position is not None)
     assert len(taken) == sum(r.taken // r["size"] for r in got if r.taken)
+
+
+def test_the_mix_starts_no_python_workers(spark, awkward):
+    """Its inputs are written tables; an empty table made of rows of the driver is a Python job on all executors."""
+    plan = mixing.mix(awkward)._jdf.queryExecution().toString()
+    assert "ExistingRDD" not in plan and "LogicalRDD" not in plan

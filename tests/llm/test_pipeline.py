@@ -3,14 +3,16 @@ from __future__ import annotations
 from pathlib import Path
 
 import duckdb
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from test_packing import assert_packed
 from test_quality import plain_measures
 from test_shingles import plain_kept
 
 import corpus_pipeline as pipeline
 from tesora.llm import mixing, quality
-from tesora.llm.base import documents, write_shared
+from tesora.llm.base import BATCH_BYTES, documents, small_batches, write_shared
 
 SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SMALL).exists(), reason="shared tables are absent")
@@ -87,3 +89,41 @@ def test_run_and_registration(spark):
     assert entry.queries()["pipeline"].__wrapped__ is pipeline.run
     assert {f"op{n}" for n in range(1, 14)} <= {name.split("_")[0] for name in entry.queries()}
     assert pipeline.run(spark, SMALL).count() > 0
+
+
+@pytest.fixture
+def batch_setting(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    yield name
+    spark.conf.unset(name)
+
+
+def batch_sizes(docs):
+    """(bytes, rows) of the batches that Python gets."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], ["size", "n"])
+
+    return [tuple(r) for r in docs.mapInArrow(run, "size long, n long").collect()]
+
+
+def test_stages_send_whole_texts_to_python_in_small_batches(spark, awkward, batch_setting):
+    docs = spark.range(150, numPartitions=1).select(F.col("id").alias("doc_id"), F.expr("repeat('x', IF(id = 70, 9, 1) * 1000000)").alias("text"))
+    for name, stage in pipeline.STAGES:
+        if name == "mixing_sources":  # has no Python
+            continue
+        spark.conf.unset(batch_setting)
+        stage(spark, awkward, SMALL)
+        assert int(spark.conf.get(batch_setting)) == BATCH_BYTES, name
+    sizes = batch_sizes(docs)
+    assert sum(n for _, n in sizes) == 150 and sum(size for size, _ in sizes) >= 158_000_000
+    assert max(size for size, _ in sizes) <= BATCH_BYTES + 9_001_000
+    assert sorted(size for size, _ in sizes)[-2] <= BATCH_BYTES + 1_001_000
+
+
+def test_a_session_keeps_its_own_size_of_batches(spark, batch_setting):
+    spark.conf.set(batch_setting, "1m")
+    small_batches(spark)
+    assert spark.conf.get(batch_setting) == "1m"
