@@ -163,12 +163,16 @@ def links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     A cell with more than ``tile`` fingerprints is dealt to tiles by hash, and
     every pair of tiles is one group, so no task holds a whole large cell and no
     cell emits more links than it has members per tile pair.
+
+    Spark takes the cells for little larger than the fingerprints, though each
+    stands in some 25 of them; left to choose, it would broadcast cells that the
+    driver cannot hold, so their join is a merge at every size.
     """
     if not 0 <= radius <= 3:
         raise ValueError("the grid finds fingerprints at 3 or fewer differing bits")
     cells = grid_cells(fps)
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("own").alias("own")).where("n > 1 and own").drop("own")
-    cells = cells.join(sizes, "cell")
+    cells = cells.join(sizes.hint("merge"), "cell")
     tiles = F.ceil(F.col("n") / tile).cast("int")
     mine = F.pmod(F.xxhash64("fp"), tiles)
     pairs = F.transform(

@@ -8,6 +8,7 @@ import xxhash
 from conftest import SCHEMA, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tesora.llm import simhash
 
@@ -98,6 +99,15 @@ def test_links_connect_what_all_pairs_connect(spark, tile):
         assert {label.get(m, m) for m in members} == {min(members)}
 
 
+def test_cells_are_not_broadcast(spark):
+    """Spark sizes the cells like their fingerprints, so a small table must merge as well."""
+    fps = spark.range(40).select(F.xxhash64("id").alias("fp"))
+    edges = simhash.links(fps.unionByName(fps.select(F.col("fp").bitwiseXOR(1).alias("fp"))))
+    assert edges.count() == 40
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_large_cells_are_searched_whole():
     rng = np.random.default_rng(3)
     centre = np.uint64(0x0123456789ABCDEF)
